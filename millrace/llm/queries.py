@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontaminate, exact_dedup, line_dedup, scratch, span_dedup, token_files, url_filter
+from millrace.llm import bpe, decontaminate, exact_dedup, jaccard_join, line_dedup, scratch, span_dedup, token_files, url_filter
 
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
@@ -33,6 +33,10 @@ def exact_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def jaccard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_texts", "kept")
+
+
 def token_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.new_path(spark, "tokens")
     token_files.write_tokens(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
@@ -55,6 +59,7 @@ QUERIES = {
     "op2_decontamination": decontaminate_query,
     "op4_url_filters": url_query,
     "op5_exact_dedup": exact_query,
+    "op7_jaccard_join": jaccard_query,
     "op8_token_files": token_query,
     "op9_byte_bpe": bpe_query,
     "op10_line_dedup": line_query,
