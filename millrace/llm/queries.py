@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontaminate, exact_dedup, jaccard_join, line_dedup, scratch, span_dedup, token_files, url_filter
+from millrace.llm import bpe, decontaminate, exact_dedup, jaccard_join, line_dedup, quality, scratch, span_dedup, token_files, url_filter
 
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
@@ -25,6 +25,10 @@ def decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "quality", "keep")
+
+
 def url_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -57,6 +61,7 @@ def line_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": span_query,
     "op2_decontamination": decontaminate_query,
+    "op3_quality_classifier": quality_query,
     "op4_url_filters": url_query,
     "op5_exact_dedup": exact_query,
     "op7_jaccard_join": jaccard_query,
