@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontaminate, exact_dedup, jaccard_join, line_dedup, quality, scratch, span_dedup, token_files, url_filter
+from millrace.llm import bpe, decontaminate, exact_dedup, jaccard_join, line_dedup, quality, scratch, span_dedup, suffix_dedup, token_files, url_filter
 
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
@@ -37,6 +37,11 @@ def exact_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def suffix_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def jaccard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_texts", "kept")
 
@@ -64,6 +69,7 @@ QUERIES = {
     "op3_quality_classifier": quality_query,
     "op4_url_filters": url_query,
     "op5_exact_dedup": exact_query,
+    "op6_suffix_array_dedup": suffix_query,
     "op7_jaccard_join": jaccard_query,
     "op8_token_files": token_query,
     "op9_byte_bpe": bpe_query,
