@@ -56,9 +56,12 @@ def _winnowed(grams: Column, w: int) -> Column:
 def fingerprints(words_: Column, window: int, gram: int, short: list[int]) -> Column:
     """array<struct<kind, fp, at>>: the winnowed hashes, and every hash of as many words as a short item has."""
 
+    def whole_item(hashes: Column, n: int) -> Column:
+        return F.transform(_grams(hashes, n), lambda h, i: F.struct(F.lit(n).alias("kind"), h.alias("fp"), i.alias("at")))
+
     def of(hashes: Column) -> Column:
         winnowed = _let(_grams(hashes, gram), lambda g: F.transform(_winnowed(g, window - gram + 1), lambda p: F.struct(F.lit(window).alias("kind"), F.get(g, p).alias("fp"), p.alias("at"))))
-        whole = [F.transform(_grams(hashes, n), lambda h, i, n=n: F.struct(F.lit(n).alias("kind"), h.alias("fp"), i.alias("at"))) for n in short]
+        whole = [whole_item(hashes, n) for n in short]
         return F.concat(winnowed, *whole) if whole else winnowed
 
     return _let(F.transform(words_, lambda w: F.xxhash64(w)), of)
