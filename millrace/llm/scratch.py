@@ -1,33 +1,5 @@
-"""Intermediate tables in the folder that driver and executors share.
+"""Intermediate tables of the operators here: see millrace.sources.shared."""
 
-``stage`` writes a frame as Parquet below ``spark.checkpoint.dir`` and reads it back: lineage ends at
-files that every executor can read, so a lost executor costs one task and not the whole plan.
-"""
+from millrace.sources.shared import new_path, root, stage
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def root(spark: SparkSession) -> str:
-    """The shared folder. Where the setting is missing, a local master gets a temporary folder of its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["new_path", "root", "stage"]
