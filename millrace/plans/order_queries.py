@@ -304,7 +304,7 @@ def linear_score(t: Tables) -> DataFrame:
     c AS (SELECT o_orderkey, 'price' AS factor, round(100 * (p - p_price), 4) AS change FROM b UNION ALL SELECT o_orderkey, 'priority', round(100 * (p - p_priority), 4) FROM b)
     SELECT o_orderkey, factor, change FROM c QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY abs(change) DESC, factor) = 1"""
 )
-def sensitivity_top(t: Tables) -> DataFrame:
+def sensitivity_top3(t: Tables) -> DataFrame:
     """The factor whose reset to its reference value changes the score most, from one row's own array."""
     price, priority = F.col("o_totalprice"), F.col("o_orderpriority")
     p = C.sigmoid(linear_logit(price, priority))
@@ -386,3 +386,26 @@ def haversine(t: Tables) -> DataFrame:
     place = lambda key, n, low: (F.col(key) % n + low).cast("double")
     km = C.haversine_km(place("l_suppkey", 60, -30), place("l_suppkey", 40, -60), place("o_custkey", 60, -30), place("o_custkey", 40, -60))
     return facts(t).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(km, 3).alias("km"))
+
+
+_QUANTILES = "[" + ", ".join(str(k / 100) for k in range(101)) + "]"
+
+
+@query(f"WITH {_P}, q AS (SELECT quantile_cont(p, {_QUANTILES}) AS q FROM pr), k AS (SELECT o_orderkey, p, q, len(list_filter(q, lambda x: x < p)) AS k FROM pr, q) SELECT o_orderkey, round(CASE WHEN k = 0 THEN 0 ELSE k - 1 + (p - q[k]) / (q[k + 1] - q[k]) END, 3) AS score FROM k")
+def risk_score(t: Tables) -> DataFrame:
+    """Place among 101 quantiles of the reference scores, linear inside a step. The quantiles are one row."""
+    rows = _probabilities(t)
+    q = F.broadcast(rows.agg(F.percentile("p", F.array(*[F.lit(k / 100) for k in range(101)])).alias("q")))
+    k = F.size(F.filter("q", lambda x: x < F.col("p")))
+    low, high = F.get("q", k - 1), F.get("q", k)
+    return rows.crossJoin(q).select("o_orderkey", F.round(F.when(k == 0, 0.0).otherwise(k - 1 + (F.col("p") - low) / (high - low)), 3).alias("score"))
+
+
+@query(f"WITH {_TOTALS}, pi AS (SELECT l_orderkey, l_suppkey AS primary_seller FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ITEM_ORDER}) = 1) SELECT o_orderkey, items, sellers, value, quantity, primary_seller, s_nationkey = c_nationkey AS same_nation, c_mktsegment, cast(month(o_orderdate) AS INTEGER) AS month, cast(o_orderstatus = 'F' AS INTEGER) AS label FROM orders JOIN customer ON o_custkey = c_custkey JOIN it ON o_orderkey = it.l_orderkey JOIN pi ON o_orderkey = pi.l_orderkey JOIN supplier ON primary_seller = s_suppkey WHERE o_totalprice > 0")
+def order_dataset(t: Tables) -> DataFrame:
+    """One row per order: totals, primary seller, whether both sides share a nation, label. Lines are aggregated before the joins."""
+    customers = t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey", "c_mktsegment")
+    rows = t.orders.filter("o_totalprice > 0").join(customers, "o_custkey").withColumnRenamed("o_orderkey", "l_orderkey")
+    rows = rows.join(order_totals_of(t.lineitem), "l_orderkey").join(primary_item(t).select("l_orderkey", F.col("l_suppkey").alias("primary_seller")), "l_orderkey")
+    rows = rows.join(t.supplier.select(F.col("s_suppkey").alias("primary_seller"), "s_nationkey"), "primary_seller")
+    return rows.select(F.col("l_orderkey").alias("o_orderkey"), "items", "sellers", "value", "quantity", "primary_seller", (F.col("s_nationkey") == F.col("c_nationkey")).alias("same_nation"), "c_mktsegment", F.month("o_orderdate").alias("month"), (F.col("o_orderstatus") == "F").cast("int").alias("label"))

@@ -23,7 +23,7 @@ def _grouped(by: str, having: str = "") -> str:
 
 
 @query(f"WITH {{facts}}, g AS (SELECT {_COUNTS} FROM facts) SELECT *, {_RATES} FROM g")
-def reliability_metrics(t: Tables) -> DataFrame:
+def reliability_overall(t: Tables) -> DataFrame:
     return metrics.reliability(facts(t), [])
 
 
@@ -214,8 +214,8 @@ def conditional_null(t: Tables) -> DataFrame:
     return facts(t).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", unless("cancelled", F.datediff("ship_day", "day")).alias("days"))
 
 
-@query(f"WITH {{facts}} SELECT {_ROUTE} AS route, count(*) AS n FROM facts GROUP BY 1")
-def canonical_pairs(t: Tables) -> DataFrame:
+@query(f"WITH {{facts}} SELECT {_ROUTE} AS route, count(*) AS n FROM facts GROUP BY 1", name="canonical_pair")
+def canonical_pair_counts(t: Tables) -> DataFrame:
     return facts(t).groupBy(canonical_pair("origin", "destination").alias("route")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -252,7 +252,7 @@ def threshold_cross(t: Tables) -> DataFrame:
     SELECT month, scheduled, completed, cancelled, on_time_15 AS on_time, completed - on_time_15 AS delayed, round(on_time_15 / nullif(completed, 0), 6) AS on_time_rate, round((on_time_15 - on_time_5) / nullif(completed, 0), 6) AS sensitivity,
     scheduled - completed - cancelled AS missing, median_delay, p90_delay, scheduled >= 200 AS enough, first_day, last_day, keys, scheduled - keys AS duplicates FROM g"""
 )
-def measure_switch(t: Tables) -> DataFrame:
+def bi_measures(t: Tables) -> DataFrame:
     """The measure set of a report at a selected threshold of 15, with its sensitivity against 5."""
     rows = facts(t).groupBy(F.date_format("day", "yyyy-MM").alias("month")).agg(*metrics.reliability_columns(), F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count_distinct("l_orderkey", "l_linenumber").alias("keys"))
     return rows.select(

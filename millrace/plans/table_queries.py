@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import columns as C
 from millrace.operators import asof
 from millrace.operators import tables as T
+from millrace.operators import tenders
 from millrace.plans.registry import Tables, facts, query
 from millrace.sources import sinks
 from millrace.sources.shared import new_path
@@ -406,7 +407,7 @@ _VOLUME = "d AS (SELECT cast(o_orderdate AS DATE) AS day, count(*) AS n FROM ord
 
 
 @query(f"WITH {_VOLUME} SELECT day, n, CASE WHEN k >= 7 THEN round(n / med, 4) END AS ratio, CASE WHEN k >= 7 AND (n / med < 0.2 OR n / med > 5) THEN 'FAIL' ELSE 'PASS' END AS status FROM w")
-def volume_gate(t: Tables) -> DataFrame:
+def volume_anomaly(t: Tables) -> DataFrame:
     return T.volume_gate(t.orders.groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -619,3 +620,48 @@ def field_diff(t: Tables) -> DataFrame:
 @query("SELECT event_id FROM events WHERE value IS NULL OR props NOT LIKE '%1%'")
 def pending_filter(t: Tables) -> DataFrame:
     return t.events.filter(F.col("value").isNull() | ~F.col("props").contains("1")).select("event_id")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_discount < 0 OR l_quantity = 50 THEN '__missing__' WHEN l_quantity <= 5 THEN 'to 5' WHEN l_quantity <= 15 THEN 'to 15' ELSE 'over 15' END AS bucket FROM lineitem")
+def bucketize(t: Tables) -> DataFrame:
+    """Right-closed buckets; a missing value gets a label of its own."""
+    q = F.when((F.col("l_discount") < 0) | (F.col("l_quantity") == 50), None).otherwise(F.col("l_quantity"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", C.bucket(q, [5, 15], ["to 5", "to 15", "over 15"]).alias("bucket"))
+
+
+@query("WITH g AS (SELECT source, lang, [min(doc_id), max(doc_id)] AS ids FROM documents GROUP BY ALL) SELECT source, coalesce(max(ids) FILTER (WHERE lang = 'fr'), max(ids) FILTER (WHERE lang = 'de'), max(ids) FILTER (WHERE lang = 'en'), max(ids) FILTER (WHERE lang = 'es')) AS ids FROM g GROUP BY 1")
+def localized_pick(t: Tables) -> DataFrame:
+    """A source's first and last document in the first language that it has."""
+    per = t.documents.groupBy("source", "lang").agg(F.array(F.min("doc_id"), F.max("doc_id")).alias("ids"))
+    maps = per.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("lang", "ids"))).alias("m"))  # an entry per language
+    return maps.select("source", C.localized("m", ("fr", "de", "en", "es")).alias("ids"))
+
+
+_CATEGORY = "CASE c_mktsegment WHEN 'BUILDING' THEN 'turnover' WHEN 'MACHINERY' THEN 'references' WHEN 'HOUSEHOLD' THEN 'certification' WHEN 'FURNITURE' THEN 'language' ELSE 'technical' END"
+
+
+@query(f"SELECT c_custkey, CASE WHEN c_nationkey = 0 THEN 'NOT_APPLICABLE' WHEN {_CATEGORY} = 'turnover' THEN CASE WHEN 5000 >= c_acctbal THEN 'PASS' ELSE 'FAIL' END WHEN {_CATEGORY} = 'references' THEN CASE WHEN 300 >= c_acctbal THEN 'PASS' ELSE 'FAIL' END WHEN {_CATEGORY} = 'certification' THEN CASE WHEN c_nationkey IN (3, 4) THEN 'PASS' ELSE 'FAIL' END WHEN {_CATEGORY} = 'language' THEN CASE WHEN c_nationkey % 2 = 0 THEN 'PASS' ELSE 'FAIL' END ELSE 'UNKNOWN' END AS outcome FROM customer")
+def check_outcome(t: Tables) -> DataFrame:
+    """Customers stand for requirements: their segment is the category and their balance the value."""
+    text = F.when(F.expr(_CATEGORY) == "language", F.when(F.col("c_nationkey") % 2 == 0, "ENG").otherwise("swe")).otherwise(F.concat(F.lit("ISO "), F.col("c_nationkey").cast("string")))
+    asked = t.customer.select("c_custkey", F.expr(_CATEGORY).alias("category"), F.col("c_acctbal").alias("value_num"), text.alias("value_str"), F.lit(None).cast("array<string>").alias("value_list"), F.when(F.col("c_nationkey") == 0, "NOT_REQUIRED").otherwise("UNKNOWN").alias("stage"))
+    profile = asked.withColumns({"annual_turnover": F.lit(5000.0), "reference_count": F.lit(300), "certifications": F.array(F.lit("iso 3"), F.lit("Iso 4")), "languages": F.array(F.lit("English"))})
+    return profile.select("c_custkey", tenders.check_outcome().alias("outcome"))
+
+
+@query("SELECT p_partkey, least(50, 10 * ((p_name LIKE '%ring%')::INT + (p_name LIKE '%widget%' OR p_type ILIKE '%promo%')::INT)) + CASE WHEN p_brand IN ('Brand#1', 'Brand#2') THEN 20 ELSE 0 END + CASE WHEN p_retailprice BETWEEN 950 AND 1500 THEN 20 ELSE 0 END + CASE WHEN p_size > 20 THEN 10 ELSE 0 END AS fit FROM part")
+def fit_score(t: Tables) -> DataFrame:
+    """Parts stand for lots: name and type are the text, the brand is the place, the price the value."""
+    deadline = F.when(F.col("p_size") > 20, "2027-01-01T00:00").otherwise("2026-01-01")
+    lots = t.part.select("p_partkey", F.col("p_name").alias("title"), F.when(F.lower("p_type").contains("promo"), "widget").otherwise(F.lower("p_type")).alias("description"), F.col("p_retailprice").alias("value"), deadline.alias("deadline"), F.array("p_brand").alias("place_of_performance"))
+    profile = lots.withColumns({"capabilities": F.array(F.lit("Ring"), F.lit("widget")), "countries_served": F.array(F.lit("Brand#1"), F.lit("Brand#2")), "min_contract_value": F.lit(950.0), "max_contract_value": F.lit(1500.0)})
+    return profile.select("p_partkey", tenders.fit_score("2026-06-01").alias("fit"))
+
+
+@query(f"WITH {_BATCH}, c AS (SELECT n.user_id, n.v AS v, o.v AS ov FROM n LEFT JOIN o USING (user_id)) SELECT user_id FROM c WHERE ov IS NULL OR ov <> v")
+def reassess_trigger(t: Tables) -> DataFrame:
+    """New keys, and known ones with a change in a material field, are assessed again."""
+    old, new = _batches(t)
+    fresh = T.classify(old, new, ["user_id"], ["event_type"]).filter("status = 'new'").select("user_id")
+    changed = T.field_diff(old, new, ["user_id"], ["event_type"], {"event_type"}).filter("materiality = 'MATERIAL'").select("user_id").distinct()
+    return fresh.unionByName(changed)

@@ -147,3 +147,9 @@ def decision_rollup(t: Tables) -> DataFrame:
     """A failed check blocks, an uncertain one asks for review."""
     g = t.conversations.groupBy((F.col("conv_id") % 7).alias("notice")).agg(F.bool_or(F.col("role") == "system").alias("failed"), F.bool_or(F.length("text") > 600).alias("unsure"), F.count(F.lit(1)).alias("checks"))
     return g.select("notice", F.when(F.col("failed"), "NO_BID").when(F.col("unsure"), "REVIEW").otherwise("BID").alias("decision"), "checks")
+
+
+@query("SELECT doc_id, cast(len(regexp_extract_all(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+')) AS INTEGER) AS mails, cast(len(regexp_extract_all(text, '[0-9]{6,}')) AS INTEGER) AS long_numbers FROM documents")
+def extract_patterns(t: Tables) -> DataFrame:
+    count = lambda p: F.size(F.regexp_extract_all(F.col("text"), F.lit(p), F.lit(0)))
+    return t.documents.select("doc_id", count("[A-Za-z0-9._]+@[A-Za-z0-9.]+").alias("mails"), count("[0-9]{6,}").alias("long_numbers"))
