@@ -111,4 +111,34 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM n
 """
 
-SQL = {"op2_decontamination": _OP2, "op4_url_filters": _OP4, "op5_exact_dedup": _OP5}
+#: Windows of consecutive units as operators 1 and 10 define them; {units} makes a text's units, {ok} accepts t of them with c characters.
+_RUNS = r"""
+WITH d AS (SELECT doc_id, text, {units} AS ls FROM documents),
+u AS (SELECT doc_id, list_transform(ls, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS us, len(ls) AS n FROM d),
+s AS (SELECT doc_id, us, n, list_transform(us, lambda x: length(x)) AS size, unnest(range(1, n + 1)) AS i FROM u),
+e AS (SELECT doc_id, us, i, list_filter(range(1, {most} + 1), lambda t: i + t <= n + 1 AND ({ok}))[1] AS e FROM s),
+w AS (SELECT doc_id, i, e, array_to_string(us[i : i + e - 1], chr(1)) AS c FROM e WHERE e IS NOT NULL),
+later AS (SELECT doc_id, i, e FROM w QUALIFY doc_id > min(doc_id) OVER (PARTITION BY c) OR row_number() OVER (PARTITION BY c, doc_id ORDER BY i) > 1),
+gone AS (SELECT doc_id, list(DISTINCT k) AS ks FROM (SELECT doc_id, unnest(range(i, i + e)) AS k FROM later) GROUP BY 1)
+SELECT d.doc_id, CASE WHEN ks IS NULL THEN text ELSE array_to_string(list_filter(ls, lambda x, k: NOT list_contains(ks, k)), {glue}) END AS text,
+       cast(len(ls) AS BIGINT) AS {name}, cast(coalesce(len(ks), 0) AS BIGINT) AS n_removed
+FROM d LEFT JOIN gone USING (doc_id)
+"""
+
+_SUM = "list_sum(size[i : i + t - 1])"
+_OP1 = _RUNS.format(units=r"regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?\n]*\s*|[.!?\n]+\s*')", most=12, ok=f"(t >= 3 AND {_SUM} >= 100) OR {_SUM} >= 200 OR t = 12", glue="''", name="n_sentences")
+_OP10 = _RUNS.format(units="string_split(coalesce(text, ''), chr(10))", most=8, ok=f"{_SUM} >= 160 OR t = 8", glue="chr(10)", name="n_lines")
+
+_OP6 = r"""
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, i, md5(substr(x, 2 * i - 1, 400)) AS m FROM (SELECT doc_id, x, unnest(range(1, length(x) // 2 - 198)) AS i FROM h WHERE length(x) >= 400)),
+st AS (SELECT doc_id, i FROM w QUALIFY count(*) OVER (PARTITION BY m) > 1),
+g AS (SELECT doc_id, i, sum(CASE WHEN i - p > 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM st)),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 199 AS b FROM g GROUP BY doc_id, run),
+q AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
+k AS (SELECT q.doc_id, string_agg(substr(x, 2 * before + 1, 2 * (a - before - 1)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS kept, count(*) AS n_spans, sum(b - a + 1) AS n_removed FROM q JOIN h USING (doc_id) GROUP BY 1)
+SELECT h.doc_id, cast(length(x) // 2 AS BIGINT) AS n_bytes, cast(coalesce(n_removed, 0) AS BIGINT) AS n_removed, cast(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM h LEFT JOIN k USING (doc_id)
+"""
+
+SQL = {"op1_substring_dedup": _OP1, "op2_decontamination": _OP2, "op4_url_filters": _OP4, "op5_exact_dedup": _OP5, "op6_suffix_array_dedup": _OP6, "op10_line_dedup": _OP10}
