@@ -13,14 +13,17 @@ from __future__ import annotations
 
 import base64
 import codecs
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.llm.pretokens import PATTERN, BatchEncoder
+from millrace.llm.pretokens import PATTERN, BatchEncoder, slices
 
 BYTE_BASE = 0x100
 
@@ -66,12 +69,16 @@ class Codec:
         self.table = sorted(self.ranks, key=self.ranks.get)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(self.ranks))
         if pattern == PATTERN:
-            self.encode = BatchEncoder(self.encode_tokens).encode
+            self.encode = BatchEncoder(self.encode_tokens)
         else:
             import regex
 
-            find = regex.compile(pattern).findall
-            self.encode = lambda texts: [np.array([i for ids in self.encode_tokens(find(x)) for i in ids], np.int32) for x in texts]
+            self.find = regex.compile(pattern).findall
+            self.encode = self._encode_each
+
+    def _encode_each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        rows = [[i for ids in self.encode_tokens(self.find(x)) for i in ids] for x in texts]
+        return np.array([i for x in rows for i in x], np.int32), np.cumsum([0, *map(len, rows)])
 
     def encode_tokens(self, tokens: list[str]) -> list[list[int]]:
         """Ids of each pre-token, merged on its own."""
@@ -96,25 +103,44 @@ def codec(vocab: str, pattern: str) -> Codec:
     return Codec(vocab, pattern)
 
 
+def _with(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
+    return T.StructType([*[f for f in schema if f.name != name], T.StructField(name, kind)])
+
+
 def encode(df: DataFrame, vocab: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """Adds the ids of each text as array<int>."""
+    """Adds the ids of each text as array<int>. Rows go through Python some megabytes at a time, however long a batch is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode_batch = codec(vocab, pattern).encode
+        for batch in batches:
+            source = batch.column(batch.schema.get_field_index(text))
+            sizes = pc.fill_null(pc.binary_length(source), 0).to_pylist()
+            for a, b in slices(sizes):
+                part = batch.slice(a, b - a)
+                ids, bounds = encode_batch(pc.fill_null(source.slice(a, b - a), "").to_pylist())
+                yield _append(part, out, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids)))
+
+    return df.mapInArrow(run, _with(df.schema, out, T.ArrayType(T.IntegerType())))
 
-    @F.pandas_udf("array<int>")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(codec(vocab, pattern).encode(texts.fillna("").tolist()), dtype=object)
 
-    return df.withColumn(out, run(F.col(text)))
+def _append(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
+    columns = {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != name} | {name: column}
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
 def decode(df: DataFrame, vocab: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds the bytes that the ids stand for."""
 
-    @F.pandas_udf("binary")
-    def run(rows: pd.Series) -> pd.Series:
-        c = codec(vocab, pattern)
-        return pd.Series([b"" if x is None else c.decode(x.tolist()) for x in rows], dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to_bytes = codec(vocab, pattern).decode
+        for batch in batches:
+            source = batch.column(batch.schema.get_field_index(ids))
+            sizes = pc.fill_null(pc.list_value_length(source), 0).to_pylist()
+            for a, b in slices(sizes):
+                found = [to_bytes(x.values.to_pylist()) if x.is_valid else b"" for x in source.slice(a, b - a)]
+                yield _append(batch.slice(a, b - a), out, pa.array(found, pa.binary()))
 
-    return df.withColumn(out, run(F.col(ids)))
+    return df.mapInArrow(run, _with(df.schema, out, T.BinaryType()))
 
 
 def ids_sha256(ids: Column) -> Column:

@@ -9,14 +9,13 @@ points; equal pre-tokens of a batch are then encoded once, and frequent ones onc
 from __future__ import annotations
 
 from functools import lru_cache
-from itertools import pairwise
 
 import numpy as np
 
 #: The pattern that `starts` implements.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BATCH_CHARS = 2_000_000
-KNOWN_LIMIT = 700_000
+BATCH_CHARS = 1_000_000
+KNOWN_LIMIT = 400_000
 OTHER, LETTER, DIGIT, WHITE = range(4)
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -101,20 +100,11 @@ class BatchEncoder:
         self.encode_new, self.limit = encode_new, limit
         self.known: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out, batch, size = [], [], 0
-        for x in texts:
-            if batch and size + len(x) > BATCH_CHARS:
-                out += self._encode(batch)
-                batch, size = [], 0
-            batch.append(x)
-            size += len(x)
-        return out + self._encode(batch)
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and where each text's ids start, with the total at the end."""
         cp, texts_at = code_points(texts)
         if not len(cp):
-            return [np.zeros(0, np.int32) for _ in texts]
+            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
         at = starts(cp, texts_at)
         _, sample, kind = np.unique(_hashes(cp, at), return_index=True, return_inverse=True)
         whole, ends = "".join(texts), np.append(at[1:], len(cp))
@@ -130,5 +120,15 @@ class BatchEncoder:
         n = sizes[kind]
         upto = np.cumsum(n)
         ids = flat[np.repeat(offsets[kind] - (upto - n), n) + np.arange(upto[-1])]
-        bounds = np.concatenate(([0], upto))[np.searchsorted(at, texts_at)]
-        return [ids[a:b] for a, b in pairwise(bounds.tolist())]
+        return ids, np.concatenate(([0], upto))[np.searchsorted(at, texts_at)]
+
+
+def slices(sizes: list[int], limit: int = BATCH_CHARS) -> list[tuple[int, int]]:
+    """Ranges of rows of about `limit` together, one row at least."""
+    out, first, total = [], 0, 0
+    for k, n in enumerate(sizes):
+        if total and total + n > limit:
+            out.append((first, k))
+            first, total = k, 0
+        total += n
+    return [*out, (first, len(sizes))] if first < len(sizes) else out
