@@ -13,15 +13,18 @@ from __future__ import annotations
 
 import codecs
 import json
+import os
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.pretokens import BatchEncoder
+from millrace.llm.pretokens import BatchEncoder, slices
 
 SCHEMA = "part int, doc_id long, tie long, ids array<int>"
 
@@ -44,21 +47,29 @@ def tokenizer(path: str):
     pre = spec["pre_tokenizer"] or {}
     plain = pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]
     if not plain or spec["normalizer"] or spec["model"]["type"] != "BPE":
-        return lambda texts: [np.array(x.ids, np.int32) for x in t.encode_batch_fast(texts, add_special_tokens=False)]
-    merge, chars = t.model.tokenize, _byte_chars()
-    return BatchEncoder(lambda tokens: [[y.id for y in merge(codecs.charmap_decode(x.encode(), "strict", chars)[0])] for x in tokens]).encode
 
+        def each(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            rows = [x.ids for x in t.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.array([i for x in rows for i in x], np.int32), np.cumsum([0, *map(len, rows)])
+
+        return each
+    merge, chars = t.model.tokenize, _byte_chars()
+    return BatchEncoder(lambda tokens: [[y.id for y in merge(codecs.charmap_decode(x.encode(), "strict", chars)[0])] for x in tokens])
 
-def encode_ids(texts: F.Column, vocab: str, end_id: int) -> F.Column:
-    @F.pandas_udf("array<int>")
-    def run(texts: pd.Series) -> pd.Series:
-        import os
 
+def _encoder(vocab: str, end_id: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        rows = tokenizer(vocab)(texts.fillna("").tolist())
-        return pd.Series([np.append(x, np.int32(end_id)) for x in rows], dtype=object)
+        encode = tokenizer(vocab)
+        for batch in batches:
+            text = batch.column("text")
+            for a, b in slices(pc.binary_length(text).to_pylist()):
+                ids, bounds = encode(text.slice(a, b - a).to_pylist())
+                ids, bounds = np.insert(ids, bounds[1:], end_id), bounds + np.arange(len(bounds))
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in ("part", "doc_id", "tie")], lists], ["part", "doc_id", "tie", "ids"])
 
-    return run(texts)
+    return run
 
 
 def write_tokens(docs: DataFrame, path: str, vocab: str, end_id: int = 0, stripe_mb: int = 64) -> None:
@@ -67,11 +78,10 @@ def write_tokens(docs: DataFrame, path: str, vocab: str, end_id: int = 0, stripe
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    rows.select(F.spark_partition_id().alias("part"), "doc_id", "tie", encode_ids(F.col("text"), vocab, end_id).alias("ids")).write.option(
-        "compression", "zstd"
-    ).option("orc.bloom.filter.columns", "doc_id").option("orc.create.index", "true").option("orc.row.index.stride", "1000").option(
-        "orc.stripe.size", stripe_mb << 20
-    ).orc(path)
+    rows = rows.select(F.spark_partition_id().alias("part"), "doc_id", "tie", "text").mapInArrow(_encoder(vocab, end_id), SCHEMA)
+    rows.write.option("compression", "zstd").option("orc.bloom.filter.columns", "doc_id").option("orc.create.index", "true").option(
+        "orc.row.index.stride", "1000"
+    ).option("orc.stripe.size", stripe_mb << 20).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -79,14 +89,13 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).orc(path)
 
 
-def ids_crc32(ids: F.Column) -> F.Column:
-    """Unsigned crc32 of the ids as little-endian unsigned 32-bit integers."""
-
-    @F.pandas_udf("long")
-    def run(rows: pd.Series) -> pd.Series:
-        return pd.Series([zlib.crc32(np.asarray(x, "<u4").tobytes()) for x in rows], dtype="int64")
-
-    return run(ids)
+def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """n_tokens and the unsigned crc32 of the ids as little-endian unsigned 32-bit integers."""
+    for batch in batches:
+        ids = batch.column("ids")
+        sums = [zlib.crc32(x.values.to_numpy().astype("<u4", copy=False)) for x in ids]
+        columns = [*[batch.column(c) for c in ("part", "doc_id", "tie")], pa.array(pc.list_value_length(ids), pa.int64()), pa.array(sums, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["part", "doc_id", "tie", "n_tokens", "ids_crc32"])
 
 
 def index(tokens: DataFrame) -> DataFrame:
@@ -95,7 +104,7 @@ def index(tokens: DataFrame) -> DataFrame:
     A range's running sum needs the range alone; what precedes it is the sum of the earlier ranges' totals, of
     which there are as many as files.
     """
-    rows = tokens.select("part", "doc_id", "tie", F.size("ids").cast("long").alias("n_tokens"), ids_crc32(F.col("ids")).alias("ids_crc32"))
+    rows = tokens.mapInArrow(_checked, "part int, doc_id long, tie long, n_tokens long, ids_crc32 long")
     totals = tokens.groupBy("part").agg(F.sum(F.size("ids").cast("long")).alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
