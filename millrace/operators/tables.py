@@ -12,6 +12,11 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
     return df.groupBy(*keys).agg(F.max_by(F.struct(*own), F.struct(*order)).alias("__x")).select(*keys, *[F.col("__x")[c].alias(c) for c in own])
 
 
+def bounded(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """df with a broadcast hint if it has at most `rows` rows, else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.tables import latest_per_key
+from millrace.operators.tables import bounded, latest_per_key
 
 #: Phrases that announce requirements, and texts that try to steer a reader (fixed patterns).
 FAMILIES = {
@@ -94,14 +94,14 @@ def assess(lots: DataFrame, requirements: DataFrame, profiles: DataFrame, as_of:
     A requirement without a lot holds for all lots of its notice: two equi-joins, not one on an OR. Profiles are a
     table of some rows, crossed with lots.
     """
-    keys = lots.select("notice_id", "lot_id")
+    few, keys = bounded(profiles), lots.select("notice_id", "lot_id")
     own = requirements.filter("lot_id is not null").join(keys, ["notice_id", "lot_id"])
     shared = requirements.filter("lot_id is null").drop("lot_id").join(keys, "notice_id")
-    each = own.unionByName(shared, allowMissingColumns=True).crossJoin(F.broadcast(profiles))
+    each = own.unionByName(shared, allowMissingColumns=True).crossJoin(few)
     checks = each.select("profile_id", "notice_id", "lot_id", "requirement_id", "category", F.coalesce("mandatory", F.lit(False)).alias("mandatory"), check_outcome().alias("outcome"))
     must = F.col("mandatory")
     sums = checks.groupBy("profile_id", "notice_id", "lot_id").agg(F.bool_or(must & (F.col("outcome") == "FAIL")).alias("blocked"), F.bool_or(must & (F.col("outcome") == "UNKNOWN")).alias("unsure"), F.bool_or(must & (F.col("outcome") != "NOT_APPLICABLE")).alias("tested"))
-    scored = lots.crossJoin(F.broadcast(profiles)).select("profile_id", "notice_id", "lot_id", fit_score(as_of).alias("fit"))
+    scored = lots.crossJoin(few).select("profile_id", "notice_id", "lot_id", fit_score(as_of).alias("fit"))
     flag = lambda c: F.coalesce(c, F.lit(False))
     status = F.when(flag("blocked"), "NO_BID").when(~flag("tested"), "INSUFFICIENT_EVIDENCE").when(flag("unsure"), "REVIEW").otherwise("BID")
     level = lambda c: F.when(c >= 70, "HIGH").when(c >= 40, "MEDIUM").otherwise("LOW")

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.tables import duplicates, plan_partitions, require_pass
+from millrace.operators.tables import bounded, duplicates, plan_partitions, require_pass
 from millrace.plans import rail
 from millrace.sources import feeds
 from millrace.sources.shared import stage
@@ -66,7 +66,7 @@ def silver_gates(raw: DataFrame, journeys: DataFrame, arrivals: DataFrame, stati
     out = out.union(gate(duplicates(journeys, ["departure_date", "journey_key"]), "duplicate_journey_keys", day)).union(gate(duplicates(arrivals, ["departure_date", "arrival_key"]), "duplicate_arrival_keys", day))
     out = out.union(gate(journeys.filter("abs(final_delay_minutes) > 1440"), "impossible_delay_over_24h", day)).union(gate(journeys.filter("origin_code is null or destination_code is null or scheduled_departure_utc is null"), "missing_critical_fields", day))
     stops = raw.select("departureDate", F.inline("timeTableRows")).filter("commercialStop and trainStopping and countryCode = 'FI'").select("departureDate", F.col("stationShortCode").alias("station_code")).distinct()
-    out = out.union(gate(stops.join(F.broadcast(stations.select("station_code")), "station_code", "left_anti"), "station_referential_integrity", F.col("departureDate")))
+    out = out.union(gate(stops.join(bounded(stations.select("station_code")), "station_code", "left_anti"), "station_referential_integrity", F.col("departureDate")))
     asked = raw.select("departureDate").distinct().join(journeys.select(F.col("departure_date").cast("string").alias("departureDate")).distinct(), "departureDate", "left_anti")
     return out.union(gate(asked, "nonempty_modelled_partition", F.col("departureDate")))
 
@@ -105,7 +105,7 @@ def _process(spark: SparkSession, conf: Conf, todo: list[str], sources: DataFram
     first = feeds.gate_partitions(raw, todo).withColumn("run_id", F.lit(report.run_id))
     append(first, quality)
     require_pass(first, "bronze")
-    append(raw.join(F.broadcast(hashes), F.col("departureDate") == F.col("departure_date")).drop("departureDate"), f"{conf.root}/bronze/trains", ["departure_date", "source_content_sha256"])
+    append(raw.join(bounded(hashes), F.col("departureDate") == F.col("departure_date")).drop("departureDate"), f"{conf.root}/bronze/trains", ["departure_date", "source_content_sha256"])
     stations = feeds.read_stations(spark, conf.stations)
     journeys, arrivals = (stage(x, "silver") for x in rail.normalize(raw, stations, hashes, report.run_id, now))
     gates = silver_gates(raw, journeys, arrivals, stations).withColumn("run_id", F.lit(report.run_id))
