@@ -23,8 +23,19 @@ def root(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{root(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path := f"{root(spark)}/{name}-{uuid.uuid4().hex}")
+    return path
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what this process has staged. Frames that read it are of no use afterwards."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
