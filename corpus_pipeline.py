@@ -19,32 +19,42 @@ def _columns(docs: DataFrame, new: DataFrame) -> DataFrame:
     return new.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
+def _text_batches(spark: SparkSession) -> None:
+    """Texts are long rows: fewer of them in each batch that goes to Python, so that workers stay small over all stages."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go; null and empty texts are among them."""
+    _text_batches(spark)
     return quality.classify(docs).filter("keep").select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of runs of lines go; a document of which nothing but white space is left goes too."""
+    _text_batches(spark)
     cleaned = _columns(docs, line_dedup.remove_repeated_lines(docs))
     return cleaned.filter(F.col("text").rlike(r"\S"))
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays, that with the least doc_id."""
+    _text_batches(spark)
     return jaccard_join.one_per_class(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
+    _text_batches(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.contamination(docs, benchmark).filter("not contaminated").select(*docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with ids (array<int>), n_tokens and round_trip (the ids decode to the text's bytes)."""
+    _text_batches(spark)
     vocab = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    both = bpe.decode(bpe.encode(docs, vocab, public_tokenizers.PATTERN), vocab, public_tokenizers.PATTERN)
+    both = bpe.round_trip(docs, vocab, public_tokenizers.PATTERN)
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return both.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("round_trip", same).drop("decoded")
 

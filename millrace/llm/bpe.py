@@ -15,6 +15,7 @@ import base64
 import codecs
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -143,6 +144,23 @@ def decode(df: DataFrame, vocab: str, pattern: str, ids: str = "ids", out: str =
     return df.mapInArrow(run, _with(df.schema, out, T.BinaryType()))
 
 
+def round_trip(df: DataFrame, vocab: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """encode and decode in one worker: both columns, from one pass of the rows through Python."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(vocab, pattern)
+        for batch in batches:
+            source = batch.column(batch.schema.get_field_index(text))
+            for a, b in slices(pc.fill_null(pc.binary_length(source), 0).to_pylist()):
+                found, bounds = c.encode(pc.fill_null(source.slice(a, b - a), "").to_pylist())
+                back = [c.decode(found[i:j].tolist()) for i, j in pairwise(bounds.tolist())]
+                part = _append(batch.slice(a, b - a), ids, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(found)))
+                yield _append(part, decoded, pa.array(back, pa.binary()))
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, _with(_with(df.schema, ids, T.ArrayType(T.IntegerType())), decoded, T.BinaryType()))
+
+
 def ids_sha256(ids: Column) -> Column:
     """Lower-case hex of the decimal ids joined by one space."""
     return F.sha2(F.array_join(ids.cast("array<string>"), " "), 256)

@@ -15,7 +15,7 @@ import numpy as np
 #: The pattern that `starts` implements.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BATCH_CHARS = 1_000_000
-KNOWN_LIMIT = 400_000
+KNOWN_LIMIT = 250_000
 OTHER, LETTER, DIGIT, WHITE = range(4)
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
