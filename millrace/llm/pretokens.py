@@ -8,6 +8,7 @@ points; equal pre-tokens of a batch are then encoded once, and frequent ones onc
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -93,6 +94,19 @@ def _hashes(cp: np.ndarray, at: np.ndarray) -> np.ndarray:
     return h * _MIX + (ends - at).astype(np.uint64)
 
 
+#: A pre-token starts at a space that other text follows, so a long text can be cut there.
+_CUT = re.compile(r" (?=\S)")
+
+
+def segments(text: str, size: int = BATCH_CHARS) -> list[str]:
+    """The text in pieces of about `size` characters that can be encoded one by one."""
+    out, first = [], 0
+    while len(text) - first > size and (m := _CUT.search(text, first + size)):
+        out.append(text[first : m.start()])
+        first = m.start()
+    return [*out, text[first:]]
+
+
 class BatchEncoder:
     """Ids of whole texts; encode_new gets distinct pre-tokens and returns the ids of each."""
 
@@ -102,6 +116,12 @@ class BatchEncoder:
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's ids start, with the total at the end."""
+        if max(map(len, texts), default=0) <= 2 * BATCH_CHARS:
+            return self._encode(texts)
+        rows = [np.concatenate([self._encode([x])[0] for x in segments(text)]) for text in texts]
+        return np.concatenate(rows), np.cumsum([0, *map(len, rows)])
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         cp, texts_at = code_points(texts)
         if not len(cp):
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)

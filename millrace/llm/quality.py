@@ -1,17 +1,15 @@
 """Quality classifier from weak labels.
 
 Eight heuristic labellers vote bad or good on each text, or not at all where it is too short for them: share of
-symbols, of capitals, of exclamation marks, of letters and digits, words that are lone symbols or end in symbols, words that
-repeat at once, variety of words. They overlap and err, so expectation-maximisation estimates the accuracy of
-each (a two-class model in which labellers are independent given the class, started from "bad if any says so")
-from how often each pattern of votes occurs in the whole table. A pattern's posterior is the soft label of its
-texts. A logistic model over hashed features (character-class
-4-grams and repetition bins) learns these labels on a sample of at most `sample_rows` rows, drawn by hash over
-the whole table, and scores every row.
-
-Rows with a score under 0.5 are rejected. Null and empty text get score 0 and are rejected. Repeated rows get
-equal scores. An empty table gives no rows. Extra columns pass through; quality and keep replace columns of
-those names.
+symbols, of capitals, of exclamation marks, of letters and digits, words that are lone symbols or end in symbols,
+words that repeat at once, variety of words. They overlap and err, so expectation-maximisation estimates the accuracy
+of each (a two-class model in which labellers are independent given the class, started from "bad if any says so")
+from how often each pattern of votes occurs in the whole table. A pattern's posterior is the soft label of its texts.
+A logistic model over hashed features (character-class 4-grams and repetition bins) learns these labels on a sample
+of at most `sample_rows` rows, drawn by hash over the whole table, and scores every row.
+
+Rows with a score under 0.5 are rejected. Null and empty text get score 0 and are rejected. Repeated rows get equal
+scores. An empty table gives no rows. Extra columns pass through; quality and keep replace columns of those names.
 """
 
 from __future__ import annotations

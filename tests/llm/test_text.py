@@ -38,6 +38,22 @@ def test_bpe_matches_tiktoken(docs):
         assert r.ids == reference.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode()
 
 
+def test_bpe_round_trip_in_one_pass(docs):
+    both = bpe.round_trip(docs, TIKTOKEN, public_tokenizers.PATTERN).collect()
+    two = bpe.encode(docs, TIKTOKEN, public_tokenizers.PATTERN).collect()
+    assert Counter((r.doc_id, r.text, tuple(r.ids)) for r in both) == Counter((r.doc_id, r.text, tuple(r.ids)) for r in two)
+    assert all(bytes(r.decoded) == (r.text or "").encode() for r in both)
+
+
+def test_bpe_of_a_text_in_segments(monkeypatch):
+    texts = awkward_texts() + ["word " * 50 + "  \n end'll", "nospace" * 40]
+    whole = bpe.Codec(TIKTOKEN, public_tokenizers.PATTERN).encode(texts)
+    monkeypatch.setattr(pretokens, "BATCH_CHARS", 5)
+    monkeypatch.setattr(pretokens.segments, "__defaults__", (5,))
+    cut = bpe.Codec(TIKTOKEN, public_tokenizers.PATTERN).encode(texts)
+    assert all((a == b).all() for a, b in zip(whole, cut, strict=True))
+
+
 def test_bpe_other_pattern():
     c, d = bpe.Codec(TIKTOKEN, public_tokenizers.PATTERN), bpe.Codec(TIKTOKEN, "(?:" + public_tokenizers.PATTERN + ")")
     texts = awkward_texts()[:300]
