@@ -122,12 +122,19 @@ def suffix_array(text: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.
         tied = tied[np.append(same, False) | np.concatenate(([False], same))] if len(tied) else tied
         if not len(tied):
             break
-        sub, word = direct[tied], words[direct[tied] + d]
-        order = np.lexsort((word, group[tied]))
-        direct[tied] = sub[order]
-        word, g = word[order], group[tied]
-        new = np.concatenate(([True], (g[1:] != g[:-1]) | (word[1:] != word[:-1])))
-        group[tied] = g * 0 + tied[np.maximum.accumulate(np.where(new, np.arange(len(tied)), 0))] + n
+        sub, word, g = direct[tied], words[direct[tied] + d], group[tied]
+        first = np.concatenate(([True], g[1:] != g[:-1]))
+        differs_here = ~first[1:] & (word[1:] != word[:-1])
+        run = np.cumsum(first) - 1
+        mixed = np.zeros(run[-1] + 1, bool)
+        mixed[run[1:][differs_here]] = True
+        todo = np.flatnonzero(mixed[run])  # groups whose next word is the same all over stay as they are
+        if len(todo):
+            order = todo[np.lexsort((word[todo], run[todo]))]
+            sub[todo], word[todo] = sub[order], word[order]
+            direct[tied] = sub
+            new = first | np.concatenate(([True], word[1:] != word[:-1]))
+            group[tied] = tied[np.maximum.accumulate(np.where(new, np.arange(len(tied)), 0))] + n
     bounds = np.searchsorted(text[direct], np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     out = []
