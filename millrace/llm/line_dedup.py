@@ -1,11 +1,16 @@
 """Line dedup by winnowing over line hashes.
 
 A window is the shortest run of lines, from any line, with 160 characters or 8 lines (white space around lines
-does not count). The least line hash of each window is a fingerprint, so two documents that share a window share
-a fingerprint, at the same place in it. Fingerprints that occur once end there. Around the positions of the
-others, matches extend both ways: the windows that hold the position, each equal to another exactly if as many
-lines before and after the position are equal. All but the first match, in order of doc_id and place, are later
-repeats, and the lines of these, joined to maximal runs, are deleted.
+does not count); EXTENDED also has the shortest such run that ends at any line. All but the first of equal windows,
+in order of doc_id and place, are later repeats, and the lines of these, joined to maximal runs, are deleted.
+
+RULE, which the SQL of op10_line_dedup states, looks forward alone: it leaves the tail of a repeated run, where the
+last lines hold under 160 characters and are under 8. EXTENDED carries each match to its ends before and after: a
+line is deleted exactly if it is part of a run of 160 characters or 8 lines that occurs earlier.
+
+The least line hash of each window is a fingerprint, so two documents that share a window share a fingerprint, at
+the same place in it. Windows whose fingerprint occurs once are put aside before contents are compared; that saves
+work and changes no result.
 
 Null text stays null. A null doc_id counts as larger than any other. Rows that share a doc_id are one document: a
 run is not repeated for occurring in two of them. Repeated rows get equal results. Extra columns pass through;
@@ -14,12 +19,15 @@ n_lines and n_removed replace columns of those names. A text of which every line
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 
 from millrace.llm.scratch import stage
 from millrace.llm.spans import Rule, later_places, places, repeated, without
 
 RULE = Rule(units=1, chars=160, long_chars=160, most=8)
+EXTENDED = replace(RULE, both_ways=True)
 
 
 def lines(text: str) -> list[str]:

@@ -63,6 +63,10 @@ def line_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def extended_line_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), line_dedup.EXTENDED)
+
+
 QUERIES = {
     "op1_substring_dedup": span_query,
     "op2_decontamination": decontaminate_query,
@@ -74,6 +78,7 @@ QUERIES = {
     "op8_token_files": token_query,
     "op9_byte_bpe": bpe_query,
     "op10_line_dedup": line_query,
+    "op10_line_dedup_extended": extended_line_query,
 }
 
 _OP2 = r"""
@@ -129,6 +134,10 @@ _SUM = "list_sum(size[i : i + t - 1])"
 _OP1 = _RUNS.format(units=r"regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?\n]*\s*|[.!?\n]+\s*')", most=12, ok=f"(t >= 3 AND {_SUM} >= 100) OR {_SUM} >= 200 OR t = 12", glue="''", name="n_sentences")
 _OP10 = _RUNS.format(units="string_split(coalesce(text, ''), chr(10))", most=8, ok=f"{_SUM} >= 160 OR t = 8", glue="chr(10)", name="n_lines")
 
+#: The same with every accepted run of up to {most} units, not only the shortest from each: what matches carried to both ends delete.
+_ALL_RUNS = _RUNS.replace("list_filter(range(1, {most} + 1), lambda t: i + t <= n + 1 AND ({ok}))[1] AS e", "unnest(list_filter(range(1, {most} + 1), lambda t: i + t <= n + 1 AND ({ok}))) AS e")
+_OP10_EXTENDED = _ALL_RUNS.format(units="string_split(coalesce(text, ''), chr(10))", most=8, ok=f"{_SUM} >= 160 OR t = 8", glue="chr(10)", name="n_lines")
+
 _OP6 = r"""
 WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
 w AS (SELECT doc_id, i, md5(substr(x, 2 * i - 1, 400)) AS m FROM (SELECT doc_id, x, unnest(range(1, length(x) // 2 - 198)) AS i FROM h WHERE length(x) >= 400)),
@@ -141,4 +150,4 @@ SELECT h.doc_id, cast(length(x) // 2 AS BIGINT) AS n_bytes, cast(coalesce(n_remo
 FROM h LEFT JOIN k USING (doc_id)
 """
 
-SQL = {"op1_substring_dedup": _OP1, "op2_decontamination": _OP2, "op4_url_filters": _OP4, "op5_exact_dedup": _OP5, "op6_suffix_array_dedup": _OP6, "op10_line_dedup": _OP10}
+SQL = {"op1_substring_dedup": _OP1, "op2_decontamination": _OP2, "op4_url_filters": _OP4, "op5_exact_dedup": _OP5, "op6_suffix_array_dedup": _OP6, "op10_line_dedup": _OP10, "op10_line_dedup_extended": _OP10_EXTENDED}

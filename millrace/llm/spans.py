@@ -2,6 +2,10 @@
 
 From each unit starts one window: the shortest run of units that a rule accepts. The window's content decides
 where it ends, so equal stretches of text have equal windows. A window occurs again if its 128-bit hash does.
+
+A rule that looks both ways has a second window for each unit, the shortest accepted run that ends at it. A run
+that a rule accepts stays accepted when it grows. So the first window of an accepted run, those after it that end
+inside, and the one that ends with the run cover it wholly, and what is found does not depend on the text around.
 """
 
 from __future__ import annotations
@@ -24,12 +28,16 @@ _LAST = (1 << 63) - 1
 
 @dataclass(frozen=True)
 class Rule:
-    """Accepts a run of n units with c characters if n >= units and c >= chars, or c >= long_chars, or n == most."""
+    """Accepts a run of n units with c characters if n >= units and c >= chars, or c >= long_chars, or n == most.
+
+    both_ways adds the windows that end at each unit to those that start at it.
+    """
 
     units: int
     chars: int
     long_chars: int
     most: int
+    both_ways: bool = False
 
 
 def _window_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray, k: int) -> np.ndarray:
@@ -44,6 +52,10 @@ def _window_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray, k: int) -> n
     return (out ^ (out >> np.uint64(31))) * _MIX[1 - k] + (end - start).astype(np.uint64)
 
 
+def _accepted(rule: Rule, t: int, c: np.ndarray) -> np.ndarray:
+    return ((t >= rule.units) & (c >= rule.chars)) | (c >= rule.long_chars) | (t == rule.most)
+
+
 def windows(units: list[list[str]], rule: Rule) -> dict[str, np.ndarray]:
     """Of several texts' units: doc (index of the text), at, size, h1, h2, again (the text has it before), fp (least unit hash)."""
     sizes = np.array([len(x) for x in units], np.int64)
@@ -52,15 +64,22 @@ def windows(units: list[list[str]], rule: Rule) -> dict[str, np.ndarray]:
     h = np.fromiter((xxhash.xxh3_64_intdigest(u) for u in flat), np.uint64, n)
     chars = np.concatenate(([0], np.cumsum(np.fromiter(map(len, flat), np.int64, n))))
     limit, first = np.repeat(np.cumsum(sizes), sizes), np.repeat(np.cumsum(sizes) - sizes, sizes)
-    start, end = np.arange(n), np.zeros(n, np.int64)
+    start, end, last, begin = np.arange(n), np.zeros(n, np.int64), np.arange(1, n + 1), np.full(n, -1)
     for t in range(1, rule.most + 1):
         stop = np.minimum(start + t, n)
-        c = chars[stop] - chars[start]
-        ok = (end == 0) & (start + t <= limit) & (((t >= rule.units) & (c >= rule.chars)) | (c >= rule.long_chars) | (t == rule.most))
+        ok = (end == 0) & (start + t <= limit) & _accepted(rule, t, chars[stop] - chars[start])
         end[ok] = stop[ok]
-    doc = np.repeat(np.arange(len(units)), sizes)
+        if rule.both_ways:
+            low = np.maximum(last - t, 0)
+            ok = (begin < 0) & (last - t >= first) & _accepted(rule, t, chars[last] - chars[low])
+            begin[ok] = low[ok]
+    # a run that is the window from its first unit is not listed again as the one to its last
+    back = np.flatnonzero((begin >= 0) & (end[begin] != last))
     at = np.flatnonzero(end)
-    doc, start, end = doc[at], start[at], end[at]
+    doc = np.repeat(np.arange(len(units)), sizes)
+    start, end = np.concatenate((at, begin[back])), np.concatenate((end[at], last[back]))
+    at = start
+    doc = doc[at]
     h1, h2 = (_window_hash(h, start, end, k) for k in (0, 1))
     fp = h[start] if n else h
     for t in range(1, rule.most):

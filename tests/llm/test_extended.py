@@ -1,0 +1,67 @@
+"""Runs carried to both ends: every line or sentence of an accepted run that occurs earlier goes, its tail included."""
+
+from collections import Counter
+
+import duckdb
+import pytest
+from test_dedup import SCHEMA, as_bag, corpus
+
+from millrace.llm import line_dedup, queries
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return corpus()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, "x", 1, 2, "r", "p", 3, 4, 5, None) for i, t in rows], SCHEMA).repartition(3)
+
+
+def every_accepted_run(rows, split, rule, glue):
+    """All accepted runs of up to `most` units, not one for each unit, over all documents in order of doc_id."""
+    units = [(i if i is not None else 1 << 62, t, split(t or "")) for i, t in rows]
+
+    def runs(u):
+        x = [y.strip() for y in u]
+        for s in range(len(x)):
+            for e in range(s + 1, min(len(x), s + rule.most) + 1):
+                chars = sum(map(len, x[s:e]))
+                if (e - s >= rule.units and chars >= rule.chars) or chars >= rule.long_chars or e - s == rule.most:
+                    yield s, tuple(x[s:e])
+
+    first = {}
+    for i, _, u in units:
+        for _, w in runs(u):
+            first[w] = min(first.get(w, i), i)
+    out = Counter()
+    for (doc_id, t), (i, _, u) in zip(rows, units, strict=True):
+        gone, before = set(), set()
+        for s, w in runs(u):
+            if w in before or first[w] < i:
+                gone |= set(range(s, s + len(w)))
+            before.add(w)
+        out[(doc_id, glue.join(x for k, x in enumerate(u) if k not in gone) if gone else t, len(u), len(gone))] += 1
+    return out
+
+
+def same_as_sql(spark, sf, name):
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    cursor = db.execute(queries.SQL[name])
+    columns = [c[0] for c in cursor.description]
+    return as_bag(queries.QUERIES[name](spark, sf), *columns) == Counter(cursor.fetchall())
+
+
+def test_extended_lines(spark, sf, docs, rows):
+    got = as_bag(line_dedup.remove_repeated_lines(docs, line_dedup.EXTENDED), "doc_id", "text", "n_lines", "n_removed")
+    assert got == every_accepted_run(rows, line_dedup.lines, line_dedup.RULE, "\n")
+    assert same_as_sql(spark, sf, "op10_line_dedup_extended")
+
+
+def test_tail_of_a_repeated_run_of_lines_goes(spark):
+    run = "\n".join(["first " * 30, "second", "third"])
+    docs = spark.createDataFrame([(1, f"before\n{run}\nafter"), (2, f"other\n{run}\nend"), (3, run)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.remove_repeated_lines(docs, line_dedup.EXTENDED).collect()}
+    assert got == {1: f"before\n{run}\nafter", 2: "other\nend", 3: ""}
