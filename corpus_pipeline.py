@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import bpe, decontaminate, jaccard_join, line_dedup, quality
 from millrace.llm.scratch import stage
+from millrace.llm.spans import Rule
 
 
 def _columns(docs: DataFrame, new: DataFrame) -> DataFrame:
@@ -30,13 +31,25 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.classify(docs).filter("keep").select(*docs.columns)
 
 
-def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of runs of lines go; a document of which nothing but white space is left goes too."""
+def _without_repeated_lines(spark: SparkSession, docs: DataFrame, rule: Rule) -> DataFrame:
     _text_batches(spark)
-    cleaned = _columns(docs, line_dedup.remove_repeated_lines(docs))
+    cleaned = _columns(docs, line_dedup.remove_repeated_lines(docs, rule))
     return cleaned.filter(F.col("text").rlike(r"\S"))
 
 
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later repeats of runs of lines go; a document of which nothing but white space is left goes too.
+
+    The rule looks forward alone, so an exact copy with short last lines stays as those lines.
+    """
+    return _without_repeated_lines(spark, docs, line_dedup.RULE)
+
+
+def extended_line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As line_stage, with matches carried to both ends: nothing is left of an exact copy of 160 characters or 8 lines."""
+    return _without_repeated_lines(spark, docs, line_dedup.EXTENDED)
+
+
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays, that with the least doc_id."""
     _text_batches(spark)
@@ -67,12 +80,23 @@ STAGES = [
     ("tokens", token_stage),
 ]
 
+#: The same stages with the extended rule for lines.
+EXTENDED_STAGES = [(name, extended_line_stage if f is line_stage else f) for name, f in STAGES]
+
 #: EM, training and MinHash have no SQL form; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _run(spark: SparkSession, sf_dir: str, stages: list) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, f in STAGES[:-1]:
+    for name, f in stages[:-1]:
         docs = stage(f(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return stages[-1][1](spark, docs, sf_dir)
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir, STAGES)
+
+
+def run_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir, EXTENDED_STAGES)

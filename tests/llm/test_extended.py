@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from test_dedup import SCHEMA, as_bag, corpus
 
-from millrace.llm import line_dedup, queries
+from millrace.llm import line_dedup, queries, scratch
 
 
 @pytest.fixture(scope="module")
@@ -65,3 +65,14 @@ def test_tail_of_a_repeated_run_of_lines_goes(spark):
     docs = spark.createDataFrame([(1, f"before\n{run}\nafter"), (2, f"other\n{run}\nend"), (3, run)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in line_dedup.remove_repeated_lines(docs, line_dedup.EXTENDED).collect()}
     assert got == {1: f"before\n{run}\nafter", 2: "other\nend", 3: ""}
+
+
+def test_pipeline_leaves_one_document_of_an_exact_copy(spark):
+    import corpus_pipeline
+
+    text = "\n".join(["a first line of many words that differ from one another " + " ".join(f"w{k}" for k in range(40)), "a short end"])
+    rows = spark.createDataFrame([(1, text, "en", "s", len(text)), (2, text, "en", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long")
+    steps = dict(corpus_pipeline.EXTENDED_STAGES)
+    for name in ("lines", "near_duplicates"):
+        rows = scratch.stage(steps[name](spark, rows, ""), name)
+    assert [(r.doc_id, r.text) for r in rows.collect()] == [(1, text)]
