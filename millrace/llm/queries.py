@@ -63,6 +63,10 @@ def line_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def extended_span_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_dedup.remove_repeated_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"), span_dedup.EXTENDED)
+
+
 def extended_line_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), line_dedup.EXTENDED)
 
@@ -79,6 +83,7 @@ QUERIES = {
     "op9_byte_bpe": bpe_query,
     "op10_line_dedup": line_query,
     "op10_line_dedup_extended": extended_line_query,
+    "op1_substring_dedup_extended": extended_span_query,
 }
 
 _OP2 = r"""
@@ -136,6 +141,7 @@ _OP10 = _RUNS.format(units="string_split(coalesce(text, ''), chr(10))", most=8,
 
 #: The same with every accepted run of up to {most} units, not only the shortest from each: what matches carried to both ends delete.
 _ALL_RUNS = _RUNS.replace("list_filter(range(1, {most} + 1), lambda t: i + t <= n + 1 AND ({ok}))[1] AS e", "unnest(list_filter(range(1, {most} + 1), lambda t: i + t <= n + 1 AND ({ok}))) AS e")
+_OP1_EXTENDED = _ALL_RUNS.format(units=r"regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?\n]*\s*|[.!?\n]+\s*')", most=12, ok=f"(t >= 3 AND {_SUM} >= 100) OR {_SUM} >= 200 OR t = 12", glue="''", name="n_sentences")
 _OP10_EXTENDED = _ALL_RUNS.format(units="string_split(coalesce(text, ''), chr(10))", most=8, ok=f"{_SUM} >= 160 OR t = 8", glue="chr(10)", name="n_lines")
 
 _OP6 = r"""
@@ -150,4 +156,4 @@ SELECT h.doc_id, cast(length(x) // 2 AS BIGINT) AS n_bytes, cast(coalesce(n_remo
 FROM h LEFT JOIN k USING (doc_id)
 """
 
-SQL = {"op1_substring_dedup": _OP1, "op2_decontamination": _OP2, "op4_url_filters": _OP4, "op5_exact_dedup": _OP5, "op6_suffix_array_dedup": _OP6, "op10_line_dedup": _OP10, "op10_line_dedup_extended": _OP10_EXTENDED}
+SQL = {"op1_substring_dedup": _OP1, "op2_decontamination": _OP2, "op4_url_filters": _OP4, "op5_exact_dedup": _OP5, "op6_suffix_array_dedup": _OP6, "op10_line_dedup": _OP10, "op10_line_dedup_extended": _OP10_EXTENDED, "op1_substring_dedup_extended": _OP1_EXTENDED}

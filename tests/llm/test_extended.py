@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from test_dedup import SCHEMA, as_bag, corpus
 
-from millrace.llm import line_dedup, queries, scratch
+from millrace.llm import line_dedup, queries, scratch, span_dedup
 
 
 @pytest.fixture(scope="module")
@@ -76,3 +76,16 @@ def test_pipeline_leaves_one_document_of_an_exact_copy(spark):
     for name in ("lines", "near_duplicates"):
         rows = scratch.stage(steps[name](spark, rows, ""), name)
     assert [(r.doc_id, r.text) for r in rows.collect()] == [(1, text)]
+
+
+def test_extended_spans(spark, sf, docs, rows):
+    got = as_bag(span_dedup.remove_repeated_spans(docs, span_dedup.EXTENDED), "doc_id", "text", "n_sentences", "n_removed")
+    assert got == every_accepted_run(rows, span_dedup.sentences, span_dedup.RULE, "")
+    assert same_as_sql(spark, sf, "op1_substring_dedup_extended")
+
+
+def test_tail_of_a_repeated_passage_goes(spark):
+    passage = "a" * 209 + ". " + "b" * 89 + ". " + "c" * 59 + ". "
+    docs = spark.createDataFrame([(1, f"One. {passage}Two."), (2, f"Three. {passage}Four.")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in span_dedup.remove_repeated_spans(docs, span_dedup.EXTENDED).collect()}
+    assert got == {1: f"One. {passage}Two.", 2: "Three. Four."}
