@@ -298,6 +298,16 @@ def null_matches_all_join(t: Tables) -> DataFrame:
     return keyed.select("c_custkey", "s_suppkey").unionByName(general.select("c_custkey", "s_suppkey"))
 
 
+@query("SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON s_nationkey = c_nationkey WHERE s_acctbal >= 0 UNION ALL SELECT c_custkey, s_suppkey FROM customer JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN nation sn ON cn.n_regionkey = sn.n_regionkey JOIN supplier ON s_nationkey = sn.n_nationkey WHERE s_acctbal < 0")
+def null_matches_all_join_region(t: Tables) -> DataFrame:
+    """As null_matches_all_join, for every customer: rules without a key join on the region of customer and supplier."""
+    rules = t.supplier.select("s_suppkey", "s_nationkey", "s_acctbal")
+    keyed = t.customer.join(rules.filter("s_acctbal >= 0"), F.col("c_nationkey") == F.col("s_nationkey"))
+    region = lambda k: F.broadcast(t.nation.select(F.col("n_nationkey").alias(k), "n_regionkey"))
+    general = t.customer.join(region("c_nationkey"), "c_nationkey").join(rules.filter("s_acctbal < 0").join(region("s_nationkey"), "s_nationkey"), "n_regionkey")
+    return keyed.select("c_custkey", "s_suppkey").unionByName(general.select("c_custkey", "s_suppkey"))
+
+
 @query("SELECT p_partkey, profile, p_size <= max_size AND p_retailprice <= max_price AS fits FROM part, (VALUES ('small', 10, 1000.0), ('medium', 25, 1500.0), ('large', 50, 1e9)) p(profile, max_size, max_price)")
 def profile_cross(t: Tables) -> DataFrame:
     profiles = F.broadcast(t.spark.createDataFrame([("small", 10, 1000.0), ("medium", 25, 1500.0), ("large", 50, 1e9)], "profile string, max_size int, max_price double"))
