@@ -3,7 +3,8 @@
 The rule is that of the byte-level BPE families: contractions ('s 't 're 've 'm 'll 'd), runs of letters, of
 digits and of other signs, each with one space before it, and runs of white space, of which the last character
 before other text stands apart. Boundaries follow from character classes and are found on arrays of code
-points; equal pre-tokens of a batch are then encoded once, and frequent ones once a worker.
+points; equal pre-tokens of a batch are then encoded once, and frequent ones once a worker. A hash proposes which
+pre-tokens are equal; their characters decide.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 
 #: The pattern that `starts` implements.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -94,6 +96,30 @@ def _hashes(cp: np.ndarray, at: np.ndarray) -> np.ndarray:
     return h * _MIX + (ends - at).astype(np.uint64)
 
 
+def _groups(cp: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal pre-tokens: one of each group, and the group of each.
+
+    Every pre-token is compared with its group's first one, character by character; one that differs from it
+    in spite of an equal hash is grouped anew among those that do.
+    """
+    n = np.append(at[1:], len(cp)) - at
+    kind, values = pd.factorize(_hashes(cp, at))
+    sample = np.empty(len(values), np.int64)
+    sample[kind[::-1]] = np.arange(len(at) - 1, -1, -1)
+    # the character that the group's first one has in the same place
+    source = np.repeat(at[sample][kind] - at, n)
+    source += np.arange(len(cp))
+    np.minimum(source, len(cp) - 1, out=source)
+    differs = n != n[sample][kind]
+    differs[np.searchsorted(at, np.flatnonzero(cp[source] != cp), "right") - 1] = True
+    own: dict[bytes, int] = {}
+    for k in np.flatnonzero(differs).tolist():
+        kind[k] = own.setdefault(cp[at[k] : at[k] + n[k]].tobytes(), len(sample))
+        if kind[k] == len(sample):
+            sample = np.append(sample, k)
+    return sample, kind
+
+
 #: A pre-token starts at a space that other text follows, so a long text can be cut there.
 _CUT = re.compile(r" (?=\S)")
 
@@ -126,7 +152,7 @@ class BatchEncoder:
         if not len(cp):
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
         at = starts(cp, texts_at)
-        _, sample, kind = np.unique(_hashes(cp, at), return_index=True, return_inverse=True)
+        sample, kind = _groups(cp, at)
         whole, ends = "".join(texts), np.append(at[1:], len(cp))
         tokens = [whole[a:b] for a, b in zip(at[sample].tolist(), ends[sample].tolist(), strict=True)]
         if len(self.known) > self.limit:

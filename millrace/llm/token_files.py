@@ -4,7 +4,8 @@ Documents are dealt by ranges of their id and sorted inside each range, so file
 k + 1. Ids are stored as array<int>, which ORC writes with integer run-length encoding; row indexes and a Bloom
 filter on the document id let a reader skip files, stripes and row groups. Stripes are read in parallel.
 
-Null and empty text become the end id alone. A null document id sorts first; rows of one document id are
+The string of an added token in a text becomes that token's id, as the library's plain call has it. Null and empty
+text become the end id alone. A null document id sorts first; rows of one document id are
 ordered by their text's hash, and identical rows stay as often as they occur. An empty table gives an empty
 folder with a schema. Other columns than document id and text are not written.
 """
@@ -14,6 +15,7 @@ from __future__ import annotations
 import codecs
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.pretokens import BatchEncoder, slices
+from millrace.llm.scratch import stage
 
 SCHEMA = "part int, doc_id long, tie long, ids array<int>"
 
@@ -38,23 +41,41 @@ def _byte_chars() -> str:
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str):
-    """Encodes lists of texts. Where the file asks for plain byte-level pre-tokens, equal pre-tokens are merged once."""
+    """Encodes lists of texts as the library does without special tokens: all ids in a row, and where each text's start.
+
+    Where the file asks for plain byte-level pre-tokens, equal pre-tokens are merged once. Texts that hold the string
+    of an added token (which the library finds before it looks for pre-tokens) are left to the library.
+    """
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
     spec = json.loads(t.to_str())
     pre = spec["pre_tokenizer"] or {}
     plain = pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]
-    if not plain or spec["normalizer"] or spec["model"]["type"] != "BPE":
 
-        def each(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            rows = [x.ids for x in t.encode_batch_fast(texts, add_special_tokens=False)]
-            return np.array([i for x in rows for i in x], np.int32), np.cumsum([0, *map(len, rows)])
+    def each(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        rows = [x.ids for x in t.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for x in rows for i in x], np.int32), np.cumsum([0, *map(len, rows)])
 
+    if not plain or spec["normalizer"] or spec["model"]["type"] != "BPE":
         return each
     merge, chars = t.model.tokenize, _byte_chars()
-    return BatchEncoder(lambda tokens: [[y.id for y in merge(codecs.charmap_decode(x.encode(), "strict", chars)[0])] for x in tokens])
+    batch = BatchEncoder(lambda tokens: [[y.id for y in merge(codecs.charmap_decode(x.encode(), "strict", chars)[0])] for x in tokens])
+    added = re.compile("|".join(re.escape(x["content"]) for x in spec["added_tokens"]) or r"(?!)")
+
+    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        special = [k for k, x in enumerate(texts) if added.search(x)]
+        if not special:
+            return batch(texts)
+        held = set(special)
+        ids, bounds = batch(["" if k in held else x for k, x in enumerate(texts)])
+        rows = np.split(ids, bounds[1:-1])
+        own, own_bounds = each([texts[k] for k in special])
+        for k, row in zip(special, np.split(own, own_bounds[1:-1]), strict=True):
+            rows[k] = row
+        return np.concatenate(rows), np.cumsum([0, *map(len, rows)])
+
+    return encode
 
 
 def _encoder(vocab: str, end_id: int):
@@ -104,8 +125,8 @@ def index(tokens: DataFrame) -> DataFrame:
     A range's running sum needs the range alone; what precedes it is the sum of the earlier ranges' totals, of
     which there are as many as files.
     """
-    rows = tokens.mapInArrow(_checked, "part int, doc_id long, tie long, n_tokens long, ids_crc32 long")
-    totals = tokens.groupBy("part").agg(F.sum(F.size("ids").cast("long")).alias("total"))
+    rows = stage(tokens.mapInArrow(_checked, "part int, doc_id long, tie long, n_tokens long, ids_crc32 long"), "token-index")
+    totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("part").orderBy("doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)

@@ -15,9 +15,18 @@ from millrace.llm import bpe, decontaminate, jaccard_join, line_dedup, pretokens
 TIKTOKEN, JSON = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
 
 
+def thue_morse(n):
+    """Two words on which every polynomial hash modulo a power of two agrees, and which differ in each letter."""
+    word = "".join("ab"[k.bit_count() % 2] for k in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
 def awkward_texts():
     rnd = random.Random(3)
     texts = ["", " ", "  a  b\n c", "it's 'some I'll\t\tfoo ", "<|endoftext|> x", "日本語 テスト😀  é", "a\x1cb \x1c c", "don't 've'll", "'", "'s", "x" * 5000, "1²٣ ½"]
+    a, b = thue_morse(1024)
+    c, d = thue_morse(2048)
+    texts += [a, b, f"{c} x {d}", "a<|endoftext|>b", "<|endoftext|>", " <|endoftext|> it's<|endoftext|>"]
     return texts + ["".join(rnd.choice("''ssstrevlmd  \n\t  aé1²٣.!😀\x1c\x85ll") for _ in range(rnd.randint(0, 30))) for _ in range(1500)]
 
 
@@ -54,6 +63,14 @@ def test_bpe_of_a_text_in_segments(monkeypatch):
     assert all((a == b).all() for a, b in zip(whole, cut, strict=True))
 
 
+def test_equal_hashes_do_not_make_pre_tokens_equal(monkeypatch):
+    texts = awkward_texts()
+    whole = bpe.Codec(TIKTOKEN, public_tokenizers.PATTERN).encode(texts)
+    monkeypatch.setattr(pretokens, "_hashes", lambda cp, at: np.zeros(len(at), np.uint64))
+    for a, b in zip(whole, bpe.Codec(TIKTOKEN, public_tokenizers.PATTERN).encode(texts), strict=True):
+        assert (a == b).all()
+
+
 def test_bpe_other_pattern():
     c, d = bpe.Codec(TIKTOKEN, public_tokenizers.PATTERN), bpe.Codec(TIKTOKEN, "(?:" + public_tokenizers.PATTERN + ")")
     texts = awkward_texts()[:300]
@@ -65,7 +82,6 @@ def test_token_files(spark, docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
     path = scratch.new_path(spark, "tokens")
     token_files.write_tokens(docs, path, JSON)
     rows = token_files.read_tokens(spark, path)
