@@ -1,5 +1,20 @@
-"""Intermediate tables of the operators here: see millrace.sources.shared."""
+"""What the operators here share: intermediate tables (see millrace.sources.shared) and how rows are told apart."""
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.sources.shared import new_path, root, stage
 
-__all__ = ["new_path", "root", "stage"]
+__all__ = ["LAST_ID", "doc_ids", "new_path", "root", "stage"]
+
+#: A null document id counts as this one, the largest.
+LAST_ID = (1 << 63) - 1
+
+
+def doc_ids(docs: DataFrame, name: str = "doc_id") -> Column:
+    """The document ids as longs, null as LAST_ID. Ids of other than integer types are refused before any work."""
+    kind = docs.schema[name].dataType
+    if not isinstance(kind, (T.IntegralType, T.NullType)):
+        raise TypeError(f"{name} must hold integers, not {kind.simpleString()}")
+    return F.coalesce(F.col(name).cast("long"), F.lit(LAST_ID))

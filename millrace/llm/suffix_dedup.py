@@ -5,18 +5,18 @@ another document, is removed; all occurrences go, overlaps count, and strings ar
 
 1. Each 200-byte window has an anchor: of the hashes of its 32-byte grams the least, the leftmost among equals.
    Equal windows have equal anchors at the same offset. The windows of one anchor and their bytes are a context.
-2. Anchors whose gram hash occurs once end there. If all contexts of a hash are equal, every window in them
-   occurs again.
-3. Different contexts of one hash go, one copy of each, into buckets of bounded size, and a suffix array of the
-   bucket tells which windows they share. It is built in two stages: the suffixes that are smaller than their
-   successors are sorted directly, the others are induced by scanning buckets of first bytes. Adjacent common
-   prefixes of 200 bytes or more are the repeats.
-4. A hash with more than HOT_CONTEXTS different contexts does not fit one task; its windows are compared as
-   rows by a 128-bit hash of their bytes.
+2. Windows whose anchor's hash occurs once end there: they have no equal.
+3. Contexts of one hash go into one bucket of bounded size, where a suffix array tells which windows they share.
+   Equal contexts (by a 128-bit hash of their bytes) go there as two copies, which stand for all of them.
+4. A hash with more than HOT_CONTEXTS different contexts is split by its windows: those whose 128-bit hash occurs
+   again go, as two copies, into buckets by that hash.
+5. The suffix array of a bucket is built in two stages: the suffixes that are smaller than their successors are
+   sorted directly, the others are induced by scanning buckets of first bytes. Adjacent common prefixes of 200 bytes
+   or more are the repeats; nothing is removed without one.
 
 Null text is the empty text, from which nothing is removed, as from any text of under 200 bytes. Repeated rows
-are separate documents: all their windows occur again. Rows are told apart by place in the table, so null and
-equal doc_ids are fine. Extra columns are ignored. An empty table gives no rows.
+are separate documents: all their windows occur again. Rows of one doc_id and text are told from
+others by a hash and get equal results; ids are integers, a null one counts as 2^63 - 1. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.scratch import stage
+from millrace.llm.scratch import doc_ids, stage
 
 LENGTH, GRAM = 200, 32
 GRAMS = LENGTH - GRAM + 1
@@ -37,7 +37,6 @@ HOT_CONTEXTS, BUCKET_BYTES = 5000, 2_000_000
 #: Keys of documents with repeats that are broadcast; with more, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 _BATCH_BYTES = 250_000
-_LAST = (1 << 63) - 1
 _BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 _BYTE = np.random.default_rng(8121).integers(1, 1 << 63, 256, dtype=np.uint64)
 
@@ -47,13 +46,14 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _keys() -> list[Column]:
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie")]
+def _keys(docs: DataFrame) -> list[Column]:
+    return [doc_ids(docs).alias("key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie")]
 
 
 def contexts(docs: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Of texts of LENGTH bytes or more: text's index, anchor's hash, context's hash, first window, anchor's place, number of windows."""
-    raw = np.frombuffer(b"".join(docs), np.uint8)
+    """Of texts of LENGTH bytes or more: text's index, anchor's hash, context's 128-bit hash in two, first window, anchor's place, number of windows."""
+    whole = b"".join(docs)
+    raw = np.frombuffer(whole, np.uint8)
     ends = np.cumsum([len(x) for x in docs])
     n = len(raw)
     up, down = np.full(n + 1, np.uint64(_BASE)), np.full(n + 1, np.uint64(pow(_BASE, -1, 1 << 64)))
@@ -74,13 +74,15 @@ def contexts(docs: list[bytes]) -> tuple[np.ndarray, ...]:
     first, count = valid[new], np.diff(np.append(new, len(valid)))
     p, d = p[new], d[new]
     last = first + count - 1 + LENGTH
-    whole = _mixed((total[last] - total[first]) * down[first] + (((p - first) << 8) | count).astype(np.uint64) * _MIX)
+    # equal bytes have equal anchors at equal offsets
+    digest = xxhash.xxh3_128_digest
+    strong = np.frombuffer(b"".join([digest(whole[a:b]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]), "<i8").reshape(-1, 2)
     begin = ends[d] - np.array([len(x) for x in docs])[d]
-    return d, grams[p].view(np.int64), whole.view(np.int64), first - begin, p - begin, count
+    return d, grams[p].view(np.int64), strong[:, 0], strong[:, 1], first - begin, p - begin, count
 
 
 def _anchors(docs: DataFrame) -> DataFrame:
-    """One row per context: anchor, context, key, tie, place (first window << 16 | anchor's offset << 8 | windows)."""
+    """One row per context: anchor, c1, c2, key, tie, place (first window << 8 | windows)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -93,12 +95,12 @@ def _anchors(docs: DataFrame) -> DataFrame:
                     index.append(k)
                     size += len(texts[k])
                     k += 1
-                d, anchor, context, first, p, count = contexts([texts[i] for i in index])
+                d, anchor, c1, c2, first, _, count = contexts([texts[i] for i in index])
                 row = np.array(index)[d]
-                yield pd.DataFrame({"anchor": anchor, "context": context, "key": keys[row], "tie": ties[row], "place": (first << 16) | ((p - first) << 8) | count})
+                yield pd.DataFrame({"anchor": anchor, "c1": c1, "c2": c2, "key": keys[row], "tie": ties[row], "place": (first << 8) | count})
 
-    source = docs.select(*_keys(), "text").filter(F.octet_length("text") >= LENGTH)
-    return source.mapInPandas(run, "anchor long, context long, key long, tie long, place long")
+    source = docs.select(*_keys(docs), "text").filter(F.octet_length("text") >= LENGTH)
+    return source.mapInPandas(run, "anchor long, c1 long, c2 long, key long, tie long, place long")
 
 
 def suffix_array(text: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -198,15 +200,21 @@ def _spans(flags: np.ndarray) -> list[int]:
 
 
 def _in_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.drop_duplicates(["anchor", "context"])
-    flags = shared_windows(pdf["bytes"].tolist(), pdf["windows"].tolist())
-    marks = [_spans(f | (n > 1)) for f, n in zip(flags, pdf["n"], strict=True)]
-    out = pd.DataFrame({"anchor": pdf["anchor"].array, "context": pdf["context"].array, "marks": pd.Series(marks, dtype=object).array})
+    """Marks of a bucket's contexts. The same rows of a table may give a context twice; it is taken once, and as two copies if it occurs again."""
+    pdf = pdf.drop_duplicates(["anchor", "c1", "c2"], ignore_index=True)
+    twice = np.flatnonzero(pdf["n"] > 1)
+    texts, counts = pdf["bytes"].tolist(), pdf["windows"].tolist()
+    flags = shared_windows(texts + [texts[k] for k in twice], counts + [counts[k] for k in twice])
+    marks = [_spans(x) for x in flags[: len(pdf)]]
+    out = pd.DataFrame({"anchor": pdf["anchor"].array, "c1": pdf["c1"].array, "c2": pdf["c2"].array, "marks": pd.Series(marks, dtype=object).array})
     return out[out["marks"].map(len) > 0]
 
 
+_CONTEXT = "anchor long, c1 long, c2 long"
+
+
 def _context_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Bytes of the contexts in wanted (key, tie, anchor, context, place, n, hot)."""
+    """Bytes of the contexts in wanted (key, tie, anchor, c1, c2, place, n, hot)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -214,32 +222,47 @@ def _context_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for text, found in zip(pdf["text"], pdf["found"], strict=True):
                 raw = text.encode()
                 for w in found:
-                    first, windows = w["place"] >> 16, w["place"] & 255
-                    rows.append((w["anchor"], w["context"], w["n"], w["hot"], windows, raw[first : first + windows - 1 + LENGTH]))
-            yield pd.DataFrame(rows, columns=["anchor", "context", "n", "hot", "windows", "bytes"])
+                    first, windows = w["place"] >> 8, w["place"] & 255
+                    rows.append((w["anchor"], w["c1"], w["c2"], w["n"], w["hot"], windows, raw[first : first + windows - 1 + LENGTH]))
+            yield pd.DataFrame(rows, columns=["anchor", "c1", "c2", "n", "hot", "windows", "bytes"])
 
-    lists = wanted.groupBy("key", "tie").agg(F.collect_list(F.struct("anchor", "context", "place", "n", "hot")).alias("found"))
-    return docs.join(lists, ["key", "tie"]).select("text", "found").mapInPandas(run, "anchor long, context long, n long, hot boolean, windows int, bytes binary")
+    lists = wanted.groupBy("key", "tie").agg(F.collect_list(F.struct("anchor", "c1", "c2", "place", "n", "hot")).alias("found"))
+    return docs.join(lists, ["key", "tie"]).select("text", "found").mapInPandas(run, f"{_CONTEXT}, n long, hot boolean, windows int, bytes binary")
 
 
-def _hot_marks(rows: DataFrame) -> DataFrame:
-    """Marks of hot anchors' contexts, from a count of equal windows over all of them."""
+def _single_windows(rows: DataFrame) -> DataFrame:
+    """The windows of contexts: h1, h2 (128-bit hash of the bytes), anchor, c1, c2, n, i (which window)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for a, c, n, windows, raw in zip(pdf["anchor"], pdf["context"], pdf["n"], pdf["windows"], pdf["bytes"], strict=True):
-                for i in range(windows):
-                    h = xxhash.xxh3_128_intdigest(raw[i : i + LENGTH])
-                    out.append((h >> 64, h & 0xFFFFFFFFFFFFFFFF, a, c, n, i))
-            out = pd.DataFrame(out, columns=["h1", "h2", "anchor", "context", "n", "i"])
-            yield out.assign(h1=out["h1"].astype("uint64").astype("int64"), h2=out["h2"].astype("uint64").astype("int64"))
-
-    windows = stage(rows.mapInPandas(run, "h1 long, h2 long, anchor long, context long, n long, i int"), "hot-windows")
-    repeated = windows.groupBy("h1", "h2").agg(F.sum("n").alias("total")).filter("total > 1").select("h1", "h2")
+            digests = [xxhash.xxh3_128_digest(raw[i : i + LENGTH]) for n, raw in zip(pdf["windows"], pdf["bytes"], strict=True) for i in range(n)]
+            strong = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            times = pdf["windows"].to_numpy()
+            out = pdf[["anchor", "c1", "c2", "n"]].loc[pdf.index.repeat(times)]
+            yield out.assign(h1=strong[:, 0], h2=strong[:, 1], i=np.concatenate([np.arange(k) for k in times] or [[]]).astype(int))
+
+    return rows.mapInPandas(run, f"{_CONTEXT}, n long, h1 long, h2 long, i int")
+
+
+def _hot_marks(rows: DataFrame) -> DataFrame:
+    """Marks of hot anchors' contexts, from suffix arrays of those windows that occur again."""
+    windows = stage(_single_windows(rows.select("anchor", "c1", "c2", "n", "windows", "bytes")), "hot-windows")
+    again = windows.groupBy("h1", "h2").agg(F.sum("n").alias("total"), F.min(F.struct("anchor", "c1", "c2", "i")).alias("at")).filter("total > 1")
+    again = stage(again.select("h1", "h2", "at.*"), "hot-repeats")
+    # the bytes of one occurrence; its hash takes the place of the context
+    places = again.groupBy("anchor", "c1", "c2").agg(F.collect_list(F.struct("i", "h1", "h2")).alias("found"))  # a context has at most GRAMS windows
+    one = rows.join(places, ["anchor", "c1", "c2"]).select("anchor", F.explode("found").alias("f"), "bytes")
+    one = one.select("anchor", F.col("f.h1").alias("c1"), F.col("f.h2").alias("c2"), F.lit(2).cast("long").alias("n"), F.lit(1).alias("windows"), F.substring(F.col("bytes"), F.col("f.i") + 1, F.lit(LENGTH)).alias("bytes"))
+    repeated = _bucket_marks(one, ["c1", "c2"]).select(F.col("c1").alias("h1"), F.col("c2").alias("h2"))
     found = windows.join(repeated, ["h1", "h2"], "left_semi")
-    # a context has at most GRAMS windows
-    return found.groupBy("anchor", "context").agg(F.collect_list((F.shiftleft(F.col("i").cast("long"), 8).bitwiseOR(F.lit(1)))).alias("marks"))
+    return found.groupBy("anchor", "c1", "c2").agg(F.collect_list(F.shiftleft(F.col("i").cast("long"), 8).bitwiseOR(F.lit(1))).alias("marks"))
+
+
+def _bucket_marks(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Marks of contexts (anchor, c1, c2, n, windows, bytes), those with equal `by` in one bucket."""
+    size = rows.agg(F.sum(F.length("bytes") * F.when(F.col("n") > 1, 2).otherwise(1))).first()[0] or 0
+    bucket = F.pmod(F.xxhash64(*by), F.lit(size // BUCKET_BYTES + 1)).alias("bucket")
+    return rows.select(bucket, "anchor", "c1", "c2", "n", "windows", "bytes").groupBy("bucket").applyInPandas(_in_bucket, f"{_CONTEXT}, marks array<long>")
 
 
 def _cut(text: str | None, spans) -> tuple[int, int, int, bytes]:
@@ -256,32 +279,24 @@ def _cut(text: str | None, spans) -> tuple[int, int, int, bytes]:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (binary, the remaining bytes)."""
-    source = docs.select("doc_id", *_keys(), "text")
-    anchors = _anchors(docs)
-    often = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("low"), F.max("context").alias("high"))
-    often = stage(often.filter("n > 1").select("anchor", (F.col("low") < F.col("high")).alias("mixed")), "anchors")
-    found = stage(anchors.join(often, "anchor"), "found")
-
-    mixed = found.filter("mixed")
-    kinds = stage(mixed.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.first("key").alias("key"), F.first("tie").alias("tie"), F.first("place").alias("place")), "contexts")
+    source = docs.select("doc_id", *_keys(docs), "text")
+    anchors = stage(_anchors(docs), "all-anchors")
+    often = stage(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("anchor"), "anchors")
+    found = stage(anchors.join(often, "anchor", "left_semi"), "found")
+    kinds = stage(found.groupBy("anchor", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.first("key").alias("key"), F.first("tie").alias("tie"), F.first("place").alias("place")), "contexts")
     hot = kinds.groupBy("anchor").count().select("anchor", (F.col("count") > HOT_CONTEXTS).alias("hot"))
     keys = stage(found.select("key", "tie").distinct(), "keys")
     small = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     touched = stage(source.join(F.broadcast(keys) if small else keys, ["key", "tie"], "left_semi"), "texts")
 
-    # equal rows give a context twice; what follows takes it once
     rows = stage(_context_bytes(touched.select("key", "tie", "text"), kinds.join(hot, "anchor")), "context-bytes")
-    size = rows.agg(F.sum(F.length("bytes"))).first()[0] or 0
-    bucket = F.pmod(F.xxhash64("anchor"), F.lit(size // BUCKET_BYTES + 1)).alias("bucket")
-    marks = rows.filter("not hot").select(bucket, "anchor", "context", "n", "windows", "bytes").groupBy("bucket").applyInPandas(_in_bucket, "anchor long, context long, marks array<long>")
-    marks = stage(marks.union(_hot_marks(rows.filter("hot").dropDuplicates(["anchor", "context"]))), "marks")
-
-    first, windows = F.shiftright("place", 16), F.col("place").bitwiseAND(F.lit(255))
-    span = lambda start, n: F.shiftleft(start, 16).bitwiseOR(n + (LENGTH - 1))
-    whole = found.filter("not mixed").select("key", "tie", span(first, windows).alias("span"))
-    part = mixed.join(marks, ["anchor", "context"]).select("key", "tie", first.alias("first"), F.explode("marks").alias("m"))
-    part = part.select("key", "tie", span(F.col("first") + F.shiftright("m", 8), F.col("m").bitwiseAND(F.lit(255))).alias("span"))
-    spans = whole.union(part).groupBy("key", "tie").agg(F.collect_set("span").alias("spans"))
+    marks = _bucket_marks(rows.filter("not hot"), ["anchor"]).union(_hot_marks(rows.filter("hot").dropDuplicates(["anchor", "c1", "c2"])))
+    marks = stage(marks, "marks")
+
+    first = F.shiftright("place", 8)
+    spans = found.join(marks, ["anchor", "c1", "c2"]).select("key", "tie", first.alias("first"), F.explode("marks").alias("m"))
+    span = F.shiftleft(F.col("first") + F.shiftright("m", 8), 16).bitwiseOR(F.col("m").bitwiseAND(F.lit(255)) + (LENGTH - 1))
+    spans = spans.select("key", "tie", span.alias("span")).groupBy("key", "tie").agg(F.collect_set("span").alias("spans"))
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept binary")
     def cut(texts: pd.Series, all_spans: pd.Series) -> pd.DataFrame:
