@@ -22,7 +22,10 @@ def span_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, bench = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark")
     found = decontaminate.contamination(docs, bench)
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    digests = scratch.stage(found.item_sets.select("item_set", F.size("items").cast("long").alias("n"), F.sha2(F.array_join("items", ","), 256).alias("sha")), "item-digests")
+    few = digests.limit(decontaminate.BROADCAST_ROWS + 1).count() <= decontaminate.BROADCAST_ROWS
+    rows = found.documents.join(F.broadcast(digests) if few else digests, "item_set", "left")
+    return rows.select("doc_id", "n_words", "n_hit", F.coalesce("n", F.lit(0).cast("long")).alias("n_items"), F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("items_sha256"), "contaminated")
 
 
 def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:

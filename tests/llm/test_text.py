@@ -127,7 +127,7 @@ def brute_force_hits(docs, items):
     return out
 
 
-def test_contamination(spark):
+def test_contamination(spark, monkeypatch):
     rnd = random.Random(4)
     vocabulary = ["a", "b", "c", "dé", "7"]  # few words: many false fingerprints and ties
     text = lambda n: " ".join(rnd.choice(vocabulary) for _ in range(n))
@@ -135,19 +135,36 @@ def test_contamination(spark):
     docs = [(i, text(rnd.randint(0, 300))) for i in range(40)]
     docs += [(50, f"{text(20)} {items[0][1].upper()} {text(5)}"), (51, "the ZEBRA xylophone only"), (52, "same " * 40), (53, None), (54, ""), (None, items[1][1]), (50, items[0][1]), (50, items[0][1]), (55, text(20_000))]
     frame = spark.createDataFrame([(i, t, 1, "x") for i, t in docs], "doc_id long, text string, items int, w string").repartition(3)
-    out = decontaminate.contamination(frame, spark.createDataFrame(items, "item_id long, text string"))
-    got = Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in out.collect())
-    assert got == brute_force_hits(docs, items)
-    assert decontaminate.contamination(frame, spark.createDataFrame([], "item_id long, text string")).filter("contaminated").count() == 0
-    assert decontaminate.contamination(frame.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
-
-
-def test_contamination_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
-    passage = " ".join(f"w{i}" for i in range(30))
-    docs = spark.createDataFrame([(1, "x y " + passage[10:80]), (2, "nothing")], "doc_id long, text string")
-    out = decontaminate.contamination(docs, spark.createDataFrame([(9, passage)], "item_id long, text string")).collect()
-    assert {r.doc_id: r.contaminated for r in out} == {1: True, 2: False}
+    for rows in (500_000, 0):  # without broadcasts too
+        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows)
+        out = decontaminate.contamination(frame, spark.createDataFrame(items, "item_id long, text string"))
+        assert hits_of(out) == brute_force_hits(docs, items)
+        assert out.documents.columns[:5] == ["doc_id", "text", "items", "w", "n_words"]
+    inside = out.spans.groupBy("text_key", "item_set").agg(F.sum(F.col("to") - F.col("from")).alias("n")).groupBy("item_set").agg(F.sum("n").alias("n"))
+    counted = out.documents.filter("contaminated").select("doc_id", "text", "n_hit", "item_set").distinct().groupBy("item_set").agg(F.sum("n_hit").alias("n"))
+    assert Counter(inside.collect()) == Counter(counted.collect())
+    assert decontaminate.contamination(frame, spark.createDataFrame([], "item_id long, text string")).documents.filter("contaminated").count() == 0
+    assert decontaminate.contamination(frame.limit(0), spark.createDataFrame(items, "item_id long, text string")).documents.count() == 0
+
+
+def hits_of(found):
+    named = {r.item_set: tuple(r["items"]) for r in found.item_sets.collect()}
+    return Counter((r.doc_id, r.n_words, r.n_hit, named.get(r.item_set, ())) for r in found.documents.collect())
+
+
+def test_contamination_of_one_word_repeated(spark):
+    docs, items = [(1, "same " * 20_000), (2, "same " * 9), (3, "same " * 10)], [(1, "same " * 4_000)]
+    out = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert hits_of(out) == brute_force_hits(docs, items)
+
+
+def test_contamination_by_a_phrase_of_many_items(spark):
+    phrase = "one two three four five six seven eight nine ten"
+    docs = [(k, f"{k} {phrase if k % 3 else phrase[4:]} {k}") for k in range(150)]
+    items = [(k, f"{k} {k} {phrase} {k}") for k in range(3_000)]
+    out = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert hits_of(out) == brute_force_hits(docs, items)
+    assert out.item_sets.count() <= 150
 
 
 def test_url_rules(spark):
