@@ -60,7 +60,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Documents that hold a window of a benchmark item go."""
     _text_batches(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.contamination(docs, benchmark).filter("not contaminated").select(*docs.columns)
+    return decontaminate.contamination(docs, benchmark).documents.filter("not contaminated").select(*docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
