@@ -5,15 +5,18 @@ hash of each 5 consecutive words, or of all its words if it has 1 to 4. Two text
 similarity of their sets is 0.8 or more.
 
 1. Texts with equal sets are one class member; only the member goes on, with its number of rows.
-2. Candidates share one of 32 bands of 4 MinHash values. A pair at 0.8 shares none with probability 5e-8.
-3. Members that candidates connect are compared in blocks of bounded size, each pair of blocks in one task.
+2. Candidates are the pairs in a bucket, that is with equal values in one of 32 bands of 4 MinHash values. A pair at
+   0.8 is in none with probability 5e-8. A pair belongs to the first bucket that it shares, and a bucket whose
+   members all share one earlier bucket is left out.
+3. A bucket of many shingles is split into blocks of bounded size; each pair of blocks is one unit of work. So a task's
+   size is bounded, and a member is copied once per bucket (of 32 at most) and block of it, whatever its component.
    MinHash values are compared 16 at a time; with m of n equal, the similarity's posterior is Beta(m + 1,
    n - m + 1) (uniform prior), and a pair is dropped when its mass from 0.8 on is below the tolerance of 1e-6.
 4. What is left is verified exactly on the sets. A task returns counts of links and, of the links' local
    components, one edge per member, never all pairs.
 
-A text without words is linked to nothing and is its own class. A null text has no words. A null doc_id counts
-as larger than any other. Repeated rows are members of one class with equal sets. Extra columns are ignored. An
+A text without words is linked to nothing and is its own class. A null text has no words. Ids are integers; a null one counts
+as 2^63 - 1, and a class_id of that value is shown as null. Repeated rows are members of one class with equal sets. Extra columns are ignored. An
 empty table gives no rows.
 """
 
@@ -24,19 +27,21 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.components import components
-from millrace.llm.scratch import stage
+from millrace.llm.scratch import LAST_ID, doc_ids, stage
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, BAND_ROWS, STEP, TOLERANCE = 32, 4, 16, 1e-6
 HASHES = BANDS * BAND_ROWS
-BLOCK_SHINGLES = 400_000
+BLOCK_SHINGLES, PACK_SHINGLES = 200_000, 1_000_000
+#: Words of more bytes are hashed one by one: a running sum would give some long words of two letters one hash.
+LONG_WORD = 64
 #: Keys of candidates that are broadcast; with more, the join shuffles.
 BROADCAST_ROWS = 1_000_000
-_LAST = (1 << 63) - 1
 
 _RANDOM = np.random.default_rng(20240607)
 _FACTOR = _RANDOM.integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
@@ -66,7 +71,10 @@ def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     up[0] = down[0] = 1
     up, down = np.cumprod(up), np.cumprod(down)
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * up[:-1])))
-    return _mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)), start
+    out = _mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    for k in np.flatnonzero(end - start > LONG_WORD).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(raw[start[k] : end[k]].tobytes())
+    return out, start
 
 
 def shingles(texts: list[str]) -> list[np.ndarray]:
@@ -161,7 +169,11 @@ def _linked(sets_a: list[np.ndarray], sets_b: list[np.ndarray], i: np.ndarray, j
             m[row[lo:hi], kind[lo:hi] - first] = 1
             counts += m[: len(na)] @ m[len(na) :].T
         common = counts[i, j].astype(np.int64)
-    return common >= THRESHOLD * (na[i] + nb[j] - common) - 1e-9
+    return _reaches(common, na[i] + nb[j] - common)
+
+
+def _reaches(common: np.ndarray, union: np.ndarray) -> np.ndarray:
+    return common >= THRESHOLD * union - 1e-9
 
 
 def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -177,35 +189,70 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links of one component's block, or between its two blocks x and y: member, root, links, texts."""
-    pdf = pdf.drop_duplicates("member").sort_values("member", ignore_index=True)
-    sets = [np.frombuffer(x, np.uint64) for x in pdf["grams"]]
-    sig = np.stack([np.frombuffer(x, np.uint32) for x in pdf["sig"]])
-    x = np.flatnonzero(pdf["block"] == pdf["x"])
-    y = x if pdf["x"].iloc[0] == pdf["y"].iloc[0] else np.flatnonzero(pdf["block"] == pdf["y"])
+def _within(sets: list[np.ndarray], sig: np.ndarray, prints: np.ndarray, k: int, x: np.ndarray, y: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs of the rows x, or between x and y, that share no bucket before band k."""
     found_i, found_j = [], []
-    for first in range(0, len(x), 256):  # 256 rows against all of y
-        rows = x[first : first + 256]
-        i, j = (v.ravel() for v in np.meshgrid(rows, y, indexing="ij"))
-        if y is x:
+    for first in range(0, len(x), 256):  # 256 rows against the others
+        i, j = (v.ravel() for v in np.meshgrid(x[first : first + 256], x if y is None else y, indexing="ij"))
+        if y is None:
             i, j = i[i < j], j[i < j]
-        i, j = _survivors(sig, sig, i, j)
+        i, j = _survivors(sig, sig, *_owned(prints, k, i, j))
         if len(i):
             ri, rj = np.unique(i), np.unique(j)
-            ok = _linked([sets[k] for k in ri], [sets[k] for k in rj], np.searchsorted(ri, i), np.searchsorted(rj, j))
+            ok = _linked([sets[r] for r in ri], [sets[r] for r in rj], np.searchsorted(ri, i), np.searchsorted(rj, j))
             found_i.append(i[ok])
             found_j.append(j[ok])
-    i, j = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (found_i, found_j))
-    weight = pdf["rows"].to_numpy(np.int64)
-    links, texts = (np.bincount(np.concatenate((i, j)), w, len(pdf)).astype(np.int64) for w in (np.concatenate((weight[j], weight[i])), np.ones(2 * len(i))))
-    member = pdf["member"].to_numpy(np.int64)
-    out = pd.DataFrame({"member": member, "root": member[_roots(len(pdf), i, j)], "links": links, "texts": texts})
+    return tuple(np.concatenate(v) if v else np.zeros(0, np.int64) for v in (found_i, found_j))
+
+
+def _owned(prints: np.ndarray, k, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs without an equal band before k (a number, or one for each pair)."""
+    earlier = np.arange(BANDS) < np.broadcast_to(k, len(i))[:, None]
+    keep = ~((prints[i] == prints[j]) & earlier).any(1)
+    return i[keep], j[keep]
+
+
+def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links of a pack of units (band, x, y), a block of a bucket with itself or with another: member, root, links, texts."""
+    pdf = pdf.drop_duplicates(["band", "x", "y", "member"]).sort_values(["band", "x", "y", "member"], ignore_index=True)
+    sets = [np.frombuffer(v, np.uint64) for v in pdf["grams"]]
+    sig = np.stack([np.frombuffer(v, np.uint32) for v in pdf["sig"]])
+    prints = bands(sig)
+    unit = pdf[["band", "x", "y"]].to_numpy()
+    start = np.flatnonzero(np.concatenate(([True], (unit[1:] != unit[:-1]).any(1))))
+    stop, k = np.append(start[1:], len(pdf)), pdf["k"].to_numpy()
+    small = (stop - start <= 64) & (unit[start, 1] == unit[start, 2])
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    # the pairs of all small units at once
+    pairs = [np.triu_indices(n, 1) for n in range(65)]
+    i, j = (np.concatenate([pairs[b - a][side] + a for a, b in zip(start[small], stop[small], strict=True)] or [np.zeros(0, np.int64)]) for side in (0, 1))
+    for first in range(0, len(i), 200_000):
+        pi, pj = i[first : first + 200_000], j[first : first + 200_000]
+        pi, pj = _survivors(sig, sig, *_owned(prints, k[pi], pi, pj))
+        common = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(pi, pj, strict=True)], np.int64)
+        total = np.array([len(sets[a]) + len(sets[b]) for a, b in zip(pi, pj, strict=True)], np.int64)
+        ok = _reaches(common, total - common)
+        found.append((pi[ok], pj[ok]))
+    block = pdf["block"].to_numpy()
+    for a, b in zip(start[~small], stop[~small], strict=True):
+        rows, (_, x, y) = np.arange(a, b), unit[a]
+        found.append(_within(sets, sig, prints, k[a], rows[block[a:b] == x], None if x == y else rows[block[a:b] == y]))
+    member, at = np.unique(pdf["member"].to_numpy(np.int64), return_inverse=True)
+    weight = np.zeros(len(member), np.int64)
+    weight[at] = pdf["rows"]
+    i, j = (at[np.concatenate([f[side] for f in found] or [np.zeros(0, np.int64)])] for side in (0, 1))
+    links, texts = (np.bincount(np.concatenate((i, j)), w, len(member)).astype(np.int64) for w in (np.concatenate((weight[j], weight[i])), np.ones(2 * len(i))))
+    out = pd.DataFrame({"member": member, "root": member[_roots(len(member), i, j)], "links": links, "texts": texts})
     return out[out["texts"] > 0]
 
 
-def _keys() -> list[Column]:
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie")]
+def _keys(docs: DataFrame) -> list[Column]:
+    return [doc_ids(docs).alias("key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie")]
+
+
+def _set_hashes(sets: list[np.ndarray]) -> np.ndarray:
+    """128 bits of each set, as two columns."""
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), "<i8").reshape(-1, 2)
 
 
 def _profile(docs: DataFrame) -> DataFrame:
@@ -221,16 +268,20 @@ def _profile(docs: DataFrame) -> DataFrame:
                 found: list = [None] * len(part)
                 for at, row in zip(full, bands(signature([sets[i] for i in full])) if len(full) else [], strict=True):
                     found[at] = row
-                s1 = np.array([int(x.sum(dtype=np.uint64)) if len(x) else 0 for x in sets], np.uint64)
-                s2 = np.array([int(_mixed(x * _MIX).sum(dtype=np.uint64)) if len(x) else 0 for x in sets], np.uint64)
-                yield pd.DataFrame({"row_id": part["row_id"].array, "key": part["key"].array, "tie": part["tie"].array, "s1": s1.view(np.int64), "s2": s2.view(np.int64), "n": n, "bands": pd.Series(found, dtype=object).array})
+                s = _set_hashes(sets)
+                yield pd.DataFrame({"row_id": part["row_id"].array, "key": part["key"].array, "tie": part["tie"].array, "s1": s[:, 0], "s2": s[:, 1], "n": n, "bands": pd.Series(found, dtype=object).array})
 
-    source = docs.select(F.monotonically_increasing_id().alias("row_id"), *_keys(), F.coalesce("text", F.lit("")).alias("text"))
+    source = docs.select(F.monotonically_increasing_id().alias("row_id"), *_keys(docs), F.coalesce("text", F.lit("")).alias("text"))
     return source.mapInPandas(run, "row_id long, key long, tie long, s1 long, s2 long, n long, bands array<long>")
 
 
+def _few(df: DataFrame) -> bool:
+    """Of rows of fixed width, or with lists of at most BANDS entries."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
 def _features(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """grams and sig of the members in wanted (key, tie, member, component, rows, blocks)."""
+    """grams and sig of the members in wanted (key, tie, member, rows, places)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -240,9 +291,22 @@ def _features(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 sig = signature(sets)
                 yield part.assign(grams=[x.tobytes() for x in sets], sig=[x.tobytes() for x in sig])
 
-    small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = docs.select(*_keys(), "text").join(F.broadcast(wanted) if small else wanted, ["key", "tie"])
-    return rows.select("member", "component", "rows", "blocks", "text").mapInPandas(run, "member long, component long, rows long, blocks int, grams binary, sig binary")
+    rows = docs.select(*_keys(docs), "text").join(F.broadcast(wanted) if _few(wanted) else wanted, ["key", "tie"])
+    places = "places array<struct<k:int,band:long,blocks:int>>"
+    return rows.select("member", "rows", "places", "text").mapInPandas(run, f"member long, rows long, {places}, grams binary, sig binary")
+
+
+def _placed(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """The buckets in which members have to be compared: member, k (the band), band (the bucket), blocks."""
+    buckets = rows.filter("n > 0").select("row_id", "bands").join(reps.select("row_id"), "row_id", "left_semi").select(F.col("row_id").alias("member"), F.posexplode("bands").alias("k", "band"))
+    shared = buckets.groupBy("band").agg(F.min("member").alias("first"), F.max("member").alias("last")).filter("first < last").select("band")
+    own = stage(buckets.join(shared, "band", "left_semi"), "shared-buckets")
+    leads = own.groupBy("member").agg(F.min_by("band", "k").alias("lead"))
+    own = own.join(leads, "member").join(reps.select(F.col("row_id").alias("member"), "n"), "member")
+    sizes = own.groupBy("band").agg(F.min("lead").alias("low"), F.max("lead").alias("high"), F.sum("n").alias("total"))
+    # all members share the bucket that is the first one of each of them: the pairs belong there
+    needed = sizes.filter("low <> high or low = band").select("band", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    return stage(own.join(needed, "band").select("member", "k", "band", "blocks", "n"), "placed")
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
@@ -258,19 +322,15 @@ def near_classes(docs: DataFrame) -> DataFrame:
     members = stage(rows.select("s1", "s2", "n", own, "row_id").groupBy("s1", "s2", "n", "own").agg(F.min("row_id").alias("member"), F.count(F.lit(1)).alias("rows")), "members")
     row_member = stage(rows.select("row_id", "key", "tie", "s1", "s2", "n", own).join(members, ["s1", "s2", "n", "own"]).select("row_id", "key", "tie", "n", "member", "rows"), "row-member")
     reps = row_member.filter("row_id = member")
-    buckets = rows.filter("n > 0").select("row_id", "bands").join(reps.select("row_id"), "row_id", "left_semi").select(F.col("row_id").alias("member"), F.explode("bands").alias("band"))
-    shared = buckets.groupBy("band").agg(F.min("member").alias("first"), F.max("member").alias("last")).filter("first < last").select("band", "first")
-    stars = buckets.join(shared, "band").filter("member > first").select(F.col("member").alias("a"), F.col("first").alias("b"))
-    candidates = components(stars)
-
-    sized = reps.join(candidates.withColumnRenamed("id", "member"), "member").select("member", "component", "key", "tie", "n", "rows")
-    totals = sized.groupBy("component").agg(F.sum("n").alias("total"))
-    blocks = F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("blocks")
-    wanted = stage(sized.join(totals.select("component", blocks), "component").select("key", "tie", "member", "component", "rows", "blocks"), "wanted")
-    block = F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int").alias("block")
-    placed = _features(docs, wanted).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
-    links = placed.groupBy("component", "x", "y").applyInPandas(_compare, "member long, root long, links long, texts long")
+    placed = _placed(rows, reps)
+    places = placed.groupBy("member").agg(F.collect_list(F.struct("k", "band", "blocks")).alias("places"))  # at most BANDS of them
+    wanted = stage(places.join(reps.select("member", "key", "tie", "rows"), "member"), "wanted")
+    packs = (placed.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0) // PACK_SHINGLES + 1
+
+    units = _features(docs, wanted).select("member", "rows", "grams", "sig", F.explode("places").alias("p")).select("member", "rows", "grams", "sig", "p.*")
+    units = units.withColumn("block", F.pmod(F.xxhash64("member", "k"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = units.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")).withColumn("pack", F.pmod(F.xxhash64("band", "x", "y"), F.lit(packs)))
+    links = units.select("pack", "member", "rows", "k", "band", "x", "y", "block", "grams", "sig").groupBy("pack").applyInPandas(_compare, "member long, root long, links long, texts long")
     links = stage(links, "links")
 
     degree = links.groupBy("member").agg(F.sum("links").alias("links"), F.sum("texts").alias("n_texts"))
@@ -279,15 +339,19 @@ def near_classes(docs: DataFrame) -> DataFrame:
     joined = stage(row_member.join(known, "member", "left").select("row_id", "key", "tie", "rows", F.coalesce("component", "member").alias("component"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("n_texts", F.lit(0)).alias("n_texts")), "classes")
     first = joined.groupBy("component").agg(F.min("key").alias("class_id"))
     head = joined.join(first, "component").filter("key = class_id").groupBy("component", "class_id").agg(F.min("row_id").alias("head"))
-    back = lambda c: F.when(F.col(c) != _LAST, F.col(c)).alias("doc_id" if c == "key" else c)
+    back = lambda c: F.when(F.col(c) != LAST_ID, F.col(c)).alias("doc_id" if c == "key" else c)
     return joined.join(head, "component").select(back("key"), "tie", back("class_id"), (F.col("links") + F.col("rows") - 1).alias("n_links"), "n_texts", (F.col("row_id") == F.col("head")).alias("kept"))
 
 
 def one_per_class(docs: DataFrame) -> DataFrame:
-    """The rows of docs without near duplicates: of each class the document with the least doc_id stays."""
-    kept = near_classes(docs).filter("kept").select(F.coalesce("doc_id", F.lit(_LAST)).alias("__key"), F.col("tie").alias("__tie"))
-    key, tie = (c.alias(f"__{n}") for c, n in zip(_keys(), ("key", "tie"), strict=True))
-    rows = docs.select("*", key, tie)
-    twice = Window.partitionBy("__key", "__tie").orderBy("__key")  # repeated rows meet in one class, and one of them stays
-    texts_rows = rows.join(kept.groupBy("__key", "__tie").agg(F.count(F.lit(1)).alias("__n")), ["__key", "__tie"])
-    return texts_rows.withColumn("__at", F.row_number().over(twice)).filter("__at <= __n").select(*docs.columns)
+    """The rows of docs without near duplicates: of each class the document with the least doc_id stays.
+
+    Of rows that share doc_id and text one stays at most.
+    """
+    classes = near_classes(docs).select(doc_ids(docs).alias("key"), "tie", "kept")
+    groups = stage(classes.groupBy("key", "tie").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept")).filter("not kept or n > 1"), "groups")
+    groups = F.broadcast(groups) if _few(groups) else groups
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), *_keys(docs))
+    alone = keyed.join(groups, ["key", "tie"], "left_anti")
+    one = keyed.join(groups.filter("kept"), ["key", "tie"], "left_semi").groupBy("key", "tie").agg(F.first("row").alias("row"))
+    return alone.select("row.*").union(one.select("row.*"))

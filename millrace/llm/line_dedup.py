@@ -1,43 +1,43 @@
 """Line dedup by winnowing over line hashes.
 
-A window is the shortest run of lines, from any line, with 160 characters or 8 lines (white space around lines
-does not count); EXTENDED also has the shortest such run that ends at any line. All but the first of equal windows,
-in order of doc_id and place, are later repeats, and the lines of these, joined to maximal runs, are deleted.
-
-RULE, which the SQL of op10_line_dedup states, looks forward alone: it leaves the tail of a repeated run, where the
-last lines hold under 160 characters and are under 8. EXTENDED carries each match to its ends before and after: a
-line is deleted exactly if it is part of a run of 160 characters or 8 lines that occurs earlier.
-
-The least line hash of each window is a fingerprint, so two documents that share a window share a fingerprint, at
-the same place in it. Windows whose fingerprint occurs once are put aside before contents are compared; that saves
-work and changes no result.
-
-Null text stays null. A null doc_id counts as larger than any other. Rows that share a doc_id are one document: a
-run is not repeated for occurring in two of them. Repeated rows get equal results. Extra columns pass through;
-n_lines and n_removed replace columns of those names. A text of which every line goes becomes the empty text.
+A window is a run of lines with 160 characters or 8 lines that has none such inside at its one end: from any line the
+shortest run that starts there, and the shortest that ends there (white space around lines does not count).
+
+1. The least line hash of a window, the first among equals, is its fingerprint. Each place that is one is kept once;
+   equal windows have equal fingerprints at the same place in them, so no shared window is missed.
+2. Places are joined by their fingerprints; a fingerprint with a single place has no match.
+3. The others are extended before and after the fingerprint to the windows that hold it, which match if these are
+   equal to both ends. Matches that overlap make up maximal runs.
+4. All but the first of equal windows, in order of doc_id and place, are later repeats; their lines are deleted. So a
+   line is deleted exactly if it is part of a run of 160 characters or 8 lines that occurs earlier.
+
+Null text stays null. Ids are integers; a null doc_id counts as 2^63 - 1, the largest. Rows that share a doc_id are one
+document: a run is not repeated for occurring in two of them. Repeated rows get equal results. Extra columns pass
+through; n_lines and n_removed replace columns of those names. A text of which every line goes becomes the empty text.
 """
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from millrace.llm.scratch import stage
 from millrace.llm.spans import Rule, later_places, places, repeated, without
 
 RULE = Rule(units=1, chars=160, long_chars=160, most=8)
-EXTENDED = replace(RULE, both_ways=True)
 
 
 def lines(text: str) -> list[str]:
     return text.split("\n")
 
 
+def matched(windows: DataFrame) -> DataFrame:
+    """Windows whose fingerprint has another place."""
+    shared = windows.filter("lead").groupBy("fp").agg(F.count(F.lit(1)).alias("places")).filter("places > 1").select("fp")
+    return windows.join(stage(shared, "fingerprints"), "fp", "left_semi")
+
+
 def remove_repeated_lines(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     """docs with the cleaned text, n_lines (before) and n_removed."""
-    all_windows = stage(places(docs, lines, rule), "windows")
-    often = stage(all_windows.groupBy("fp").count().filter("count > 1").select("fp"), "fingerprints")
-    anchored = all_windows.join(often, "fp", "left_semi")
-    later = later_places(anchored, repeated(anchored, "runs"))
-    return without(docs, later, lines, "\n", "lines")
+    candidates = stage(matched(stage(places(docs, lines, rule), "windows")), "candidates")
+    return without(docs, later_places(candidates, repeated(candidates, "runs")), lines, "\n", "lines")

@@ -66,14 +66,6 @@ def line_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-def extended_span_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return span_dedup.remove_repeated_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"), span_dedup.EXTENDED)
-
-
-def extended_line_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.remove_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), line_dedup.EXTENDED)
-
-
 QUERIES = {
     "op1_substring_dedup": span_query,
     "op2_decontamination": decontaminate_query,
@@ -85,8 +77,9 @@ QUERIES = {
     "op8_token_files": token_query,
     "op9_byte_bpe": bpe_query,
     "op10_line_dedup": line_query,
-    "op10_line_dedup_extended": extended_line_query,
-    "op1_substring_dedup_extended": extended_span_query,
+    # names of the first round for the rule that both now have
+    "op10_line_dedup_extended": line_query,
+    "op1_substring_dedup_extended": span_query,
 }
 
 _OP2 = r"""
@@ -124,12 +117,12 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM n
 """
 
-#: Windows of consecutive units as operators 1 and 10 define them; {units} makes a text's units, {ok} accepts t of them with c characters.
+#: Every accepted run of consecutive units (of up to {most}) that occurs earlier; {units} makes a text's units, {ok} accepts t of them.
 _RUNS = r"""
 WITH d AS (SELECT doc_id, text, {units} AS ls FROM documents),
 u AS (SELECT doc_id, list_transform(ls, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS us, len(ls) AS n FROM d),
 s AS (SELECT doc_id, us, n, list_transform(us, lambda x: length(x)) AS size, unnest(range(1, n + 1)) AS i FROM u),
-e AS (SELECT doc_id, us, i, list_filter(range(1, {most} + 1), lambda t: i + t <= n + 1 AND ({ok}))[1] AS e FROM s),
+e AS (SELECT doc_id, us, i, unnest(list_filter(range(1, {most} + 1), lambda t: i + t <= n + 1 AND ({ok}))) AS e FROM s),
 w AS (SELECT doc_id, i, e, array_to_string(us[i : i + e - 1], chr(1)) AS c FROM e WHERE e IS NOT NULL),
 later AS (SELECT doc_id, i, e FROM w QUALIFY doc_id > min(doc_id) OVER (PARTITION BY c) OR row_number() OVER (PARTITION BY c, doc_id ORDER BY i) > 1),
 gone AS (SELECT doc_id, list(DISTINCT k) AS ks FROM (SELECT doc_id, unnest(range(i, i + e)) AS k FROM later) GROUP BY 1)
@@ -142,11 +135,6 @@ _SUM = "list_sum(size[i : i + t - 1])"
 _OP1 = _RUNS.format(units=r"regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?\n]*\s*|[.!?\n]+\s*')", most=12, ok=f"(t >= 3 AND {_SUM} >= 100) OR {_SUM} >= 200 OR t = 12", glue="''", name="n_sentences")
 _OP10 = _RUNS.format(units="string_split(coalesce(text, ''), chr(10))", most=8, ok=f"{_SUM} >= 160 OR t = 8", glue="chr(10)", name="n_lines")
 
-#: The same with every accepted run of up to {most} units, not only the shortest from each: what matches carried to both ends delete.
-_ALL_RUNS = _RUNS.replace("list_filter(range(1, {most} + 1), lambda t: i + t <= n + 1 AND ({ok}))[1] AS e", "unnest(list_filter(range(1, {most} + 1), lambda t: i + t <= n + 1 AND ({ok}))) AS e")
-_OP1_EXTENDED = _ALL_RUNS.format(units=r"regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?\n]*\s*|[.!?\n]+\s*')", most=12, ok=f"(t >= 3 AND {_SUM} >= 100) OR {_SUM} >= 200 OR t = 12", glue="''", name="n_sentences")
-_OP10_EXTENDED = _ALL_RUNS.format(units="string_split(coalesce(text, ''), chr(10))", most=8, ok=f"{_SUM} >= 160 OR t = 8", glue="chr(10)", name="n_lines")
-
 _OP6 = r"""
 WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
 w AS (SELECT doc_id, i, md5(substr(x, 2 * i - 1, 400)) AS m FROM (SELECT doc_id, x, unnest(range(1, length(x) // 2 - 198)) AS i FROM h WHERE length(x) >= 400)),
@@ -159,4 +147,4 @@ SELECT h.doc_id, cast(length(x) // 2 AS BIGINT) AS n_bytes, cast(coalesce(n_remo
 FROM h LEFT JOIN k USING (doc_id)
 """
 
-SQL = {"op1_substring_dedup": _OP1, "op2_decontamination": _OP2, "op4_url_filters": _OP4, "op5_exact_dedup": _OP5, "op6_suffix_array_dedup": _OP6, "op10_line_dedup": _OP10, "op10_line_dedup_extended": _OP10_EXTENDED, "op1_substring_dedup_extended": _OP1_EXTENDED}
+SQL = {"op1_substring_dedup": _OP1, "op2_decontamination": _OP2, "op4_url_filters": _OP4, "op5_exact_dedup": _OP5, "op6_suffix_array_dedup": _OP6, "op10_line_dedup": _OP10, "op10_line_dedup_extended": _OP10, "op1_substring_dedup_extended": _OP1}

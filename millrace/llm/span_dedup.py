@@ -1,16 +1,14 @@
 """Substring dedup on sliding spans of sentences.
 
-A text is cut after '.', '!', '?' and line ends. Every span of consecutive sentences is hashed: from each
-sentence the shortest run with 3 sentences and 100 characters, or 200 characters, or 12 sentences (white space
-around sentences does not count). Spans are joined over all documents by their hash; every sentence covered by
-a span that is not the first of its kind, in order of doc_id and place, is removed.
-
-RULE, which the SQL of op1_substring_dedup states, leaves the last sentences of a repeated passage where no span
-from them ends inside it. EXTENDED also has the shortest such span that ends at each sentence: a sentence is removed
-exactly if it is part of an accepted run that occurs earlier. Shorter runs are not looked at by either.
-
-Null text stays null and has no sentences to remove; empty text likewise. A null doc_id counts as larger than
-any other. Rows that share a doc_id are one document: a span is not repeated for occurring in two of them.
+A text is cut after '.', '!', '?' and line ends. A span is a run of consecutive sentences that is long enough: 3
+sentences and 100 characters, or 200 characters (one long sentence may do), or 12 sentences; white space around
+sentences does not count. Of each sentence the shortest span from it and the shortest span to it are hashed; longer
+spans are unions of these. Spans are joined over all documents by their hash, and every sentence covered by a span
+that is not the first of its kind, in order of doc_id and place, is removed. So a sentence is removed exactly if it
+is part of a span that occurs earlier.
+
+Null text stays null and has no sentences to remove; empty text likewise. Ids are integers; a null doc_id
+counts as 2^63 - 1, the largest. Rows that share a doc_id are one document: a span is not repeated for occurring in two of them.
 Repeated rows get equal results. Extra columns pass through; n_sentences and n_removed replace columns of those
 names.
 """
@@ -18,14 +16,12 @@ names.
 from __future__ import annotations
 
 import re
-from dataclasses import replace
 
 from pyspark.sql import DataFrame
 
 from millrace.llm.spans import Rule, later_places, places, repeated, without
 
 RULE = Rule(units=3, chars=100, long_chars=200, most=12)
-EXTENDED = replace(RULE, both_ways=True)
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*\s*|[.!?\n]+\s*")
 
 

@@ -1,11 +1,10 @@
 """Runs of consecutive units (lines, sentences) that occur again, over arrays.
 
-From each unit starts one window: the shortest run of units that a rule accepts. The window's content decides
-where it ends, so equal stretches of text have equal windows. A window occurs again if its 128-bit hash does.
-
-A rule that looks both ways has a second window for each unit, the shortest accepted run that ends at it. A run
-that a rule accepts stays accepted when it grows. So the first window of an accepted run, those after it that end
-inside, and the one that ends with the run cover it wholly, and what is found does not depend on the text around.
+A rule accepts runs of units by their number and size; a run that it accepts stays accepted when it grows. For each
+unit there are two windows, the shortest accepted run that starts at it and the shortest that ends at it. A window
+occurs again if its 128-bit hash does. The first window of an accepted run, those after it that end inside, and the
+one that ends with the run cover it wholly, so a unit is covered by windows that occur earlier exactly if it is part of
+an accepted run that does, and what is found does not depend on the text around.
 """
 
 from __future__ import annotations
@@ -19,25 +18,24 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.scratch import stage
+from millrace.llm.scratch import doc_ids, stage
 
 _MIX = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 _BASE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_LAST = (1 << 63) - 1
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Accepts a run of n units with c characters if n >= units and c >= chars, or c >= long_chars, or n == most.
-
-    both_ways adds the windows that end at each unit to those that start at it.
-    """
+    """Accepts a run of n units with c characters if n >= units and c >= chars, or c >= long_chars, or n >= most."""
 
     units: int
     chars: int
     long_chars: int
     most: int
-    both_ways: bool = False
+
+    def __post_init__(self):
+        if not 0 < self.most < 32:
+            raise ValueError("a window has 1 to 31 units")
 
 
 def _window_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray, k: int) -> np.ndarray:
@@ -57,7 +55,10 @@ def _accepted(rule: Rule, t: int, c: np.ndarray) -> np.ndarray:
 
 
 def windows(units: list[list[str]], rule: Rule) -> dict[str, np.ndarray]:
-    """Of several texts' units: doc (index of the text), at, size, h1, h2, again (the text has it before), fp (least unit hash)."""
+    """Of several texts' units: doc (index of the text), at, size, h1, h2, again (the text has it before), fp, lead.
+
+    fp is the least unit hash of the window, its fingerprint; lead marks one window of each place that is one.
+    """
     sizes = np.array([len(x) for x in units], np.int64)
     flat = [u.strip() for x in units for u in x]
     n = len(flat)
@@ -69,40 +70,38 @@ def windows(units: list[list[str]], rule: Rule) -> dict[str, np.ndarray]:
         stop = np.minimum(start + t, n)
         ok = (end == 0) & (start + t <= limit) & _accepted(rule, t, chars[stop] - chars[start])
         end[ok] = stop[ok]
-        if rule.both_ways:
-            low = np.maximum(last - t, 0)
-            ok = (begin < 0) & (last - t >= first) & _accepted(rule, t, chars[last] - chars[low])
-            begin[ok] = low[ok]
+        low = np.maximum(last - t, 0)
+        ok = (begin < 0) & (last - t >= first) & _accepted(rule, t, chars[last] - chars[low])
+        begin[ok] = low[ok]
     # a run that is the window from its first unit is not listed again as the one to its last
     back = np.flatnonzero((begin >= 0) & (end[begin] != last))
     at = np.flatnonzero(end)
     doc = np.repeat(np.arange(len(units)), sizes)
     start, end = np.concatenate((at, begin[back])), np.concatenate((end[at], last[back]))
-    at = start
-    doc = doc[at]
+    doc = doc[start]
     h1, h2 = (_window_hash(h, start, end, k) for k in (0, 1))
-    fp = h[start] if n else h
+    pick = start.copy()
     for t in range(1, rule.most):
-        fp = np.where(start + t < end, np.minimum(fp, h[np.minimum(start + t, max(n - 1, 0))]), fp) if n else fp
+        inside = np.flatnonzero(start + t < end)
+        pick[inside] = np.where(h[start[inside] + t] < h[pick[inside]], start[inside] + t, pick[inside])
+    lead = np.zeros(len(start), bool)
+    lead[np.unique(pick, return_index=True)[1]] = True
     order = np.lexsort((start, h2, h1, doc))
-    again = np.zeros(len(at), bool)
-    if len(at):
+    again = np.zeros(len(start), bool)
+    if len(start):
         a, b = order[1:], order[:-1]
         again[a] = (doc[a] == doc[b]) & (h1[a] == h1[b]) & (h2[a] == h2[b])
-    return {"doc": doc, "at": start - first[at] if n else start, "size": end - start, "h1": h1.view(np.int64), "h2": h2.view(np.int64), "again": again, "fp": fp.view(np.int64)}
+    at = start - first[start] if n else start
+    return {"doc": doc, "at": at, "size": end - start, "h1": h1.view(np.int64), "h2": h2.view(np.int64), "again": again, "fp": h[pick].view(np.int64), "lead": lead}
 
 
-def _keys() -> list[Column]:
-    """doc_id, null as the largest, and 31 bits that tell rows with one doc_id apart."""
-    tie = F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 33)
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), tie.alias("tie")]
+def _keys(docs: DataFrame) -> list[Column]:
+    """doc_id, null as the largest, and 64 bits that tell rows with one doc_id apart."""
+    return [doc_ids(docs).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie")]
 
 
 def places(docs: DataFrame, split: Callable[[str], list[str]], rule: Rule) -> DataFrame:
-    """One row per window: h1, h2, fp, doc_id (null as the largest), place, again.
-
-    place holds 31 bits that tell rows with one doc_id apart, the window's first unit and its number of units.
-    """
+    """One row per window: h1, h2, fp, lead, doc_id, tie, place (the window's first unit and its number of units), again."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -112,14 +111,14 @@ def places(docs: DataFrame, split: Callable[[str], list[str]], rule: Rule) -> Da
                 w = windows([split(x) for x in texts], rule)
                 ids, ties = part["doc_id"].to_numpy(np.int64), part["tie"].to_numpy(np.int64)
                 doc = w.pop("doc")
-                yield pd.DataFrame({"h1": w["h1"], "h2": w["h2"], "fp": w["fp"], "doc_id": ids[doc], "place": (ties[doc] << 32) | (w["at"] << 5) | w["size"], "again": w["again"]})
+                yield pd.DataFrame({"h1": w["h1"], "h2": w["h2"], "fp": w["fp"], "lead": w["lead"], "doc_id": ids[doc], "tie": ties[doc], "place": (w["at"] << 5) | w["size"], "again": w["again"]})
 
-    source = docs.select(*_keys(), F.coalesce("text", F.lit("")).alias("text"))
-    return source.mapInPandas(run, "h1 long, h2 long, fp long, doc_id long, place long, again boolean")
+    source = docs.select(*_keys(docs), F.coalesce("text", F.lit("")).alias("text"))
+    return source.mapInPandas(run, "h1 long, h2 long, fp long, lead boolean, doc_id long, tie long, place long, again boolean")
 
 
 def without(docs: DataFrame, later: DataFrame, split: Callable[[str], list[str]], glue: str, prefix: str) -> DataFrame:
-    """docs with text without the units that windows of `later` (doc_id, place) cover; adds n_<prefix> and n_removed."""
+    """docs with text without the units that windows of `later` (doc_id, tie, place) cover; adds n_<prefix> and n_removed."""
     kept_type = f"text string, n_{prefix} long, n_removed long"
 
     @F.pandas_udf(kept_type)
@@ -137,9 +136,9 @@ def without(docs: DataFrame, later: DataFrame, split: Callable[[str], list[str]]
             rows.append((text if not gone.any() else glue.join(u for u, g in zip(units, gone, strict=True) if not g), len(units), int(gone.sum())))
         return pd.DataFrame(rows, columns=["text", f"n_{prefix}", "n_removed"])
 
-    later = later.groupBy("doc_id", F.shiftright("place", 32).alias("tie")).agg(F.collect_list(F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))).alias("places"))
+    later = later.groupBy("doc_id", "tie").agg(F.collect_set("place").alias("places"))  # at most two for each unit of the text
     own = [c for c in docs.columns if c not in {f"n_{prefix}", "n_removed"}]
-    left = docs.select(F.struct(*own).alias("row"), *_keys())
+    left = docs.select(F.struct(*own).alias("row"), *_keys(docs))
     joined = left.join(later, ["doc_id", "tie"], "left").select("row", cut(F.col("row.text"), F.col("places")).alias("new"))
     return joined.select(*[F.col(f"new.{c}") if c == "text" else F.col("row")[c].alias(c) for c in own], f"new.n_{prefix}", "new.n_removed")
 
@@ -151,5 +150,5 @@ def repeated(windows_: DataFrame, name: str) -> DataFrame:
 
 
 def later_places(windows_: DataFrame, groups: DataFrame) -> DataFrame:
-    """(doc_id, place) of windows that start before in the same document, or in a document with a smaller id."""
-    return windows_.join(groups, ["h1", "h2"], "left").filter("again or doc_id > first").select("doc_id", "place")
+    """(doc_id, tie, place) of windows that start before in the same document, or in a document with a smaller id."""
+    return windows_.join(groups, ["h1", "h2"], "left").filter("again or doc_id > first").select("doc_id", "tie", "place")

@@ -110,29 +110,27 @@ def test_remove_repeats(docs, rows, hot, monkeypatch):
     assert got == expected
 
 
-def brute_force_spans(rows, split, rule, glue):
-    """Windows by definition, over all documents in order of doc_id."""
+def every_accepted_run(rows, split, rule, glue):
+    """All accepted runs of up to `most` units, not one for each unit, over all documents in order of doc_id."""
     units = [(i if i is not None else 1 << 62, t, split(t or "")) for i, t in rows]
 
-    def window(u, s):
-        for e in range(s + 1, min(len(u), s + rule.most) + 1):
-            chars = sum(len(x.strip()) for x in u[s:e])
-            if (e - s >= rule.units and chars >= rule.chars) or chars >= rule.long_chars or e - s == rule.most:
-                return tuple(x.strip() for x in u[s:e])
-        return None
+    def runs(u):
+        x = [y.strip() for y in u]
+        for s in range(len(x)):
+            for e in range(s + 1, min(len(x), s + rule.most) + 1):
+                chars = sum(map(len, x[s:e]))
+                if (e - s >= rule.units and chars >= rule.chars) or chars >= rule.long_chars or e - s == rule.most:
+                    yield s, tuple(x[s:e])
 
     first = {}
     for i, _, u in units:
-        for s in range(len(u)):
-            w = window(u, s)
-            if w:
-                first[w] = min(first.get(w, i), i)
+        for _, w in runs(u):
+            first[w] = min(first.get(w, i), i)
     out = Counter()
     for (doc_id, t), (i, _, u) in zip(rows, units, strict=True):
         gone, before = set(), set()
-        for s in range(len(u)):
-            w = window(u, s)
-            if w and (w in before or first[w] < i):
+        for s, w in runs(u):
+            if w in before or first[w] < i:
                 gone |= set(range(s, s + len(w)))
             before.add(w)
         out[(doc_id, glue.join(x for k, x in enumerate(u) if k not in gone) if gone else t, len(u), len(gone))] += 1
@@ -141,12 +139,12 @@ def brute_force_spans(rows, split, rule, glue):
 
 def test_repeated_lines(docs, rows):
     got = as_bag(line_dedup.remove_repeated_lines(docs), "doc_id", "text", "n_lines", "n_removed")
-    assert got == brute_force_spans(rows, line_dedup.lines, line_dedup.RULE, "\n")
+    assert got == every_accepted_run(rows, line_dedup.lines, line_dedup.RULE, "\n")
 
 
 def test_repeated_spans(docs, rows):
     got = as_bag(span_dedup.remove_repeated_spans(docs), "doc_id", "text", "n_sentences", "n_removed")
-    assert got == brute_force_spans(rows, span_dedup.sentences, span_dedup.RULE, "")
+    assert got == every_accepted_run(rows, span_dedup.sentences, span_dedup.RULE, "")
 
 
 def test_shared_passage_stays_once(spark):
@@ -190,7 +188,7 @@ def near_truth(rows):
     return linked, group
 
 
-@pytest.mark.parametrize("block", [400_000, 150])
+@pytest.mark.parametrize("block", [200_000, 150])
 def test_near_classes(docs, rows, block, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", block)
     linked, group = near_truth(rows)
@@ -201,7 +199,46 @@ def test_near_classes(docs, rows, block, monkeypatch):
     assert all(r.doc_id == r.class_id for r in got if r.kept)
 
 
+def chain_of(rnd, texts, words, step):
+    """Each text is the one before without its first words and with new ones at the end."""
+    w = [f"w{rnd.randint(0, 10**9)}" for _ in range(words + step * texts)]
+    return [" ".join(w[step * k : step * k + words]) for k in range(texts)]
+
+
+def test_chains_of_unlike_texts(spark, monkeypatch):
+    """Neighbours share bands but not 0.8: one component of candidates, no class."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 300)
+    rnd = random.Random(31)
+    rows = list(enumerate(chain_of(rnd, 60, 80, 14) + chain_of(rnd, 30, 120, 9)))
+    linked, group = near_truth(rows)
+    assert not any(linked[k] for k in range(60)) and len({g for g, _ in group.values()}) == 61
+    got = jaccard_join.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in got) == Counter((rows[x][0], group[x][1], len(linked[x])) for x in range(len(rows)))
+
+
+def test_large_group_of_near_copies(spark):
+    """More members than a small unit takes, in blocks and without."""
+    rnd = random.Random(32)
+    base = prose(rnd, 120).split(" ")
+    rows = []
+    for k in range(150):
+        copy = list(base)
+        copy[rnd.randrange(len(base))] = f"changed{k}"
+        rows.append((k, " ".join(copy)))
+    linked, group = near_truth(rows)
+    got = jaccard_join.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in got) == Counter((rows[x][0], group[x][1], len(linked[x])) for x in range(len(rows)))
+
+
+def test_ids_that_are_no_integers_are_refused(spark):
+    docs = spark.createDataFrame([("a", "text")], "doc_id string, text string")
+    for operator in (jaccard_join.near_classes, suffix_dedup.remove_repeats, line_dedup.remove_repeated_lines, span_dedup.remove_repeated_spans):
+        with pytest.raises(TypeError):
+            operator(docs)
+
+
 def test_one_per_class(docs, rows):
+    docs = docs.withColumnsRenamed({"name": "__key", "row": "__tie"})
     out = jaccard_join.one_per_class(docs)
     _, group = near_truth(rows)
     assert out.columns == docs.columns and out.count() == len({g for g, _ in group.values()})
