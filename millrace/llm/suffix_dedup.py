@@ -7,12 +7,13 @@ another document, is removed; all occurrences go, overlaps count, and strings ar
    Equal windows have equal anchors at the same offset. The windows of one anchor and their bytes are a context.
 2. Windows whose anchor's hash occurs once end there: they have no equal.
 3. Contexts of one hash go into one bucket of bounded size, where a suffix array tells which windows they share.
-   Equal contexts (by a 128-bit hash of their bytes) go there as two copies, which stand for all of them.
+   Equal contexts (by a 128-bit hash of their bytes) go there once, with the number of times that each of their
+   suffixes stands in the array.
 4. A hash with more than HOT_CONTEXTS different contexts is split by its windows: those whose 128-bit hash occurs
-   again go, as two copies, into buckets by that hash.
+   again go into buckets by that hash.
 5. The suffix array of a bucket is built in two stages: the suffixes that are smaller than their successors are
    sorted directly, the others are induced by scanning buckets of first bytes. Adjacent common prefixes of 200 bytes
-   or more are the repeats; nothing is removed without one.
+   or more, of two suffixes or of one that stands there several times, are the repeats.
 
 Null text is the empty text, from which nothing is removed, as from any text of under 200 bytes. Repeated rows
 are separate documents: all their windows occur again. Rows of one doc_id and text are told from
@@ -176,18 +177,18 @@ def common_prefix(order: np.ndarray, words: np.ndarray, depth: int = LENGTH) ->
     return same
 
 
-def shared_windows(texts: list[bytes], counts: list[int]) -> list[np.ndarray]:
-    """Of contexts: which of their first `counts` windows start in another one too. UTF-8 has no byte 255."""
+def shared_windows(texts: list[bytes], counts: list[int], times: list[int]) -> list[np.ndarray]:
+    """Of contexts that occur `times` times: which of their first `counts` windows start elsewhere too. UTF-8 has no byte 255."""
     sizes = np.array([len(x) + 1 for x in texts])
     begin = np.cumsum(sizes) - sizes
     text = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8) + np.uint8(1)  # ends become 0
-    owned = np.zeros(len(text), bool)
-    for a, n in zip(begin.tolist(), counts, strict=True):
-        owned[a : a + n] = True
+    owned = np.zeros(len(text), np.int64)  # how often a window stands in the array
+    for a, n, k in zip(begin.tolist(), counts, times, strict=True):
+        owned[a : a + n] = k
     order, words = suffix_array(text)
-    order = order[owned[order]]
+    order = order[owned[order] > 0]
     same = common_prefix(order, words)
-    repeated = np.zeros(len(text), bool)
+    repeated = owned > 1
     repeated[order[same]] = True
     repeated[order[np.append(same[1:], False)]] = True
     return [repeated[a : a + n] for a, n in zip(begin.tolist(), counts, strict=True)]
@@ -200,12 +201,10 @@ def _spans(flags: np.ndarray) -> list[int]:
 
 
 def _in_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Marks of a bucket's contexts. The same rows of a table may give a context twice; it is taken once, and as two copies if it occurs again."""
+    """Marks of a bucket's contexts. The same rows of a table may give a context twice; it is taken once."""
     pdf = pdf.drop_duplicates(["anchor", "c1", "c2"], ignore_index=True)
-    twice = np.flatnonzero(pdf["n"] > 1)
-    texts, counts = pdf["bytes"].tolist(), pdf["windows"].tolist()
-    flags = shared_windows(texts + [texts[k] for k in twice], counts + [counts[k] for k in twice])
-    marks = [_spans(x) for x in flags[: len(pdf)]]
+    flags = shared_windows(pdf["bytes"].tolist(), pdf["windows"].tolist(), pdf["n"].tolist())
+    marks = [_spans(x) for x in flags]
     out = pd.DataFrame({"anchor": pdf["anchor"].array, "c1": pdf["c1"].array, "c2": pdf["c2"].array, "marks": pd.Series(marks, dtype=object).array})
     return out[out["marks"].map(len) > 0]
 
@@ -260,7 +259,7 @@ def _hot_marks(rows: DataFrame) -> DataFrame:
 
 def _bucket_marks(rows: DataFrame, by: list[str]) -> DataFrame:
     """Marks of contexts (anchor, c1, c2, n, windows, bytes), those with equal `by` in one bucket."""
-    size = rows.agg(F.sum(F.length("bytes") * F.when(F.col("n") > 1, 2).otherwise(1))).first()[0] or 0
+    size = rows.agg(F.sum(F.length("bytes"))).first()[0] or 0
     bucket = F.pmod(F.xxhash64(*by), F.lit(size // BUCKET_BYTES + 1)).alias("bucket")
     return rows.select(bucket, "anchor", "c1", "c2", "n", "windows", "bytes").groupBy("bucket").applyInPandas(_in_bucket, f"{_CONTEXT}, marks array<long>")
 
