@@ -1,7 +1,10 @@
 """Training text from raw documents, in five stages.
 
 Each stage works on all rows that the one before kept; its result is written as Parquet and read again. All but
-the last return the columns of documents. n_chars follows the text where a stage changes it.
+the last return the columns of documents, extra ones included whatever their names. n_chars follows the text where a
+stage changes it. Null ids are the largest, and ties in order of ids are equal texts, of which any one stays. Stages
+keep repeated rows until the line stage, where a row with the id and text of another is the same document; the
+near-duplicate stage keeps one of them. Empty tables pass through as such.
 """
 
 from __future__ import annotations
@@ -12,7 +15,6 @@ from pyspark.sql import functions as F
 
 from millrace.llm import bpe, decontaminate, jaccard_join, line_dedup, quality
 from millrace.llm.scratch import stage
-from millrace.llm.spans import Rule
 
 
 def _columns(docs: DataFrame, new: DataFrame) -> DataFrame:
@@ -20,52 +22,34 @@ def _columns(docs: DataFrame, new: DataFrame) -> DataFrame:
     return new.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
-def _text_batches(spark: SparkSession) -> None:
-    """Texts are long rows: fewer of them in each batch that goes to Python, so that workers stay small over all stages."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go; null and empty texts are among them."""
-    _text_batches(spark)
     return quality.classify(docs).filter("keep").select(*docs.columns)
 
 
-def _without_repeated_lines(spark: SparkSession, docs: DataFrame, rule: Rule) -> DataFrame:
-    _text_batches(spark)
-    cleaned = _columns(docs, line_dedup.remove_repeated_lines(docs, rule))
-    return cleaned.filter(F.col("text").rlike(r"\S"))
-
-
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of runs of lines go; a document of which nothing but white space is left goes too.
+    """Later repeats of runs of lines go, those of the same text included; the first in order of doc_id stays.
 
-    The rule looks forward alone, so an exact copy with short last lines stays as those lines.
+    A document of which nothing but white space is left goes too, so nothing is left of an exact copy of 160
+    characters or 8 lines. Null texts go.
     """
-    return _without_repeated_lines(spark, docs, line_dedup.RULE)
-
-
-def extended_line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As line_stage, with matches carried to both ends: nothing is left of an exact copy of 160 characters or 8 lines."""
-    return _without_repeated_lines(spark, docs, line_dedup.EXTENDED)
+    cleaned = _columns(docs, line_dedup.remove_repeated_lines(docs))
+    return cleaned.filter(F.col("text").rlike(r"\S"))
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays, that with the least doc_id."""
-    _text_batches(spark)
     return jaccard_join.one_per_class(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    _text_batches(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.contamination(docs, benchmark).documents.filter("not contaminated").select(*docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with ids (array<int>), n_tokens and round_trip (the ids decode to the text's bytes)."""
-    _text_batches(spark)
     vocab = public_tokenizers.path("byte_bpe_50k.tiktoken")
     both = bpe.round_trip(docs, vocab, public_tokenizers.PATTERN)
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
@@ -80,23 +64,14 @@ STAGES = [
     ("tokens", token_stage),
 ]
 
-#: The same stages with the extended rule for lines.
-EXTENDED_STAGES = [(name, extended_line_stage if f is line_stage else f) for name, f in STAGES]
-
-#: EM, training and MinHash have no SQL form; tests hold each stage against a brute-force version.
+#: EM, training, MinHash and BPE have no SQL form; tests/llm holds the stages against brute force, the quality stage
+#: against an own reckoning of votes, posteriors and scores.
 ORACLE_SQL = None
 
 
-def _run(spark: SparkSession, sf_dir: str, stages: list) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents through all stages; each but the last is written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, f in stages[:-1]:
+    for name, f in STAGES[:-1]:
         docs = stage(f(spark, docs, sf_dir), name)
-    return stages[-1][1](spark, docs, sf_dir)
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir, STAGES)
-
-
-def run_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir, EXTENDED_STAGES)
+    return STAGES[-1][1](spark, docs, sf_dir)
