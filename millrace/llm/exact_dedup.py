@@ -5,7 +5,9 @@ characters. The distinct blocks are sorted and numbered, so a block's integer na
 neighbouring names are paired, the distinct pairs sorted and numbered again, and so on until one name is left:
 (level, name) is equal for two texts exactly if the texts are equal, however long they are.
 
-A block's text travels once, to be numbered; afterwards it is looked up by a 128-bit digest. Numbering also
+Names are ranks: distinct blocks (pairs) are dealt by ranges, sorted in each range and counted on from range to range,
+so they do not depend on the number of partitions. A block's text travels to be made distinct and to be sorted;
+afterwards it is looked up by a 128-bit digest. Numbering also
 counts the digests, and if two different blocks ever share one, other seeds are taken: names are free of
 collisions by check, not by assumption.
 
@@ -16,7 +18,7 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.scratch import stage
@@ -38,9 +40,16 @@ def _digest(block: Column, seed: int) -> Column:
     return F.struct(F.xxhash64(F.lit(2 * seed), block).alias("h1"), F.xxhash64(F.lit(2 * seed + 1), block).alias("h2"))
 
 
-def _named(distinct: DataFrame, order: list[str]) -> DataFrame:
-    """Numbers distinct rows: sorted in each partition, the partitions' number ranges do not overlap."""
-    return distinct.sortWithinPartitions(*order).withColumn("name", F.monotonically_increasing_id())
+def _named(distinct: DataFrame, order: list[str], label: str) -> DataFrame:
+    """Distinct rows with name, their rank (from 0) in the order of all of them; the columns of a block's text go."""
+    spark = distinct.sparkSession
+    kept = [c for c in distinct.columns if c != "block"]
+    dealt = stage(distinct, f"{label}-distinct").repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    # the id of a row is its partition's number, then its place in it
+    placed = stage(dealt.select(*kept, F.monotonically_increasing_id().alias("id")), label).select(*kept, F.shiftright("id", 33).alias("part"), F.col("id").bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    return placed.join(F.broadcast(offsets), "part").select(*kept, (F.col("place") + F.col("offset")).alias("name"))  # a row for each partition
 
 
 def block_identities(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -59,7 +68,7 @@ def block_identities(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFra
         )
         distinct = text.select(F.explode(_blocks(F.col("text"), block_chars)).alias("block")).select(_digest(F.col("block"), seed).alias("d"), "block")
         distinct = distinct.select("d.h1", "d.h2", "block").distinct()
-        names = stage(_named(distinct, ["block"]).select("h1", "h2", "name"), "names")
+        names = _named(distinct, ["block"], "names")
         if names.groupBy("h1", "h2").count().filter("count > 1").isEmpty():
             break
         seed += 1
@@ -72,7 +81,7 @@ def block_identities(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFra
         pairs = current.filter("n > 1").groupBy("row_id", "n", F.expr("pos div 2").cast("int").alias("pos"))
         pairs = pairs.agg(F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("b"))
         pairs = stage(pairs, f"pairs{level}")
-        names = stage(_named(pairs.select("a", "b").distinct(), ["a", "b"]), f"names{level}")
+        names = _named(pairs.select("a", "b").distinct(), ["a", "b"], f"names{level}")
         named = pairs.join(names, ["a", "b"]).select("row_id", F.expr("cast((n + 1) div 2 as int)").alias("n"), "pos", "name")
         current = stage(named, f"level{level}")
         done.append(current.filter("n = 1").select("row_id", F.lit(level).alias("level"), "name"))

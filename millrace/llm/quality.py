@@ -5,8 +5,8 @@ symbols, of capitals, of exclamation marks, of letters and digits, words that ar
 words that repeat at once, variety of words. They overlap and err, so expectation-maximisation estimates the accuracy
 of each (a two-class model in which labellers are independent given the class, started from "bad if any says so")
 from how often each pattern of votes occurs in the whole table. A pattern's posterior is the soft label of its texts.
-A logistic model over hashed features (character-class 4-grams and repetition bins) learns these labels on a sample
-of at most `sample_rows` rows, drawn by hash over the whole table, and scores every row.
+A logistic model over hashed features (character-class 4-grams, repetition bins, words) learns these labels on a
+sample of about 0.95 of `sample_rows` rows, drawn by a hash of id and text over the whole table, and scores every row.
 
 Rows with a score under 0.5 are rejected. Null and empty text get score 0 and are rejected. Repeated rows get equal
 scores. An empty table gives no rows. Extra columns pass through; quality and keep replace columns of those names.
@@ -19,12 +19,17 @@ from math import sqrt
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_ROWS, DIMENSIONS, SEED = 8000, 1024, 17
+SAMPLE_ROWS, SEED = 8000, 17
+#: Slots of the features of characters and repetition, and of words.
+DIMENSIONS, WORD_DIMENSIONS = 1024, 1024
+#: The sample is bounded, and so is the number of its partitions.
+SAMPLE_PARTITIONS = 16
 BAD, GOOD, NONE = 0, 1, 2
 LABELLERS = ("symbols", "capitals", "exclamations", "alphanumerics", "lone_symbols", "symbol_ends", "repeats", "variety")
 SPACE, LINE, LOWER, UPPER, DIGIT, PUNCTUATION, SYMBOL, MARK = range(8)
@@ -44,8 +49,6 @@ _SLOT = ((np.arange(8**4, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> n
 
 
 def _slot(name: str) -> int:
-    import xxhash
-
     return xxhash.xxh32_intdigest(name) % DIMENSIONS
 
 
@@ -54,9 +57,8 @@ _REPEAT_SLOTS = [_slot(f"repeats {k}") for k in range(len(_REPEAT_BINS) + 1)]
 _VARIETY_SLOTS = [_slot(f"variety {k}") for k in range(len(_VARIETY_BINS) + 1)]
 
 
-def _words(text: str) -> tuple[int, float, float]:
+def _words(words: list[str]) -> tuple[int, float, float]:
     """Number of words, share of words equal to the next, distinct words by the root of the number."""
-    words = text.split()
     n = len(words)
     return n, sum(map(operator.eq, words, words[1:])) / max(n, 1), len(set(words)) / sqrt(max(n, 1))
 
@@ -65,7 +67,7 @@ def votes(text: str) -> list[int]:
     """One vote of each labeller, in the order of LABELLERS."""
     kind = _CLASS[np.frombuffer(text.encode(), np.uint8)]
     count = np.bincount(kind, minlength=8)
-    n, repeats, variety = _words(text)
+    n, repeats, variety = _words(text.split())
     solid, letters = int(count[LOWER:].sum()), int(count[LOWER] + count[UPPER])
     blank = np.concatenate(([True], kind <= LINE, [True]))
     symbol = kind == SYMBOL
@@ -86,17 +88,23 @@ def votes(text: str) -> list[int]:
     ]
 
 
+_word_slot = xxhash.xxh32_intdigest
+
+
 def features(text: str) -> np.ndarray:
     """Hashed features of a text that is not empty."""
     kind = _CLASS[np.frombuffer(text.encode(), np.uint8)].astype(np.int64)
     kind = np.concatenate(([LINE, LINE], kind, [LINE]))
     codes = ((kind[:-3] * 8 + kind[1:-2]) * 8 + kind[2:-1]) * 8 + kind[3:]
     out = np.bincount(_SLOT, np.bincount(codes, minlength=8**4) / max(len(codes), 1), DIMENSIONS)
-    n, repeats, variety = _words(text)
+    words = text.split()
+    n, repeats, variety = _words(words)
     out[_REPEAT_SLOTS[np.searchsorted(_REPEAT_BINS, repeats)]] += 1
     if n >= 40:
         out[_VARIETY_SLOTS[np.searchsorted(_VARIETY_BINS, variety)]] += 1
-    return out
+    # each word's share of the text; a word counts as often as it occurs
+    slots = np.fromiter(map(_word_slot, words), np.int64, n) % WORD_DIMENSIONS
+    return np.concatenate((out, np.bincount(slots, minlength=WORD_DIMENSIONS) / max(n, 1)))
 
 
 def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
@@ -142,7 +150,7 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray,
     """Weights and intercept of the scorer."""
     posterior, n = label_model(docs)
     if not n:
-        return np.zeros(DIMENSIONS), 0.0
+        return np.zeros(DIMENSIONS + WORD_DIMENSIONS), 0.0
 
     @F.pandas_udf("array<double>")
     def hashed(texts: pd.Series) -> pd.Series:
@@ -154,8 +162,9 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray,
 
     drawn = docs.filter("length(text) > 0")
     if n > sample_rows:
-        drawn = drawn.filter(F.pmod(F.xxhash64(F.lit(SEED), "text"), F.lit(1 << 40)) < int((1 << 40) * 0.95 * sample_rows / n)).limit(sample_rows)
-    drawn = drawn.select("text").withColumn("p", label(_pattern(F.col("text")))).select(array_to_vector(hashed(F.col("text"))).alias("features"), "p")
+        row = [c for c in ("doc_id", "text") if c in docs.columns]  # copies under other ids are drawn one by one
+        drawn = drawn.filter(F.pmod(F.xxhash64(F.lit(SEED), *row), F.lit(1 << 40)) < int((1 << 40) * 0.95 * sample_rows / n))
+    drawn = drawn.select("text").repartition(SAMPLE_PARTITIONS).withColumn("p", label(_pattern(F.col("text")))).select(array_to_vector(hashed(F.col("text"))).alias("features"), "p")
     # a soft label is both labels, each with its weight
     soft = drawn.select("features", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("p").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("weight")))).alias("l"))
     model = LogisticRegression(weightCol="weight", regParam=0.001, maxIter=50).fit(soft.select("features", "l.label", "l.weight"))
