@@ -108,6 +108,11 @@ def volume_gate(days: DataFrame, low: float = 0.2, high: float = 5.0) -> DataFra
     return rows.select("day", "n", F.round(ratio, 4).alias("ratio"), F.when((ratio < low) | (ratio > high), "FAIL").otherwise("PASS").alias("status"))
 
 
+def not_monotonic(facts: DataFrame, flags: list[str]) -> DataFrame:
+    """Rows in which a flag holds and one after it does not."""
+    return facts.filter(F.exists(F.array(*[F.col(a) & ~F.col(b) for a, b in zip(flags, flags[1:], strict=False)]), lambda x: x))
+
+
 def contract_check(df: DataFrame, required: list[str], key: list[str], freshness: tuple[str, str, int]) -> DataFrame:
     """Required columns, unique key, and age of the newest row in days (a warning only)."""
     missing = [c for c in required if c not in df.columns]

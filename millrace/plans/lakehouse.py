@@ -1,5 +1,5 @@
 """Incremental lakehouse over Parquet: content-hash planning, one plan for all selected dates, gates on staged rows,
-partition replacement, watermark last.
+partition replacement, watermark last. The manifest has one row per date and content that was ever ingested.
 
 Folders below the root: bronze, silver, gold and control. Facts are replaced by date; marts across dates are rebuilt
 from stored facts; the watermark moves only when everything before it was written, and a run that fails leaves a FAILED
@@ -14,14 +14,16 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.tables import bounded, duplicates, plan_partitions, require_pass
+from millrace.functions.columns import THRESHOLDS
+from millrace.operators.tables import bounded, duplicates, latest_per_key, not_monotonic, plan_partitions, require_pass, volume_gate
 from millrace.plans import rail
 from millrace.sources import feeds
 from millrace.sources.shared import stage
-from millrace.sources.sinks import append, replace_partitions
+from millrace.sources.sinks import append, insert_absent, read_or_empty, replace_partitions
 
 WATERMARK = "departure_date string, source_content_sha256 string, committed_run_id string, committed_at timestamp"
 RUNS = "run_id string, status string, requested_start string, requested_end string, processed int, skipped int, detail string, recorded_at timestamp"
+MANIFEST = "departure_date string, content_sha256 string, source_path string, source_row_count long, ingested_at timestamp, run_id string"
 QUALITY = "departure_date string, check_name string, status string, observed long, run_id string"
 
 
@@ -39,12 +41,6 @@ class Report:
     skipped: list[str] = field(default_factory=list)
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
-
-
 def source_hashes(spark: SparkSession, folder: str) -> DataFrame:
     """(day, sha) of the landed files."""
     return feeds.fingerprint_files(spark, folder, "*.json.gz").select(F.to_date(F.substring("name", 1, 10)).alias("day"), F.col("sha256").alias("sha"))
@@ -52,7 +48,7 @@ def source_hashes(spark: SparkSession, folder: str) -> DataFrame:
 
 def watermark(spark: SparkSession, conf: Conf) -> DataFrame:
     """(day, sha) of the last commit per date."""
-    log = _read(spark, f"{conf.root}/control/watermark", WATERMARK)
+    log = read_or_empty(spark, f"{conf.root}/control/watermark", WATERMARK)
     return log.groupBy(F.to_date("departure_date").alias("day")).agg(F.max_by("source_content_sha256", "committed_at").alias("sha"))
 
 
@@ -71,6 +67,21 @@ def silver_gates(raw: DataFrame, journeys: DataFrame, arrivals: DataFrame, stati
     return out.union(gate(asked, "nonempty_modelled_partition", F.col("departureDate")))
 
 
+def volume_gates(manifest: DataFrame, days: list[str]) -> DataFrame:
+    """Of the named days: the number of rows against the median of the 28 dates before, from the newest row of each date."""
+    counts = latest_per_key(manifest, ["departure_date"], ["ingested_at", "content_sha256"]).select(F.col("departure_date").alias("day"), F.col("source_row_count").alias("n"))
+    rows = volume_gate(counts).filter(F.col("day").isin(days))
+    return rows.select(F.col("day").alias("departure_date"), F.lit("row_count_anomaly").alias("check_name"), "status", F.col("n").alias("observed"))
+
+
+def gold_gates(facts: DataFrame) -> DataFrame:
+    """Whoever is on time by a limit is so by every longer one, and has completed."""
+    wrong = not_monotonic(facts, [*[f"on_time_{t}" for t in THRESHOLDS], "completed"])
+    return facts.select("departure_date").distinct().join(wrong.groupBy("departure_date").agg(F.count(F.lit(1)).alias("n")), "departure_date", "left").select(
+        F.col("departure_date").cast("string"), F.lit("metric_monotonicity").alias("check_name"), F.when(F.col("n").isNull(), "PASS").otherwise("FAIL").alias("status"), F.coalesce("n", F.lit(0)).alias("observed")
+    )
+
+
 def run(spark: SparkSession, conf: Conf, start: str, end: str, now: str, force: bool = False) -> Report:
     """Brings the dates from start to end up to their landed content; now stamps the run."""
     report = Report(uuid.uuid4().hex)
@@ -101,21 +112,33 @@ def run(spark: SparkSession, conf: Conf, start: str, end: str, now: str, force:
 def _process(spark: SparkSession, conf: Conf, todo: list[str], sources: DataFrame, report: Report, now: str) -> None:
     hashes = sources.filter(F.col("day").cast("string").isin(todo)).select(F.col("day").cast("string").alias("departure_date"), F.col("sha").alias("source_content_sha256"))
     raw = stage(feeds.read_trains(spark, [f"{conf.source}/{d}.json.gz" for d in todo]), "trains")
-    quality = f"{conf.root}/control/quality"
+    quality, stamp = f"{conf.root}/control/quality", F.lit(now).cast("timestamp")
     first = feeds.gate_partitions(raw, todo).withColumn("run_id", F.lit(report.run_id))
     append(first, quality)
     require_pass(first, "bronze")
-    append(raw.join(bounded(hashes), F.col("departureDate") == F.col("departure_date")).drop("departureDate"), f"{conf.root}/bronze/trains", ["departure_date", "source_content_sha256"])
+    counts = raw.groupBy(F.col("departureDate").alias("departure_date")).agg(F.count(F.lit(1)).alias("source_row_count"))
+    landed = F.concat(F.lit(f"{conf.root}/bronze/trains/departure_date="), F.col("departure_date"), F.lit("/source_content_sha256="), F.col("source_content_sha256"))
+    entries = hashes.join(counts, "departure_date").select("departure_date", F.col("source_content_sha256").alias("content_sha256"), landed.alias("source_path"), "source_row_count", stamp.alias("ingested_at"), F.lit(report.run_id).alias("run_id"))
+    insert_absent(entries, f"{conf.root}/control/manifest", ["departure_date", "content_sha256"])
+    volume = volume_gates(spark.read.schema(MANIFEST).parquet(f"{conf.root}/control/manifest"), todo).withColumn("run_id", F.lit(report.run_id))
+    append(volume, quality)
+    # a folder is named for its content: to write it again changes nothing
+    bronze = raw.join(bounded(hashes), F.col("departureDate") == F.col("departure_date")).drop("departureDate")
+    bronze.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("departure_date", "source_content_sha256").parquet(f"{conf.root}/bronze/trains")
+    require_pass(volume, "bronze")
     stations = feeds.read_stations(spark, conf.stations)
     journeys, arrivals = (stage(x, "silver") for x in rail.normalize(raw, stations, hashes, report.run_id, now))
     gates = silver_gates(raw, journeys, arrivals, stations).withColumn("run_id", F.lit(report.run_id))
     append(gates, quality)
     require_pass(gates, "silver")
     facts = rail.journey_fact(journeys)
+    monotonic = gold_gates(facts).withColumn("run_id", F.lit(report.run_id))
+    append(monotonic, quality)
+    require_pass(monotonic, "gold")
     by_day = lambda df: df.withColumn("departure_date", F.col("departure_date").cast("string"))
     for name, df in (("silver/journeys", journeys), ("silver/arrivals", arrivals), ("gold/facts", facts), ("gold/regional", rail.regional_daily(arrivals)), ("gold/network", rail.network_daily(facts))):
         replace_partitions(by_day(df), f"{conf.root}/{name}", "departure_date", todo)
     all_facts, all_arrivals = (spark.read.schema(by_day(df).schema).parquet(f"{conf.root}/{name}") for name, df in (("gold/facts", facts), ("silver/arrivals", arrivals)))
     rail.route_performance(all_facts).write.mode("overwrite").parquet(f"{conf.root}/gold/routes")
     rail.station_performance(all_arrivals).write.mode("overwrite").parquet(f"{conf.root}/gold/stations")
-    append(hashes.select("departure_date", "source_content_sha256", F.lit(report.run_id).alias("committed_run_id"), F.lit(now).cast("timestamp").alias("committed_at")), f"{conf.root}/control/watermark")
+    append(hashes.select("departure_date", "source_content_sha256", F.lit(report.run_id).alias("committed_run_id"), stamp.alias("committed_at")), f"{conf.root}/control/watermark")

@@ -1,8 +1,19 @@
-"""Table sinks: append, replacement of touched partitions, keyed upsert."""
+"""Table sinks: append, replacement of touched partitions, keyed inserts and upserts, versions, small extracts.
+
+A versioned table is a folder of complete copies, `version=<n>`. A copy counts once its _SUCCESS file is there, so a
+write that fails or is repeated leaves the table as it was; readers take the newest copy that counts.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import csv
+import io
+import json
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+VERSION = "version="
 
 
 def append(df: DataFrame, path: str, by: list[str] = ()) -> None:
@@ -24,6 +35,105 @@ def replace_partitions(df: DataFrame, path: str, column: str, values: list[str])
             fs.delete(old, True)
 
 
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _folder(spark, path)
+    return fs.exists(at)
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def insert_absent(df: DataFrame, path: str, keys: list[str]) -> None:
+    """Appends the rows whose key the table does not have."""
+    known = read_or_empty(df.sparkSession, path, df.schema).select(*keys)
+    append(df.join(known, keys, "left_anti").select(*df.columns), path)
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the copies that count, in order."""
+    at, fs = _folder(spark, path)
+    if not fs.exists(at):
+        return []
+    names = [x.getPath().getName() for x in fs.listStatus(at)]
+    return sorted(int(x.removeprefix(VERSION)) for x in names if x.startswith(VERSION) and exists(spark, f"{path}/{x}/_SUCCESS"))
+
+
+def read_version(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """The newest copy, or no rows."""
+    found = versions(spark, path)
+    return spark.read.schema(schema).parquet(f"{path}/{VERSION}{found[-1]}") if found else spark.createDataFrame([], schema)
+
+
+def write_version(df: DataFrame, path: str, number: int | None = None, keep: int = 2) -> None:
+    """Writes df as the next copy, or as copy `number`; all but the newest `keep` go. df may read the newest copy."""
+    spark = df.sparkSession
+    found = versions(spark, path)
+    number = (found[-1] + 1 if found else 0) if number is None else number
+    df.write.mode("overwrite").parquet(f"{path}/{VERSION}{number}")
+    for old in versions(spark, path)[:-keep]:
+        at, fs = _folder(spark, f"{path}/{VERSION}{old}")
+        fs.delete(at, True)
+
+
+def upsert_into(path: str, source: DataFrame, keys: list[str]) -> None:
+    """A versioned table with the rows of source in place of those with their keys."""
+    write_version(upsert(read_version(source.sparkSession, path, source.schema), source, keys), path)
+
+
+def extract(df: DataFrame, path: str, order: list[str], kind: str = "json", rows: int = 100_000) -> None:
+    """A small aggregate as one JSON or CSV file for other programs: written beside its place and then renamed.
+
+    More than `rows` rows are refused; nothing is cut.
+    """
+    spark = df.sparkSession
+    if kind not in ("json", "csv"):
+        raise ValueError(f"an extract is json or csv, not {kind}")
+    if df.limit(rows + 1).count() > rows:
+        raise ValueError(f"an extract has at most {rows} rows")
+    found = [r.asDict(recursive=True) for r in df.orderBy(*order).collect()]
+    text = io.StringIO(newline="")
+    if kind == "json":
+        json.dump(found, text, default=str, ensure_ascii=False)
+    else:
+        writer = csv.DictWriter(text, df.columns, lineterminator="\n")
+        writer.writeheader()
+        writer.writerows(found)
+    at, fs = _folder(spark, path)
+    beside, _ = _folder(spark, f"{path}.tmp")
+    out = fs.create(beside, True)
+    out.write(bytearray(text.getvalue().encode()))
+    out.close()
+    fs.delete(at, False)
+    if not fs.rename(beside, at):
+        raise OSError(f"{path} was not replaced")
+
+
+def save_tables(tables: dict[str, DataFrame], database: str) -> None:
+    """Frames as named tables of the catalog; each replaces its former rows."""
+    for spark in {id(df.sparkSession): df.sparkSession for df in tables.values()}.values():
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    for name, df in tables.items():
+        df.write.mode("overwrite").option("overwriteSchema", "true").saveAsTable(f"{database}.{name}")
+
+
+def replace_children(parents: DataFrame, children: dict[str, DataFrame], key: str, root: str) -> None:
+    """Parents and their child tables: rows of the keys in `parents` are replaced in every table, others stay.
+
+    A child table without rows for a key loses the key's old rows.
+    """
+    keys = parents.select(key).distinct()
+    for name, df in {"parents": parents, **children}.items():
+        path = f"{root}/{name}"
+        old = read_version(df.sparkSession, path, df.schema)
+        write_version(old.join(keys, key, "left_anti").select(*df.columns).unionByName(df.join(keys, key, "left_semi").select(*df.columns)), path)
+
+
 def upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     """Source rows, and target rows whose key the source does not have."""
     return source.unionByName(target.join(source.select(*keys), keys, "left_anti"))

@@ -143,3 +143,47 @@ def test_lakehouse_rejects_duplicates_and_keeps_the_watermark(spark, conf):
     assert spark.read.parquet(f"{conf.root}/control/runs").first().status == "FAILED"
     with pytest.raises(FileNotFoundError):
         lakehouse.run(spark, conf, "2026-08-01", "2026-08-01", "2026-08-01 01:00:00")
+
+
+def quality_of(spark, conf, check):
+    return [r.status for r in spark.read.parquet(f"{conf.root}/control/quality").filter(F.col("check_name") == check).orderBy("departure_date").collect()]
+
+
+def test_lakehouse_keeps_a_manifest(spark, conf):
+    land(conf, "2026-07-31", [base(1), base(2)])
+    day = ("2026-07-31", "2026-07-31")
+    first = lakehouse.run(spark, conf, *day, "2026-08-01 01:00:00")
+    lakehouse.run(spark, conf, *day, "2026-08-01 02:00:00", force=True)
+    rows = spark.read.parquet(f"{conf.root}/control/manifest").collect()
+    assert [(r.departure_date, r.source_row_count, r.run_id) for r in rows] == [("2026-07-31", 2, first.run_id)]
+    assert spark.read.parquet(f"{conf.root}/bronze/trains").count() == 2
+    land(conf, "2026-07-31", [base(1)])
+    lakehouse.run(spark, conf, *day, "2026-08-01 03:00:00")
+    assert sorted(r.source_row_count for r in spark.read.parquet(f"{conf.root}/control/manifest").collect()) == [1, 2]
+    assert quality_of(spark, conf, "metric_monotonicity") == ["PASS"] * 3
+
+
+def test_lakehouse_rejects_gold_that_is_not_monotonic(spark, conf, monkeypatch):
+    land(conf, "2026-07-31", [base(1)])
+    fact = rail.journey_fact
+    monkeypatch.setattr(rail, "journey_fact", lambda journeys: fact(journeys).withColumn("on_time_5", F.lit(True)))
+    with pytest.raises(ValueError, match="metric_monotonicity"):
+        lakehouse.run(spark, conf, "2026-07-31", "2026-07-31", "2026-08-01 01:00:00")
+    assert lakehouse.watermark(spark, conf).count() == 0 and quality_of(spark, conf, "metric_monotonicity") == ["FAIL"]
+    assert spark.read.parquet(f"{conf.root}/control/runs").first().status == "FAILED"
+
+
+def test_lakehouse_rejects_a_date_of_few_rows(spark, conf):
+    for d in range(20, 28):
+        land(conf, f"2026-07-{d}", [base(n, f"2026-07-{d}") for n in range(1, 12)])
+    lakehouse.run(spark, conf, "2026-07-20", "2026-07-27", "2026-08-01 01:00:00")
+    land(conf, "2026-07-28", [base(1, "2026-07-28")])
+    with pytest.raises(ValueError, match="row_count_anomaly"):
+        lakehouse.run(spark, conf, "2026-07-28", "2026-07-28", "2026-08-01 02:00:00")
+    assert lakehouse.watermark(spark, conf).count() == 8
+
+
+def test_route_grain(spark, stations):
+    there, back = base(1), train(2, [event("DEPARTURE", "LH", "2026-07-31T10:00:00Z", 2), event("ARRIVAL", "HKI", "2026-07-31T11:00:00Z", 4)])
+    rows = rail.route_performance(rail.journey_fact(normal(spark, stations, [there, back])[0])).collect()
+    assert {(r.route_key, r.origin_code, r.destination_code, r.scheduled) for r in rows} == {("HKI--LH", "HKI", "LH", 1), ("HKI--LH", "LH", "HKI", 1)}
