@@ -6,14 +6,16 @@ there and stops, which is how a scheduled job catches up.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.operators.tables import latest_per_key
+from millrace.operators.tables import bounded, latest_per_key
 from millrace.sources.shared import new_path
+from millrace.sources.sinks import VERSION, read_or_empty, versions, write_version
 
 
 def read_folder(spark: SparkSession, path: str, schema: T.StructType | str, glob: str | None = None, files: int = 50) -> DataFrame:
@@ -43,33 +45,68 @@ def deduplicated(events: DataFrame, ts: str, keys: list[str], late: str = "1 day
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
-def keep_latest(events: DataFrame, keys: list[str], order: list[str], sink: str) -> DataFrame:
-    """State table with the newest row per key. Each batch writes a new version next to the old one and then names it in
-    the result, so a batch that fails or runs again leaves no half state."""
-    spark, versions = events.sparkSession, []
+def keep_latest(events: DataFrame, keys: list[str], order: list[str], sink: str, checkpoint: str | None = None, compact: int = 20) -> DataFrame:
+    """The newest row per key, kept as a log below `sink`.
+
+    A batch adds one version with its own newest rows, so its cost does not grow with the state; after `compact`
+    versions they are merged into one. A version that is there already is not written again, so a batch that runs
+    twice changes nothing. With its checkpoint (by default beside the sink) a stream goes on where it stopped.
+    """
+    spark = events.sparkSession
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        path = f"{sink}/version={epoch}"
-        rows = batch if not versions else batch.unionByName(spark.read.schema(batch.schema).parquet(versions[-1]))
-        latest_per_key(rows, keys, order).select(*batch.columns).write.mode("overwrite").parquet(path)
-        if path not in versions:
-            versions.append(path)
+        found = versions(spark, sink)
+        if epoch in found:
+            return
+        rows = latest_per_key(batch, keys, order).select(*batch.columns)
+        if len(found) >= compact:
+            rows = latest_per_key(rows.unionByName(_log(spark, sink, found, batch.schema)), keys, order).select(*batch.columns)
+        write_version(rows, sink, epoch, keep=1 if len(found) >= compact else compact + 1)
 
-    run_batches(events, merge)
-    return spark.read.schema(events.schema).parquet(versions[-1]) if versions else spark.createDataFrame([], events.schema)
+    run_batches(events, merge, checkpoint or f"{sink}-checkpoint")
+    return latest_state(spark, sink, events.schema, keys, order)
 
 
-def replace_touched(events: DataFrame, day: str, sink: str) -> DataFrame:
-    """A day that a batch brings again replaces the stored day: corrected data overwrites that date alone."""
-    def merge(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(sink)
+def _log(spark: SparkSession, sink: str, found: list[int], schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).parquet(*[f"{sink}/{VERSION}{v}" for v in found])
+
+
+def latest_state(spark: SparkSession, sink: str, schema: T.StructType, keys: list[str], order: list[str]) -> DataFrame:
+    """What keep_latest has stored."""
+    found = versions(spark, sink)
+    if not found:
+        return spark.createDataFrame([], schema)
+    return latest_per_key(_log(spark, sink, found, schema), keys, order).select(*schema.names)
+
+
+def replace_touched(events: DataFrame, day: str, version: str, sink: str, checkpoint: str | None = None) -> DataFrame:
+    """Of each day the rows of its newest version: corrected data replaces the days that it brings, and no other.
+
+    version is a column of the events that names the delivery (a landing time or number). The rows of a delivery may
+    come in any number of batches; each batch has a folder of its own below day and version, which it overwrites
+    when it runs again.
+    """
+    spark = events.sparkSession
+    at = checkpoint or f"{sink}-checkpoint"
+    source = hashlib.sha256(at.encode()).hexdigest()[:12]
+
+    def store(batch: DataFrame, epoch: int) -> None:
+        rows = batch.withColumn("batch", F.lit(f"{source}-{epoch}"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day, version, "batch").parquet(sink)
+
+    run_batches(events, store, at)
+    return newest_version(spark, sink, events.schema, day, version)
+
 
-    run_batches(events, merge)
-    return events.sparkSession.read.schema(events.schema).parquet(sink)
+def newest_version(spark: SparkSession, sink: str, schema: T.StructType, day: str, version: str) -> DataFrame:
+    """What replace_touched has stored, without the days that a newer version replaced."""
+    rows = read_or_empty(spark, sink, T.StructType([*schema, T.StructField("batch", T.StringType())]))
+    newest = rows.groupBy(day).agg(F.max(version).alias(version))  # from the names of folders; one row per day
+    return rows.join(bounded(newest), [day, version]).select(*schema.names)
 
 
-def run_batches(events: DataFrame, merge: Callable[[DataFrame, int], None]) -> None:
-    query = events.writeStream.foreachBatch(merge).option("checkpointLocation", new_path(events.sparkSession, "stream")).trigger(availableNow=True).start()
+def run_batches(events: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    query = events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
