@@ -38,6 +38,8 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, BAND_ROWS, STEP, TOLERANCE = 32, 4, 16, 1e-6
 HASHES = BANDS * BAND_ROWS
 BLOCK_SHINGLES, PACK_SHINGLES = 200_000, 1_000_000
+#: Units go to as many partitions as there are packs, so that a task's size does not grow with the table; beyond this, tasks take several packs in turn.
+MOST_PARTITIONS = 50_000
 #: Words of more bytes are hashed one by one: a running sum would give some long words of two letters one hash.
 LONG_WORD = 64
 #: Keys of candidates that are broadcast; with more, the join shuffles.
@@ -330,7 +332,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     units = _features(docs, wanted).select("member", "rows", "grams", "sig", F.explode("places").alias("p")).select("member", "rows", "grams", "sig", "p.*")
     units = units.withColumn("block", F.pmod(F.xxhash64("member", "k"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = units.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")).withColumn("pack", F.pmod(F.xxhash64("band", "x", "y"), F.lit(packs)))
-    links = units.select("pack", "member", "rows", "k", "band", "x", "y", "block", "grams", "sig").groupBy("pack").applyInPandas(_compare, "member long, root long, links long, texts long")
+    links = units.select("pack", "member", "rows", "k", "band", "x", "y", "block", "grams", "sig").repartition(min(packs, MOST_PARTITIONS), "pack").groupBy("pack").applyInPandas(_compare, "member long, root long, links long, texts long")
     links = stage(links, "links")
 
     degree = links.groupBy("member").agg(F.sum("links").alias("links"), F.sum("texts").alias("n_texts"))
