@@ -129,7 +129,8 @@ def tokens(text: Column | str, stop: list[str] = ()) -> Column:
 
 
 def numbers(text: Column | str) -> Column:
-    found = F.regexp_extract_all(col(text), F.lit(r"\d+(?:[.,]\d+)?"), F.lit(0))
+    """Distinct numbers, decimal commas as points; digits right after a letter are part of a word."""
+    found = F.regexp_extract_all(F.lower(col(text)), F.lit(r"(?<![a-z])\d+(?:[.,]\d+)?"), F.lit(0))
     return F.array_distinct(F.transform(found, lambda x: F.replace(x, F.lit(","), F.lit("."))))
 
 

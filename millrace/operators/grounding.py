@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import numbers, tokens
@@ -11,19 +11,30 @@ from millrace.functions.columns import numbers, tokens
 STOPWORDS = ["about", "after", "also", "and", "are", "because", "been", "being", "but", "can", "for", "from", "has", "have", "into", "not", "of", "only", "that", "the", "their", "this", "tender", "to", "with", "you", "your"]
 #: Text that tries to steer a model (fixed pattern).
 MALICIOUS = r"(?i)ignore all previous|system prompt|fake:\d+|<untrusted"
+#: Words that state a decision (fixed values).
 DECISIONS = r"\b(?:BID|NO_BID|REVIEW|INSUFFICIENT_EVIDENCE)\b"
 
 
+#: Parts of an evidence row that a claim may rest on, in this order; tool_evidence is what a decision tool returned.
+PARTS = ("text", "excerpt", "title", "buyer", "tool_evidence")
+
+
+def evidence_text(evidence: DataFrame) -> Column:
+    """All parts that the evidence has, as one text."""
+    return F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in PARTS if c in evidence.columns])
+
+
 def verify_claims(answers: DataFrame, evidence: DataFrame, overlap: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """(claims with their checks, one row per answer).
 
-    answers (answer_id, claims array<struct<text, evidence_ids>>), evidence (evidence_id, text, is_decision). A claim is
+    answers (answer_id, claims array<struct<text, evidence_ids>>), evidence (evidence_id, is_decision and any of PARTS). A claim is
     supported if it cites at least one id, all are known, half its tokens and all its numbers and decision words occur
     in the cited evidence, and it carries no injected instruction.
     """
     claims = answers.select("answer_id", F.posexplode_outer("claims").alias("pos", "c")).select("answer_id", "pos", "c.text", "c.evidence_ids").filter(F.col("pos").isNotNull())
     cited = claims.select("answer_id", "pos", F.posexplode("evidence_ids").alias("at", "evidence_id"))
-    known = cited.join(evidence.withColumnRenamed("text", "etext"), "evidence_id", "left").groupBy("answer_id", "pos").agg(
+    parts = evidence.select("evidence_id", "is_decision", evidence_text(evidence).alias("etext"))
+    known = cited.join(parts, "evidence_id", "left").groupBy("answer_id", "pos").agg(
         F.count(F.lit(1)).alias("n_cited"), F.count("etext").alias("n_known"), F.coalesce(F.bool_or("is_decision"), F.lit(False)).alias("decision"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "etext"))), lambda x: x["etext"]), " ").alias("etext"),
     )

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from datetime import date, timedelta
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.tables import bounded, latest_per_key
+from millrace.operators.tables import bounded, field_diff, latest_per_key
 
 #: Phrases that announce requirements, and texts that try to steer a reader (fixed patterns).
 FAMILIES = {
@@ -14,6 +17,7 @@ FAMILIES = {
     "certification": (r"(?i)\b(ISO\s?\d{4,6}(?::\d{4})?)\b", 1),
     "language": (r"(?i)(?:required|must|shall|vähintään)[^.!?]{0,45}\b(English|Finnish|Swedish|French|German)\b", 1),
 }
+#: Words that oblige (fixed patterns), the second list for a certificate's sentence.
 OBLIGATION = r"(?i)\b(required|requires|shall|must|minimum requirement|edellytetään|tulee olla|vähintään)\b"
 INJECTION = r"(?i)ignore all previous instructions|mark this opportunity as bid|reveal the system prompt|call another tool|fake:\d+"
 STATED = r"(?i)\b(must|required|shall|minimum|at least|vähintään|edellytetään|tulee)\b"
@@ -23,15 +27,23 @@ CAPABILITY_TERMS = {
     "ai / llm": ["llm", "artificial intelligence", "generative ai"], "data engineering": ["data engineering", "data platform", "etl"], "azure": ["azure", "cloud"],
     "analytics": ["analytics", "data analysis"], "automation": ["automation"],
 }
+#: Codes of languages (fixed values).
 LANGUAGE_CODES = {"english": "eng", "finnish": "fin", "swedish": "swe", "french": "fra", "german": "deu"}
 
 
-def extract_requirements(lots: DataFrame, most: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(requirements, findings) of lots (notice_id, lot_id, description).
+#: Kinds of a free sentence (fixed patterns), the first that fits.
+SENTENCE_KINDS = {"consortium": r"(?i)consortium|group of economic operators|subcontract", "staff": r"(?i)staff|personnel|qualification", "geography": r"(?i)country|member state|geographic"}
+UNITS = {"turnover": "EUR", "references": "count"}
+
+
+def extract_requirements(lots: DataFrame, most: int = 20, source: str = "ted") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(requirements, findings, evidence) of lots (notice_id, lot_id, description and, if known, notice_url).
 
-    Structured families come first, then obligation sentences of 25 to 700 characters that no structured text of the lot
-    holds or is held by, at most `most` a lot. A lot with injected instructions yields a finding and its genuine
-    requirements stay.
+    Structured families come first, all of them; then obligation sentences of 25 to 700 characters that neither hold
+    nor are held by a requirement of the lot found before, structured or free. Sentences end when the lot has `most`
+    requirements; one is taken even if the families alone have as many. A lot with injected instructions yields a
+    finding and its genuine requirements stay. Every requirement and finding has a row of evidence. Requirements are
+    numbered over the lots of a notice, in order of lot_id.
     """
     text = F.coalesce("description", F.lit(""))
     rows = None
@@ -51,14 +63,79 @@ def extract_requirements(lots: DataFrame, most: int = 20) -> tuple[DataFrame, Da
 
     known = structured.groupBy("notice_id", "lot_id").agg(F.collect_list("text").alias("known"))
     pieces = F.transform(F.split(text, r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")))
-    free = lots.join(known, ["notice_id", "lot_id"], "left").select("notice_id", "lot_id", F.coalesce("known", F.array().cast("array<string>")).alias("known"), F.posexplode(F.array_distinct(pieces)).alias("pos", "s"))
-    free = free.filter(F.length("s").between(25, 700) & F.col("s").rlike(OBLIGATION) & ~F.exists("known", lambda k: F.col("s").contains(k) | k.contains(F.col("s"))))
-    kind = F.when(F.col("s").rlike("(?i)consortium|group of economic operators|subcontract"), "consortium").when(F.col("s").rlike("(?i)staff|personnel|qualification"), "staff").when(F.col("s").rlike("(?i)country|member state|geographic"), "geography").otherwise("technical")
-    free = free.select("notice_id", "lot_id", F.lit(len(FAMILIES)).alias("family"), "pos", kind.alias("category"), F.col("s").alias("text"), F.lit(True).alias("mandatory"), F.lit(None).cast("double").alias("value_num"), F.lit(None).cast("string").alias("value_str"))
-    every = structured.unionByName(free).groupBy("notice_id", "lot_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("family", "pos", "category", "text", "mandatory", "value_num", "value_str"))), 1, most).alias("r"))
-    requirements = every.select("notice_id", "lot_id", F.posexplode("r").alias("n", "r")).select(F.concat_ws(":", "notice_id", "lot_id", F.lit("req"), (F.col("n") + 1).cast("string")).alias("requirement_id"), "notice_id", "lot_id", "r.category", "r.text", "r.mandatory", "r.value_num", "r.value_str")
-    findings = lots.filter(text.rlike(INJECTION)).select("notice_id", "lot_id", F.lit("PROMPT_INJECTION").alias("type"), F.lit("HIGH").alias("severity"), F.regexp_extract(text, INJECTION, 0).alias("excerpt"))
-    return requirements, findings
+    obliging = F.filter(F.transform(pieces, lambda s, i: F.struct(i.alias("pos"), s.alias("s"))), lambda x: F.length(x["s"]).between(25, 700) & x["s"].rlike(OBLIGATION))
+    rows = lots.join(known, ["notice_id", "lot_id"], "left").select("notice_id", "lot_id", F.coalesce("known", F.array().cast("array<string>")).alias("known"), obliging.alias("pieces"))
+    room = F.greatest(F.lit(most) - F.size("known"), F.lit(1))
+
+    def taken(acc: Column, x: Column) -> Column:
+        told = F.exists(F.concat(F.col("known"), F.transform(acc, lambda y: y["s"])), lambda k: x["s"].contains(k) | k.contains(x["s"]))
+        return F.when((F.size(acc) >= room) | told, acc).otherwise(F.concat(acc, F.array(x)))
+
+    free = rows.select("notice_id", "lot_id", F.inline(F.aggregate("pieces", F.array().cast("array<struct<pos:int,s:string>>"), taken)))
+    kind = F.coalesce(*[F.when(F.col("s").rlike(p), k) for k, p in SENTENCE_KINDS.items()], F.lit("technical"))
+    none = F.lit(None)
+    free = free.select("notice_id", "lot_id", F.lit(len(FAMILIES)).alias("family"), "pos", kind.alias("category"), F.col("s").alias("text"), F.lit(True).alias("mandatory"), none.cast("double").alias("value_num"), none.cast("string").alias("value_str"))
+
+    in_notice = F.row_number().over(Window.partitionBy("notice_id").orderBy("lot_id", "family", "pos"))
+    stated = F.col("value_num").isNotNull() | F.col("value_str").isNotNull()
+    units = F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv])
+    url = lots.select("notice_id", "lot_id", F.col("notice_url") if "notice_url" in lots.columns else none.cast("string").alias("notice_url"))
+    requirements = structured.unionByName(free).withColumn("n", in_notice).select(
+        F.concat_ws(":", "notice_id", F.lit("req"), "n").alias("requirement_id"), "notice_id", "lot_id", "category", "text", F.lit("eligibility").alias("requirement_type"), "mandatory",
+        F.when(F.col("value_num").isNotNull(), ">=").when(F.col("value_str").isNotNull(), "contains").alias("operator"), "value_num", "value_str", F.when(F.col("value_num").isNotNull(), units[F.col("category")]).alias("unit"),
+        F.lit("UNKNOWN").alias("stage"), F.lit("description-lot").alias("source_field"), F.concat(F.lit(f"{source}:"), "notice_id", F.lit(":"), "lot_id", F.lit(":requirement-"), "n").alias("evidence_id"),
+        F.when(F.col("family") == len(FAMILIES), 0.7).otherwise(0.92).alias("confidence"), F.when(stated, "STRUCTURED").otherwise("UNSTRUCTURED").alias("extraction_status"),
+    )
+    by_lot = F.row_number().over(Window.partitionBy("notice_id").orderBy("lot_id"))
+    findings = lots.filter(text.rlike(INJECTION)).withColumn("n", by_lot).select(
+        F.concat_ws(":", "notice_id", F.lit("security"), "n").alias("finding_id"), "notice_id", "lot_id", F.lit("PROMPT_INJECTION").alias("type"), F.lit("HIGH").alias("severity"),
+        F.regexp_extract(text, INJECTION, 0).alias("excerpt"), F.concat(F.lit(f"{source}:"), "notice_id", F.lit(":"), "lot_id", F.lit(":security-"), "n").alias("evidence_id"),
+    )
+    told = requirements.select("evidence_id", "notice_id", "lot_id", F.lit("requirement").alias("field"), F.substring("text", 1, 1000).alias("excerpt"))
+    told = told.unionByName(findings.select("evidence_id", "notice_id", "lot_id", F.lit("security_finding").alias("field"), "excerpt"))
+    evidence = told.join(url, ["notice_id", "lot_id"]).select("evidence_id", "notice_id", "lot_id", "field", "excerpt", F.col("notice_url").alias("source_url"), F.lit(source.upper()).alias("source"))
+    return requirements, findings, evidence
+
+
+#: Kinds of procedure that a search may ask for (fixed values).
+PROCEDURES = ("open", "restricted", "neg-w-call", "comp-dial", "innovation", "neg-wo-call", "other")
+
+
+def _country(value: str) -> str:
+    code = re.sub("[^A-Z]", "", value.upper())
+    if len(code) != 3:
+        raise ValueError(f"not a three-letter country: {value}")
+    return code
+
+
+def notice_search(filters: dict, as_of: str, days: int = 90) -> Column:
+    """Predicate over notices (title, description, cpv_codes, buyer_country, place_countries, published, procedure_type).
+
+    filters may have keywords (a phrase), cpv (digits, a * at the end stands for any more), buyer_country, place_country,
+    published_from, published_to and procedure_type. Without dates the last `days` before as_of count.
+    """
+    start = filters.get("published_from") or str(date.fromisoformat(as_of) - timedelta(days=days))
+    stop = filters.get("published_to") or as_of
+    if date.fromisoformat(start) > date.fromisoformat(stop):
+        raise ValueError("published_from is after published_to")
+    out = F.col("published").between(F.lit(start).cast("date"), F.lit(stop).cast("date"))
+    if phrase := str(filters.get("keywords") or "").replace('"', "")[:120]:
+        out &= F.lower(F.concat_ws(" ", "title", "description")).contains(phrase.lower())
+    if filters.get("cpv"):
+        code = re.sub(r"[^0-9*]", "", str(filters["cpv"]))[:9]
+        if not re.fullmatch(r"[0-9]+\**", code):
+            raise ValueError(f"not a code: {filters['cpv']}")
+        digits = code.rstrip("*")
+        out &= F.exists("cpv_codes", lambda c: c.startswith(digits) if "*" in code else c == digits)
+    if filters.get("buyer_country"):
+        out &= F.col("buyer_country") == _country(filters["buyer_country"])
+    if filters.get("place_country"):
+        out &= F.array_contains("place_countries", _country(filters["place_country"]))
+    if procedure := filters.get("procedure_type"):
+        if procedure not in PROCEDURES:
+            raise ValueError(f"not a procedure: {procedure}")
+        out &= F.col("procedure_type") == procedure
+    return F.coalesce(out, F.lit(False))
 
 
 def check_outcome() -> Column:
@@ -126,3 +203,8 @@ def ingest(batch: DataFrame, state: DataFrame, key: str, fields: list[str], orde
     columns = [key, *fields, "fingerprint", "version", "first_seen", "last_seen"]
     kept = state.select(*columns).join(new.select(key), key, "left_anti")
     return kept.unionByName(rows.select(*columns)), rows.filter("status <> 'unchanged'").select(*columns, "status")
+
+
+def compare_versions(history: DataFrame, key: str, fields: list[str], a: int, b: int, material: set[str]) -> DataFrame:
+    """Changed fields from version a to version b of each key that has both."""
+    return field_diff(history.filter(F.col("version") == a), history.filter(F.col("version") == b), [key], fields, material)

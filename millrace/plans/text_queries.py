@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import columns as C
-from millrace.operators import grounding, retrieval
+from millrace.operators import eforms, grounding, retrieval, tenders
 from millrace.plans.registry import Tables, query
 from millrace.sources.shared import stage
 
@@ -106,30 +106,36 @@ def retrieval_metrics(t: Tables) -> DataFrame:
 
 
 def _claims(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Each conversation is an answer, its turns are claims; a turn cites the benchmark item of its number, and every third turn one that does not exist."""
-    items = 40
-    ids = F.when(F.col("turn") % 3 == 2, F.array(F.lit("none"))).otherwise(F.array((F.col("conv_id") % items).cast("string")))
-    answers = t.conversations.groupBy(F.col("conv_id").alias("answer_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text", ids.alias("evidence_ids")))), lambda x: F.struct(x["text"].alias("text"), x["evidence_ids"].alias("evidence_ids"))).alias("claims"))
-    return answers, t.benchmark.select(F.col("item_id").cast("string").alias("evidence_id"), "text", F.lit(False).alias("is_decision"))
+    """Each conversation is an answer, its turns are claims that cite a benchmark item, or every third time one that does
+    not exist; every other third claim quotes the item that it cites."""
+    evidence = t.benchmark.select(F.col("item_id").cast("string").alias("evidence_id"), "text", F.lit(False).alias("is_decision"))
+    items = F.broadcast(t.benchmark.agg(F.count(F.lit(1)).alias("items")))
+    turns = t.conversations.crossJoin(items).withColumn("cited", F.when(F.col("turn") % 3 == 2, "none").otherwise((F.col("conv_id") % F.col("items")).cast("string")))
+    quoted = turns.join(evidence.select(F.col("evidence_id").alias("cited"), F.substring("text", 1, 80).alias("quote")), "cited", "left")
+    claim = F.struct("turn", F.when(F.col("turn") % 3 == 1, F.coalesce("quote", "text")).otherwise(F.col("text")).alias("text"), F.array("cited").alias("evidence_ids"))
+    answers = quoted.groupBy(F.col("conv_id").alias("answer_id")).agg(F.transform(F.array_sort(F.collect_list(claim)), lambda x: F.struct(x["text"].alias("text"), x["evidence_ids"].alias("evidence_ids"))).alias("claims"))
+    return answers, evidence
 
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in grounding.STOPWORDS) + "]"
-_CL = f"""c AS (SELECT conv_id, turn, text, CASE WHEN turn % 3 = 2 THEN 'none' ELSE cast(conv_id % 40 AS VARCHAR) END AS eid FROM conversations), e AS (SELECT cast(item_id AS VARCHAR) AS eid, text AS etext FROM benchmark),
+_NUM = r"list_distinct(list_transform(regexp_extract_all(lower({x}), '(?:^|[^a-z])(\d+(?:[.,]\d+)?)', 1), lambda x: replace(x, ',', '.')))"
+_CL = f"""c AS (SELECT conv_id, turn, text, CASE WHEN turn % 3 = 2 THEN 'none' ELSE cast(conv_id % (SELECT count(*) FROM benchmark) AS VARCHAR) END AS eid FROM conversations), e AS (SELECT cast(item_id AS VARCHAR) AS eid, text AS etext FROM benchmark),
+    d AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN coalesce(substr(etext, 1, 80), text) ELSE text END AS text, etext FROM c LEFT JOIN e USING (eid)),
     k AS (SELECT conv_id, turn, text, etext, list_filter(list_distinct({_TOK}), lambda w: NOT list_contains({_STOP}, w)) AS a, list_filter(list_distinct({_TOK.replace("text", "etext")}), lambda w: NOT list_contains({_STOP}, w)) AS b,
-    list_distinct(list_transform(regexp_extract_all(text, '\\d+(?:[.,]\\d+)?'), lambda x: replace(x, ',', '.'))) AS na, list_distinct(list_transform(regexp_extract_all(coalesce(etext, ''), '\\d+(?:[.,]\\d+)?'), lambda x: replace(x, ',', '.'))) AS nb FROM c LEFT JOIN e USING (eid)),
-    v AS (SELECT *, etext IS NOT NULL AND len(list_intersect(a, b)) / greatest(len(a), 1) >= 0.1 AND list_has_all(nb, na) AND NOT regexp_matches(text, '(?i)ignore all previous|system prompt|fake:\\d+|<untrusted') AND NOT regexp_matches(upper(text), '\\b(?:BID|NO_BID|REVIEW|INSUFFICIENT_EVIDENCE)\\b') AS ok FROM k)"""
+    {_NUM.format(x="text")} AS na, {_NUM.format(x="coalesce(etext, '')")} AS nb FROM d),
+    v AS (SELECT *, etext IS NOT NULL AND len(list_intersect(a, b)) / greatest(len(a), 1) >= 0.5 AND list_has_all(nb, na) AND NOT regexp_matches(text, '(?i)ignore all previous|system prompt|fake:\d+|<untrusted') AND NOT regexp_matches(upper(text), '\b(?:BID|NO_BID|REVIEW|INSUFFICIENT_EVIDENCE)\b') AS ok FROM k)"""
 
 
 @query(f"WITH {_CL} SELECT conv_id AS answer_id, count(*) AS claims, count(*) FILTER (WHERE ok) AS supported, count(*) AS cited, count(etext) AS known, round(count(*) FILTER (WHERE ok) / count(*), 6) AS support_rate, round(count(etext) / count(*), 6) AS citation_validity, CASE WHEN count(*) FILTER (WHERE ok) > 0 THEN 'ANSWERED' ELSE 'INSUFFICIENT_EVIDENCE' END AS status FROM v GROUP BY 1")
 def claim_verification(t: Tables) -> DataFrame:
     answers, evidence = _claims(t)
-    return grounding.verify_claims(answers, evidence, 0.1)[1].drop("answer")
+    return grounding.verify_claims(answers, evidence)[1].drop("answer")
 
 
 @query(f"WITH {_CL} SELECT conv_id AS answer_id, turn, ok AS supported, etext IS NOT NULL AS known FROM v")
 def claim_evidence(t: Tables) -> DataFrame:
     answers, evidence = _claims(t)
-    return grounding.verify_claims(answers, evidence, 0.1)[0].select("answer_id", F.col("pos").cast("long").alias("turn"), "supported", (F.col("n_known") > 0).alias("known"))
+    return grounding.verify_claims(answers, evidence)[0].select("answer_id", F.col("pos").cast("long").alias("turn"), "supported", (F.col("n_known") > 0).alias("known"))
 
 
 _PATTERNS = {"mail": r"[A-Za-z0-9._]+@[A-Za-z0-9.]+\.[a-z]+", "address": r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", "secret": r"token = .[0-9a-f]{20,}", "phone": r"\+\d+ \(\d{3}\) \d{3}-\d{4}"}
@@ -142,14 +148,79 @@ def quarantine_patterns(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.inline(F.filter(hits, lambda x: x.isNotNull())))
 
 
-@query("SELECT cast(conv_id % 7 AS BIGINT) AS notice, CASE WHEN bool_or(role = 'system') THEN 'NO_BID' WHEN bool_or(length(text) > 600) THEN 'REVIEW' ELSE 'BID' END AS decision, count(*) AS checks FROM conversations GROUP BY 1")
-def decision_rollup(t: Tables) -> DataFrame:
-    """A failed check blocks, an uncertain one asks for review."""
-    g = t.conversations.groupBy((F.col("conv_id") % 7).alias("notice")).agg(F.bool_or(F.col("role") == "system").alias("failed"), F.bool_or(F.length("text") > 600).alias("unsure"), F.count(F.lit(1)).alias("checks"))
-    return g.select("notice", F.when(F.col("failed"), "NO_BID").when(F.col("unsure"), "REVIEW").otherwise("BID").alias("decision"), "checks")
+#: Orders as notices: each line is a lot that asks for what the line says. A line number may occur twice in an order.
+_LOT = """lots AS (SELECT cast(l_orderkey AS VARCHAR) AS notice_id, 'LOT-' || l_linenumber AS lot_id, l_linenumber AS line, floor(min(l_extendedprice)) AS turnover, floor(min(l_quantity)) AS refs, min(l_returnflag) = 'R' AS certified FROM lineitem GROUP BY l_orderkey, l_linenumber)"""
+
+
+def _lines(t: Tables) -> DataFrame:
+    return t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_extendedprice", "l_quantity", "l_returnflag")])
+
 
+def _lots(t: Tables) -> DataFrame:
+    whole = lambda c: F.floor(c).cast("long").cast("string")
+    asked = F.concat(
+        F.lit("Minimum annual turnover of "), whole("l_extendedprice"), F.lit(" EUR. At least "), whole("l_quantity"), F.lit(" references."),
+        F.when(F.col("l_returnflag") == "R", " ISO 9001 is required.").otherwise(" Bidders must write English."),
+        F.when(F.col("l_linenumber") % 2 == 0, " The supplier must employ qualified staff at all times.").otherwise(""),
+    )
+    return _lines(t).select(
+        F.col("l_orderkey").cast("string").alias("notice_id"), F.concat(F.lit("LOT-"), F.col("l_linenumber").cast("string")).alias("lot_id"), F.lit("Data platform").alias("title"), asked.alias("description"),
+        F.col("l_extendedprice").cast("double").alias("value"), F.lit("2026-12-31").alias("deadline"), F.array(F.lit("FIN")).alias("place_of_performance"),
+    )
 
-@query("SELECT doc_id, cast(len(regexp_extract_all(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+')) AS INTEGER) AS mails, cast(len(regexp_extract_all(text, '[0-9]{6,}')) AS INTEGER) AS long_numbers FROM documents")
+
+_PROFILE = "profile_id string, countries_served array<string>, capabilities array<string>, certifications array<string>, languages array<string>, annual_turnover double, reference_count int, min_contract_value double, max_contract_value double"
+
+
+@query(
+    f"""WITH {_LOT}, s AS (SELECT *, CASE WHEN turnover > 50000 OR refs > 25 OR certified THEN 'NO_BID' WHEN line % 2 = 0 THEN 'REVIEW' ELSE 'BID' END AS status FROM lots)
+    SELECT notice_id, cast(count(*) FILTER (WHERE status = 'BID') AS INTEGER) AS eligible, cast(count(*) FILTER (WHERE status = 'REVIEW') AS INTEGER) AS review, cast(count(*) FILTER (WHERE status = 'NO_BID') AS INTEGER) AS blocked,
+           CASE WHEN bool_or(status = 'BID') THEN 'BID' WHEN bool_or(status = 'REVIEW') THEN 'REVIEW' ELSE 'NO_BID' END AS decision FROM s GROUP BY 1"""
+)
+def decision_rollup(t: Tables) -> DataFrame:
+    """Requirements of all lots, their checks against a profile, and the decision per notice."""
+    lots = _lots(t)
+    profile = t.spark.createDataFrame([("p", ["FIN"], ["SQL"], ["ISO 27001"], ["English"], 50_000.0, 25, None, None)], _PROFILE)
+    asked = tenders.extract_requirements(lots)[0].withColumn("value_list", F.lit(None).cast("array<string>"))
+    notices = tenders.assess(lots, asked, profile, "2026-06-01")[2]
+    size = lambda c: F.size(c).cast("int")
+    return notices.select("notice_id", size("eligible_lots").alias("eligible"), size("review_lots").alias("review"), size("blocked_lots").alias("blocked"), F.col("status").alias("decision"))
+
+
+@query(
+    f"""WITH {_LOT}, r AS (SELECT notice_id, lot_id, 'turnover' AS category, turnover AS v FROM lots UNION ALL SELECT notice_id, lot_id, 'references', refs FROM lots
+      UNION ALL SELECT notice_id, lot_id, CASE WHEN certified THEN 'certification' ELSE 'language' END, NULL FROM lots UNION ALL SELECT notice_id, lot_id, 'staff', NULL FROM lots WHERE line % 2 = 0)
+    SELECT category, CASE WHEN category IN ('turnover', 'references') THEN '>=' WHEN category <> 'staff' THEN 'contains' END AS operator, CASE WHEN category = 'staff' THEN 'UNSTRUCTURED' ELSE 'STRUCTURED' END AS state,
+           count(*) AS n, count(*) AS with_evidence, cast(sum(v) AS DOUBLE) AS total FROM r GROUP BY 1, 2, 3"""
+)
 def extract_patterns(t: Tables) -> DataFrame:
-    count = lambda p: F.size(F.regexp_extract_all(F.col("text"), F.lit(p), F.lit(0)))
-    return t.documents.select("doc_id", count("[A-Za-z0-9._]+@[A-Za-z0-9.]+").alias("mails"), count("[0-9]{6,}").alias("long_numbers"))
+    """Requirements that all lots state, each with its row of evidence."""
+    asked, _, evidence = tenders.extract_requirements(_lots(t))
+    rows = asked.join(evidence.select("evidence_id", F.lit(True).alias("known")), "evidence_id", "left")
+    return rows.groupBy("category", "operator", F.col("extraction_status").alias("state")).agg(F.count(F.lit(1)).alias("n"), F.count("known").alias("with_evidence"), F.sum("value_num").alias("total"))
+
+
+@query(
+    f"""WITH {_LOT} SELECT CASE WHEN certified THEN 'turnover' ELSE 'staff' END AS kind, 'eforms:SelectionCriteria' AS field, count(*) AS n, cast(NULL AS DOUBLE) AS weight FROM lots GROUP BY 1
+    UNION ALL SELECT 'technical', 'other', count(*), NULL FROM lots WHERE line = 1
+    UNION ALL SELECT 'price', 'award', count(*), sum(refs + 0.5) FROM lots UNION ALL SELECT 'XML', 'procurement_document', count(*), NULL FROM lots"""
+)
+def xml_lot_enrichment(t: Tables) -> DataFrame:
+    """Lots of all notices with what their XML says; of the requirements known before, those that the XML states go."""
+    lines = _lines(t)
+    lots = _lots(t).withColumns({"description": F.lit("Given."), "xml_url": F.lit("xml")})
+    text = F.when(F.col("l_returnflag") == "R", "Financial &amp; other means").otherwise("Enough staff")
+    lot = F.concat(
+        F.lit("<cac:ProcurementProjectLot><cbc:ID>LOT-"), F.col("l_linenumber").cast("string"), F.lit('</cbc:ID><cac:SelectionCriteria><cbc:TendererRequirementTypeCode listName="selection-criterion">x</cbc:TendererRequirementTypeCode><cbc:Description>'), text,
+        F.lit("</cbc:Description></cac:SelectionCriteria><cac:SubordinateAwardingCriterion><cbc:AwardingCriterionTypeCode>price</cbc:AwardingCriterionTypeCode><cbc:ParameterNumeric>"), F.floor("l_quantity").cast("long").cast("string"), F.lit(",5</cbc:ParameterNumeric></cac:SubordinateAwardingCriterion></cac:ProcurementProjectLot>"),
+    )
+    notice = F.col("l_orderkey").cast("string").alias("notice_id")
+    documents = lines.groupBy(notice).agg(F.concat(F.lit('<Notice xmlns:cac="a" xmlns:cbc="b">'), F.array_join(F.collect_list(lot), ""), F.lit("</Notice>")).alias("xml"))
+    known = lines.select(notice, F.concat(F.lit("LOT-"), F.col("l_linenumber").cast("string")).alias("lot_id"), F.when(F.col("l_returnflag") == "R", "Financial & other means").otherwise("Enough staff").alias("text"))
+    known = known.unionByName(lines.filter("l_linenumber = 1").select(notice, F.lit("LOT-1").alias("lot_id"), F.lit("Another thing").alias("text"))).withColumns({"source_field": F.lit("other"), "category": F.lit("technical")})
+    out = eforms.enrich(lots, known, documents)
+    none = F.lit(None).cast("double")
+    rows = out["requirements"].groupBy(F.col("category").alias("kind"), F.col("source_field").alias("field")).agg(F.count(F.lit(1)).alias("n")).withColumn("weight", none)
+    awards = out["awards"].groupBy(F.col("type").alias("kind"), F.lit("award").alias("field")).agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
+    texts = out["evidence"].filter("field = 'procurement_document'").groupBy(F.lit("XML").alias("kind"), "field").agg(F.count(F.lit(1)).alias("n")).withColumn("weight", none)
+    return rows.unionByName(awards).unionByName(texts)
