@@ -88,10 +88,11 @@ def business_days(start: Column | str, end: Column | str) -> Column:
     return F.when(n > 0, F.floor(n / 7) * 5 + F.size(rest)).otherwise(0).cast("int")
 
 
-def holidays_between(start: Column | str, end: Column | str) -> Column:
+def holidays_between(start: Column | str, end: Column | str, weekdays: bool = False) -> Column:
+    """Holidays in the inclusive interval; with `weekdays`, those from Monday to Friday."""
     years = F.sequence(F.year(col(start)), F.year(col(end)))
     days = F.flatten(F.transform(years, lambda y: F.array(*[F.to_date(F.concat(y.cast("string"), F.lit("-" + d))) for d in HOLIDAYS])))
-    return F.size(F.filter(days, lambda d: (d >= col(start)) & (d <= col(end))))
+    return F.size(F.filter(days, lambda d: (d >= col(start)) & (d <= col(end)) & (F.weekday(d) < 5 if weekdays else F.lit(True))))
 
 
 def bucket(value: Column | str, edges: list[float], labels: list[str], missing: str = "__missing__") -> Column:

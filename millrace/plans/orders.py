@@ -87,46 +87,3 @@ def seller_shares(orders: DataFrame) -> DataFrame:
     w = Window.partitionBy("order_id")
     total = F.sum("value").over(w)
     return rows.select("order_id", "seller_id", F.when(total > 0, F.col("value") / total).otherwise(1 / F.count(F.lit(1)).over(w)).alias("weight"))
-
-
-def static_features(orders: DataFrame) -> DataFrame:
-    """Ratios and calendar counts that need the row alone."""
-    start, end = F.to_date("order_purchase_timestamp"), F.to_date("order_estimated_delivery_date")
-    return orders.withColumns(
-        {
-            "freight_per_km": C.clipped_ratio("total_freight_value", F.greatest(F.col("distance_km"), F.lit(1.0)), 0, 50),
-            "freight_per_kg": C.clipped_ratio("total_freight_value", F.greatest(F.col("total_weight_g") / 1000, F.lit(0.05)), 0, 500),
-            "freight_share": C.clipped_ratio("total_freight_value", F.greatest(F.col("total_item_value"), F.lit(1.0)), 0, 10),
-            "km_per_promised_day": C.clipped_ratio("distance_km", F.greatest(F.col("promised_delivery_days"), F.lit(0.25)), 0, 2000),
-            "promised_business_days": C.business_days(start, end),
-            "promised_holidays": C.holidays_between(start, end),
-            "season": C.season("purchase_month"),
-            "distance_band": C.bucket("distance_km", [50, 150, 300, 600, 1000], ["to 50", "to 150", "to 300", "to 600", "to 1000", "over 1000"]),
-            "seller_region": C.zip_region("seller_zip"),
-            "customer_region": C.zip_region("customer_zip"),
-            "multi_seller": (F.col("seller_count") > 1).cast("int"),
-        }
-    )
-
-
-def seller_history(orders: DataFrame, strength: float = 20.0, default: float = 0.05) -> DataFrame:
-    """(order_id, weighted, highest and least prior late rate of its sellers, log count), from labels known strictly before the day.
-
-    Orders per seller are counted on the day of purchase, outcomes on the day they became known; both are daily
-    histories, and the prior of the smoothing is the global rate before the day.
-    """
-    from millrace.operators.history import daily_history, prior_history
-
-    rows = orders.select("order_id", F.to_date("order_purchase_timestamp").alias("d"), F.to_date("label_available_timestamp").alias("known"), "late_1d")
-    members = seller_shares(orders).join(rows, "order_id")
-    asked = members.select("seller_id", F.unix_date("d").alias("day"))
-    known = prior_history(daily_history(members, ["seller_id"], F.col("known"), F.col("late_1d")), ["seller_id"], asked, ())
-    overall = prior_history(daily_history(rows, [], F.col("known"), F.col("late_1d")).withColumn("all", F.lit(0)), ["all"], rows.select(F.lit(0).alias("all"), F.unix_date("d").alias("day")), ())
-    prior = overall.select("day", F.coalesce(F.try_divide(F.col("prior_late").cast("double"), F.col("prior_n").cast("double")), F.lit(default)).alias("prior"))
-    joined = members.withColumn("day", F.unix_date("d")).join(known, ["seller_id", "day"]).join(prior, "day")
-    rate = C.smoothed_rate("prior_late", "prior_n", F.col("prior"), strength)
-    return joined.groupBy("order_id").agg(F.sum(F.col("weight") * rate).alias("seller_rate"), F.max(rate).alias("seller_rate_max"), F.min(rate).alias("seller_rate_min"), F.log1p(F.sum("prior_n")).alias("seller_log_n"))
-
-
-def feature_table(orders: DataFrame) -> DataFrame:
-    return static_features(orders).join(seller_history(orders), "order_id")

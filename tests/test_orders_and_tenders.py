@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import eforms, grounding, tenders
 from millrace.operators.tables import field_diff
-from millrace.plans import orders
+from millrace.plans import features, orders
 from millrace.sources import feeds
 
 ROWS = {
@@ -47,13 +47,14 @@ def order_rows(spark, rows):
 
 def test_seller_history_sees_only_the_past(spark):
     rows = [("a", "2017-01-01", "2017-01-03", 1, "s1", "10"), ("b", "2017-01-02", "2017-01-09", 0, "s1", "10"), ("c", "2017-01-04", "2017-01-09", 0, "s1|s2", "80|20")]
-    got = {r.order_id: r for r in orders.seller_history(order_rows(spark, rows)).collect()}
-    assert got["b"].seller_rate == pytest.approx(0.05)  # nothing is known yet: the default prior
+    of = lambda r: {x.order_id: x for x in features.seller_features(order_rows(spark, r).withColumn("primary_seller_id", F.lit("s1"))).collect()}
+    got = of(rows)
+    assert got["b"].primary_seller_prior_late_rate == pytest.approx(0.05)  # nothing is known yet: the default prior
     s1, s2 = (1 + 20 * 1.0) / 21, (0 + 20 * 1.0) / 20  # the global rate before day 4 is 1 of 1
-    assert got["c"].seller_rate == pytest.approx(0.8 * s1 + 0.2 * s2) and got["c"].seller_rate_max == pytest.approx(max(s1, s2))
+    assert got["c"].seller_prior_late_rate_weighted == pytest.approx(0.8 * s1 + 0.2 * s2) and got["c"].seller_prior_late_rate_max == pytest.approx(max(s1, s2))
+    assert got["c"].primary_seller_order_count_7d_log == pytest.approx(1.0986123) and got["c"].primary_seller_prior_known_count_log == pytest.approx(0.6931472)
     changed = [*rows[:2], ("c", "2017-01-04", "2017-01-09", 1, "s1|s2", "80|20")]
-    again = {r.order_id: r for r in orders.seller_history(order_rows(spark, changed)).collect()}
-    assert again["b"] == got["b"]
+    assert of(changed)["b"] == got["b"]
 
 
 NOTICE = "The supplier must have at least 3 references. A minimum annual turnover of 500 000 EUR is expected. ISO 27001 certification is required. All staff shall hold a security clearance of level two."
