@@ -25,6 +25,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.scratch import stage
+
 SAMPLE_ROWS, SEED = 8000, 17
 #: Slots of the features of characters and repetition, and of words.
 DIMENSIONS, WORD_DIMENSIONS = 1024, 1024
@@ -164,7 +166,8 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray,
     if n > sample_rows:
         row = [c for c in ("doc_id", "text") if c in docs.columns]  # copies under other ids are drawn one by one
         drawn = drawn.filter(F.pmod(F.xxhash64(F.lit(SEED), *row), F.lit(1 << 40)) < int((1 << 40) * 0.95 * sample_rows / n))
-    drawn = drawn.select("text").repartition(SAMPLE_PARTITIONS).withColumn("p", label(_pattern(F.col("text")))).select(array_to_vector(hashed(F.col("text"))).alias("features"), "p")
+    drawn = drawn.select("text").repartition(SAMPLE_PARTITIONS).withColumn("p", label(_pattern(F.col("text")))).select(hashed(F.col("text")).alias("x"), "p")
+    drawn = stage(drawn, "sample").select(array_to_vector("x").alias("features"), "p")  # the fit reads it more than once
     # a soft label is both labels, each with its weight
     soft = drawn.select("features", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("p").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("weight")))).alias("l"))
     model = LogisticRegression(weightCol="weight", regParam=0.001, maxIter=50).fit(soft.select("features", "l.label", "l.weight"))

@@ -1,12 +1,15 @@
 """What the operators here share: intermediate tables (see millrace.sources.shared) and how rows are told apart."""
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.sources.shared import new_path, root, stage
 
-__all__ = ["LAST_ID", "doc_ids", "new_path", "root", "stage"]
+__all__ = ["LAST_ID", "doc_ids", "new_path", "root", "stage", "text_batches"]
 
 #: A null document id counts as this one, the largest.
 LAST_ID = (1 << 63) - 1
@@ -18,3 +21,20 @@ def doc_ids(docs: DataFrame, name: str = "doc_id") -> Column:
     if not isinstance(kind, (T.IntegralType, T.NullType)):
         raise TypeError(f"{name} must hold integers, not {kind.simpleString()}")
     return F.coalesce(F.col(name).cast("long"), F.lit(LAST_ID))
+
+
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def text_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Fewer rows in each batch that goes to Python, since texts are long; what runs inside is planned so.
+
+    The session's own setting is there again afterwards.
+    """
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
