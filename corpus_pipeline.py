@@ -56,10 +56,10 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with ids (array<int>), n_tokens and round_trip (the ids decode to the text's bytes)."""
     vocab = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    with text_batches(spark):
-        both = stage(bpe.round_trip(docs, vocab, public_tokenizers.PATTERN), "tokens")
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
-    return both.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("round_trip", same).drop("decoded")
+    with text_batches(spark):
+        both = bpe.round_trip(docs, vocab, public_tokenizers.PATTERN)
+        return stage(both.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("round_trip", same).drop("decoded"), "tokens")
 
 
 STAGES = [
