@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import THRESHOLDS, col, safe_rate
+from millrace.operators.ranking import quantiles
 
 
 def reliability_columns(delay: str = "delay", cancelled: str = "cancelled", thresholds=THRESHOLDS) -> list[Column]:
@@ -119,7 +120,7 @@ def problem_entities(df: DataFrame, by: list[str], threshold: int, top: int = 5,
 def calibration_bins(df: DataFrame, p: str, y: str, n: int = 10) -> DataFrame:
     """Quantile bins, right-closed, the first with its minimum; equal edges fall together."""
     inner = [k / n for k in range(1, n)]
-    edges = F.broadcast(df.agg(F.array_distinct(F.percentile(p, F.array(*map(F.lit, inner)))).alias("edges")))  # one row
+    edges = F.broadcast(quantiles(df, p, inner).select(F.array_distinct("q").alias("edges")))  # one row
     number = F.size(F.filter("edges", lambda e: e < F.col(p)))
     rows = df.crossJoin(edges).groupBy(number.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(p), 6).alias("mean_p"), F.round(F.avg(F.col(y).cast("double")), 6).alias("rate"))
     return rows.withColumn("gap", F.round(F.abs(F.col("mean_p") - F.col("rate")), 6))

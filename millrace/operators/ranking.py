@@ -27,6 +27,31 @@ def numbered(df: DataFrame, *order: str, descending: bool = False, name: str = "
     return parts.withColumn("__in", inside).join(offsets, "__part").withColumn(name, F.col("__in") + F.col("__before")).drop("__part", "__in", "__before")
 
 
+def quantiles(df: DataFrame, column: str, probabilities: list[float]) -> DataFrame:
+    """One row, q array<double>: exact quantiles, linear between neighbouring ranks; nulls and NaN do not count.
+
+    Distinct values are counted first and dealt by ranges; a range's total tells which of the ranks asked for lie in
+    it, so no task holds more than its own range. Without values q is null.
+    """
+    value = F.col(column).cast("double")
+    per = df.select(value.alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stage(per.repartitionByRange(parts, "v").withColumn("part", F.spark_partition_id()), "values")
+    sums = dealt.groupBy("part").agg(F.sum("n").alias("t"))
+    total = int(sums.agg(F.sum("t")).first()[0] or 0)
+    places = [p * max(total - 1, 0) for p in probabilities]
+    ranks = sorted({int(x) for x in places} | {min(int(x) + 1, max(total - 1, 0)) for x in places})
+    before = F.coalesce(F.sum("t").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")
+    offsets = sums.select("part", before, "t").withColumn("ranks", F.filter(F.array(*[F.lit(r).cast("long") for r in ranks]), lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("t")))).filter(F.size("ranks") > 0)
+    rows = dealt.join(F.broadcast(offsets), "part")  # a row for each partition at most
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy("v")) + F.col("before")
+    hit = rows.withColumn("upto", upto).select("v", F.explode(F.filter("ranks", lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n")))).alias("rank"))
+    found = hit.agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))  # as many as ranks were asked for
+    at = lambda r: F.element_at("at", F.lit(r).cast("long"))
+    q = F.array(*[at(int(x)) + (at(min(int(x) + 1, max(total - 1, 0))) - at(int(x))) * (x - int(x)) for x in places])
+    return found.select((q if total else F.lit(None).cast("array<double>")).alias("q"))
+
+
 def rank_fraction(df: DataFrame, score: str, tie: str) -> DataFrame:
     """(rank - 1) / max(n - 1, 1), ties in order of `tie`."""
     total = F.broadcast(df.agg(F.count(F.lit(1)).alias("__total")))

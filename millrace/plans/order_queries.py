@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import columns as C
-from millrace.operators import history, metrics, ranking
+from millrace.operators import history, metrics, models, ranking
 from millrace.plans.registry import Tables, facts, query
+from millrace.sources.shared import stage
 
 _ORDER_LATE = """ol AS (SELECT o_orderkey, o_custkey, cast(o_orderdate AS DATE) AS day, cast(epoch(o_orderdate) / 86400 AS INTEGER) AS d, o_totalprice AS price, o_orderpriority AS priority, o_orderstatus = 'F' AS late FROM orders)"""
 
@@ -280,7 +283,8 @@ _PROFILE = "SELECT avg(o_totalprice) AS mean, stddev_pop(o_totalprice) AS sd, me
 @query(f"WITH s AS ({_PROFILE}), c AS (SELECT o_orderpriority AS category, count(*) AS n FROM orders GROUP BY 1) SELECT category, n, n >= 5 AS kept, round(mean, 2) AS mean, round(sd, 2) AS sd, round(med, 2) AS med FROM c, s")
 def fit_preprocess(t: Tables) -> DataFrame:
     """Statistics of a numeric column and the categories that are frequent enough for a slot of their own."""
-    s = F.broadcast(t.orders.agg(F.round(F.avg("o_totalprice"), 2).alias("mean"), F.round(F.stddev_pop("o_totalprice"), 2).alias("sd"), F.round(F.median("o_totalprice"), 2).alias("med")))
+    s = F.broadcast(t.orders.agg(F.round(F.avg("o_totalprice"), 2).alias("mean"), F.round(F.stddev_pop("o_totalprice"), 2).alias("sd")))
+    s = s.crossJoin(F.broadcast(ranking.quantiles(t.orders, "o_totalprice", [0.5]).select(F.round(F.col("q")[0], 2).alias("med"))))
     c = t.orders.groupBy(F.col("o_orderpriority").alias("category")).agg(F.count(F.lit(1)).alias("n"))
     return c.withColumn("kept", F.col("n") >= 5).crossJoin(s)
 
@@ -330,54 +334,88 @@ def poisson_bootstrap(t: Tables) -> DataFrame:
     return long.select("x.*")
 
 
+_NUMERIC = ["month", "weekday_number", "items", "sellers", "value", "log_prior", "prior_rate"]
+
+
+def _labelled(t: Tables) -> DataFrame:
+    """Order features with a label that the order's priority and value decide in part, its day and priority."""
+    more = t.orders.select("o_orderkey", F.to_date("o_orderdate").alias("day"), F.col("o_orderpriority").alias("priority"), "o_totalprice")
+    rows = pit_feature_table(t).drop("label").join(more, "o_orderkey")
+    noise = F.pmod(F.xxhash64("o_orderkey"), F.lit(1000)) / 1000
+    return rows.withColumn("label", (C.sigmoid(linear_logit(F.col("o_totalprice"), F.col("priority")) * 3) > noise).cast("double"))
+
+
+def _split(t: Tables) -> tuple[DataFrame, DataFrame]:
+    rows = stage(_labelled(t).join(chrono_split(t), "o_orderkey"), "labelled")
+    train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
+    prep = models.fit_preprocess(train, [*_NUMERIC, "o_totalprice"], ["priority"])
+    rate = train.agg(F.avg("label")).first()[0] or 0.0
+    weight = F.when(F.col("label") == 1, 0.5 / max(rate, 1e-6)).otherwise(0.5 / max(1 - rate, 1e-6))
+    return prep.apply(train).withColumn("weight", weight), prep.apply(test)
+
+
 @query()
 def logistic_model(t: Tables) -> DataFrame:
     """A class-weighted logistic baseline on the training split, scored on the test split."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import vector_to_array
-
-    train, test = _model_frame(t)
-    model = LogisticRegression(weightCol="weight", regParam=0.01, elasticNetParam=0.0).fit(train)
-    return model.transform(test).select("o_orderkey", "label", F.round(vector_to_array("probability")[1], 6).alias("p"))
+    train, test = _split(t)
+    model = models.fit(models.Candidate("baseline", "logistic", {"weightCol": "weight", "regParam": 0.01, "elasticNetParam": 0.5}), train)
+    return models.score(model, test).select("o_orderkey", "label", F.round("p", 6).alias("p"))
 
 
 @query()
 def boosted_model(t: Tables) -> DataFrame:
     """Boosted trees as the challenger of the baseline."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.functions import vector_to_array
+    train, test = _split(t)
+    model = models.fit(models.Candidate("challenger", "boosted", {"maxIter": 5, "maxDepth": 3}), train)
+    return models.score(model, test).select("o_orderkey", "label", F.round("p", 6).alias("p"))
 
-    train, test = _model_frame(t)
-    return GBTClassifier(maxIter=5, maxDepth=3, seed=42).fit(train).transform(test).select("o_orderkey", "label", F.round(vector_to_array("probability")[1], 6).alias("p"))
 
+def _model_folds(t: Tables, n: int = 2) -> list[models.Fold]:
+    """Expanding folds over the later part of the orders' days; the last 15 % stay unseen."""
+    first, last = t.orders.agg(F.unix_date(F.min(F.to_date("o_orderdate"))), F.unix_date(F.max(F.to_date("o_orderdate")))).first()
+    at = [first + int((last - first) * (0.5 + 0.35 * k / n)) for k in range(n + 1)]
+    days = [str(date(1970, 1, 1) + timedelta(days=d)) for d in at]
+    return [(f"fold-{k + 1}", days[k], days[k + 1]) for k in range(n)]
 
-def _model_frame(t: Tables) -> tuple[DataFrame, DataFrame]:
-    from pyspark.ml.feature import VectorAssembler
 
-    rows = pit_feature_table(t).join(chrono_split(t), "o_orderkey").fillna(0, ["items", "sellers", "value"])
-    rows = VectorAssembler(inputCols=["month", "weekday_number", "items", "sellers", "value", "log_prior", "prior_rate"], outputCol="features").transform(rows).withColumn("label", F.col("label").cast("double"))
-    rate = rows.agg(F.avg("label")).first()[0]
-    rows = rows.withColumn("weight", F.when(F.col("label") == 1, 0.5 / max(rate, 1e-6)).otherwise(0.5 / max(1 - rate, 1e-6)))
-    return rows.filter("split = 'train'"), rows.filter("split = 'test'")
+_CANDIDATES = [models.Candidate("logistic-0.001", "logistic", {"regParam": 0.001}), models.Candidate("logistic-0.1", "logistic", {"regParam": 0.1}), models.Candidate("logistic-l1", "logistic", {"regParam": 0.01, "elasticNetParam": 1.0}), models.Candidate("boosted", "boosted", {"maxIter": 5, "maxDepth": 3})]
 
 
 @query()
 def model_search(t: Tables) -> DataFrame:
-    """Candidates over expanding yearly folds; average precision per fold, winner by stability."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    rows = VectorAssembler(inputCols=["month", "items", "sellers", "log_prior", "prior_rate"], outputCol="features").transform(pit_feature_table(t).fillna(0, ["items", "sellers"])).withColumn("label", F.col("label").cast("double"))
-    rows = rows.select("year", "features", "label").persist()  # read by every candidate and fold
-    found = None
-    for reg in (0.001, 0.1):
-        for year in (1999, 2000):
-            model = LogisticRegression(regParam=reg).fit(rows.filter(F.col("year") < year))
-            scored = model.transform(rows.filter(F.col("year") == year)).select(vector_to_array("probability")[1].alias("p"), "label")
-            m = ranking.ranking_metrics(scored, "p", "label").select(F.lit(reg).alias("reg"), F.lit(year).alias("fold"), "average_precision", "roc_auc")
-            found = m if found is None else found.union(m)
-    return found.groupBy("reg").agg(F.round(F.avg("average_precision"), 6).alias("mean"), F.round(F.avg("average_precision") - F.stddev_pop("average_precision"), 6).alias("stability"), F.round(F.avg("roc_auc"), 6).alias("roc_auc"))
+    """Candidates over expanding folds; the most stable one is locked before the last rows are looked at."""
+    found, lock = models.search(stage(_labelled(t), "labelled"), "day", "o_orderkey", _model_folds(t), [*_NUMERIC, "o_totalprice"], ["priority"], _CANDIDATES)
+    rows = [(r["name"], r["family"], *[round(r[k], 6) for k in ("top_recall", "stability", "average_precision", "lift", "roc_auc")], r["name"] == lock["selected"]) for r in found]
+    return t.spark.createDataFrame(rows, "candidate string, family string, top_recall double, stability double, average_precision double, lift double, roc_auc double, selected boolean")
+
+
+@query()
+def feature_ablation(t: Tables) -> DataFrame:
+    """The baseline with one group of features after the other."""
+    groups = {"calendar": (["month", "weekday_number"], []), "order": (["items", "sellers", "value", "o_totalprice"], []), "service": ([], ["priority"]), "history": (["log_prior", "prior_rate"], [])}
+    found = models.ablation(stage(_labelled(t), "labelled"), "day", "o_orderkey", _model_folds(t), groups, _CANDIDATES[0])
+    rows = [(r["stage"], r["features"], *[round(r[k], 6) for k in ("top_recall", "stability", "average_precision", "roc_auc")]) for r in found]
+    return t.spark.createDataFrame(rows, "stage string, features int, top_recall double, stability double, average_precision double, roc_auc double")
+
+
+@query()
+def calibration_choice(t: Tables) -> DataFrame:
+    """Methods fitted on the first 60 % of orders by day and compared on the rest, for scores that are twice too extreme."""
+    rows = _labelled(t).select("day", "o_orderkey", (linear_logit(F.col("o_totalprice"), F.col("priority")) * 6).alias("score"), "label")
+    parameters, found = models.choose_calibration(rows, ["day", "o_orderkey"])
+    return t.spark.createDataFrame([(r["method"], round(r["brier"], 6), round(r["log_loss"], 6), r["method"] == parameters["type"]) for r in found], "method string, brier double, log_loss double, selected boolean")
+
+
+@query()
+def factor_sensitivity(t: Tables) -> DataFrame:
+    """The three groups of factors that move each test row's probability most from that of the reference row."""
+    rows = stage(_labelled(t).join(chrono_split(t), "o_orderkey"), "labelled")
+    train = rows.filter("split = 'train'")
+    prep = models.fit_preprocess(train, [*_NUMERIC, "o_totalprice"], ["priority"])
+    model = models.fit(_CANDIDATES[0], prep.apply(train))
+    groups = {"calendar": ["month", "weekday_number"], "size": ["items", "sellers", "value", "o_totalprice"], "service": ["priority"], "history": ["log_prior", "prior_rate"]}
+    top = models.sensitivity(prep, list(model.coefficients.toArray()), float(model.intercept), groups)
+    return rows.filter("split = 'test'").select("o_orderkey", F.posexplode(top).alias("place", "x")).select("o_orderkey", "place", "x.factor", "x.change")
 
 
 @query("WITH {facts} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(2 * 6371.0088 * asin(sqrt(least(1, power(sin(radians(b - a) / 2), 2) + cos(radians(a)) * cos(radians(b)) * power(sin(radians(d - c) / 2), 2)))), 3) AS km FROM (SELECT *, l_suppkey % 60 - 30 AS a, o_custkey % 60 - 30 AS b, l_suppkey % 40 - 60 AS c, o_custkey % 40 - 60 AS d FROM facts)")
@@ -395,7 +433,7 @@ _QUANTILES = "[" + ", ".join(str(k / 100) for k in range(101)) + "]"
 def risk_score(t: Tables) -> DataFrame:
     """Place among 101 quantiles of the reference scores, linear inside a step. The quantiles are one row."""
     rows = _probabilities(t)
-    q = F.broadcast(rows.agg(F.percentile("p", F.array(*[F.lit(k / 100) for k in range(101)])).alias("q")))
+    q = F.broadcast(ranking.quantiles(rows, "p", [k / 100 for k in range(101)]))
     k = F.size(F.filter("q", lambda x: x < F.col("p")))
     low, high = F.get("q", k - 1), F.get("q", k)
     return rows.crossJoin(q).select("o_orderkey", F.round(F.when(k == 0, 0.0).otherwise(k - 1 + (F.col("p") - low) / (high - low)), 3).alias("score"))

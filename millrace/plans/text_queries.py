@@ -119,7 +119,7 @@ def _claims(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in grounding.STOPWORDS) + "]"
 _NUM = r"list_distinct(list_transform(regexp_extract_all(lower({x}), '(?:^|[^a-z])(\d+(?:[.,]\d+)?)', 1), lambda x: replace(x, ',', '.')))"
-_CL = f"""c AS (SELECT conv_id, turn, text, CASE WHEN turn % 3 = 2 THEN 'none' ELSE cast(conv_id % (SELECT count(*) FROM benchmark) AS VARCHAR) END AS eid FROM conversations), e AS (SELECT cast(item_id AS VARCHAR) AS eid, text AS etext FROM benchmark),
+_CL = rf"""c AS (SELECT conv_id, turn, text, CASE WHEN turn % 3 = 2 THEN 'none' ELSE cast(conv_id % (SELECT count(*) FROM benchmark) AS VARCHAR) END AS eid FROM conversations), e AS (SELECT cast(item_id AS VARCHAR) AS eid, text AS etext FROM benchmark),
     d AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN coalesce(substr(etext, 1, 80), text) ELSE text END AS text, etext FROM c LEFT JOIN e USING (eid)),
     k AS (SELECT conv_id, turn, text, etext, list_filter(list_distinct({_TOK}), lambda w: NOT list_contains({_STOP}, w)) AS a, list_filter(list_distinct({_TOK.replace("text", "etext")}), lambda w: NOT list_contains({_STOP}, w)) AS b,
     {_NUM.format(x="text")} AS na, {_NUM.format(x="coalesce(etext, '')")} AS nb FROM d),
