@@ -6,8 +6,9 @@ neighbouring names are paired, the distinct pairs sorted and numbered again, and
 (level, name) is equal for two texts exactly if the texts are equal, however long they are.
 
 Names are ranks: distinct blocks (pairs) are dealt by ranges, sorted in each range and counted on from range to range,
-so they do not depend on the number of partitions. A block's text travels to be made distinct and to be sorted;
-afterwards it is looked up by a 128-bit digest. Numbering also
+so they do not depend on the number of partitions. Blocks are in order of their first characters, then of a 128-bit
+digest. A block's text travels once, to be made distinct; afterwards it is looked up by its digest, so that neither
+the sort nor the bounds of its ranges, which the driver draws, hold texts. Numbering also
 counts the digests, and if two different blocks ever share one, other seeds are taken: names are free of
 collisions by check, not by assumption.
 
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from millrace.llm.scratch import stage
 
 BLOCK_CHARS = 4096
+#: Characters of a block that its place in the order begins with.
+START_CHARS = 16
 
 
 def normalised(text: Column) -> Column:
@@ -41,9 +44,9 @@ def _digest(block: Column, seed: int) -> Column:
 
 
 def _named(distinct: DataFrame, order: list[str], label: str) -> DataFrame:
-    """Distinct rows with name, their rank (from 0) in the order of all of them; the columns of a block's text go."""
+    """Distinct rows with name, their rank (from 0) in the order of all of them; the start of a block goes."""
     spark = distinct.sparkSession
-    kept = [c for c in distinct.columns if c != "block"]
+    kept = [c for c in distinct.columns if c != "start"]
     dealt = stage(distinct, f"{label}-distinct").repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
     # the id of a row is its partition's number, then its place in it
     placed = stage(dealt.select(*kept, F.monotonically_increasing_id().alias("id")), label).select(*kept, F.shiftright("id", 33).alias("part"), F.col("id").bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
@@ -68,7 +71,7 @@ def block_identities(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFra
         )
         distinct = text.select(F.explode(_blocks(F.col("text"), block_chars)).alias("block")).select(_digest(F.col("block"), seed).alias("d"), "block")
         distinct = distinct.select("d.h1", "d.h2", "block").distinct()
-        names = _named(distinct, ["block"], "names")
+        names = _named(distinct.select("h1", "h2", F.substring("block", 1, START_CHARS).alias("start")), ["start", "h1", "h2"], "names")
         if names.groupBy("h1", "h2").count().filter("count > 1").isEmpty():
             break
         seed += 1
