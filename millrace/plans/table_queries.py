@@ -289,23 +289,31 @@ def embedding_attrs(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", "label").join(groups, "label").select("vec_id", "label", "peers")
 
 
-@query("SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON s_nationkey = c_nationkey WHERE s_acctbal >= 0 UNION ALL SELECT c_custkey, s_suppkey FROM customer, supplier WHERE s_acctbal < 0 AND c_nationkey % 5 = s_nationkey % 5 AND c_acctbal > 9000")
+_RULES = "lots AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem), rules AS (SELECT DISTINCT l_orderkey AS k, CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_linenumber END AS lot, l_returnflag AS kind FROM lineitem)"
+
+
+@query(f"WITH {_RULES} SELECT l_orderkey, l_linenumber, kind FROM lots JOIN rules ON k = l_orderkey AND lot = l_linenumber UNION ALL SELECT l_orderkey, l_linenumber, kind FROM lots JOIN rules ON k = l_orderkey WHERE lot IS NULL")
 def null_matches_all_join(t: Tables) -> DataFrame:
-    """Rules with a key join on it; rules without one join on the coarser key. Two equi-joins, no nested loop."""
-    rules = t.supplier.select("s_suppkey", "s_nationkey", "s_acctbal")
-    keyed = t.customer.join(rules.filter("s_acctbal >= 0"), F.col("c_nationkey") == F.col("s_nationkey"))
-    general = t.customer.filter("c_acctbal > 9000").join(rules.filter("s_acctbal < 0"), F.col("c_nationkey") % 5 == F.col("s_nationkey") % 5)
-    return keyed.select("c_custkey", "s_suppkey").unionByName(general.select("c_custkey", "s_suppkey"))
+    """Rules of an order hold for the line that they name, or for all lines of the order: two equi-joins, no OR."""
+    lots = t.lineitem.select("l_orderkey", "l_linenumber").distinct()
+    rules = t.lineitem.select("l_orderkey", F.when(F.col("l_returnflag") != "R", F.col("l_linenumber")).alias("l_linenumber"), F.col("l_returnflag").alias("kind")).distinct()
+    own = lots.join(rules.filter("l_linenumber is not null"), ["l_orderkey", "l_linenumber"])
+    shared = lots.join(rules.filter("l_linenumber is null").drop("l_linenumber"), "l_orderkey")
+    return own.select("l_orderkey", "l_linenumber", "kind").unionByName(shared.select("l_orderkey", "l_linenumber", "kind"))
 
 
-@query("SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON s_nationkey = c_nationkey WHERE s_acctbal >= 0 UNION ALL SELECT c_custkey, s_suppkey FROM customer JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN nation sn ON cn.n_regionkey = sn.n_regionkey JOIN supplier ON s_nationkey = sn.n_nationkey WHERE s_acctbal < 0")
+@query("SELECT c_custkey, count(s_suppkey) AS rules, min(s_suppkey) AS first_rule FROM (SELECT c_custkey, s_suppkey FROM customer LEFT JOIN supplier ON s_nationkey = c_nationkey AND s_acctbal >= 0 UNION ALL SELECT c_custkey, s_suppkey FROM customer JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN nation sn ON cn.n_regionkey = sn.n_regionkey JOIN supplier ON s_nationkey = sn.n_nationkey WHERE s_acctbal < 0) GROUP BY 1")
 def null_matches_all_join_region(t: Tables) -> DataFrame:
-    """As null_matches_all_join, for every customer: rules without a key join on the region of customer and supplier."""
+    """How many rules reach each customer: those of its nation, and those without a key of its region. Rules are added up
+    per nation and region before customers meet them, so no pairs of customer and rule are made."""
     rules = t.supplier.select("s_suppkey", "s_nationkey", "s_acctbal")
-    keyed = t.customer.join(rules.filter("s_acctbal >= 0"), F.col("c_nationkey") == F.col("s_nationkey"))
-    region = lambda k: F.broadcast(t.nation.select(F.col("n_nationkey").alias(k), "n_regionkey"))
-    general = t.customer.join(region("c_nationkey"), "c_nationkey").join(rules.filter("s_acctbal < 0").join(region("s_nationkey"), "s_nationkey"), "n_regionkey")
-    return keyed.select("c_custkey", "s_suppkey").unionByName(general.select("c_custkey", "s_suppkey"))
+    region = F.broadcast(t.nation.select("n_nationkey", "n_regionkey"))  # nations are a fixed dimension
+    sums = [F.count(F.lit(1)).alias("n"), F.min("s_suppkey").alias("first")]
+    own = rules.filter("s_acctbal >= 0").groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(*sums)
+    shared = rules.filter("s_acctbal < 0").join(region, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey").agg(*sums)
+    shared = region.join(shared, "n_regionkey").select(F.col("n_nationkey").alias("c_nationkey"), "n", "first")
+    both = own.unionByName(shared).groupBy("c_nationkey").agg(F.sum("n").alias("rules"), F.min("first").alias("first_rule"))
+    return t.customer.join(F.broadcast(both), "c_nationkey", "left").select("c_custkey", F.coalesce("rules", F.lit(0)).cast("long").alias("rules"), "first_rule")  # a row for each nation
 
 
 @query("SELECT p_partkey, profile, p_size <= max_size AND p_retailprice <= max_price AS fits FROM part, (VALUES ('small', 10, 1000.0), ('medium', 25, 1500.0), ('large', 50, 1e9)) p(profile, max_size, max_price)")

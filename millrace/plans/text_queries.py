@@ -22,13 +22,17 @@ def tokenize(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.size(found).alias("n"), F.array_join(found, " ").alias("tokens"))
 
 
+def _statistics(t: Tables) -> tuple[int, float]:
+    """Number of documents and their mean number of tokens."""
+    r = t.documents.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(retrieval.tokens_of("text"))).alias("mean")).first()
+    return r["n"], r["mean"] or 0.0
+
+
 def _bm25(t: Tables, k: int) -> DataFrame:
     """Queries are the first 12 distinct tokens of each benchmark item; statistics cover all documents."""
-    post = stage(retrieval.postings(t.documents, "doc_id", "text"), "postings")
-    asked = t.benchmark.select(F.col("item_id").alias("query"), F.explode(F.slice(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9+#.]{2,}"), F.lit(0))), 1, 12)).alias("token"))
-    n = t.documents.count()
-    total = post.agg(F.sum("tf")).first()[0] or 0
-    return retrieval.bm25(asked, post, n, total / max(n, 1), k)
+    asked = stage(t.benchmark.select(F.col("item_id").alias("query"), F.explode(F.slice(F.array_distinct(retrieval.tokens_of("text")), 1, 12)).alias("token")), "asked")
+    post = stage(retrieval.postings(t.documents, "doc_id", "text", asked), "postings")
+    return retrieval.bm25(asked, post, *_statistics(t), k)
 
 
 def _first_distinct(sql: str) -> str:
@@ -71,12 +75,10 @@ def cosine(t: Tables) -> DataFrame:
 
 def _hybrid_parts(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Documents and vectors meet by id; lexical queries are the tokens of the documents whose ids are queries."""
-    post = stage(retrieval.postings(t.documents, "doc_id", "text"), "postings")
-    n, total = t.documents.count(), post.agg(F.sum("tf")).first()[0] or 0
     ids = t.embeddings.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("doc_id"))
-    found = F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9+#.]{2,}"), F.lit(0))
-    asked = t.documents.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("query"), F.explode(F.slice(F.array_distinct(found), 1, 12)).alias("token"))
-    return stage(retrieval.vector_topk(_queries(t), _docs(t), 50), "vectors"), stage(retrieval.bm25(asked, post, n, total / max(n, 1), 50), "lexical")
+    asked = stage(t.documents.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("query"), F.explode(F.slice(F.array_distinct(retrieval.tokens_of("text")), 1, 12)).alias("token")), "asked")
+    post = stage(retrieval.postings(t.documents, "doc_id", "text", asked), "postings")
+    return stage(retrieval.vector_topk(_queries(t), _docs(t), 50), "vectors"), stage(retrieval.bm25(asked, post, *_statistics(t), 50), "lexical")
 
 
 @query()
