@@ -7,7 +7,7 @@ the offsets.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.sources.shared import stage
@@ -89,3 +89,25 @@ def ranking_metrics(df: DataFrame, score: str, label: str) -> DataFrame:
     pairs = F.col("tp").cast("double") * (F.col("n") - F.col("cum_fp")) + F.col("tp").cast("double") * F.col("fp") / 2
     out = c.groupBy("p", "n").agg(F.sum(F.col("tp") / F.col("p") * precision).alias("ap"), (F.sum(pairs) / (F.col("p").cast("double") * F.col("n"))).alias("auc"))
     return out.select(F.col("p").alias("positives"), F.col("n").alias("negatives"), F.round("ap", 6).alias("average_precision"), F.round(F.col("ap") / (F.col("p") / (F.col("p") + F.col("n"))), 6).alias("lift"), F.round("auc", 6).alias("roc_auc"))
+
+
+def poisson_weight(key: Column, rep: Column) -> Column:
+    """How often a row is drawn in a replicate: Poisson with mean 1 (4 stands for all above 3), from a hash of both, so that any task can draw it again."""
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), rep.cast("string"))), 1, 7), 16, 10).cast("double") / 268435456.0
+    return F.when(u < 0.36787944, 0).when(u < 0.73575888, 1).when(u < 0.9196986, 2).when(u < 0.98101184, 3).otherwise(4)
+
+
+def bootstrap_pairs(df: DataFrame, a: str, b: str, label: str, key: str, replicates: int = 250) -> DataFrame:
+    """(rep, n, auc_a, auc_b, difference) of two scores over the same resampled rows.
+
+    Rows are added up to (replicate, score) before anything is ranked, so a replicate's ranking has a row for each
+    distinct score; scores should be rounded to what tells rows apart.
+    """
+    drawn = df.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(label).cast("int").alias("y"), F.col(key).alias("key"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
+    drawn = drawn.withColumn("k", poisson_weight(F.col("key"), F.col("rep"))).filter("k > 0")
+    both = drawn.select("rep", "y", "k", F.inline(F.array(F.struct(F.lit("a").alias("which"), F.col("a").cast("double").alias("score")), F.struct(F.lit("b").alias("which"), F.col("b").cast("double").alias("score")))))
+    sums = both.groupBy("rep", "which", "score").agg(F.sum(F.col("k") * F.col("y")).alias("tp"), F.sum(F.col("k") * (1 - F.col("y"))).alias("fp"))
+    below = F.coalesce(F.sum("fp").over(Window.partitionBy("rep", "which").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = sums.withColumn("below", below).groupBy("rep").pivot("which", ["a", "b"]).agg(F.sum(F.col("tp") * F.col("below") + F.col("tp") * F.col("fp") / 2).alias("won"), F.sum("tp").alias("p"), F.sum("fp").alias("q"))
+    auc = {c: F.try_divide(F.col(f"{c}_won").cast("double"), (F.col(f"{c}_p") * F.col(f"{c}_q")).cast("double")) for c in ("a", "b")}
+    return per.select("rep", (F.col("a_p") + F.col("a_q")).alias("n"), F.round(auc["a"], 6).alias("auc_a"), F.round(auc["b"], 6).alias("auc_b"), F.round(auc["a"] - auc["b"], 6).alias("difference"))

@@ -325,8 +325,7 @@ def poisson_bootstrap(t: Tables) -> DataFrame:
     """Weights drawn from a hash of row and replicate: any task can make them again. Replicates are columns of one row, not copies of rows."""
 
     def weight(rep: int) -> Column:
-        u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("o_orderkey").cast("string"), F.lit(str(rep)))), 1, 7), 16, 10).cast("double") / 268435456.0
-        return F.when(u < 0.36787944, 0).when(u < 0.73575888, 1).when(u < 0.9196986, 2).when(u < 0.98101184, 3).otherwise(4)
+        return ranking.poisson_weight(F.col("o_orderkey"), F.lit(rep))
 
     y = (F.col("o_orderstatus") == "F").cast("int")
     sums = t.orders.agg(*[x for r in range(20) for x in (F.sum(weight(r)).alias(f"n{r}"), F.sum(weight(r) * y).alias(f"y{r}"))])
@@ -334,6 +333,24 @@ def poisson_bootstrap(t: Tables) -> DataFrame:
     return long.select("x.*")
 
 
+def _weighted_auc(score: str) -> str:
+    """SQL of (rep, p, q, won) for one score."""
+    inner = f"SELECT rep, {score} AS s, sum(k * y) AS tp, sum(k * (1 - y)) AS fp FROM w GROUP BY 1, 2"
+    return f"SELECT rep, sum(tp) AS p, sum(fp) AS q, sum(tp * below + tp * fp / 2) AS won FROM (SELECT *, coalesce(sum(fp) OVER (PARTITION BY rep ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM ({inner})) GROUP BY 1"
+
+
+@query(
+    f"""WITH b AS (SELECT rep, o_orderkey, floor(o_totalprice / 1000) AS price, floor(o_totalprice / 1000) % 37 AS other, (o_orderstatus = 'F')::INT AS y, (('0x' || substr(md5(cast(o_orderkey AS VARCHAR) || ':' || cast(rep AS VARCHAR)), 1, 7))::BIGINT / 268435456.0) AS u FROM orders, (SELECT unnest(range(0, 250)) AS rep)),
+    w AS (SELECT rep, price, other, y, CASE WHEN u < 0.36787944 THEN 0 WHEN u < 0.73575888 THEN 1 WHEN u < 0.9196986 THEN 2 WHEN u < 0.98101184 THEN 3 ELSE 4 END AS k FROM b WHERE u >= 0.36787944), sa AS ({_weighted_auc("price")}), sb AS ({_weighted_auc("other")})
+    SELECT cast(rep AS INTEGER) AS rep, cast(sa.p + sa.q AS BIGINT) AS n, round(sa.won / (sa.p * sa.q), 6) AS auc_a, round(sb.won / (sb.p * sb.q), 6) AS auc_b, round(sa.won / (sa.p * sa.q) - sb.won / (sb.p * sb.q), 6) AS difference FROM sa JOIN sb USING (rep)"""
+)
+def bootstrap_pairs(t: Tables) -> DataFrame:
+    """ROC-AUC of two scores and their difference over 250 resamples of all orders."""
+    price = F.floor(F.col("o_totalprice") / 1000)
+    rows = t.orders.select("o_orderkey", price.alias("a"), (price % 37).alias("b"), (F.col("o_orderstatus") == "F").alias("y"))
+    return ranking.bootstrap_pairs(rows, "a", "b", "y", "o_orderkey")
+
+
 _NUMERIC = ["month", "weekday_number", "items", "sellers", "value", "log_prior", "prior_rate"]
 
 

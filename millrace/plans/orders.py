@@ -5,7 +5,7 @@ Wide tables are aggregated to the order before they meet it; ZIP medians are one
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import columns as C
@@ -87,3 +87,52 @@ def seller_shares(orders: DataFrame) -> DataFrame:
     w = Window.partitionBy("order_id")
     total = F.sum("value").over(w)
     return rows.select("order_id", "seller_id", F.when(total > 0, F.col("value") / total).otherwise(1 / F.count(F.lit(1)).over(w)).alias("weight"))
+
+
+#: Checks whose failures do not stop a build: such measurements are imputed.
+HARMLESS = ("negative_weight", "negative_volume")
+
+
+def row_checks() -> dict[str, Column]:
+    """What is wrong with a row of the order dataset, by name."""
+    bought, known, promised = (F.col(c) for c in ("order_purchase_timestamp", "label_available_timestamp", "order_estimated_delivery_date"))
+    ids, values = (F.split(F.coalesce(c, F.lit("")), r"\|") for c in ("seller_ids", "seller_item_values"))
+    flag = lambda c: ~F.coalesce(F.col(c).isin(0, 1), F.lit(False))
+    differs = lambda a, b: ~F.col(a).eqNullSafe(b)
+    below = {"negative_distance": "distance_km", "negative_item_value": "total_item_value", "negative_freight_value": "total_freight_value", "negative_weight": "total_weight_g", "negative_volume": "total_volume_cm3", "negative_installments": "payment_installments", "negative_category_count": "category_count"}
+    not_above = {"non_positive_promised_days": "promised_delivery_days", "non_positive_item_count": "item_count", "non_positive_seller_count": "seller_count"}
+    days = (F.unix_micros(promised) - F.unix_micros(bought)) / F.lit(86400e6)
+    same = F.coalesce(F.col("seller_state") == F.col("customer_state"), F.lit(False)).cast("int")
+    near = F.abs(F.col("promised_delivery_days") - days) <= 1e-8 + 1e-5 * F.abs(days)
+    return (
+        {"missing_order_id": F.col("order_id").isNull(), "invalid_target": flag("late_1d"), "invalid_timestamp": bought.isNull(), "invalid_label_available_timestamp": known.isNull(), "invalid_estimated_delivery_timestamp": promised.isNull(), "label_available_before_purchase": known < bought}
+        | {k: F.col(c) < 0 for k, c in below.items()}
+        | {k: F.col(c) <= 0 for k, c in not_above.items()}
+        | {
+            "seller_count_mismatch": differs("seller_count", F.size(ids)), "seller_value_count_mismatch": F.size(ids) != F.size(values), "primary_seller_missing_from_order": ~F.coalesce(F.array_contains(ids, F.col("primary_seller_id")), F.lit(False)),
+            "invalid_same_state": flag("same_state"), "same_state_mismatch": differs("same_state", same), "route_mismatch": differs("route", F.concat(F.col("seller_state"), F.lit(" → "), F.col("customer_state"))),
+            "purchase_year_mismatch": differs("purchase_year", F.year(bought)), "purchase_month_mismatch": differs("purchase_month", F.month(bought)), "purchase_day_of_week_mismatch": differs("purchase_day_of_week", F.weekday(bought) + 1), "purchase_hour_mismatch": differs("purchase_hour", F.hour(bought)),
+            "promised_delivery_days_mismatch": ~F.coalesce(near, F.lit(False)),
+        }
+    )
+
+
+def audit_orders(orders: DataFrame, position: str | None = None) -> DataFrame:
+    """(check_name, errors, blocking) of every named check; position, if there is one, is the order that rows came in.
+
+    Row checks are one aggregate; duplicates are counted per key.
+    """
+    checks = row_checks()
+    sums = orders.agg(*[F.count_if(c).alias(k) for k, c in checks.items()])
+    rows = sums.select(F.inline(F.array(*[F.struct(F.lit(k).alias("check_name"), F.col(k).alias("errors")) for k in checks])))
+    again = lambda keys, name: orders.groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("n")).agg(F.lit(name).alias("check_name"), F.coalesce(F.sum("n"), F.lit(0)).alias("errors"))
+    own = [c for c in orders.columns if c != position]
+    rows = rows.unionByName(again(["order_id"], "duplicate_order_id")).unionByName(again(own, "duplicate_rows"))
+    if position:
+        from millrace.operators.ranking import numbered
+
+        # each row against its predecessor, which is one place before it
+        placed = numbered(orders.select(position, F.col("order_purchase_timestamp").alias("ts")), position)
+        late = placed.join(placed.select((F.col("position") + 1).alias("position"), F.col("ts").alias("before")), "position").filter("ts < before")
+        rows = rows.unionByName(late.agg(F.lit("non_monotonic_timestamp").alias("check_name"), F.least(F.count(F.lit(1)), F.lit(1)).alias("errors")))
+    return rows.withColumn("blocking", (F.col("errors") > 0) & ~F.col("check_name").isin(*HARMLESS))

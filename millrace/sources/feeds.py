@@ -110,3 +110,18 @@ def fingerprint_files(spark: SparkSession, folder: str, glob: str = "*") -> Data
     """(name, bytes, sha256) of files, hashed by the tasks that read them."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def compare_pins(files: DataFrame, pins: DataFrame) -> DataFrame:
+    """(name, status) of files (name, sha256) against pinned ones: same, changed, missing or unexpected."""
+    both = files.select("name", F.col("sha256").alias("found")).join(pins.select("name", F.col("sha256").alias("pinned")), "name", "full_outer")
+    status = F.when(F.col("found").isNull(), "missing").when(F.col("pinned").isNull(), "unexpected").when(F.col("found") == F.col("pinned"), "same").otherwise("changed")
+    return both.select("name", status.alias("status"))
+
+
+def require_pins(files: DataFrame, pins: DataFrame) -> None:
+    """Raises if a pinned file is missing or has other content; files without a pin pass. There are as many rows as files."""
+    wrong = sorted((r["name"], r["status"]) for r in compare_pins(files, pins).filter("status in ('missing', 'changed')").collect())
+    if wrong:
+        kind = FileNotFoundError if any(status == "missing" for _, status in wrong) else ValueError
+        raise kind(", ".join(f"{name} is {status}" for name, status in wrong))

@@ -177,3 +177,41 @@ def test_claims(spark):
     assert [r.supported for r in grounding.verify_claims(answers, other)[0].orderBy("pos").collect()] == [True, False, False]
     r = per.first()
     assert (r.support_rate, r.citation_validity, r.status, r.answer) == (0.333333, 0.666667, "ANSWERED", "The minimum turnover is 500000 EUR [e1]")
+
+
+def test_pinned_files(spark, tmp_path):
+    import hashlib
+
+    for name, text in (("a.csv", "1"), ("b.csv", "2"), ("d.csv", "4")):
+        (tmp_path / name).write_text(text)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    pins = lambda *p: spark.createDataFrame(p, "name string, sha256 string")
+    files = feeds.fingerprint_files(spark, str(tmp_path), "*.csv")
+    got = feeds.compare_pins(files, pins(("a.csv", sha("1")), ("b.csv", sha("x")), ("c.csv", sha("3"))))
+    assert {r.name: r.status for r in got.collect()} == {"a.csv": "same", "b.csv": "changed", "c.csv": "missing", "d.csv": "unexpected"}
+    feeds.require_pins(files, pins(("a.csv", sha("1"))))
+    with pytest.raises(ValueError, match="b.csv is changed"):
+        feeds.require_pins(files, pins(("b.csv", sha("x"))))
+    with pytest.raises(FileNotFoundError):
+        feeds.require_pins(files, pins(("c.csv", sha("3"))))
+
+
+def test_order_audit(spark):
+    good = dict(
+        order_id="a", order_purchase_timestamp="2017-01-02 10:00:00", label_available_timestamp="2017-01-09 00:00:00", order_estimated_delivery_date="2017-01-12 10:00:00", late_1d=0, promised_delivery_days=10.0, distance_km=5.0, item_count=1, total_item_value=1.0,
+        total_freight_value=1.0, total_weight_g=1.0, total_volume_cm3=1.0, payment_installments=1, seller_count=2, category_count=1, seller_ids="s|t", seller_item_values="1|2", primary_seller_id="s", same_state=0, seller_state="SP", customer_state="RJ", route="SP → RJ",
+        purchase_year=2017, purchase_month=1, purchase_day_of_week=1, purchase_hour=10, at=0,
+    )
+    changes = [
+        {}, {"order_id": None}, {"late_1d": 2}, {"label_available_timestamp": "2016-01-01 00:00:00"}, {"distance_km": -1.0}, {"total_weight_g": -1.0}, {"seller_ids": "s|t|u"}, {"primary_seller_id": "x"}, {"same_state": 1}, {"route": "RJ → SP"},
+        {"purchase_hour": 11}, {"promised_delivery_days": 9.0}, {"order_purchase_timestamp": None}, {"item_count": 0},
+    ]
+    rows = [good | {"order_id": f"o{k}", "at": k} | c for k, c in enumerate(changes)] + [good | {"order_id": "o0", "at": 90, "order_purchase_timestamp": "2017-01-01 10:00:00"}, good | {"order_id": "z", "at": 91}, good | {"order_id": "z", "at": 92}]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], ", ".join(f"{k} {'string' if isinstance(v, str) else 'double' if isinstance(v, float) else 'int'}" for k, v in good.items()))
+    df = df.withColumns({c: F.to_timestamp(c) for c in ("order_purchase_timestamp", "label_available_timestamp", "order_estimated_delivery_date")})
+    got = {r.check_name: (r.errors, r.blocking) for r in orders.audit_orders(df, "at").collect()}
+    assert len(got) == 30
+    expected = {"missing_order_id": 1, "invalid_target": 1, "invalid_timestamp": 1, "label_available_before_purchase": 1, "negative_distance": 1, "negative_weight": 1, "non_positive_item_count": 1, "seller_count_mismatch": 1, "seller_value_count_mismatch": 1, "primary_seller_missing_from_order": 1,
+                "same_state_mismatch": 1, "route_mismatch": 1, "purchase_hour_mismatch": 2, "purchase_year_mismatch": 1, "purchase_month_mismatch": 1, "purchase_day_of_week_mismatch": 2, "promised_delivery_days_mismatch": 3, "duplicate_order_id": 2, "duplicate_rows": 1, "non_monotonic_timestamp": 1}
+    assert {k: n for k, (n, _) in got.items() if n} == expected
+    assert not got["negative_weight"][1] and got["route_mismatch"][1] and not got["negative_volume"][1]
