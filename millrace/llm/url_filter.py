@@ -86,7 +86,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", defa
         found = [find_rule(trie, h, p) or (default, None) for h, p in zip(hosts, paths, strict=True)]
         return pd.DataFrame(found, columns=["verdict", "rule"])
 
-    out = pages.select("*", F.struct(host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path")).alias("__url"))
-    out = out.withColumn("__found", run("__url.host", "__url.path"))
-    new = {"host": "__url.host", "path": "__url.path", "rule": "__found.rule", "verdict": "__found.verdict"}
-    return out.select(*[c for c in pages.columns if c not in new], *[F.col(v).alias(k) for k, v in new.items()])
+    rows = pages.select(F.struct(*pages.columns).alias("row"), F.struct(host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path")).alias("parts"))
+    rows = rows.withColumn("found", run("parts.host", "parts.path"))
+    new = {"host": "parts.host", "path": "parts.path", "rule": "found.rule", "verdict": "found.verdict"}
+    return rows.select(*[F.col("row")[c].alias(c) for c in pages.columns if c not in new], *[F.col(v).alias(k) for k, v in new.items()])

@@ -171,7 +171,10 @@ def test_contamination_by_a_phrase_of_many_items(spark):
 
 def test_url_rules(spark):
     urls = ["http://a.example.com/en/76?x", "https://EXAMPLE.com/en/8", "http://x.net/de/8", "http://m.example.net/de/8/a", "http://example.org/es/", "ftp://org/es", "no scheme/en/", None, "", "http://notexample.com/en/7", "http://h?://b/en/", "http://x.com#/en/", "http://com/en/7"]
-    pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)] + [(0, urls[0], "h")], "page_id long, url string, host string")
+    named = "page_id long, url string, host string, path int, rule string, verdict string, row string, parts string, found string"
+    pages = spark.createDataFrame([(i, u, "h", 1, "r", "v", "a", "b", "c") for i, u in enumerate(urls)] + [(0, urls[0], "h", 1, "r", "v", "a", "b", "c")], named)
+    out = url_filter.judge(pages, queries.URL_RULES)
+    assert out.columns == ["page_id", "url", "row", "parts", "found", "host", "path", "rule", "verdict"] and {(r.row, r.parts, r.found) for r in out.collect()} == {("a", "b", "c")}
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages, queries.URL_RULES).collect()}
     for i, u in enumerate(urls):
         m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", u or "")
