@@ -216,7 +216,7 @@ def _owned(prints: np.ndarray, k, i: np.ndarray, j: np.ndarray) -> tuple[np.ndar
 
 def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
     """Links of a pack of units (band, x, y), a block of a bucket with itself or with another: member, root, links, texts."""
-    pdf = pdf.drop_duplicates(["band", "x", "y", "member"]).sort_values(["band", "x", "y", "member"], ignore_index=True)
+    pdf = pdf.sort_values(["band", "x", "y", "member"], ignore_index=True)
     sets = [np.frombuffer(v, np.uint64) for v in pdf["grams"]]
     sig = np.stack([np.frombuffer(v, np.uint32) for v in pdf["sig"]])
     prints = bands(sig)
@@ -294,6 +294,7 @@ def _features(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield part.assign(grams=[x.tobytes() for x in sets], sig=[x.tobytes() for x in sig])
 
     rows = docs.select(*_keys(docs), "text").join(F.broadcast(wanted) if _few(wanted) else wanted, ["key", "tie"])
+    rows = rows.dropDuplicates(["member"])  # rows of one id and text, however many there are, are one member
     places = "places array<struct<k:int,band:long,blocks:int>>"
     return rows.select("member", "rows", "places", "text").mapInPandas(run, f"member long, rows long, {places}, grams binary, sig binary")
 

@@ -201,8 +201,7 @@ def _spans(flags: np.ndarray) -> list[int]:
 
 
 def _in_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Marks of a bucket's contexts. The same rows of a table may give a context twice; it is taken once."""
-    pdf = pdf.drop_duplicates(["anchor", "c1", "c2"], ignore_index=True)
+    """Marks of a bucket's contexts."""
     flags = shared_windows(pdf["bytes"].tolist(), pdf["windows"].tolist(), pdf["n"].tolist())
     marks = [_spans(x) for x in flags]
     out = pd.DataFrame({"anchor": pdf["anchor"].array, "c1": pdf["c1"].array, "c2": pdf["c2"].array, "marks": pd.Series(marks, dtype=object).array})
@@ -288,8 +287,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     small = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     touched = stage(source.join(F.broadcast(keys) if small else keys, ["key", "tie"], "left_semi"), "texts")
 
-    rows = stage(_context_bytes(touched.select("key", "tie", "text"), kinds.join(hot, "anchor")), "context-bytes")
-    marks = _bucket_marks(rows.filter("not hot"), ["anchor"]).union(_hot_marks(rows.filter("hot").dropDuplicates(["anchor", "c1", "c2"])))
+    # rows of one id and text give their contexts once, however many there are
+    single = touched.select("key", "tie", "text").dropDuplicates(["key", "tie"])
+    rows = stage(_context_bytes(single, kinds.join(hot, "anchor")), "context-bytes")
+    marks = _bucket_marks(rows.filter("not hot"), ["anchor"]).union(_hot_marks(rows.filter("hot")))
     marks = stage(marks, "marks")
 
     first = F.shiftright("place", 8)

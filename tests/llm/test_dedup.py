@@ -230,6 +230,19 @@ def test_large_group_of_near_copies(spark):
     assert Counter((r.doc_id, r.class_id, r.n_links) for r in got) == Counter((rows[x][0], group[x][1], len(linked[x])) for x in range(len(rows)))
 
 
+def test_many_rows_of_one_id_and_text(spark):
+    """A null id and one text in most rows: a member, and a set of contexts, like any other."""
+    rnd = random.Random(33)
+    text = prose(rnd, 90)
+    near = text + " and a few more words"
+    docs = spark.createDataFrame([(None, text)] * 400 + [(1, near), (2, prose(rnd, 90))], "doc_id long, text string").repartition(4)
+    got = Counter((r.doc_id, r.class_id, r.n_links) for r in jaccard_join.near_classes(docs).collect())
+    assert got == {(None, 1, 400): 400, (1, 1, 400): 1, (2, 2, 0): 1}
+    assert Counter(r.doc_id for r in jaccard_join.one_per_class(docs).collect()) == {1: 1, 2: 1}
+    cut = {(r.doc_id, r.n_removed) for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert (None, len(text.encode())) in cut and (2, 0) in cut and (1, len(text.encode())) in cut
+
+
 def test_ids_that_are_no_integers_are_refused(spark):
     docs = spark.createDataFrame([("a", "text")], "doc_id string, text string")
     for operator in (jaccard_join.near_classes, suffix_dedup.remove_repeats, line_dedup.remove_repeated_lines, span_dedup.remove_repeated_spans):
