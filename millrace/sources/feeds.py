@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources.shared import stage
+
 #: Categories of trains that carry passengers (fixed values).
 PASSENGER = ("Long-distance", "Commuter")
 
@@ -63,7 +65,8 @@ def read_notice_pages(spark: SparkSession, path: str, notice: str) -> DataFrame:
 
 def read_traces(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(good trace lines, number of corrupt lines as one row)."""
-    raw = spark.read.schema(TRACE).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path).cache()  # a corrupt column can't be read alone
+    raw = spark.read.schema(TRACE).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    raw = stage(raw, "traces")  # a corrupt column can't be read alone
     return raw.filter("_corrupt is null").drop("_corrupt"), raw.agg(F.count("_corrupt").alias("corrupt_lines"))
 
 
