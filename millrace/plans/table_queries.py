@@ -289,10 +289,10 @@ def embedding_attrs(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", "label").join(groups, "label").select("vec_id", "label", "peers")
 
 
-_RULES = "lots AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem), rules AS (SELECT DISTINCT l_orderkey AS k, CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_linenumber END AS lot, l_returnflag AS kind FROM lineitem)"
+_LOT_RULES = "lots AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem), rules AS (SELECT DISTINCT l_orderkey AS k, CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_linenumber END AS lot, l_returnflag AS kind FROM lineitem)"
 
 
-@query(f"WITH {_RULES} SELECT l_orderkey, l_linenumber, kind FROM lots JOIN rules ON k = l_orderkey AND lot = l_linenumber UNION ALL SELECT l_orderkey, l_linenumber, kind FROM lots JOIN rules ON k = l_orderkey WHERE lot IS NULL")
+@query(f"WITH {_LOT_RULES} SELECT l_orderkey, l_linenumber, kind FROM lots JOIN rules ON k = l_orderkey AND lot = l_linenumber UNION ALL SELECT l_orderkey, l_linenumber, kind FROM lots JOIN rules ON k = l_orderkey WHERE lot IS NULL")
 def null_matches_all_join(t: Tables) -> DataFrame:
     """Rules of an order hold for the line that they name, or for all lines of the order: two equi-joins, no OR."""
     lots = t.lineitem.select("l_orderkey", "l_linenumber").distinct()
