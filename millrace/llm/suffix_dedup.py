@@ -35,6 +35,8 @@ from millrace.llm.scratch import doc_ids, stage
 LENGTH, GRAM = 200, 32
 GRAMS = LENGTH - GRAM + 1
 HOT_CONTEXTS, BUCKET_BYTES = 5000, 2_000_000
+#: Buckets go to as many partitions as there are, so that a task's size does not grow with the table; beyond this, tasks take several in turn.
+MOST_PARTITIONS = 50_000
 #: Keys of documents with repeats that are broadcast; with more, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 _BATCH_BYTES = 250_000
@@ -259,8 +261,10 @@ def _hot_marks(rows: DataFrame) -> DataFrame:
 def _bucket_marks(rows: DataFrame, by: list[str]) -> DataFrame:
     """Marks of contexts (anchor, c1, c2, n, windows, bytes), those with equal `by` in one bucket."""
     size = rows.agg(F.sum(F.length("bytes"))).first()[0] or 0
-    bucket = F.pmod(F.xxhash64(*by), F.lit(size // BUCKET_BYTES + 1)).alias("bucket")
-    return rows.select(bucket, "anchor", "c1", "c2", "n", "windows", "bytes").groupBy("bucket").applyInPandas(_in_bucket, f"{_CONTEXT}, marks array<long>")
+    buckets = size // BUCKET_BYTES + 1
+    bucket = F.pmod(F.xxhash64(*by), F.lit(buckets)).alias("bucket")
+    dealt = rows.select(bucket, "anchor", "c1", "c2", "n", "windows", "bytes").repartition(min(buckets, MOST_PARTITIONS), "bucket")
+    return dealt.groupBy("bucket").applyInPandas(_in_bucket, f"{_CONTEXT}, marks array<long>")
 
 
 def _cut(text: str | None, spans) -> tuple[int, int, int, bytes]:
