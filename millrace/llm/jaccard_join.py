@@ -277,9 +277,10 @@ def _profile(docs: DataFrame) -> DataFrame:
     return source.mapInPandas(run, "row_id long, key long, tie long, s1 long, s2 long, n long, bands array<long>")
 
 
-def _few(df: DataFrame) -> bool:
-    """Of rows of fixed width, or with lists of at most BANDS entries."""
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+def _few(df: DataFrame, entries: int = 1) -> bool:
+    """Of rows with at most `entries` entries of fixed width."""
+    most = BROADCAST_ROWS // entries
+    return df.limit(most + 1).count() <= most
 
 
 def _features(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -293,7 +294,7 @@ def _features(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 sig = signature(sets)
                 yield part.assign(grams=[x.tobytes() for x in sets], sig=[x.tobytes() for x in sig])
 
-    rows = docs.select(*_keys(docs), "text").join(F.broadcast(wanted) if _few(wanted) else wanted, ["key", "tie"])
+    rows = docs.select(*_keys(docs), "text").join(F.broadcast(wanted) if _few(wanted, BANDS) else wanted, ["key", "tie"])
     rows = rows.dropDuplicates(["member"])  # rows of one id and text, however many there are, are one member
     places = "places array<struct<k:int,band:long,blocks:int>>"
     return rows.select("member", "rows", "places", "text").mapInPandas(run, f"member long, rows long, {places}, grams binary, sig binary")
