@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontaminate, exact_dedup, jaccard_join, line_dedup, quality, scratch, span_dedup, suffix_dedup, token_files, url_filter
+from millrace.llm import bpe, decontaminate, exact_dedup, jaccard_join, line_dedup, quality, scratch, secret_scan, span_dedup, suffix_dedup, token_files, url_filter
 
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
@@ -66,6 +66,12 @@ def line_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def secret_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [secret_scan.count(k).alias(f"n_{k}") for k in secret_scan.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.listed(secret_scan.BASE_KINDS), 256).alias("base_sha256"), secret_scan.listed().alias("spans"))
+
+
 QUERIES = {
     "op1_substring_dedup": span_query,
     "op2_decontamination": decontaminate_query,
@@ -77,6 +83,7 @@ QUERIES = {
     "op8_token_files": token_query,
     "op9_byte_bpe": bpe_query,
     "op10_line_dedup": line_query,
+    "op12_secret_scans": secret_query,
     # names of the first round for the rule that both now have
     "op10_line_dedup_extended": line_query,
     "op1_substring_dedup_extended": span_query,
