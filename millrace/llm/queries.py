@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontaminate, exact_dedup, jaccard_join, line_dedup, quality, scratch, secret_scan, span_dedup, suffix_dedup, token_files, url_filter
+from millrace.llm import bpe, decontaminate, exact_dedup, hard_negatives, jaccard_join, lexical_rank, line_dedup, quality, scratch, secret_scan, span_dedup, suffix_dedup, token_files, url_filter
 
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
@@ -66,6 +66,14 @@ def line_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def negatives_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings").select("vec_id", hard_negatives.relabelled().alias("label"), "embedding"))
+
+
+def rank_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_rank.rank(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def secret_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [secret_scan.count(k).alias(f"n_{k}") for k in secret_scan.BASE_KINDS]
@@ -83,7 +91,9 @@ QUERIES = {
     "op8_token_files": token_query,
     "op9_byte_bpe": bpe_query,
     "op10_line_dedup": line_query,
+    "op11_hard_negatives": negatives_query,
     "op12_secret_scans": secret_query,
+    "op13_lexical_search": rank_query,
     # names of the first round for the rule that both now have
     "op10_line_dedup_extended": line_query,
     "op1_substring_dedup_extended": span_query,
@@ -154,4 +164,27 @@ SELECT h.doc_id, cast(length(x) // 2 AS BIGINT) AS n_bytes, cast(coalesce(n_remo
 FROM h LEFT JOIN k USING (doc_id)
 """
 
-SQL = {"op1_substring_dedup": _OP1, "op2_decontamination": _OP2, "op4_url_filters": _OP4, "op5_exact_dedup": _OP5, "op6_suffix_array_dedup": _OP6, "op10_line_dedup": _OP10, "op10_line_dedup_extended": _OP10, "op1_substring_dedup_extended": _OP1}
+_OP11 = r"""
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * cast(x AS DOUBLE))) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, r.vec_id AS other_id, a.label = r.label AS same, cast(list_inner_product(a.v, r.v) AS BIGINT) AS score FROM e a JOIN e r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, cast(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) <= 5
+"""
+
+_TERMS = r"unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))"
+_OP13 = f"""
+WITH c AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, {_TERMS} AS term FROM documents) GROUP BY ALL),
+n AS (SELECT doc_id, cast(sum(tf) AS BIGINT) AS n FROM c GROUP BY 1),
+t AS (SELECT count(*) AS total, cast(sum(n) AS BIGINT) AS terms FROM n),
+m AS (SELECT doc_id, 100 - 75 + ((75 * n * total) // terms) AS m FROM n, t),
+w AS (SELECT term, cast(floor(1000 * ln((2 * cast(total AS DOUBLE) + 2) / (2 * cast(df AS DOUBLE) + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM c GROUP BY 1), t),
+q AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, {_TERMS} AS term FROM benchmark) GROUP BY ALL),
+s AS (SELECT item_id, doc_id, cast(sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN c USING (term) JOIN m USING (doc_id) GROUP BY 1, 2)
+SELECT item_id, cast(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+"""
+
+SQL = {"op11_hard_negatives": _OP11, "op13_lexical_search": _OP13, "op1_substring_dedup": _OP1, "op2_decontamination": _OP2, "op4_url_filters": _OP4, "op5_exact_dedup": _OP5, "op6_suffix_array_dedup": _OP6, "op10_line_dedup": _OP10, "op10_line_dedup_extended": _OP10, "op1_substring_dedup_extended": _OP1}

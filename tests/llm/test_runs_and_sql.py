@@ -11,7 +11,7 @@ from millrace.llm import line_dedup, queries, scratch, span_dedup, spans
 
 def same_as_sql(spark, sf, name):
     db = duckdb.connect()
-    for table in ("documents", "benchmark", "pages"):
+    for table in ("documents", "benchmark", "pages", "embeddings"):
         db.sql(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     cursor = db.execute(queries.SQL[name])
     columns = [c[0] for c in cursor.description]
