@@ -7,6 +7,10 @@ the offsets.
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,3 +115,65 @@ def bootstrap_pairs(df: DataFrame, a: str, b: str, label: str, key: str, replica
     per = sums.withColumn("below", below).groupBy("rep").pivot("which", ["a", "b"]).agg(F.sum(F.col("tp") * F.col("below") + F.col("tp") * F.col("fp") / 2).alias("won"), F.sum("tp").alias("p"), F.sum("fp").alias("q"))
     auc = {c: F.try_divide(F.col(f"{c}_won").cast("double"), (F.col(f"{c}_p") * F.col(f"{c}_q")).cast("double")) for c in ("a", "b")}
     return per.select("rep", (F.col("a_p") + F.col("a_q")).alias("n"), F.round(auc["a"], 6).alias("auc_a"), F.round(auc["b"], 6).alias("auc_b"), F.round(auc["a"] - auc["b"], 6).alias("difference"))
+
+
+#: A prime over all 28-bit row hashes; replicate r draws with its own line modulo the prime.
+PRIME = 2147483647
+METRICS = ("ap", "lift", "auc", "capture")
+
+
+def replicate_lines(replicates: int) -> list[tuple[int, int]]:
+    """(factor, offset) of each replicate, from the digest of its number."""
+    digests = (hashlib.md5(str(r).encode()).hexdigest() for r in range(replicates))
+    return [(1 + int(d[:7], 16), int(d[7:14], 16)) for d in digests]
+
+
+def replicate_weights(key: Column, replicates: int) -> Column:
+    """How often a row is drawn in each replicate: an array of Poisson counts with mean 1 (4 stands for all above 3)."""
+    row = F.conv(F.substring(F.md5(key.cast("string")), 1, 7), 16, 10).cast("long")
+    lines = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in replicate_lines(replicates)])
+
+    def weight(line: Column) -> Column:
+        u = (line["a"] * row + line["b"]) % PRIME / float(PRIME)
+        return F.when(u < 0.36787944, 0.0).when(u < 0.73575888, 1.0).when(u < 0.9196986, 2.0).when(u < 0.98101184, 3.0).otherwise(4.0)
+
+    return F.transform(lines, weight)
+
+
+def bootstrap_metrics(df: DataFrame, a: str, b: str, label: str, key: str, replicates: int = 1000, top: float = 0.1) -> DataFrame:
+    """(rep, n, positives, ap_a, ap_b, lift_a, ..., capture_b): ranking metrics of two scores over the same resampled rows.
+
+    ap is average precision in its step form, lift its ratio to the share of positives, auc counts ties half, capture
+    is the share of positives among the best ceil(top * n) draws, of which equal scores have an equal share.
+
+    A row is shuffled once, as two partial sums: its weights in all replicates are one array, and arrays are added up
+    element by element per distinct score. Only these sums are ranked, each replicate by itself; scores should be
+    rounded to what tells rows apart.
+    """
+    w = replicate_weights(F.col(key), replicates)
+    y = F.col(label).cast("double")
+    rows = df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"), y.alias("y"), w.alias("w"))
+    rows = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("which"), F.col(c).alias("score")) for c in ("a", "b")])).alias("s"), array_to_vector(F.concat(F.transform("w", lambda k: k * F.col("y")), F.transform("w", lambda k: k * (1 - F.col("y"))))).alias("v"))
+    sums = stage(rows.groupBy("s.which", "s.score").agg(vector_to_array(Summarizer.sum(F.col("v"))).alias("v")), "replicates")
+    pairs = F.arrays_zip(F.slice("v", 1, replicates).alias("tp"), F.slice("v", replicates + 1, replicates).alias("fp"))
+    each = sums.select("which", "score", F.posexplode(pairs).alias("rep", "x")).select("which", "score", "rep", "x.tp", "x.fp").filter("tp + fp > 0")
+    group = Window.partitionBy("rep", "which")
+    order = group.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = each.withColumns({"ctp": F.sum("tp").over(order), "cfp": F.sum("fp").over(order)}).withColumn("all", F.sum(F.col("tp") + F.col("fp")).over(group))
+    here = F.col("tp") + F.col("fp")
+    share = (F.ceil(F.col("all") * top) - (F.col("ctp") + F.col("cfp") - here)) / here
+    p, n = F.sum("tp"), F.sum("fp")
+    ap = F.try_divide(F.sum(F.col("tp") * F.col("ctp") / (F.col("ctp") + F.col("cfp"))), p)
+    found = {
+        "ap": ap, "lift": F.try_divide(ap, p / (p + n)), "auc": F.try_divide(p * n - F.sum(F.col("tp") * F.col("cfp")) + F.sum(F.col("tp") * F.col("fp")) / 2, p * n),
+        "capture": F.try_divide(F.sum(F.col("tp") * F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))), p),
+    }
+    per = each.groupBy("rep").pivot("which", ["a", "b"]).agg((p + n).cast("long").alias("n"), p.cast("long").alias("p"), *[F.round(v, 6).alias(k) for k, v in found.items()])
+    return per.select("rep", F.col("a_n").alias("n"), F.col("a_p").alias("positives"), *[F.col(f"{c}_{k}").alias(f"{k}_{c}") for k in METRICS for c in ("a", "b")])
+
+
+def bootstrap_intervals(metrics: DataFrame) -> DataFrame:
+    """(metric, low, middle, high, share_above): of a minus b over the replicates, 95 percent and how often it is above 0."""
+    d = F.inline(F.array(*[F.struct(F.lit(k).alias("metric"), (F.col(f"{k}_a") - F.col(f"{k}_b")).alias("d")) for k in METRICS]))
+    q = {"low": 0.025, "middle": 0.5, "high": 0.975}
+    return metrics.select(d).groupBy("metric").agg(*[F.round(F.percentile("d", v), 6).alias(k) for k, v in q.items()], F.round(F.avg((F.col("d") > 0).cast("double")), 6).alias("share_above"))  # as many rows as replicates

@@ -1,8 +1,9 @@
 """Features of orders from what was known when each was placed.
 
 Purchases count on the day of purchase, outcomes on the day on which they became known, and an order sees both strictly
-before its own day. Histories are added up to (key, day) first (see operators.history), so they have at most a row
-per key and day, and orders meet them by key and day.
+before its own day. The histories of all kinds of keys are one table: an order is an event of each of its keys, events
+are added up to (kind, key, day), and one sort of these rows gives every total and window. So orders are read once and
+shuffled once however many kinds there are, a hot key has no more rows than days, and orders meet histories by key and day.
 
 Rates are smoothed towards the global rate known before the day, with strength 20 for all that came before and 10 for
 trailing windows. Counts are logarithms of 1 + n. Keys that are null are one key.
@@ -10,16 +11,17 @@ trailing windows. Counts are logarithms of 1 + n. Keys that are null are one key
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import columns as C
-from millrace.operators.history import daily_history, prior_history
 from millrace.operators.tables import bounded
 from millrace.plans.orders import seller_shares
 from millrace.sources.shared import stage
 
 MISSING = "__missing__"
+#: The kinds of keys beside those of GROUPS: all orders, and the sellers of an order.
+ALL, SELLER = "all", "seller"
 STRENGTH, WINDOW_STRENGTH, DEFAULT_PRIOR = 20.0, 10.0, 0.05
 ORDER_WINDOWS, OUTCOME_WINDOWS = (7, 30, 90), (30, 90)
 #: Rows of daily histories that are broadcast.
@@ -27,18 +29,28 @@ HISTORY_ROWS = 200_000
 
 
 def order_days(orders: DataFrame) -> DataFrame:
-    """order_id, the day of purchase, the day on which the outcome was known, and the outcome."""
+    """orders with the day of purchase, the day on which the outcome was known, and the first one as a number."""
     return orders.withColumns({"bought_on": F.to_date("order_purchase_timestamp"), "known_on": F.to_date("label_available_timestamp"), "day": F.unix_date(F.to_date("order_purchase_timestamp"))})
 
 
-def key_history(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key and day of purchase: prior totals and trailing windows of purchases (o_*) and of known outcomes (k_*)."""
-    asked = rows.select(*keys, "day").distinct()
-    bought = prior_history(daily_history(rows, keys, F.col("bought_on")), keys, asked, ORDER_WINDOWS)
-    known = prior_history(daily_history(rows, keys, F.col("known_on"), F.col("late_1d")), keys, asked, OUTCOME_WINDOWS)
-    own = {"prior_n": "o_prior", "experience_days": "o_days"} | {f"n_{w}": f"o_{w}" for w in ORDER_WINDOWS}
-    outcome = {"prior_n": "k_prior", "prior_late": "k_late"} | {f"{a}_{w}": f"k_{b}{w}" for w in OUTCOME_WINDOWS for a, b in (("n", ""), ("late", "late_"))}
-    return stage(bought.select(*keys, "day", *[F.col(a).alias(b) for a, b in own.items()]).join(known.select(*keys, "day", *[F.col(a).alias(b) for a, b in outcome.items()]), [*keys, "day"]), "history")
+def key_pairs(rows: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """(kind, key, bought_on, known_on, late_1d): a row for each order and kind, and one of the kind ALL; null keys are MISSING."""
+    keys = [F.struct(F.lit(ALL).alias("kind"), F.lit("").alias("key")), *[F.struct(F.lit(k).alias("kind"), F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias("key")) for k, c in kinds.items()]]
+    return rows.select(F.inline(F.array(*keys)), "bought_on", "known_on", "late_1d")
+
+
+def key_histories(pairs: DataFrame) -> DataFrame:
+    """Per (kind, key) and day of purchase: totals and trailing windows, strictly before the day, of purchases (o_*) and of known outcomes (k_*)."""
+    one = lambda day, b, n, late: F.struct(F.unix_date(day).alias("day"), F.lit(b).alias("b"), F.lit(n).alias("n"), late.cast("int").alias("late"))
+    events = pairs.select("kind", "key", F.inline(F.array(one("bought_on", 1, 0, F.lit(0)), one("known_on", 0, 1, F.coalesce("late_1d", F.lit(0)))))).filter("day is not null")
+    daily = events.groupBy("kind", "key", "day").agg(*[F.sum(c).cast("long").alias(c) for c in ("b", "n", "late")])
+    order = Window.partitionBy("kind", "key").orderBy("day")
+    before = lambda c, days=None: F.coalesce(F.sum(c).over(order.rangeBetween(Window.unboundedPreceding if days is None else -days, -1)), F.lit(0))
+    columns = {"o_prior": before("b"), "k_prior": before("n"), "k_late": before("late")} | {f"o_{w}": before("b", w) for w in ORDER_WINDOWS}
+    columns |= {f"k_{w}": before("n", w) for w in OUTCOME_WINDOWS} | {f"k_late_{w}": before("late", w) for w in OUTCOME_WINDOWS}
+    first = F.min(F.when(F.col("b") > 0, F.col("day"))).over(order.rangeBetween(Window.unboundedPreceding, -1))
+    columns["o_days"] = F.coalesce(F.col("day") - first, F.lit(0)).cast("int")
+    return stage(daily.withColumns(columns).filter("b > 0").select("kind", "key", "day", *columns), "histories")
 
 
 def history_features(prior: Column | str = "prior") -> dict[str, Column]:
@@ -62,35 +74,36 @@ GLOBAL = ["order_count_7d_log", "order_count_30d_log", "order_count_90d_log", "w
 PRIMARY = ["prior_late_rate", "prior_known_count_log", "prior_order_count_log", "late_rate_30d", "late_rate_90d", "order_count_7d_log", "order_count_30d_log", "order_count_90d_log", "experience_days_log", "workload_ratio_log"]
 
 
-def global_features(rows: DataFrame) -> DataFrame:
+def _days(histories: DataFrame) -> DataFrame:
     """One row per day of purchase: prior, and the global counts and workload."""
-    all_rows = key_history(rows.withColumn("__all", F.lit(0)), ["__all"])
     prior = F.coalesce(F.try_divide(F.col("k_late").cast("double"), F.col("k_prior").cast("double")), F.lit(DEFAULT_PRIOR))
     found = history_features(prior)
-    return all_rows.select("day", prior.alias("prior"), *[found[n].alias(f"global_{n}") for n in GLOBAL])
+    rows = histories.filter(F.col("kind") == ALL).select("day", prior.alias("prior"), *[found[n].alias(f"global_{n}") for n in GLOBAL])
+    return bounded(rows, HISTORY_ROWS)
 
 
-def group_features(orders: DataFrame) -> DataFrame:
-    """orders with the global, seller-state, route and category histories."""
-    rows = order_days(orders).withColumns({f"__{p}": F.coalesce(c, F.lit(MISSING)) for p, (c, _) in GROUPS.items()})
-    days = global_features(rows)
-    out = rows.join(bounded(days, HISTORY_ROWS), "day").withColumn("prior_global_late_rate", F.col("prior"))
-    for prefix, (_, names) in GROUPS.items():
-        found, key = history_features(), f"__{prefix}"
-        history = key_history(rows, [key]).join(bounded(days.select("day", "prior"), HISTORY_ROWS), "day")
-        history = history.select(key, "day", *[found[n].alias(f"{prefix}_{n}") for n in names])
-        out = out.join(bounded(history, HISTORY_ROWS), [key, "day"])
-    return out.drop("prior", "bought_on", "known_on", "day", *[f"__{p}" for p in GROUPS])
+def _kind(histories: DataFrame, kind: str, days: DataFrame) -> DataFrame:
+    """The histories of one kind with the prior of each day."""
+    return histories.filter(F.col("kind") == kind).drop("kind").join(days.select("day", "prior"), "day")
 
 
-def seller_features(orders: DataFrame) -> DataFrame:
-    """One row per order: the history of its primary seller, and sums, weighted means and extremes over its sellers."""
-    rows = order_days(orders)
-    members = seller_shares(orders).join(rows.select("order_id", "primary_seller_id", "bought_on", "known_on", "day", "late_1d"), "order_id")
-    days = global_features(rows).select("day", "prior")
+def _with_groups(rows: DataFrame, histories: DataFrame) -> DataFrame:
+    days, found = _days(histories), history_features()
+    out = rows.join(days, "day").withColumn("prior_global_late_rate", F.col("prior")).drop("prior")
+    for kind, (column, names) in GROUPS.items():
+        history = _kind(histories, kind, days).select(F.col("key").alias("__key"), "day", *[found[n].alias(f"{kind}_{n}") for n in names])
+        key = F.coalesce(F.col(column).cast("string"), F.lit(MISSING))
+        out = out.withColumn("__key", key).join(bounded(history, HISTORY_ROWS), ["__key", "day"]).drop("__key")
+    return out.drop("bought_on", "known_on", "day")
+
+
+def _members(rows: DataFrame) -> DataFrame:
+    return seller_shares(rows).join(rows.select("order_id", "primary_seller_id", "bought_on", "known_on", "day", "late_1d"), "order_id")
+
+
+def _with_sellers(members: DataFrame, histories: DataFrame) -> DataFrame:
     found = history_features()
-    sellers = key_history(members, ["seller_id"]).join(bounded(days, HISTORY_ROWS), "day")
-    sellers = sellers.select("seller_id", "day", "o_7", "o_30", *[c.alias(n) for n, c in found.items()])
+    sellers = _kind(histories, SELLER, _days(histories)).select(F.col("key").alias("seller_id"), "day", "o_7", "o_30", *[c.alias(n) for n, c in found.items()])
     each = members.join(bounded(sellers, HISTORY_ROWS), ["seller_id", "day"])
     first = F.col("seller_id") == F.col("primary_seller_id")
     w = F.col("weight")
@@ -102,6 +115,32 @@ def seller_features(orders: DataFrame) -> DataFrame:
     )
 
 
+_COLUMNS = {kind: column for kind, (column, _) in GROUPS.items()}
+
+
+def _staged(orders: DataFrame, *columns: str) -> DataFrame:
+    """The order days, written once: they are read for the histories and again to meet them."""
+    rows = order_days(orders)
+    return stage(rows.select(*columns) if columns else rows, "order-days")
+
+
+def _seller_pairs(members: DataFrame) -> DataFrame:
+    return members.select(F.lit(SELLER).alias("kind"), F.coalesce("seller_id", F.lit(MISSING)).alias("key"), "bought_on", "known_on", "late_1d")
+
+
+def group_features(orders: DataFrame) -> DataFrame:
+    """orders with the global, seller-state, route and category histories."""
+    rows = _staged(orders)
+    return _with_groups(rows, key_histories(key_pairs(rows, _COLUMNS)))
+
+
+def seller_features(orders: DataFrame) -> DataFrame:
+    """One row per order: the history of its primary seller, and sums, weighted means and extremes over its sellers."""
+    rows = _staged(orders, "order_id", "seller_ids", "seller_item_values", "primary_seller_id", "bought_on", "known_on", "day", "late_1d")
+    members = stage(_members(rows), "members")
+    return _with_sellers(members, key_histories(key_pairs(rows, {}).unionByName(_seller_pairs(members))))
+
+
 def static_features(orders: DataFrame) -> DataFrame:
     """orders with ratios and calendar counts that need the row alone."""
     start, end = F.to_date("order_purchase_timestamp"), F.to_date("order_estimated_delivery_date")
@@ -137,5 +176,8 @@ def static_features(orders: DataFrame) -> DataFrame:
 
 
 def feature_table(orders: DataFrame) -> DataFrame:
-    """Orders as orders.order_dataset makes them, with every feature."""
-    return static_features(group_features(orders)).join(seller_features(orders), "order_id")
+    """Orders as orders.order_dataset makes them, with every feature; the histories of all kinds are made together."""
+    rows = _staged(orders)
+    members = stage(_members(rows), "members")
+    histories = key_histories(key_pairs(rows, _COLUMNS).unionByName(_seller_pairs(members)))
+    return static_features(_with_groups(rows, histories)).join(_with_sellers(members, histories), "order_id")

@@ -1,9 +1,12 @@
 """Incremental lakehouse over Parquet: content-hash planning, one plan for all selected dates, gates on staged rows,
 partition replacement, watermark last. The manifest has one row per date and content that was ever ingested.
 
-Folders below the root: bronze, silver, gold and control. Facts are replaced by date; marts across dates are rebuilt
-from stored facts; the watermark moves only when everything before it was written, and a run that fails leaves a FAILED
-row and the old watermark.
+Folders below the root: bronze, silver, gold and control. Facts are replaced by date and marts across dates rebuilt from
+them; silver, gold and the watermark are tables of one commits.Store, so a run changes all of them in one commit, and a
+reader (`table`) sees them before it or after it. A run that fails leaves a FAILED row and everything else as it was.
+
+Planning lists the landed files of the dates asked for and opens only those whose size or time of change differ from the
+manifest's, or all of them if forced.
 """
 
 from __future__ import annotations
@@ -18,12 +21,14 @@ from millrace.functions.columns import THRESHOLDS
 from millrace.operators.tables import bounded, duplicates, latest_per_key, not_monotonic, plan_partitions, require_pass, volume_gate
 from millrace.plans import rail
 from millrace.sources import feeds
+from millrace.sources.commits import Store
 from millrace.sources.shared import stage
-from millrace.sources.sinks import append, insert_absent, read_or_empty, replace_partitions
+from millrace.sources.sinks import append, insert_absent, read_or_empty
 
 WATERMARK = "departure_date string, source_content_sha256 string, committed_run_id string, committed_at timestamp"
 RUNS = "run_id string, status string, requested_start string, requested_end string, processed int, skipped int, detail string, recorded_at timestamp"
-MANIFEST = "departure_date string, content_sha256 string, source_path string, source_row_count long, ingested_at timestamp, run_id string"
+MANIFEST = "departure_date string, content_sha256 string, source_path string, source_row_count long, source_bytes long, source_changed_at timestamp, ingested_at timestamp, run_id string"
+COMMITTED = "control/watermark"
 QUALITY = "departure_date string, check_name string, status string, observed long, run_id string"
 
 
@@ -41,14 +46,29 @@ class Report:
     skipped: list[str] = field(default_factory=list)
 
 
-def source_hashes(spark: SparkSession, folder: str) -> DataFrame:
-    """(day, sha) of the landed files."""
-    return feeds.fingerprint_files(spark, folder, "*.json.gz").select(F.to_date(F.substring("name", 1, 10)).alias("day"), F.col("sha256").alias("sha"))
+def table(spark: SparkSession, conf: Conf, name: str, days: list[str] | None = None) -> DataFrame:
+    """A table of silver or gold as of the last commit; of a table by date, the files of these dates alone."""
+    return Store(spark, conf.root).read(name, parts=days)
+
+
+def source_hashes(spark: SparkSession, conf: Conf, start: str, end: str, force: bool = False) -> DataFrame:
+    """(day, sha, bytes, changed_at) of the landed files of these dates; content is read where the manifest does not know it."""
+    files = feeds.list_files(spark, conf.source, "*.json.gz").withColumn("day", F.substring("name", 1, 10).try_cast("date"))
+    wanted = files.filter(F.col("day").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    manifest = read_or_empty(spark, f"{conf.root}/control/manifest", MANIFEST).filter(F.col("departure_date").between(start, end))
+    if force:
+        manifest = manifest.limit(0)
+    known = latest_per_key(manifest, ["departure_date", "source_bytes", "source_changed_at"], ["ingested_at", "content_sha256"])
+    known = known.select(F.to_date("departure_date").alias("day"), F.col("source_bytes").alias("bytes"), F.col("source_changed_at").alias("changed_at"), F.col("content_sha256").alias("sha"))
+    planned = stage(wanted.join(bounded(known), ["day", "bytes", "changed_at"], "left").select("day", "bytes", "changed_at", "path", "sha"), "landed")
+    paths = [r["path"] for r in planned.filter("sha is null").select("path").collect()]  # one for each date asked for
+    read = feeds.fingerprint_paths(spark, paths)
+    return planned.join(read.select("path", F.col("sha256").alias("new")), "path", "left").select("day", F.coalesce("sha", "new").alias("sha"), "bytes", "changed_at")
 
 
 def watermark(spark: SparkSession, conf: Conf) -> DataFrame:
     """(day, sha) of the last commit per date."""
-    log = read_or_empty(spark, f"{conf.root}/control/watermark", WATERMARK)
+    log = Store(spark, conf.root).read(COMMITTED, WATERMARK)
     return log.groupBy(F.to_date("departure_date").alias("day")).agg(F.max_by("source_content_sha256", "committed_at").alias("sha"))
 
 
@@ -92,7 +112,7 @@ def run(spark: SparkSession, conf: Conf, start: str, end: str, now: str, force:
         append(row.withColumn("recorded_at", stamp), f"{conf.root}/control/runs")
 
     try:
-        sources = source_hashes(spark, conf.source)
+        sources = stage(source_hashes(spark, conf, start, end, force), "sources")
         plan = plan_partitions(sources, watermark(spark, conf), start, end, force).collect()  # one row per date
         lost = [str(r["day"]) for r in plan if r["action"] == "error"]
         if lost:
@@ -110,7 +130,8 @@ def run(spark: SparkSession, conf: Conf, start: str, end: str, now: str, force:
 
 
 def _process(spark: SparkSession, conf: Conf, todo: list[str], sources: DataFrame, report: Report, now: str) -> None:
-    hashes = sources.filter(F.col("day").cast("string").isin(todo)).select(F.col("day").cast("string").alias("departure_date"), F.col("sha").alias("source_content_sha256"))
+    hashes = sources.filter(F.col("day").cast("string").isin(todo)).select(F.col("day").cast("string").alias("departure_date"), F.col("sha").alias("source_content_sha256"), "bytes", "changed_at")
+    landed_files, hashes = hashes, hashes.drop("bytes", "changed_at")
     raw = stage(feeds.read_trains(spark, [f"{conf.source}/{d}.json.gz" for d in todo]), "trains")
     quality, stamp = f"{conf.root}/control/quality", F.lit(now).cast("timestamp")
     first = feeds.gate_partitions(raw, todo).withColumn("run_id", F.lit(report.run_id))
@@ -118,7 +139,7 @@ def _process(spark: SparkSession, conf: Conf, todo: list[str], sources: DataFram
     require_pass(first, "bronze")
     counts = raw.groupBy(F.col("departureDate").alias("departure_date")).agg(F.count(F.lit(1)).alias("source_row_count"))
     landed = F.concat(F.lit(f"{conf.root}/bronze/trains/departure_date="), F.col("departure_date"), F.lit("/source_content_sha256="), F.col("source_content_sha256"))
-    entries = hashes.join(counts, "departure_date").select("departure_date", F.col("source_content_sha256").alias("content_sha256"), landed.alias("source_path"), "source_row_count", stamp.alias("ingested_at"), F.lit(report.run_id).alias("run_id"))
+    entries = landed_files.join(counts, "departure_date").select("departure_date", F.col("source_content_sha256").alias("content_sha256"), landed.alias("source_path"), "source_row_count", F.col("bytes").alias("source_bytes"), F.col("changed_at").alias("source_changed_at"), stamp.alias("ingested_at"), F.lit(report.run_id).alias("run_id"))
     insert_absent(entries, f"{conf.root}/control/manifest", ["departure_date", "content_sha256"])
     volume = volume_gates(spark.read.schema(MANIFEST).parquet(f"{conf.root}/control/manifest"), todo).withColumn("run_id", F.lit(report.run_id))
     append(volume, quality)
@@ -136,9 +157,10 @@ def _process(spark: SparkSession, conf: Conf, todo: list[str], sources: DataFram
     append(monotonic, quality)
     require_pass(monotonic, "gold")
     by_day = lambda df: df.withColumn("departure_date", F.col("departure_date").cast("string"))
-    for name, df in (("silver/journeys", journeys), ("silver/arrivals", arrivals), ("gold/facts", facts), ("gold/regional", rail.regional_daily(arrivals)), ("gold/network", rail.network_daily(facts))):
-        replace_partitions(by_day(df), f"{conf.root}/{name}", "departure_date", todo)
-    all_facts, all_arrivals = (spark.read.schema(by_day(df).schema).parquet(f"{conf.root}/{name}") for name, df in (("gold/facts", facts), ("silver/arrivals", arrivals)))
-    rail.route_performance(all_facts).write.mode("overwrite").parquet(f"{conf.root}/gold/routes")
-    rail.station_performance(all_arrivals).write.mode("overwrite").parquet(f"{conf.root}/gold/stations")
-    append(hashes.select("departure_date", "source_content_sha256", F.lit(report.run_id).alias("committed_run_id"), stamp.alias("committed_at")), f"{conf.root}/control/watermark")
+    commit = hashes.select("departure_date", "source_content_sha256", F.lit(report.run_id).alias("committed_run_id"), stamp.alias("committed_at"))
+    with Store(spark, conf.root).transaction() as t:
+        for name, df in (("silver/journeys", journeys), ("silver/arrivals", arrivals), ("gold/facts", facts), ("gold/regional", rail.regional_daily(arrivals)), ("gold/network", rail.network_daily(facts))):
+            t.replace_parts(name, by_day(df), "departure_date", todo)
+        t.replace("gold/routes", rail.route_performance(t.read("gold/facts")))
+        t.replace("gold/stations", rail.station_performance(t.read("silver/arrivals")))
+        t.append(COMMITTED, commit)

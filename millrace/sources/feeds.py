@@ -109,8 +109,21 @@ def read_order_sources(spark: SparkSession, folder: str) -> dict[str, DataFrame]
     return out
 
 
+def list_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
+    """(path, name, bytes, changed_at) of files; none is opened."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
+    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.col("modificationTime").alias("changed_at"))
+
+
+def fingerprint_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, name, bytes, sha256) of files, hashed by the tasks that read them."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.read.format("binaryFile").load(paths) if paths else spark.createDataFrame([], schema)
+    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
 def fingerprint_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """(name, bytes, sha256) of files, hashed by the tasks that read them."""
+    """(name, bytes, sha256) of a folder's files."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 

@@ -1,7 +1,8 @@
-"""Table sinks: append, replacement of touched partitions, keyed inserts and upserts, versions, small extracts.
+"""Table sinks: append, replacement of touched partitions, keyed inserts and upserts, copies, small extracts.
 
-A versioned table is a folder of complete copies, `version=<n>`. A copy counts once its _SUCCESS file is there, so a
-write that fails or is repeated leaves the table as it was; readers take the newest copy that counts.
+Tables that change by key or together are those of a commits.Store. A versioned table is a folder of complete copies,
+`version=<n>`. A copy counts once its _SUCCESS file is there, so a write that fails or is repeated leaves the table as
+it was; readers take the newest copy that counts.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from millrace.sources.commits import Store, put_file
+
 VERSION = "version="
 
 
@@ -81,9 +84,19 @@ def write_version(df: DataFrame, path: str, number: int | None = None, keep: int
         fs.delete(at, True)
 
 
+#: The one table of a store that upsert_into fills.
+ROWS = "rows"
+
+
 def upsert_into(path: str, source: DataFrame, keys: list[str]) -> None:
-    """A versioned table with the rows of source in place of those with their keys."""
-    write_version(upsert(read_version(source.sparkSession, path, source.schema), source, keys), path)
+    """Rows of source in place of those with their keys; writes those rows, and now and then the table (commits.MERGE_AT)."""
+    with Store(source.sparkSession, path).transaction() as t:
+        t.upsert(ROWS, source, keys)
+
+
+def read_upserted(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """What upsert_into has stored."""
+    return Store(spark, path).read(ROWS, schema)
 
 
 def extract(df: DataFrame, path: str, order: list[str], kind: str = "json", rows: int = 100_000) -> None:
@@ -104,14 +117,7 @@ def extract(df: DataFrame, path: str, order: list[str], kind: str = "json", rows
         writer = csv.DictWriter(text, df.columns, lineterminator="\n")
         writer.writeheader()
         writer.writerows(found)
-    at, fs = _folder(spark, path)
-    beside, _ = _folder(spark, f"{path}.tmp")
-    out = fs.create(beside, True)
-    out.write(bytearray(text.getvalue().encode()))
-    out.close()
-    fs.delete(at, False)
-    if not fs.rename(beside, at):
-        raise OSError(f"{path} was not replaced")
+    put_file(spark, path, text.getvalue(), overwrite=True)
 
 
 def save_tables(tables: dict[str, DataFrame], database: str) -> None:
@@ -125,13 +131,13 @@ def save_tables(tables: dict[str, DataFrame], database: str) -> None:
 def replace_children(parents: DataFrame, children: dict[str, DataFrame], key: str, root: str) -> None:
     """Parents and their child tables: rows of the keys in `parents` are replaced in every table, others stay.
 
-    A child table without rows for a key loses the key's old rows.
+    A child table without rows for a key loses the key's old rows. All tables change at once (see commits.Store), and
+    only the new rows are written.
     """
     keys = parents.select(key).distinct()
-    for name, df in {"parents": parents, **children}.items():
-        path = f"{root}/{name}"
-        old = read_version(df.sparkSession, path, df.schema)
-        write_version(old.join(keys, key, "left_anti").select(*df.columns).unionByName(df.join(keys, key, "left_semi").select(*df.columns)), path)
+    with Store(parents.sparkSession, root).transaction() as t:
+        for name, df in {"parents": parents, **children}.items():
+            t.upsert(name, df.join(keys, key, "left_semi").select(*df.columns), [key], keys)
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ there and stops, which is how a scheduled job catches up.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.operators.tables import bounded, latest_per_key
+from millrace.sources.commits import Store
 from millrace.sources.shared import new_path
-from millrace.sources.sinks import VERSION, read_or_empty, versions, write_version
+from millrace.sources.sinks import read_or_empty
 
 
 def read_folder(spark: SparkSession, path: str, schema: T.StructType | str, glob: str | None = None, files: int = 50) -> DataFrame:
@@ -45,38 +47,49 @@ def deduplicated(events: DataFrame, ts: str, keys: list[str], late: str = "1 day
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
-def keep_latest(events: DataFrame, keys: list[str], order: list[str], sink: str, checkpoint: str | None = None, compact: int = 20) -> DataFrame:
-    """The newest row per key, kept as a log below `sink`.
+#: The table of keep_latest's store.
+LOG = "log"
 
-    A batch adds one version with its own newest rows, so its cost does not grow with the state; after `compact`
-    versions they are merged into one. A version that is there already is not written again, so a batch that runs
-    twice changes nothing. With its checkpoint (by default beside the sink) a stream goes on where it stopped.
-    """
-    spark = events.sparkSession
 
-    def merge(batch: DataFrame, epoch: int) -> None:
-        found = versions(spark, sink)
-        if epoch in found:
-            return
-        rows = latest_per_key(batch, keys, order).select(*batch.columns)
-        if len(found) >= compact:
-            rows = latest_per_key(rows.unionByName(_log(spark, sink, found, batch.schema)), keys, order).select(*batch.columns)
-        write_version(rows, sink, epoch, keep=1 if len(found) >= compact else compact + 1)
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a checkpoint gives its stream; a new checkpoint is a new stream, also in the same place."""
+    return json.loads("".join(r.value for r in spark.read.text(f"{checkpoint}/metadata").collect()))["id"]
+
 
-    run_batches(events, merge, checkpoint or f"{sink}-checkpoint")
+def keep_latest(events: DataFrame, keys: list[str], order: list[str], sink: str, checkpoint: str | None = None, compact: int = 20) -> DataFrame:
+    """The newest row per key, kept as a log below `sink` (a commits.Store), which several streams may fill.
+
+    A batch adds its own newest rows, so its cost does not grow with the state; after `compact` batches the log is
+    merged into one entry. An entry is named for its stream and batch: a batch that runs twice changes nothing, and
+    a stream with another checkpoint, or one that has lost it and reads all again, adds entries of its own. With its
+    checkpoint (by default beside the sink) a stream goes on where it stopped.
+    """
+    spark, at = events.sparkSession, checkpoint or f"{sink}-checkpoint"
+    store = Store(spark, sink, keep=compact + 2)
+    newest = lambda rows: latest_per_key(rows, keys, order).select(*rows.columns)
+
+    def add(batch: DataFrame, epoch: int) -> None:
+        stream = stream_id(spark, at)
+        log = store.state()[1].get(LOG)
+        if log is None or (f"{stream}-{epoch}" not in {e["tag"] for e in log["entries"]} and epoch > log["notes"].get(stream, -1)):
+            with store.transaction() as t:
+                t.append(LOG, newest(batch), f"{stream}-{epoch}")
+        if len(store.state()[1][LOG]["entries"]) > compact:
+            store.merge(LOG, newest, _merged)
+
+    run_batches(events, add, at)
     return latest_state(spark, sink, events.schema, keys, order)
 
 
-def _log(spark: SparkSession, sink: str, found: list[int], schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).parquet(*[f"{sink}/{VERSION}{v}" for v in found])
+def _merged(log: dict) -> dict[str, int]:
+    """The last batch of each stream among the entries of a log."""
+    tags = [e["tag"].rsplit("-", 1) for e in log["entries"] if e["tag"]]
+    return {stream: max(int(n) for s, n in tags if s == stream) for stream, _ in tags}
 
 
 def latest_state(spark: SparkSession, sink: str, schema: T.StructType, keys: list[str], order: list[str]) -> DataFrame:
     """What keep_latest has stored."""
-    found = versions(spark, sink)
-    if not found:
-        return spark.createDataFrame([], schema)
-    return latest_per_key(_log(spark, sink, found, schema), keys, order).select(*schema.names)
+    return latest_per_key(Store(spark, sink).read(LOG, schema), keys, order).select(*schema.names)
 
 
 def replace_touched(events: DataFrame, day: str, version: str, sink: str, checkpoint: str | None = None) -> DataFrame:

@@ -128,11 +128,14 @@ def test_lakehouse_skips_replaces_and_forces(spark, conf):
     assert (again.processed, again.skipped) == ([], list(days))
     land(conf, "2026-07-31", [base(1), base(2), base(3)])
     assert lakehouse.run(spark, conf, *days, "2026-08-01 03:00:00").processed == ["2026-07-31"]
-    facts = spark.read.parquet(f"{conf.root}/gold/facts")
+    facts = lakehouse.table(spark, conf, "gold/facts")
     assert {(str(r.departure_date), r.n) for r in facts.groupBy("departure_date").agg(F.count(F.lit(1)).alias("n")).collect()} == {("2026-07-30", 1), ("2026-07-31", 3)}
-    assert spark.read.parquet(f"{conf.root}/gold/routes").first().scheduled == 4
+    assert lakehouse.table(spark, conf, "gold/routes").first().scheduled == 4
     assert lakehouse.run(spark, conf, *days, "2026-08-01 04:00:00", force=True).processed == list(days)
-    assert facts.sparkSession.read.parquet(f"{conf.root}/gold/network").count() == 2
+    assert lakehouse.table(spark, conf, "gold/network").count() == 2
+    assert lakehouse.table(spark, conf, "gold/facts", ["2026-07-31"]).count() == 3
+    assert len(facts.inputFiles()) == 2  # a frame from before the last run still reads its files
+    assert facts.count() == 4
 
 
 def test_lakehouse_rejects_duplicates_and_keeps_the_watermark(spark, conf):
@@ -187,3 +190,49 @@ def test_route_grain(spark, stations):
     there, back = base(1), train(2, [event("DEPARTURE", "LH", "2026-07-31T10:00:00Z", 2), event("ARRIVAL", "HKI", "2026-07-31T11:00:00Z", 4)])
     rows = rail.route_performance(rail.journey_fact(normal(spark, stations, [there, back])[0])).collect()
     assert {(r.route_key, r.origin_code, r.destination_code, r.scheduled) for r in rows} == {("HKI--LH", "HKI", "LH", 1), ("HKI--LH", "LH", "HKI", 1)}
+
+
+def test_a_run_that_stops_between_writes_changes_nothing(spark, conf, monkeypatch):
+    from millrace.sources import commits
+
+    tables = {"silver/journeys": 1, "silver/arrivals": 1, "gold/facts": 1, "gold/regional": 4, "gold/network": 1, "gold/routes": 1, "gold/stations": 1}
+    day = ("2026-07-31", "2026-07-31")
+    land(conf, "2026-07-31", [base(1)])
+    lakehouse.run(spark, conf, *day, "2026-08-01 01:00:00")
+    seen = lambda: {name: sorted(map(str, lakehouse.table(spark, conf, name).collect())) for name in tables} | {"watermark": lakehouse.watermark(spark, conf).collect()}
+    before = seen()
+    assert {name: len(before[name]) for name in tables} == tables
+    land(conf, "2026-07-31", [base(1), base(2)])
+    for method in ("replace_parts", "replace", "append", "commit"):
+        own = getattr(commits.Transaction, method)
+        for stop_at in range({"replace_parts": 5, "replace": 2}.get(method, 1)):
+            calls = []
+
+            def failing(self, *args, own=own, stop_at=stop_at, calls=calls, **more):
+                calls.append(1)
+                if len(calls) == stop_at + 1:
+                    raise OSError("stopped")
+                return own(self, *args, **more)
+
+            monkeypatch.setattr(commits.Transaction, method, failing)
+            with pytest.raises(OSError, match="stopped"):
+                lakehouse.run(spark, conf, *day, "2026-08-01 02:00:00")
+            monkeypatch.undo()
+            assert seen() == before
+    assert lakehouse.run(spark, conf, *day, "2026-08-01 03:00:00").processed == ["2026-07-31"]
+    assert lakehouse.table(spark, conf, "gold/facts").count() == 2
+
+
+def test_planning_opens_only_what_it_has_to(spark, conf, monkeypatch):
+    opened = []
+    own = feeds.fingerprint_paths
+    monkeypatch.setattr(feeds, "fingerprint_paths", lambda spark, paths: opened.append([p[-18:-8] for p in paths]) or own(spark, paths))
+    for d in range(1, 29):
+        land(conf, f"2026-07-{d:02}", [base(1, f"2026-07-{d:02}")])
+    day = ("2026-07-14", "2026-07-14")
+    lakehouse.run(spark, conf, *day, "2026-08-01 01:00:00")
+    lakehouse.run(spark, conf, *day, "2026-08-01 02:00:00")
+    land(conf, "2026-07-14", [base(1, "2026-07-14"), base(2, "2026-07-14")])
+    assert lakehouse.run(spark, conf, *day, "2026-08-01 03:00:00").processed == ["2026-07-14"]
+    lakehouse.run(spark, conf, *day, "2026-08-01 04:00:00", force=True)
+    assert opened == [["2026-07-14"], [], ["2026-07-14"], ["2026-07-14"]]

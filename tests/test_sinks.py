@@ -5,21 +5,29 @@ import json
 import pytest
 
 from millrace.sources import sinks
+from millrace.sources.commits import Store
 
 
 def pairs(spark, *rows):
     return spark.createDataFrame(rows, "k int, v string")
 
 
-def test_upserts_make_versions(spark, tmp_path):
+def test_copies_are_versions(spark, tmp_path):
     path = f"{tmp_path}/t"
     assert sinks.read_version(spark, path, "k int, v string").count() == 0
-    for rows in ([(1, "a"), (2, "b")], [(2, "c"), (3, "d")], [(1, "e")]):
-        sinks.upsert_into(path, pairs(spark, *rows), ["k"])
-    assert {tuple(r) for r in sinks.read_version(spark, path, "k int, v string").collect()} == {(1, "e"), (2, "c"), (3, "d")}
+    for rows in ([(1, "a")], [(2, "b")], [(1, "e"), (3, "d")]):
+        sinks.write_version(pairs(spark, *rows), path)
     assert sinks.versions(spark, path) == [1, 2]
     (tmp_path / "t" / "version=9").mkdir()  # a write that failed
-    assert sinks.read_version(spark, path, "k int, v string").count() == 3
+    assert {tuple(r) for r in sinks.read_version(spark, path, "k int, v string").collect()} == {(1, "e"), (3, "d")}
+
+
+def test_upserts(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    assert sinks.read_upserted(spark, path, "k int, v string").count() == 0
+    for rows in ([(1, "a"), (2, "b")], [(2, "c"), (3, "d")], [(1, "e")]):
+        sinks.upsert_into(path, pairs(spark, *rows), ["k"])
+    assert {tuple(r) for r in sinks.read_upserted(spark, path).collect()} == {(1, "e"), (2, "c"), (3, "d")}
 
 
 def test_insert_absent(spark, tmp_path):
@@ -33,8 +41,8 @@ def test_children_are_replaced_with_their_parents(spark, tmp_path):
     sinks.replace_children(pairs(spark, (1, "a"), (2, "b")), {"lots": child((1, "x"), (1, "y"), (2, "z"))}, "k", str(tmp_path))
     sinks.replace_children(pairs(spark, (1, "c")), {"lots": child((1, "w"), (7, "stray"))}, "k", str(tmp_path))
     sinks.replace_children(pairs(spark, (2, "d")), {"lots": child()}, "k", str(tmp_path))
-    assert {tuple(r) for r in sinks.read_version(spark, f"{tmp_path}/parents", "k int, v string").collect()} == {(1, "c"), (2, "d")}
-    assert {tuple(r) for r in sinks.read_version(spark, f"{tmp_path}/lots", "k int, lot string").collect()} == {(1, "w")}
+    assert {tuple(r) for r in Store(spark, str(tmp_path)).read("parents").collect()} == {(1, "c"), (2, "d")}
+    assert {tuple(r) for r in Store(spark, str(tmp_path)).read("lots").collect()} == {(1, "w")}
 
 
 def test_extracts(spark, tmp_path):
