@@ -8,7 +8,10 @@ the offsets.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -120,6 +123,9 @@ def bootstrap_pairs(df: DataFrame, a: str, b: str, label: str, key: str, replica
 #: A prime over all 28-bit row hashes; replicate r draws with its own line modulo the prime.
 PRIME = 2147483647
 METRICS = ("ap", "lift", "auc", "capture")
+_POISSON = (0.36787944, 0.73575888, 0.9196986, 0.98101184)
+#: Weights that a task holds at once, and sums before it passes them on.
+PAIRS = 2_000_000
 
 
 def replicate_lines(replicates: int) -> list[tuple[int, int]]:
@@ -128,16 +134,47 @@ def replicate_lines(replicates: int) -> list[tuple[int, int]]:
     return [(1 + int(d[:7], 16), int(d[7:14], 16)) for d in digests]
 
 
-def replicate_weights(key: Column, replicates: int) -> Column:
-    """How often a row is drawn in each replicate: an array of Poisson counts with mean 1 (4 stands for all above 3)."""
-    row = F.conv(F.substring(F.md5(key.cast("string")), 1, 7), 16, 10).cast("long")
-    lines = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in replicate_lines(replicates)])
+def replicate_weights(rows: np.ndarray, replicates: int) -> np.ndarray:
+    """How often each row (a 28-bit hash) is drawn in each replicate: Poisson counts with mean 1 (4 stands for all above 3)."""
+    lines = np.array(replicate_lines(replicates), np.int64).reshape(-1, 2)
+    u = (rows[:, None] * lines[:, 0] + lines[:, 1]) % PRIME / float(PRIME)
+    return np.searchsorted(_POISSON, u, side="right").astype(float)
 
-    def weight(line: Column) -> Column:
-        u = (line["a"] * row + line["b"]) % PRIME / float(PRIME)
-        return F.when(u < 0.36787944, 0.0).when(u < 0.73575888, 1.0).when(u < 0.9196986, 2.0).when(u < 0.98101184, 3.0).otherwise(4.0)
 
-    return F.transform(lines, weight)
+def _weighed(replicates: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of batches of (a, b, y, h): per score and distinct value the sums of positive and of negative weights, some batches together."""
+
+    def sums(which: str, part: dict[str, np.ndarray], out: dict) -> None:
+        order = np.argsort(part[which], kind="stable")
+        scores, first = np.unique(part[which][order], return_index=True)
+        y = part["y"][order, None]
+        step = max(1, PAIRS // replicates)
+        for at in range(0, len(order), step):
+            w = replicate_weights(part["h"][order[at : at + step]], replicates)
+            begins = np.flatnonzero((first >= at) & (first < at + step))
+            cuts = np.unique(np.concatenate(([0], first[begins] - at)))
+            v = np.add.reduceat(np.concatenate((w * y[at : at + step], w * (1 - y[at : at + step])), axis=1), cuts)
+            for score, row in zip(part[which][order[at + cuts]], v, strict=True):
+                key = (which, float(score))
+                out[key] = out[key] + row if key in out else row
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[tuple[str, float], np.ndarray] = {}
+
+        def taken() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.string()), pa.array([k[1] for k in out], pa.float64()), pa.array([v.tolist() for v in out.values()], pa.list_(pa.float64()))], ["which", "score", "v"])
+            out.clear()
+            return made
+
+        for batch in batches:
+            part = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "y", "h")}
+            for which in ("a", "b"):
+                sums(which, part, out)
+            if len(out) * replicates > PAIRS:
+                yield taken()
+        yield taken()
+
+    return run
 
 
 def bootstrap_metrics(df: DataFrame, a: str, b: str, label: str, key: str, replicates: int = 1000, top: float = 0.1) -> DataFrame:
@@ -146,15 +183,14 @@ def bootstrap_metrics(df: DataFrame, a: str, b: str, label: str, key: str, repli
     ap is average precision in its step form, lift its ratio to the share of positives, auc counts ties half, capture
     is the share of positives among the best ceil(top * n) draws, of which equal scores have an equal share.
 
-    A row is shuffled once, as two partial sums: its weights in all replicates are one array, and arrays are added up
-    element by element per distinct score. Only these sums are ranked, each replicate by itself; scores should be
-    rounded to what tells rows apart.
+    Tasks add up the weights of their rows, all replicates as one array per distinct score, and only these sums are
+    shuffled and ranked, each replicate by itself; scores should be rounded to what tells rows apart. Rows with a null
+    label or score take no part.
     """
-    w = replicate_weights(F.col(key), replicates)
-    y = F.col(label).cast("double")
-    rows = df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"), y.alias("y"), w.alias("w"))
-    rows = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("which"), F.col(c).alias("score")) for c in ("a", "b")])).alias("s"), array_to_vector(F.concat(F.transform("w", lambda k: k * F.col("y")), F.transform("w", lambda k: k * (1 - F.col("y"))))).alias("v"))
-    sums = stage(rows.groupBy("s.which", "s.score").agg(vector_to_array(Summarizer.sum(F.col("v"))).alias("v")), "replicates")
+    row = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 7), 16, 10).cast("long")
+    rows = df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"), F.col(label).cast("double").alias("y"), row.alias("h")).dropna()
+    partial = rows.mapInArrow(_weighed(replicates), "which string, score double, v array<double>")
+    sums = stage(partial.groupBy("which", "score").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v")), "replicates")
     pairs = F.arrays_zip(F.slice("v", 1, replicates).alias("tp"), F.slice("v", replicates + 1, replicates).alias("fp"))
     each = sums.select("which", "score", F.posexplode(pairs).alias("rep", "x")).select("which", "score", "rep", "x.tp", "x.fp").filter("tp + fp > 0")
     group = Window.partitionBy("rep", "which")

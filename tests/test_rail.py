@@ -205,7 +205,7 @@ def test_a_run_that_stops_between_writes_changes_nothing(spark, conf, monkeypatc
     land(conf, "2026-07-31", [base(1), base(2)])
     for method in ("replace_parts", "replace", "append", "commit"):
         own = getattr(commits.Transaction, method)
-        for stop_at in range({"replace_parts": 5, "replace": 2}.get(method, 1)):
+        for stop_at in {"replace_parts": (0, 4), "replace": (1,)}.get(method, (0,)):
             calls = []
 
             def failing(self, *args, own=own, stop_at=stop_at, calls=calls, **more):
