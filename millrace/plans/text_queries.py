@@ -22,17 +22,15 @@ def tokenize(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.size(found).alias("n"), F.array_join(found, " ").alias("tokens"))
 
 
-def _statistics(t: Tables) -> tuple[int, float]:
-    """Number of documents and their mean number of tokens."""
-    r = t.documents.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(retrieval.tokens_of("text"))).alias("mean")).first()
-    return r["n"], r["mean"] or 0.0
+def _bm25(t: Tables, asked: DataFrame, k: int) -> DataFrame:
+    """Statistics cover all documents."""
+    tokens = retrieval.tokenized(t.documents, "doc_id", "text")
+    return retrieval.bm25(asked, stage(retrieval.postings(tokens, asked), "postings"), *retrieval.statistics(tokens), k)
 
 
-def _bm25(t: Tables, k: int) -> DataFrame:
-    """Queries are the first 12 distinct tokens of each benchmark item; statistics cover all documents."""
-    asked = stage(t.benchmark.select(F.col("item_id").alias("query"), F.explode(F.slice(F.array_distinct(retrieval.tokens_of("text")), 1, 12)).alias("token")), "asked")
-    post = stage(retrieval.postings(t.documents, "doc_id", "text", asked), "postings")
-    return retrieval.bm25(asked, post, *_statistics(t), k)
+def _asked(df: DataFrame, key: str) -> DataFrame:
+    """The first 12 distinct tokens of each text."""
+    return stage(df.select(F.col(key).alias("query"), F.explode(F.slice(F.array_distinct(retrieval.tokens_of("text")), 1, 12)).alias("token")), "asked")
 
 
 def _first_distinct(sql: str) -> str:
@@ -46,7 +44,8 @@ _LEXICAL = _first_distinct(_BM25)
 
 @query(f"WITH {_LEXICAL} SELECT query, doc, score, cast(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS INTEGER) AS place FROM s QUALIFY place <= 50")
 def bm25_topk(t: Tables) -> DataFrame:
-    return _bm25(t, 50)
+    """Queries are the benchmark items."""
+    return _bm25(t, _asked(t.benchmark, "item_id"), 50)
 
 
 _VEC = "v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), u AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v), qs AS (SELECT vec_id AS query, e AS qe, n AS qn FROM u WHERE vec_id % 50 = 0), vs AS (SELECT query, vec_id AS doc, round(greatest(list_dot_product(list_transform(qe, lambda x: x / qn), list_transform(e, lambda x: x / n)), 0), 6) AS score FROM u, qs WHERE vec_id <> query)"
@@ -76,9 +75,30 @@ def cosine(t: Tables) -> DataFrame:
 def _hybrid_parts(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Documents and vectors meet by id; lexical queries are the tokens of the documents whose ids are queries."""
     ids = t.embeddings.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("doc_id"))
-    asked = stage(t.documents.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("query"), F.explode(F.slice(F.array_distinct(retrieval.tokens_of("text")), 1, 12)).alias("token")), "asked")
-    post = stage(retrieval.postings(t.documents, "doc_id", "text", asked), "postings")
-    return stage(retrieval.vector_topk(_queries(t), _docs(t), 50), "vectors"), stage(retrieval.bm25(asked, post, *_statistics(t), 50), "lexical")
+    asked = _asked(t.documents.join(ids, "doc_id", "left_semi"), "doc_id")
+    return stage(retrieval.vector_topk(_queries(t), _docs(t), 50), "vectors"), stage(_bm25(t, asked, 50), "lexical")
+
+
+_OWN = _LEXICAL.replace("SELECT item_id, unnest", "SELECT doc_id AS item_id, unnest").replace("FROM benchmark)", "FROM documents WHERE doc_id % 50 = 0 AND doc_id IN (SELECT vec_id FROM embeddings))")
+
+
+@query(
+    f"""WITH {_OWN}, {_VEC}, lex AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS place FROM s QUALIFY place <= 50), ok AS (SELECT doc_id FROM documents WHERE lang IN ('en', 'es') AND source LIKE 'src1%' AND n_chars >= 500),
+    h AS (SELECT query, doc, round(vs.score * 0.7 + coalesce(1 / place, 0) * 0.3, 6) AS score FROM vs JOIN ok ON doc = doc_id LEFT JOIN lex USING (query, doc)) SELECT query, doc, score, cast(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS INTEGER) AS place FROM h QUALIFY place <= 10"""
+)
+def hybrid_filtered(t: Tables) -> DataFrame:
+    """Hybrid search among documents of some languages, with a prefix of their source and at least 500 characters."""
+    _, lexical = _hybrid_parts(t)
+    docs = _docs(t).join(t.documents.select(F.col("doc_id").alias("doc"), "lang", "source", "n_chars"), "doc")
+    where = F.col("lang").isin("en", "es") & F.col("source").startswith("src1") & (F.col("n_chars") >= 500)
+    return retrieval.hybrid_search(_queries(t), docs, lexical, (0.7, 0.3), 10, where)
+
+
+@query(f"WITH {_VEC} SELECT query, doc, score, cast(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS INTEGER) AS place FROM vs JOIN embeddings ON doc = vec_id WHERE label < 5 QUALIFY place <= 5")
+def similar_items(t: Tables) -> DataFrame:
+    """The five items of some labels next to each item of the query set, by its own vector."""
+    docs = t.embeddings.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v"), "label")
+    return retrieval.similar_items(docs, docs.filter("doc % 50 = 0"), 5, F.col("label") < 5)
 
 
 @query()
