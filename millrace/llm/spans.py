@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.pretokens import slices
 from millrace.llm.scratch import doc_ids, stage
 
 _MIX = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
@@ -55,9 +56,10 @@ def _accepted(rule: Rule, t: int, c: np.ndarray) -> np.ndarray:
 
 
 def windows(units: list[list[str]], rule: Rule) -> dict[str, np.ndarray]:
-    """Of several texts' units: doc (index of the text), at, size, h1, h2, again (the text has it before), fp, lead.
+    """Of several texts' units: doc (index of the text), at, size, h1, h2, again (the text has it before), fp, mark, lead.
 
-    fp is the least unit hash of the window, its fingerprint; lead marks one window of each place that is one.
+    fp is the least unit hash of the window, its fingerprint, and mark its place in the text; lead marks one window of
+    each place that is one.
     """
     sizes = np.array([len(x) for x in units], np.int64)
     flat = [u.strip() for x in units for u in x]
@@ -91,8 +93,8 @@ def windows(units: list[list[str]], rule: Rule) -> dict[str, np.ndarray]:
     if len(start):
         a, b = order[1:], order[:-1]
         again[a] = (doc[a] == doc[b]) & (h1[a] == h1[b]) & (h2[a] == h2[b])
-    at = start - first[start] if n else start
-    return {"doc": doc, "at": at, "size": end - start, "h1": h1.view(np.int64), "h2": h2.view(np.int64), "again": again, "fp": h[pick].view(np.int64), "lead": lead}
+    at, mark = (start - first[start], pick - first[start]) if n else (start, pick)
+    return {"doc": doc, "at": at, "size": end - start, "h1": h1.view(np.int64), "h2": h2.view(np.int64), "again": again, "fp": h[pick].view(np.int64), "mark": mark, "lead": lead}
 
 
 def _keys(docs: DataFrame) -> list[Column]:
@@ -100,6 +102,41 @@ def _keys(docs: DataFrame) -> list[Column]:
     return [doc_ids(docs).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie")]
 
 
+def _in_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows some megabytes of text at a time, however long a batch is."""
+    for pdf in batches:
+        for a, b in slices([len(x) for x in pdf["text"]]):
+            yield pdf.iloc[a:b]
+
+
+def fingerprints(docs: DataFrame, split: Callable[[str], list[str]], rule: Rule) -> DataFrame:
+    """One row for each place of a text that is the fingerprint of a window: fp, doc_id, tie, mark."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in _in_parts(batches):
+            w = windows([split(x) for x in part["text"]], rule)
+            doc, one = w["doc"], w["lead"]
+            yield pd.DataFrame({"fp": w["fp"][one], "doc_id": part["doc_id"].to_numpy(np.int64)[doc[one]], "tie": part["tie"].to_numpy(np.int64)[doc[one]], "mark": w["mark"][one].astype(np.int32)})
+
+    return docs.select(*_keys(docs), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "fp long, doc_id long, tie long, mark int")
+
+
+def extended(docs: DataFrame, marks: DataFrame, split: Callable[[str], list[str]], rule: Rule) -> DataFrame:
+    """The windows around the places (doc_id, tie, mark), extended before and after them: h1, h2, doc_id, tie, place, again."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in _in_parts(batches):
+            w = windows([split(x) for x in part["text"]], rule)
+            wanted = np.concatenate([np.asarray(m, np.int64) | (k << 32) for k, m in enumerate(part["marks"])])
+            one = np.isin(w["mark"] | (w["doc"].astype(np.int64) << 32), wanted)
+            doc = w["doc"][one]
+            yield pd.DataFrame({"h1": w["h1"][one], "h2": w["h2"][one], "doc_id": part["doc_id"].to_numpy(np.int64)[doc], "tie": part["tie"].to_numpy(np.int64)[doc], "place": (w["at"][one] << 5) | w["size"][one], "again": w["again"][one]})
+
+    lists = marks.groupBy("doc_id", "tie").agg(F.collect_set("mark").alias("marks"))  # at most one for each unit of the text
+    source = docs.select(*_keys(docs), F.coalesce("text", F.lit("")).alias("text"))
+    return source.join(lists, ["doc_id", "tie"]).select("doc_id", "tie", "text", "marks").mapInPandas(run, "h1 long, h2 long, doc_id long, tie long, place long, again boolean")
+
+
 def places(docs: DataFrame, split: Callable[[str], list[str]], rule: Rule) -> DataFrame:
     """One row per window: h1, h2, fp, lead, doc_id, tie, place (the window's first unit and its number of units), again."""
 

@@ -5,7 +5,8 @@ k + 1. Ids are stored as array<int>, which ORC writes with integer run-length en
 filter on the document id let a reader skip files, stripes and row groups. Stripes are read in parallel.
 
 The string of an added token in a text becomes that token's id, as the library's plain call has it. Null and empty
-text become the end id alone. A null document id sorts first; rows of one document id are
+text become the end id alone. Ids are integers, others are refused. A null document id sorts first, as ORC's own sort has it;
+rows of one document id are
 ordered by their text's hash, and identical rows stay as often as they occur. An empty table gives an empty
 folder with a schema. Other columns than document id and text are not written.
 """
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.pretokens import BatchEncoder, slices
-from millrace.llm.scratch import stage
+from millrace.llm.scratch import doc_ids, stage
 
 SCHEMA = "part int, doc_id long, tie long, ids array<int>"
 
@@ -96,6 +97,7 @@ def _encoder(vocab: str, end_id: int):
 def write_tokens(docs: DataFrame, path: str, vocab: str, end_id: int = 0, stripe_mb: int = 64) -> None:
     """Writes (part, doc_id, tie, ids) in ascending document id; part numbers the files' ranges in that order."""
     spark = docs.sparkSession
+    doc_ids(docs)  # refuses other ids than integers
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from millrace.llm import exact_dedup, jaccard_join, line_dedup, span_dedup, spans, suffix_dedup
+from millrace.llm import exact_dedup, jaccard_join, line_dedup, span_dedup, spans, suffix_dedup, token_files
 from millrace.llm.components import components
 
 WORDS = ["ash", "birch", "cedar", "elm", "fir", "hazel", "larch", "maple", "oak", "pine", "rowan", "willow", "Éclair", "straße"]
@@ -248,6 +248,8 @@ def test_ids_that_are_no_integers_are_refused(spark):
     for operator in (jaccard_join.near_classes, suffix_dedup.remove_repeats, line_dedup.remove_repeated_lines, span_dedup.remove_repeated_spans):
         with pytest.raises(TypeError):
             operator(docs)
+    with pytest.raises(TypeError):
+        token_files.write_tokens(docs, "unused", "unused")
 
 
 def test_one_per_class(docs, rows):

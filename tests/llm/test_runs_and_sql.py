@@ -24,11 +24,13 @@ def test_query_against_its_sql(spark, sf, name):
 
 
 def test_a_fingerprint_with_one_place_goes_no_further(spark):
-    texts = ["\n".join(f"line {k} of text {d} " + "x" * 60 for k in range(30)) for d in range(5)]
+    texts = ["\n".join(f"line {k} of text {d} " + "x" * 20 for k in range(30)) for d in range(5)]
     docs = spark.createDataFrame([*enumerate(texts), (9, texts[0][:900])], "doc_id long, text string")
-    windows = spans.places(docs, line_dedup.lines, line_dedup.RULE)
-    kept = line_dedup.matched(windows)
-    assert windows.filter("lead").count() < windows.count()
+    prints = spans.fingerprints(docs, line_dedup.lines, line_dedup.RULE)
+    kept = line_dedup.matched(prints)
+    assert prints.count() < spans.places(docs, line_dedup.lines, line_dedup.RULE).count() / 2
+    windows = spans.extended(docs, kept, line_dedup.lines, line_dedup.RULE)
+    assert {r.doc_id for r in windows.select("doc_id").distinct().collect()} == {0, 9}
     assert {r.doc_id for r in kept.select("doc_id").distinct().collect()} == {0, 9}
 
 
