@@ -7,21 +7,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
+from itertools import product
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import columns as C
 from millrace.operators import ranking
+from millrace.sources.commits import Store
 from millrace.sources.shared import stage
 
 #: A category with fewer rows has no slot of its own.
 LEAST_ROWS = 5
 SCALE_FLOOR = 1e-12
+#: Slots of one column at most: they are collected, and each is a coefficient.
+MOST_SLOTS = 1000
 
 
 @dataclass(frozen=True)
@@ -43,20 +47,72 @@ class Preprocess:
         return df.withColumn(out, array_to_vector(F.array(*self.values())))
 
 
+def _number(c: str) -> Column:
+    return F.nanvl(F.col(c).cast("double"), F.lit(None))
+
+
+def _numeric_statistics(train: DataFrame, columns: list[str]) -> dict[str, tuple[float, float, float]]:
+    """(median, mean, deviation) of all columns after missing values were filled with the median.
+
+    All columns are one long frame of distinct values with their numbers, dealt by ranges of (column, value): one table
+    is written, its ranges' totals tell where the middle ranks lie, and one more pass reads these and the spread.
+    """
+    long = train.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), _number(c).alias("v")) for c in columns])).alias("x")).select("x.*")
+    parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    per = long.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+    dealt = stage(per.repartitionByRange(parts, "c", F.asc_nulls_first("v")).withColumn("part", F.spark_partition_id()), "values")
+    seen = F.when(F.col("v").isNotNull(), F.col("n"))
+    totals = dealt.groupBy("c", "part").agg(F.sum(seen).alias("n"), F.sum(F.col("n") - F.coalesce(seen, F.lit(0))).alias("missing"), F.sum(F.col("v") * F.col("n")).alias("total")).orderBy("c", "part").collect()  # at most ranges and columns together
+    counts, places = {}, []
+    for c in columns:
+        own = [r for r in totals if r["c"] == c]
+        n, total = sum(r["n"] or 0 for r in own), sum(r["total"] or 0.0 for r in own)
+        counts[c] = (n, sum(r["missing"] for r in own), total / n if n else 0.0)
+        before = 0
+        for r in own:
+            here = [k for k in {(n - 1) // 2, n // 2} if n and before <= k < before + (r["n"] or 0)]
+            places.append((c, r["part"], before, here, counts[c][2]))
+            before += r["n"] or 0
+    offsets = train.sparkSession.createDataFrame(places, "c string, part int, before long, ranks array<long>, mean double")
+    upto = F.sum("n").over(Window.partitionBy("c", "part").orderBy("v")) + F.col("before")
+    rows = dealt.filter("v is not null").join(F.broadcast(offsets), ["c", "part"]).withColumn("upto", upto)
+    hit = F.exists("ranks", lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n")))
+    found = rows.groupBy("c").agg(F.collect_list(F.when(hit, F.col("v"))).alias("middle"), F.sum(F.col("n") * (F.col("v") - F.col("mean")) * (F.col("v") - F.col("mean"))).alias("spread")).collect()
+    out = {c: (0.0, 0.0, 1.0) for c in columns}
+    for r in found:
+        n, missing, mean = counts[r["c"]]
+        median = sum(r["middle"]) / len(r["middle"])
+        filled = (n * mean + missing * median) / (n + missing)
+        deviation = ((r["spread"] + n * (mean - filled) ** 2 + missing * (median - filled) ** 2) / (n + missing)) ** 0.5
+        out[r["c"]] = (median, filled, deviation if deviation > SCALE_FLOOR else 1.0)
+    return out
+
+
+def _categories(train: DataFrame, columns: list[str], least: int) -> dict[str, tuple[str, list[str]]]:
+    """(mode, values with a slot) of all columns, from one frame of (column, value, number)."""
+    long = train.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns])).alias("x")).select("x.*")
+    counts = long.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+    known = F.col("v").isNotNull()
+    first = F.min(F.when(known, F.struct((-F.col("n")).alias("n"), "v"))).over(Window.partitionBy("c"))["v"]
+    missing = F.coalesce(F.sum(F.when(~known, F.col("n"))).over(Window.partitionBy("c")), F.lit(0))
+    rows = counts.withColumns({"mode": first, "missing": missing}).filter(known)
+    rows = rows.withColumn("n", F.col("n") + F.when(F.col("v") == F.col("mode"), F.col("missing")).otherwise(0))
+    place = F.row_number().over(Window.partitionBy("c").orderBy(F.desc("n"), "v"))
+    kept = rows.withColumn("place", place).filter((F.col("place") <= MOST_SLOTS) & ((F.col("n") >= least) | (F.col("v") == F.col("mode")))).collect()
+    out: dict[str, tuple[str, list[str]]] = {c: ("", []) for c in columns}
+    for c in columns:
+        own = [r for r in kept if r["c"] == c]
+        if own:
+            out[c] = (own[0]["mode"], sorted(r["v"] for r in own if r["n"] >= least))
+    return out
+
+
 def fit_preprocess(train: DataFrame, numeric: list[str], categories: list[str], least: int = LEAST_ROWS) -> Preprocess:
-    """Fitted on the training rows alone. Deviations are those of the population, after missing values were filled."""
-    medians = {c: (ranking.quantiles(train.select(F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c)), c, [0.5]).first()["q"] or [0.0])[0] for c in numeric}
-    filled = {c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(medians[c])) for c in numeric}
-    sums = train.agg(*[x for c, v in filled.items() for x in (F.avg(v).alias(f"m_{c}"), F.stddev_pop(v).alias(f"s_{c}"))]).first() if numeric else None
-    found = {}
-    for c in categories:
-        counts = train.filter(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).count()
-        mode = counts.orderBy(F.desc("count"), "v").first()
-        missing = train.filter(F.col(c).isNull()).count()
-        full = counts.withColumn("count", F.col("count") + F.when(F.col("v") == (mode["v"] if mode else ""), missing).otherwise(0))
-        found[c] = (mode["v"] if mode else "", [r["v"] for r in full.filter(F.col("count") >= least).orderBy("v").collect()])  # as many as the vector has slots
-    scale = lambda s: s if s and s > SCALE_FLOOR else 1.0
-    return Preprocess({c: (medians[c], sums[f"m_{c}"] or 0.0, scale(sums[f"s_{c}"])) for c in numeric}, found)
+    """Fitted on the training rows alone. Deviations are those of the population, after missing values were filled.
+
+    A category has a slot if it has `least` rows and is among the MOST_SLOTS most frequent ones of its column.
+    """
+    return Preprocess(_numeric_statistics(train, numeric) if numeric else {}, _categories(train, categories, least) if categories else {})
 
 
 @dataclass(frozen=True)
@@ -107,14 +163,47 @@ def _folds(rows: DataFrame, day: str, folds: list[Fold], numeric: list[str], cat
         yield name, stage(fitted.apply(train).select("features", "label"), "fold-train"), fitted.apply(check)
 
 
+#: Weights of a family in a blend.
+STEPS = (0.0, 0.25, 0.5, 0.75, 1.0)
+
+
+def blend_weights(families: list[str]) -> list[dict[str, float]]:
+    """Weights that add up to 1, of at least two families."""
+    return [dict(zip(families, w, strict=True)) for w in product(STEPS, repeat=len(families)) if sum(w) == 1 and sum(x > 0 for x in w) > 1]
+
+
+def blends(found: list[dict], scored: dict[str, list[DataFrame]], tie: str) -> list[dict]:
+    """Metrics of rank blends of the families' winners; scored has each candidate's rows (tie, p, label) per fold.
+
+    A winner's rows are numbered once per fold, whatever the number of weights.
+    """
+    winners = {family: _best([r for r in found if r["family"] == family])["name"] for family in sorted({r["family"] for r in found})}
+    sets = blend_weights(list(winners))
+    metrics: list[list[dict[str, float]]] = [[] for _ in sets]
+    for k in range(len(next(iter(scored.values()), [])) if sets else 0):
+        ranked = None
+        for family, name in winners.items():
+            one = ranking.rank_fraction(scored[name][k], "p", tie).select(tie, "label", F.col("rank_fraction").alias(f"r_{family}"))
+            ranked = one if ranked is None else ranked.join(one.drop("label"), tie)
+        ranked = stage(ranked, "blend-ranks")
+        for m, weights in zip(metrics, sets, strict=True):
+            p = sum((F.col(f"r_{family}") * w for family, w in weights.items() if w), F.lit(0.0))
+            m.append(fold_metrics(ranked.select(tie, "label", p.alias("p")), tie))
+    name = lambda weights: "rank-blend-" + "-".join(f"{family}{w:.2f}" for family, w in weights.items() if w)
+    return [{"name": name(w), "family": "rank_blend", "parameters": {"weights": w, "components": winners}} | summary(m) for w, m in zip(sets, metrics, strict=True)]
+
+
 def search(rows: DataFrame, day: str, tie: str, folds: list[Fold], numeric: list[str], categories: list[str], candidates: list[Candidate]) -> tuple[list[dict], dict]:
-    """(metrics of every candidate, the locked winner). rows (tie, day, label and the features); validation rows are
-    never trained on, and rows from the last fold's end on are not looked at."""
+    """(metrics of every candidate and of rank blends of the families' winners, the locked winner). rows (tie, day, label
+    and the features); validation rows are never trained on, and rows from the last fold's end on are not looked at."""
     metrics: dict[str, list[dict[str, float]]] = {c.name: [] for c in candidates}
+    scored: dict[str, list[DataFrame]] = {c.name: [] for c in candidates}
     for _, train, check in _folds(rows, day, folds, numeric, categories):
         for c in candidates:
-            metrics[c.name].append(fold_metrics(stage(score(fit(c, train), check).select(tie, "p", "label"), "scored"), tie))
+            scored[c.name].append(stage(score(fit(c, train), check).select(tie, "p", "label"), "scored"))
+            metrics[c.name].append(fold_metrics(scored[c.name][-1], tie))
     found = [asdict(c) | summary(metrics[c.name]) for c in candidates]
+    found += blends(found, scored, tie)
     best = _best(found)
     return found, {"selected": best["name"], "family": best["family"], "parameters": best["parameters"], "features": [*numeric, *categories], "folds": [list(f) for f in folds], "metric": "mean(top_recall) - std(top_recall)", "final_rows_seen": False}
 
@@ -190,3 +279,55 @@ def sensitivity(prep: Preprocess, coefficients: list[float], intercept: float, g
         change = F.round(100 * (C.sigmoid(total) - C.sigmoid(total - moved)), 4)
         effects.append(F.struct((-F.abs(change)).alias("size"), F.lit(name).alias("factor"), change.alias("change")))
     return F.transform(F.slice(F.array_sort(F.array(*effects)), 1, top), lambda x: F.struct(x["factor"].alias("factor"), x["change"].alias("change")))
+
+
+VERSION = 1
+#: Rows with their scores that an artefact carries, and how far a score may be from its own.
+PARITY_ROWS, PARITY = 100, 1e-12
+
+
+@dataclass(frozen=True)
+class Artefact:
+    """All that scoring needs: preprocessing, a linear model, its calibration, and daily totals of histories."""
+
+    prep: Preprocess
+    coefficients: list[float]
+    intercept: float
+    calibration: dict
+    histories: DataFrame | None = None
+
+    def logit(self) -> Column:
+        return sum((v * w for v, w in zip(self.prep.values(), self.coefficients, strict=True)), F.lit(self.intercept))
+
+    def score(self, rows: DataFrame, out: str = "probability") -> DataFrame:
+        return rows.withColumn("__logit", self.logit()).withColumn(out, calibrated(self.calibration, "__logit")).drop("__logit")
+
+
+def export(artefact: Artefact, rows: DataFrame, key: str, root: str) -> int:
+    """Writes an artefact as one commit of a store: parameters, histories, and some rows (the first by key) with their
+    scores. Returns its number; earlier ones stay readable as long as the store keeps them."""
+    columns = [*artefact.prep.numeric, *artefact.prep.categories]
+    some = artefact.score(rows.orderBy(key).limit(PARITY_ROWS).select(key, *columns))
+    parameters = {"version": VERSION, "numeric": {c: list(v) for c, v in artefact.prep.numeric.items()}, "categories": {c: [m, v] for c, (m, v) in artefact.prep.categories.items()}, "coefficients": list(map(float, artefact.coefficients)), "intercept": float(artefact.intercept), "calibration": artefact.calibration}
+    store = Store(rows.sparkSession, root)
+    with store.transaction() as t:
+        t.replace("parity", some)
+        if artefact.histories is not None:
+            t.replace("histories", artefact.histories)
+        t.note("parity", "model", parameters)
+    return store.state()[0]
+
+
+def load(spark: SparkSession, root: str, number: int | None = None) -> Artefact:
+    """An exported artefact, the newest by default; refused if its own rows do not get the scores that they came with."""
+    store = Store(spark, root)
+    number, tables = store.state(number)
+    model = tables["parity"]["notes"]["model"]
+    if model["version"] != VERSION:
+        raise ValueError(f"the artefact has version {model['version']}, not {VERSION}")
+    prep = Preprocess({c: tuple(v) for c, v in model["numeric"].items()}, {c: (m, v) for c, (m, v) in model["categories"].items()})
+    out = Artefact(prep, model["coefficients"], model["intercept"], model["calibration"], store.read("histories", number=number) if "histories" in tables else None)
+    far = out.score(store.read("parity", number=number), "again").filter(~(F.abs(F.col("again") - F.col("probability")) <= PARITY) | (F.col("again").isNull() != F.col("probability").isNull())).count()
+    if far:
+        raise ValueError(f"{far} rows are not scored as they were when the artefact was written")
+    return out

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("reliability_queries", "order_queries", "feature_queries", "table_queries", "text_queries", "stream_queries", "store_queries")
+MODULES = ("reliability_queries", "order_queries", "feature_queries", "table_queries", "text_queries", "stream_queries", "store_queries", "measure_queries", "source_queries")
 
 
 def registered():

@@ -39,18 +39,29 @@ def key_pairs(rows: DataFrame, kinds: dict[str, str]) -> DataFrame:
     return rows.select(F.inline(F.array(*keys)), "bought_on", "known_on", "late_1d")
 
 
-def key_histories(pairs: DataFrame) -> DataFrame:
-    """Per (kind, key) and day of purchase: totals and trailing windows, strictly before the day, of purchases (o_*) and of known outcomes (k_*)."""
+def daily_totals(pairs: DataFrame) -> DataFrame:
+    """(kind, key, day, b, n, late): purchases, known outcomes and late ones of each key and day. What scoring needs later."""
     one = lambda day, b, n, late: F.struct(F.unix_date(day).alias("day"), F.lit(b).alias("b"), F.lit(n).alias("n"), late.cast("int").alias("late"))
     events = pairs.select("kind", "key", F.inline(F.array(one("bought_on", 1, 0, F.lit(0)), one("known_on", 0, 1, F.coalesce("late_1d", F.lit(0)))))).filter("day is not null")
-    daily = events.groupBy("kind", "key", "day").agg(*[F.sum(c).cast("long").alias(c) for c in ("b", "n", "late")])
+    return events.groupBy("kind", "key", "day").agg(*[F.sum(c).cast("long").alias(c) for c in ("b", "n", "late")])
+
+
+def key_histories(daily: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """Per (kind, key) and day of `asked` (by default the days of purchase): totals and trailing windows, strictly before
+    the day, of purchases (o_*) and of known outcomes (k_*)."""
+    if asked is None:
+        rows, wanted = daily, F.col("b") > 0
+    else:
+        more = asked.select("kind", "key", "day").distinct().select("*", *[F.lit(0).cast("long").alias(c) for c in ("b", "n", "late")], F.lit(1).alias("asked"))
+        both = daily.withColumn("asked", F.lit(0)).unionByName(more)
+        rows, wanted = both.groupBy("kind", "key", "day").agg(*[F.sum(c).alias(c) for c in ("b", "n", "late")], F.max("asked").alias("asked")), F.col("asked") > 0
     order = Window.partitionBy("kind", "key").orderBy("day")
     before = lambda c, days=None: F.coalesce(F.sum(c).over(order.rangeBetween(Window.unboundedPreceding if days is None else -days, -1)), F.lit(0))
     columns = {"o_prior": before("b"), "k_prior": before("n"), "k_late": before("late")} | {f"o_{w}": before("b", w) for w in ORDER_WINDOWS}
     columns |= {f"k_{w}": before("n", w) for w in OUTCOME_WINDOWS} | {f"k_late_{w}": before("late", w) for w in OUTCOME_WINDOWS}
     first = F.min(F.when(F.col("b") > 0, F.col("day"))).over(order.rangeBetween(Window.unboundedPreceding, -1))
     columns["o_days"] = F.coalesce(F.col("day") - first, F.lit(0)).cast("int")
-    return stage(daily.withColumns(columns).filter("b > 0").select("kind", "key", "day", *columns), "histories")
+    return stage(rows.withColumns(columns).filter(wanted).select("kind", "key", "day", *columns), "histories")
 
 
 def history_features(prior: Column | str = "prior") -> dict[str, Column]:
@@ -131,14 +142,26 @@ def _seller_pairs(members: DataFrame) -> DataFrame:
 def group_features(orders: DataFrame) -> DataFrame:
     """orders with the global, seller-state, route and category histories."""
     rows = _staged(orders)
-    return _with_groups(rows, key_histories(key_pairs(rows, _COLUMNS)))
+    return _with_groups(rows, key_histories(daily_totals(key_pairs(rows, _COLUMNS))))
+
+
+def group_totals(orders: DataFrame) -> DataFrame:
+    """The daily totals that group_features of later orders need, to be exported with a model."""
+    return daily_totals(key_pairs(_staged(orders), _COLUMNS))
+
+
+def later_group_features(orders: DataFrame, totals: DataFrame) -> DataFrame:
+    """group_features of orders that are scored later, against exported totals: the orders themselves are no history."""
+    rows = _staged(orders.withColumns({"label_available_timestamp": F.lit(None).cast("timestamp"), "late_1d": F.lit(None).cast("int")}))
+    asked = key_pairs(rows, _COLUMNS).select("kind", "key", F.unix_date("bought_on").alias("day"))
+    return _with_groups(rows, key_histories(totals, asked))
 
 
 def seller_features(orders: DataFrame) -> DataFrame:
     """One row per order: the history of its primary seller, and sums, weighted means and extremes over its sellers."""
     rows = _staged(orders, "order_id", "seller_ids", "seller_item_values", "primary_seller_id", "bought_on", "known_on", "day", "late_1d")
     members = stage(_members(rows), "members")
-    return _with_sellers(members, key_histories(key_pairs(rows, {}).unionByName(_seller_pairs(members))))
+    return _with_sellers(members, key_histories(daily_totals(key_pairs(rows, {}).unionByName(_seller_pairs(members)))))
 
 
 def static_features(orders: DataFrame) -> DataFrame:
@@ -179,5 +202,5 @@ def feature_table(orders: DataFrame) -> DataFrame:
     """Orders as orders.order_dataset makes them, with every feature; the histories of all kinds are made together."""
     rows = _staged(orders)
     members = stage(_members(rows), "members")
-    histories = key_histories(key_pairs(rows, _COLUMNS).unionByName(_seller_pairs(members)))
+    histories = key_histories(daily_totals(key_pairs(rows, _COLUMNS).unionByName(_seller_pairs(members))))
     return static_features(_with_groups(rows, histories)).join(_with_sellers(members, histories), "order_id")

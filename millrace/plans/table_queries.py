@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import columns as C
-from millrace.operators import asof
+from millrace.operators import asof, eforms
 from millrace.operators import tables as T
 from millrace.operators import tenders
 from millrace.plans.registry import Tables, facts, query
@@ -57,7 +57,7 @@ def typed_load_orders(t: Tables) -> DataFrame:
 def sink_roundtrip(t: Tables) -> DataFrame:
     path = new_path(t.spark, "orders")
     sinks.append(t.orders.select("o_orderkey", "o_totalprice", F.date_format("o_orderdate", "yyyy").alias("year")), path, ["year"])
-    return t.spark.read.option("mergeSchema", True).schema("o_orderkey long, o_totalprice double, year string").parquet(path)
+    return t.spark.read.schema("o_orderkey long, o_totalprice double, year string").parquet(path)
 
 
 @query("SELECT o_orderkey, CASE WHEN strftime(o_orderdate, '%Y') = '1997' THEN round(o_totalprice * 2, 2) ELSE o_totalprice END AS o_totalprice, strftime(o_orderdate, '%Y') AS year FROM orders WHERE strftime(o_orderdate, '%Y') <> '1998'")
@@ -534,6 +534,19 @@ def keyword_category(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.when(name.rlike("ring"), "ring").when(name.rlike("bolt|widget"), "hardware").otherwise("other").alias("category"))
 
 
+_SAID = [w for words in eforms.CATEGORY_WORDS.values() for w in words]
+_SAID_SQL = "['" + "', '".join(_SAID) + "'][p_partkey % " + str(len(_SAID) + 3) + " + 1]"
+_CASES = " ".join("WHEN " + " OR ".join(f"contains(said, '{w}')" for w in words) + f" THEN '{k}'" for k, words in eforms.CATEGORY_WORDS.items())
+
+
+@query(f"SELECT p_partkey, CASE {_CASES} ELSE 'technical' END AS category FROM (SELECT p_partkey, lower(p_type || ' ' || p_name || ' ' || coalesce({_SAID_SQL}, '')) AS said FROM part)")
+def requirement_category(t: Tables) -> DataFrame:
+    """The rule of requirements' categories, on parts whose text names one of its words, or none."""
+    words = F.array(*map(F.lit, _SAID))
+    text = F.concat_ws(" ", "p_name", F.get(words, (F.col("p_partkey") % (len(_SAID) + 3)).cast("int")))
+    return t.part.select("p_partkey", F.col("p_type").alias("code"), text.alias("text")).select("p_partkey", eforms.category().alias("category"))
+
+
 @query("""SELECT o_orderkey, sha256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}') AS fingerprint FROM orders""")
 def row_fingerprint(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", C.fingerprint("o_orderkey", "o_custkey", "o_orderstatus").alias("fingerprint"))

@@ -101,7 +101,10 @@ def similar_items(t: Tables) -> DataFrame:
     return retrieval.similar_items(docs, docs.filter("doc % 50 = 0"), 5, F.col("label") < 5)
 
 
-@query()
+@query(
+    f"""WITH {_OWN}, {_VEC}, lex AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS place FROM s QUALIFY place <= 50), vec AS (SELECT query, doc, score FROM vs QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) <= 50),
+    h AS (SELECT query, doc, round(coalesce(score, 0) * 0.7 + coalesce(1 / place, 0) * 0.3, 6) AS score FROM vec FULL JOIN lex USING (query, doc)) SELECT query, doc, score, cast(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS INTEGER) AS place FROM h QUALIFY place <= 10"""
+)
 def hybrid_topk(t: Tables) -> DataFrame:
     vector, lexical = _hybrid_parts(t)
     return retrieval.hybrid(vector, lexical, (0.7, 0.3), 10)

@@ -58,9 +58,9 @@ def read_weather(spark: SparkSession, path: str) -> DataFrame:
     return good.groupBy("timestamp", "latitude", "longitude").pivot("name", WEATHER_PARAMETERS).agg(F.max_by("value", "order"))
 
 
-def read_notice_pages(spark: SparkSession, path: str, notice: str) -> DataFrame:
-    """Landing pages {notices: [...]} as one row per notice; `notice` is the DDL of its struct."""
-    return spark.read.schema(f"notices array<struct<{notice}>>").option("multiLine", True).json(path).select(F.inline("notices"))
+def read_notice_pages(spark: SparkSession, path: str, notice: str, multiline: bool = True) -> DataFrame:
+    """Landing pages {notices: [...]} as one row per notice; `notice` is the DDL of its struct. A file is a page, or a page a line."""
+    return spark.read.schema(f"notices array<struct<{notice}>>").option("multiLine", multiline).json(path).select(F.inline("notices"))
 
 
 def read_traces(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

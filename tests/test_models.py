@@ -52,6 +52,87 @@ def test_search_locks_the_better_candidate(spark):
     assert [s["features"] for s in steps] == [1, 3] and steps[1]["roc_auc"] > steps[0]["roc_auc"] + 0.2
 
 
+def test_a_blend_may_win_and_is_made_of_rank_fractions(spark, monkeypatch):
+    rnd = random.Random(8)
+    rows = [(k, float(rnd.random() < 0.3)) for k in range(400)]
+    scored = {}
+    for name in ("a", "b", "weak"):  # two halves of a signal, and noise
+        p = {k: (y if (k % 2 == 0) == (name == "a") and name != "weak" else 0.5) + rnd.gauss(0, 0.2) for k, y in rows}
+        scored[name] = [spark.createDataFrame([(k, round(p[k], 3), y) for k, y in rows if k // 200 == f], "id int, p double, label double") for f in (0, 1)]
+    found = [{"name": n, "family": f, "parameters": {}} | models.summary([models.fold_metrics(x, "id") for x in scored[n]]) for n, f in (("a", "logistic"), ("b", "boosted"), ("weak", "boosted"))]
+    mixed = models.blends(found, scored, "id")
+    assert [m["parameters"]["weights"] for m in mixed] == [{"boosted": w, "logistic": 1 - w} for w in (0.25, 0.5, 0.75)] and {m["parameters"]["components"]["boosted"] for m in mixed} == {"b"}
+    assert models._best(found + mixed)["family"] == "rank_blend"
+    half = mixed[1]
+    aucs = []
+    for f in (0, 1):
+        a, b = ({r.id: r for r in scored[n][f].collect()} for n in ("a", "b"))
+        fraction = lambda rows: {r.id: k / (len(rows) - 1) for k, r in enumerate(sorted(rows.values(), key=lambda r: (r.p, r.id)))}
+        ra, rb = fraction(a), fraction(b)
+        p = {k: 0.5 * ra[k] + 0.5 * rb[k] for k in a}
+        pos, neg = [p[k] for k in a if a[k].label == 1], [p[k] for k in a if a[k].label == 0]
+        aucs.append(np.mean([(x > y) + 0.5 * (x == y) for x in pos for y in neg]))
+    assert half["roc_auc"] == pytest.approx(np.mean(aucs), abs=1e-6)
+    assert len(models.blend_weights(["a", "b", "c"])) == 12  # of 15 sets of steps that add up to 1, three have one family
+
+
+def test_statistics_of_many_columns_take_few_jobs(spark):
+    rnd = np.random.default_rng(5)
+    data = np.round(rnd.normal(size=(300, 20)) * np.arange(1, 21), 1)
+    rows = [[None if rnd.random() < 0.1 else float("nan") if rnd.random() < 0.05 else float(x) for x in r] + [None] for r in data]
+    df = spark.createDataFrame(rows, ", ".join(f"c{k} double" for k in range(20)) + ", none double").repartition(3)
+    tracker, group = spark.sparkContext.statusTracker(), "preprocess"
+    spark.sparkContext.setJobGroup(group, group)
+    prep = models.fit_preprocess(df, df.columns, [])
+    jobs = len(tracker.getJobIdsForGroup(group))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for k in range(20):
+        known = [r[k] for r in rows if r[k] is not None and r[k] == r[k]]
+        filled = known + [np.median(known)] * (len(rows) - len(known))
+        assert prep.numeric[f"c{k}"] == pytest.approx((np.median(known), np.mean(filled), np.std(filled)))
+    assert prep.numeric["none"] == (0.0, 0.0, 1.0)
+    assert jobs <= 12  # stages of adaptive plans count as jobs; one column at a time took 100
+
+
+def test_an_artefact_scores_alike_in_another_session(spark, tmp_path):
+    from millrace.sources.commits import Store
+
+    rows = sample(spark, 400)
+    prep = models.fit_preprocess(rows, ["x", "noise"], ["c"])
+    model = models.fit(models.Candidate("plain", "logistic", {"regParam": 0.001}), prep.apply(rows))
+    scores = rows.withColumn("score", models.Artefact(prep, list(model.coefficients), model.intercept, {"type": "identity"}).logit())
+    calibration, _ = models.choose_calibration(scores.select("score", "label", "id"), ["id"])
+    history = spark.createDataFrame([("all", "", 5, 1, 1, 0)], "kind string, key string, day int, b long, n long, late long")
+    artefact = models.Artefact(prep, list(model.coefficients), float(model.intercept), calibration, history)
+    root = f"{tmp_path}/model"
+    assert models.export(artefact, rows, "id", root) == 0
+    other = models.load(spark.newSession(), root)
+    there = {r.id: r.probability for r in other.score(sample(other.histories.sparkSession, 400)).collect()}
+    assert all(abs(there[r.id] - r.probability) <= 1e-12 for r in artefact.score(rows).collect()) and len(there) == 400
+    assert other.histories.collect() == history.collect()
+    models.export(models.Artefact(prep, [0.0] * len(model.coefficients), 1.0, {"type": "identity"}), rows, "id", root)
+    assert models.load(spark, root).intercept == 1.0 and models.load(spark, root, 0).intercept == float(model.intercept)
+    with Store(spark, root).transaction() as t:  # someone changes the parameters alone
+        t.note("parity", "model", Store(spark, root).state()[1]["parity"]["notes"]["model"] | {"intercept": 1.0 + 1e-9})
+    with pytest.raises(ValueError, match="not scored"):
+        models.load(spark, root)
+
+
+def test_later_orders_meet_exported_totals(spark, sf):
+    from millrace.plans import feature_queries, features
+    from millrace.plans.registry import Tables
+
+    orders = feature_queries._dataset(Tables(spark, sf))
+    cut = F.col("order_purchase_timestamp") < "1999-06-01"
+    last = orders.filter("order_purchase_timestamp >= '1999-06-01' and order_purchase_timestamp < '1999-06-02'")
+    columns = ["order_id", "prior_global_late_rate", *[f"{k}_{n}" for k, (_, names) in features.GROUPS.items() for n in names]]
+    expected = {r.order_id: r for r in features.group_features(orders.filter(cut).unionByName(last)).join(last.select("order_id"), "order_id", "left_semi").select(*columns).collect()}
+    got = features.later_group_features(last, features.group_totals(orders.filter(cut))).select(*columns).collect()
+    assert got and {r.order_id for r in got} == set(expected)
+    for r in got:
+        assert list(r)[1:] == pytest.approx(list(expected[r.order_id])[1:], abs=1e-12)
+
+
 def test_calibration_choice(spark):
     rnd = random.Random(4)
     rows = []
@@ -96,7 +177,7 @@ def test_models_rank_what_they_have_not_seen(spark, sf, name):
 
 def test_model_queries(spark, sf):
     found = QUERIES["model_search"](spark, sf).collect()
-    assert len(found) == 4 and sum(r.selected for r in found) == 1 and all(r.roc_auc > 0.7 and 0 <= r.top_recall <= 1 for r in found)
+    assert len(found) == 7 and sum(r.family == 'rank_blend' for r in found) == 3 and sum(r.selected for r in found) == 1 and all(r.roc_auc > 0.7 and 0 <= r.top_recall <= 1 for r in found)
     assert max(found, key=lambda r: (r.stability, r.lift, r.roc_auc)).selected
     steps = QUERIES["feature_ablation"](spark, sf).collect()
     assert [r.features for r in steps] == [2, 6, 7, 9] and steps[2].roc_auc > steps[0].roc_auc + 0.1

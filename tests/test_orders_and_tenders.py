@@ -215,3 +215,13 @@ def test_order_audit(spark):
                 "same_state_mismatch": 1, "route_mismatch": 1, "purchase_hour_mismatch": 2, "purchase_year_mismatch": 1, "purchase_month_mismatch": 1, "purchase_day_of_week_mismatch": 2, "promised_delivery_days_mismatch": 3, "duplicate_order_id": 2, "duplicate_rows": 1, "non_monotonic_timestamp": 1}
     assert {k: n for k, (n, _) in got.items() if n} == expected
     assert not got["negative_weight"][1] and got["route_mismatch"][1] and not got["negative_volume"][1]
+
+
+def test_notice_pages(spark, tmp_path):
+    import json
+
+    for k, rows in enumerate(([{"id": "a", "lots": [1, 2], "other": 3}, {"id": None}], [], [{"id": "b", "lots": []}])):
+        (tmp_path / f"page{k}.json").write_text(json.dumps({"total": 3, "notices": rows}, indent=1))
+    (tmp_path / "page9.json").write_text("{}")
+    rows = feeds.read_notice_pages(spark, str(tmp_path), "id: string, lots: array<int>").collect()
+    assert sorted((str(r.id), r.lots) for r in rows) == [("None", None), ("a", [1, 2]), ("b", [])]

@@ -35,7 +35,7 @@ def plain(v):
 
 def test_queries_without_sql_are_tested_by_name():
     """They are models and mixtures of rankings: see test_models."""
-    assert set(REGISTRY.QUERIES) - set(REGISTRY.SQL) == {"logistic_model", "boosted_model", "model_search", "feature_ablation", "calibration_choice", "factor_sensitivity", "hybrid_topk", "weight_ablation"}
+    assert set(REGISTRY.QUERIES) - set(REGISTRY.SQL) == {"logistic_model", "boosted_model", "model_search", "feature_ablation", "calibration_choice", "factor_sensitivity", "weight_ablation"}
 
 
 @pytest.mark.parametrize("name", sorted(REGISTRY.SQL))
