@@ -186,6 +186,25 @@ def test_url_rules(spark):
     assert {r.verdict for r in url_filter.judge(pages, [], default="block").collect()} == {"block"}
 
 
+def test_url_rules_beyond_the_broadcast(spark, monkeypatch):
+    """More rules than are broadcast give what the trie gives, from a list or a table."""
+    rng = random.Random(5)
+    name = lambda: ".".join(rng.choices(["a", "b", "", "É"], k=rng.randint(1, 3)))
+    path = lambda: "".join(rng.choices(["/", "x", "y", "é"], k=rng.randint(0, 6)))
+    rules = [(rng.choice(["allow", "block"]), name() + "/" * rng.randint(0, 1) + path()) for _ in range(120)] + [("block", "a.b/x"), ("allow", "a.b/x"), ("block", "")]
+    urls = [f"http://{name()}{'/' * rng.randint(0, 1)}{path()}" for _ in range(400)] + [None, "", "x", "http://", "http://b/" + "x/" * 5000]
+    pages = spark.createDataFrame(list(enumerate(urls)) + [(0, urls[0])], "page_id long, url string")
+    table = spark.createDataFrame([*rules, ("allow", None)], "verdict string, rule string")
+    asked = lambda given: sorted(map(tuple, url_filter.judge(pages, given, default="block").collect()), key=str)
+    trie = asked(rules)
+    assert len({r[4] for r in trie}) > 20 and asked(table) == trie
+    monkeypatch.setattr(url_filter, "MAX_RULES", 2)
+    assert asked(rules) == trie and asked(table) == trie
+    assert url_filter.judge(pages.limit(0), table).count() == 0
+    with pytest.raises(Exception, match="must allow or block"):
+        url_filter.judge(pages, spark.createDataFrame([("maybe", f"h{k}/") for k in range(3)], "verdict string, rule string")).collect()
+
+
 def test_quality_against_labels(spark):
     """Accuracy on labels that training never sees."""
     folder = "/root/testdata/sf0.01"
