@@ -16,7 +16,7 @@ similarity of their sets is 0.8 or more.
    components, one edge per member, never all pairs.
 
 A text without words is linked to nothing and is its own class. A null text has no words. Ids are integers; a null one counts
-as 2^63 - 1, and a class_id of that value is shown as null. Repeated rows are members of one class with equal sets. Extra columns are ignored. An
+as larger than all others. Repeated rows are members of one class with equal sets. Extra columns are ignored. An
 empty table gives no rows.
 """
 
@@ -32,7 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.components import components
-from millrace.llm.scratch import LAST_ID, doc_ids, stage
+from millrace.llm.pretokens import slices
+from millrace.llm.scratch import doc_ids, stage
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, BAND_ROWS, STEP, TOLERANCE = 32, 4, 16, 1e-6
@@ -262,8 +263,8 @@ def _profile(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for k in range(0, len(pdf), 1000):
-                part = pdf.iloc[k : k + 1000]
+            for a, b in slices([len(x) for x in pdf["text"]]):
+                part = pdf.iloc[a:b]
                 sets = shingles(part["text"].tolist())
                 n = np.array([len(x) for x in sets], np.int64)
                 full = np.flatnonzero(n)
@@ -271,10 +272,10 @@ def _profile(docs: DataFrame) -> DataFrame:
                 for at, row in zip(full, bands(signature([sets[i] for i in full])) if len(full) else [], strict=True):
                     found[at] = row
                 s = _set_hashes(sets)
-                yield pd.DataFrame({"row_id": part["row_id"].array, "key": part["key"].array, "tie": part["tie"].array, "s1": s[:, 0], "s2": s[:, 1], "n": n, "bands": pd.Series(found, dtype=object).array})
+                yield pd.DataFrame({"row_id": part["row_id"].array, "key": part["key"].array, "absent": part["absent"].array, "tie": part["tie"].array, "s1": s[:, 0], "s2": s[:, 1], "n": n, "bands": pd.Series(found, dtype=object).array})
 
-    source = docs.select(F.monotonically_increasing_id().alias("row_id"), *_keys(docs), F.coalesce("text", F.lit("")).alias("text"))
-    return source.mapInPandas(run, "row_id long, key long, tie long, s1 long, s2 long, n long, bands array<long>")
+    source = docs.select(F.monotonically_increasing_id().alias("row_id"), *_keys(docs), F.col("doc_id").isNull().alias("absent"), F.coalesce("text", F.lit("")).alias("text"))
+    return source.mapInPandas(run, "row_id long, key long, absent boolean, tie long, s1 long, s2 long, n long, bands array<long>")
 
 
 def _few(df: DataFrame, entries: int = 1) -> bool:
@@ -288,8 +289,8 @@ def _features(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for k in range(0, len(pdf), 500):
-                part = pdf.iloc[k : k + 500].reset_index(drop=True)
+            for a, b in slices([len(x) for x in pdf["text"]]):
+                part = pdf.iloc[a:b].reset_index(drop=True)
                 sets = shingles(part.pop("text").tolist())
                 sig = signature(sets)
                 yield part.assign(grams=[x.tobytes() for x in sets], sig=[x.tobytes() for x in sig])
@@ -324,7 +325,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     # an empty set stands for itself: its row id is part of the key
     own = F.when(F.col("n") == 0, F.col("row_id")).otherwise(F.lit(-1)).alias("own")
     members = stage(rows.select("s1", "s2", "n", own, "row_id").groupBy("s1", "s2", "n", "own").agg(F.min("row_id").alias("member"), F.count(F.lit(1)).alias("rows")), "members")
-    row_member = stage(rows.select("row_id", "key", "tie", "s1", "s2", "n", own).join(members, ["s1", "s2", "n", "own"]).select("row_id", "key", "tie", "n", "member", "rows"), "row-member")
+    row_member = stage(rows.select("row_id", "key", "absent", "tie", "s1", "s2", "n", own).join(members, ["s1", "s2", "n", "own"]).select("row_id", "key", "absent", "tie", "n", "member", "rows"), "row-member")
     reps = row_member.filter("row_id = member")
     placed = _placed(rows, reps)
     places = placed.groupBy("member").agg(F.collect_list(F.struct("k", "band", "blocks")).alias("places"))  # at most BANDS of them
@@ -340,11 +341,10 @@ def near_classes(docs: DataFrame) -> DataFrame:
     degree = links.groupBy("member").agg(F.sum("links").alias("links"), F.sum("texts").alias("n_texts"))
     classes = components(links.select(F.col("member").alias("a"), F.col("root").alias("b")))
     known = classes.withColumnRenamed("id", "member").join(degree, "member", "left")
-    joined = stage(row_member.join(known, "member", "left").select("row_id", "key", "tie", "rows", F.coalesce("component", "member").alias("component"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("n_texts", F.lit(0)).alias("n_texts")), "classes")
-    first = joined.groupBy("component").agg(F.min("key").alias("class_id"))
-    head = joined.join(first, "component").filter("key = class_id").groupBy("component", "class_id").agg(F.min("row_id").alias("head"))
-    back = lambda c: F.when(F.col(c) != LAST_ID, F.col(c)).alias("doc_id" if c == "key" else c)
-    return joined.join(head, "component").select(back("key"), "tie", back("class_id"), (F.col("links") + F.col("rows") - 1).alias("n_links"), "n_texts", (F.col("row_id") == F.col("head")).alias("kept"))
+    joined = stage(row_member.join(known, "member", "left").select("row_id", "key", "absent", "tie", "rows", F.coalesce("component", "member").alias("component"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("n_texts", F.lit(0)).alias("n_texts")), "classes")
+    head = joined.groupBy("component").agg(F.min(F.struct("key", "absent", "row_id")).alias("head"))
+    own_id, class_id = F.when(~F.col("absent"), F.col("key")), F.when(~F.col("head.absent"), F.col("head.key"))
+    return joined.join(head, "component").select(own_id.alias("doc_id"), "tie", class_id.alias("class_id"), (F.col("links") + F.col("rows") - 1).alias("n_links"), "n_texts", (F.col("row_id") == F.col("head.row_id")).alias("kept"))
 
 
 def one_per_class(docs: DataFrame) -> DataFrame:
@@ -357,5 +357,5 @@ def one_per_class(docs: DataFrame) -> DataFrame:
     groups = F.broadcast(groups) if _few(groups) else groups
     keyed = docs.select(F.struct(*docs.columns).alias("row"), *_keys(docs))
     alone = keyed.join(groups, ["key", "tie"], "left_anti")
-    one = keyed.join(groups.filter("kept"), ["key", "tie"], "left_semi").groupBy("key", "tie").agg(F.first("row").alias("row"))
+    one = keyed.join(groups.filter("kept"), ["key", "tie"], "left_semi").groupBy("key", "tie").agg(F.min_by("row", F.col("row.doc_id").isNull()).alias("row"))
     return alone.select("row.*").union(one.select("row.*"))

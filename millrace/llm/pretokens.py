@@ -18,7 +18,8 @@ import pandas as pd
 #: The pattern that `starts` implements.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BATCH_CHARS = 1_000_000
-KNOWN_LIMIT = 250_000
+#: Pre-tokens that a worker remembers, by number and by characters.
+KNOWN_LIMIT, KNOWN_CHARS = 250_000, 10_000_000
 OTHER, LETTER, DIGIT, WHITE = range(4)
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -139,6 +140,7 @@ class BatchEncoder:
     def __init__(self, encode_new, limit: int = KNOWN_LIMIT):
         self.encode_new, self.limit = encode_new, limit
         self.known: dict[str, bytes] = {}
+        self.chars = 0
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's ids start, with the total at the end."""
@@ -155,11 +157,13 @@ class BatchEncoder:
         sample, kind = _groups(cp, at)
         whole, ends = "".join(texts), np.append(at[1:], len(cp))
         tokens = [whole[a:b] for a, b in zip(at[sample].tolist(), ends[sample].tolist(), strict=True)]
-        if len(self.known) > self.limit:
+        if len(self.known) > self.limit or self.chars > KNOWN_CHARS:
             self.known.clear()
+            self.chars = 0
         new = [x for x in tokens if x not in self.known]
         for x, ids in zip(new, self.encode_new(new), strict=True):
             self.known[x] = np.array(ids, np.int32).tobytes()
+            self.chars += len(x)
         parts = [self.known[x] for x in tokens]
         flat, sizes = np.frombuffer(b"".join(parts), np.int32), np.array([len(x) // 4 for x in parts])
         offsets = np.cumsum(sizes) - sizes

@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from millrace.llm.pretokens import BatchEncoder, slices
 from millrace.llm.scratch import doc_ids, stage
 
+#: Text of a range, and so of a task and a file; ranges grow with the table only beyond MOST_RANGES (25 TB).
+RANGE_BYTES, MOST_RANGES = 256 << 20, 100_000
 SCHEMA = "part int, doc_id long, tie long, ids array<int>"
 
 
@@ -94,11 +96,15 @@ def _encoder(vocab: str, end_id: int):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, vocab: str, end_id: int = 0, stripe_mb: int = 64) -> None:
-    """Writes (part, doc_id, tie, ids) in ascending document id; part numbers the files' ranges in that order."""
+def write_tokens(docs: DataFrame, path: str, vocab: str, end_id: int = 0, stripe_mb: int = 64, range_bytes: int = RANGE_BYTES) -> None:
+    """Writes (part, doc_id, tie, ids) in ascending document id; part numbers the files' ranges in that order.
+
+    There are as many ranges as shuffle partitions, and more where a range would hold more than range_bytes of text.
+    """
     spark = docs.sparkSession
     doc_ids(docs)  # refuses other ids than integers
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // range_bytes + 1), MOST_RANGES)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     rows = rows.select(F.spark_partition_id().alias("part"), "doc_id", "tie", "text").mapInArrow(_encoder(vocab, end_id), SCHEMA)
@@ -133,5 +139,5 @@ def index(tokens: DataFrame) -> DataFrame:
     offsets = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("part").orderBy("doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-    # as many rows as files were written: spark.sql.shuffle.partitions bounds them
+    # as many rows as files were written: MOST_RANGES at most
     return rows.join(F.broadcast(offsets), "part").select("doc_id", (F.col("offset") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from millrace.llm import exact_dedup, jaccard_join, line_dedup, span_dedup, spans, suffix_dedup, token_files
+from millrace.llm import exact_dedup, jaccard_join, line_dedup, pretokens, span_dedup, spans, suffix_dedup, token_files
 from millrace.llm.components import components
 
 WORDS = ["ash", "birch", "cedar", "elm", "fir", "hazel", "larch", "maple", "oak", "pine", "rowan", "willow", "Éclair", "straße"]
@@ -243,6 +243,36 @@ def test_many_rows_of_one_id_and_text(spark):
     assert (None, len(text.encode())) in cut and (2, 0) in cut and (1, len(text.encode())) in cut
 
 
+def test_the_largest_id_is_not_a_null_one(spark):
+    """Rows with the largest id and with none keep their own ids; a class is named for the one that has an id."""
+    rnd, last = random.Random(6), (1 << 63) - 1
+    one, two, three = prose(rnd, 80), prose(rnd, 90), prose(rnd, 70)
+    docs = spark.createDataFrame([(None, one), (last, one), (None, two), (last, three), (5, three)], "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.class_id, r.n_links, r.kept) for r in jaccard_join.near_classes(docs).collect()), key=str)
+    assert got == sorted([(None, last, 1, False), (last, last, 1, True), (None, None, 0, True), (last, 5, 1, False), (5, 5, 1, True)], key=str)
+    kept = Counter((r.doc_id, r.text) for r in jaccard_join.one_per_class(docs).collect())
+    assert kept == Counter([(last, one), (None, two), (5, three)])
+
+
+def test_long_texts_in_one_batch(spark):
+    """Batches are cut by size, so long texts beside short ones in one batch give what each gives alone."""
+    rnd = random.Random(12)
+    passage = prose(rnd, 60).replace("\n", " ") + "."
+    long = ["\n".join(f"{prose(rnd, 12)} {k}." for k in range(6000)) for _ in range(3)]
+    texts = [long[0], "", long[1] + "\n" + passage, None, long[0] + "\nend", passage, "short one", long[2] + "\n" + passage]
+    assert sum(map(len, filter(None, texts))) > 3 * pretokens.BATCH_CHARS // 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def results(docs):
+        lines, sents, near = line_dedup.remove_repeated_lines(docs), span_dedup.remove_repeated_spans(docs), jaccard_join.near_classes(docs)
+        return [sorted(map(tuple, x.collect()), key=str) for x in (lines, sents, near.select("doc_id", "class_id", "n_links", "kept"))]
+
+    together = results(docs.coalesce(1))
+    assert [r[2] for r in together[2]] == [1, 0, 0, 0, 1, 0, 0, 0]
+    assert [r[0] for r in together[0] if passage in (r[1] or "")] == [2]
+    assert results(docs.repartition(8, "doc_id")) == together
+
+
 def test_ids_that_are_no_integers_are_refused(spark):
     docs = spark.createDataFrame([("a", "text")], "doc_id string, text string")
     for operator in (jaccard_join.near_classes, suffix_dedup.remove_repeats, line_dedup.remove_repeated_lines, span_dedup.remove_repeated_spans):

@@ -100,6 +100,25 @@ def test_token_files(spark, docs):
     assert "EqualTo(doc_id,17)" in plan and rows.filter("doc_id = 17").count() == 1
 
 
+def test_token_files_have_more_ranges_for_more_text(spark, docs):
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    two = [scratch.new_path(spark, "tokens") for _ in range(2)]
+    token_files.write_tokens(docs, two[0], JSON)
+    token_files.write_tokens(docs, two[1], JSON, range_bytes=size // 20)
+    few, many = (token_files.read_tokens(spark, x) for x in two)
+    assert few.select("part").distinct().count() <= int(spark.conf.get("spark.sql.shuffle.partitions")) < many.select("part").distinct().count()
+    assert sorted(map(tuple, token_files.index(few).collect()), key=str) == sorted(map(tuple, token_files.index(many).collect()), key=str)
+
+
+def test_bpe_forgets_pre_tokens_by_size(monkeypatch):
+    texts = awkward_texts() + ["x" * 5000 + f"{k}" for k in range(20)]
+    codec = bpe.Codec(TIKTOKEN, public_tokenizers.PATTERN)
+    whole = [list(codec.encode([x])[0]) for x in texts]
+    monkeypatch.setattr(pretokens, "KNOWN_CHARS", 8000)
+    codec = bpe.Codec(TIKTOKEN, public_tokenizers.PATTERN)
+    assert [list(codec.encode([x])[0]) for x in texts] == whole
+
+
 def test_token_files_of_nothing(spark, docs):
     path = scratch.new_path(spark, "tokens")
     token_files.write_tokens(docs.limit(0), path, JSON)
