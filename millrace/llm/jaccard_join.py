@@ -43,7 +43,7 @@ BLOCK_SHINGLES, PACK_SHINGLES = 200_000, 1_000_000
 MOST_PARTITIONS = 50_000
 #: Words of more bytes are hashed one by one: a running sum would give some long words of two letters one hash.
 LONG_WORD = 64
-#: Keys of candidates that are broadcast; with more, the join shuffles.
+#: Keys of copies that are broadcast; with more, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
 _RANDOM = np.random.default_rng(20240607)
@@ -278,10 +278,9 @@ def _profile(docs: DataFrame) -> DataFrame:
     return source.mapInPandas(run, "row_id long, key long, absent boolean, tie long, s1 long, s2 long, n long, bands array<long>")
 
 
-def _few(df: DataFrame, entries: int = 1) -> bool:
-    """Of rows with at most `entries` entries of fixed width."""
-    most = BROADCAST_ROWS // entries
-    return df.limit(most + 1).count() <= most
+def _few(df: DataFrame) -> bool:
+    """Of rows of fixed width."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
 def _features(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -295,7 +294,8 @@ def _features(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 sig = signature(sets)
                 yield part.assign(grams=[x.tobytes() for x in sets], sig=[x.tobytes() for x in sig])
 
-    rows = docs.select(*_keys(docs), "text").join(F.broadcast(wanted) if _few(wanted, BANDS) else wanted, ["key", "tie"])
+    # members grow with the table, so texts are shuffled to them at every size
+    rows = docs.select(*_keys(docs), "text").join(wanted.hint("merge"), ["key", "tie"])
     rows = rows.dropDuplicates(["member"])  # rows of one id and text, however many there are, are one member
     places = "places array<struct<k:int,band:long,blocks:int>>"
     return rows.select("member", "rows", "places", "text").mapInPandas(run, f"member long, rows long, {places}, grams binary, sig binary")
@@ -342,7 +342,8 @@ def near_classes(docs: DataFrame) -> DataFrame:
     classes = components(links.select(F.col("member").alias("a"), F.col("root").alias("b")))
     known = classes.withColumnRenamed("id", "member").join(degree, "member", "left")
     joined = stage(row_member.join(known, "member", "left").select("row_id", "key", "absent", "tie", "rows", F.coalesce("component", "member").alias("component"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("n_texts", F.lit(0)).alias("n_texts")), "classes")
-    head = joined.groupBy("component").agg(F.min(F.struct("key", "absent", "row_id")).alias("head"))
+    # written, so that a component of many rows is split when they meet its head
+    head = stage(joined.groupBy("component").agg(F.min(F.struct("key", "absent", "row_id")).alias("head")), "heads")
     own_id, class_id = F.when(~F.col("absent"), F.col("key")), F.when(~F.col("head.absent"), F.col("head.key"))
     return joined.join(head, "component").select(own_id.alias("doc_id"), "tie", class_id.alias("class_id"), (F.col("links") + F.col("rows") - 1).alias("n_links"), "n_texts", (F.col("row_id") == F.col("head.row_id")).alias("kept"))
 
