@@ -597,10 +597,9 @@ def gold_monotonic(t: Tables) -> DataFrame:
 
 @query("SELECT 'orders without lines' AS check_name, count(*) AS observed, CASE WHEN count(*) > 1000 THEN 'FAIL' WHEN count(*) > 0 THEN 'WARN' ELSE 'PASS' END AS status FROM orders ANTI JOIN lineitem ON o_orderkey = l_orderkey")
 def gate_verdict(t: Tables) -> DataFrame:
+    """The verdict as a row, FAIL too: whoever builds on the orders raises on it by require_pass."""
     n = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").agg(F.count(F.lit(1)).alias("observed"))
-    out = n.select(F.lit("orders without lines").alias("check_name"), "observed", F.when(F.col("observed") > 1000, "FAIL").when(F.col("observed") > 0, "WARN").otherwise("PASS").alias("status"))
-    T.require_pass(out, "orders")
-    return out
+    return n.select(F.lit("orders without lines").alias("check_name"), "observed", F.when(F.col("observed") > 1000, "FAIL").when(F.col("observed") > 0, "WARN").otherwise("PASS").alias("status"))
 
 
 @query("SELECT strftime(o_orderdate, '%Y') AS year, count(*) AS n, cast(sum(cast(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders GROUP BY 1")
