@@ -89,8 +89,9 @@ def grid_regions(t: Tables) -> DataFrame:
     SELECT event_id, CASE WHEN s - bs <= coalesce(fs - s, s - bs) THEN CASE WHEN s - bs <= 60000 THEN bs END WHEN fs - s <= 60000 THEN fs END AS matched_ts, CASE WHEN s - bs <= coalesce(fs - s, s - bs) THEN CASE WHEN s - bs <= 60000 THEN bv END WHEN fs - s <= 60000 THEN fv END AS value FROM b JOIN a USING (event_id)"""
 )
 def asof_one_key(t: Tables) -> DataFrame:
-    """The nearest view of anyone within a minute of each purchase: one key for all rows, split into slices of time."""
-    rows = t.events.select("event_id", "event_type", "value", F.lit("all").alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("s"))
+    """The nearest view of anyone within a minute of each purchase, times to the nearest millisecond: one key for all rows, split into slices of time."""
+    nearest = F.unix_millis(F.col("ts").cast("timestamp") + F.expr("interval 500 microseconds"))
+    rows = t.events.select("event_id", "event_type", "value", F.lit("all").alias("key"), nearest.alias("s"))
     views = rows.filter("event_type = 'view'").groupBy("key", "s").agg(F.max("value").alias("value"))
     return asof.asof_nearest(rows.filter("event_type = 'purchase'").select("event_id", "key", "s"), views, ["key"], "s", "s", 60_000, ["value"]).select("event_id", "matched_ts", "value")
 
