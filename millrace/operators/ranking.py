@@ -8,6 +8,7 @@ the offsets.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -104,26 +105,120 @@ def poisson_weight(key: Column, rep: Column) -> Column:
     return F.when(u < 0.36787944, 0).when(u < 0.73575888, 1).when(u < 0.9196986, 2).when(u < 0.98101184, 3).otherwise(4)
 
 
+#: Shares of draws below 1, 2, 3 and 4.
+_POISSON = (0.36787944, 0.73575888, 0.9196986, 0.98101184)
+#: Draws that a task holds at once, small enough for a core's cache, and sums before it passes them on.
+DRAWS, DRAWN_SUMS = 16_384, 2_000_000
+_SHIFTS = [s for four in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for s in four * 4]
+_SINES = np.array([int(abs(math.sin(i + 1)) * 2**32) for i in range(64)], np.uint32)
+_START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+#: Bytes of a text that fit into one block of the digest together with a replicate's number.
+ONE_BLOCK = 48
+
+
+def _digests(words: list[np.ndarray], shape: tuple[int, int]) -> np.ndarray:
+    """The first 28 bits of the MD5 digests of blocks of 16 words, each word an array that is spread to the shape."""
+    a, b, c, d = (np.full(shape, x, np.uint32) for x in _START)
+    for i, shift in enumerate(_SHIFTS):
+        if i < 16:
+            f, g = d ^ (b & (c ^ d)), i
+        elif i < 32:
+            f, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+        elif i < 48:
+            f, g = b ^ c ^ d, (3 * i + 5) % 16
+        else:
+            f, g = c ^ (b | ~d), 7 * i % 16
+        f += a
+        f += words[g] + _SINES[i]
+        high = f << np.uint32(shift)
+        f >>= np.uint32(32 - shift)
+        f |= high
+        f += b
+        a, b, c, d = d, f, b, c
+    a += np.uint32(_START[0])
+    return a.byteswap() >> np.uint32(4)
+
+
+def poisson_weights(texts: list[bytes], replicates: int) -> np.ndarray:
+    """poisson_weight of rows and replicates; a text is a row's key and a colon, to which the replicate's number is added."""
+    h = np.empty((len(texts), replicates), np.uint32)
+    lengths = np.array([len(x) for x in texts])
+    numbers = [str(r).encode() for r in range(replicates)]
+    for n in np.unique(lengths):
+        at = np.flatnonzero(lengths == n)
+        if n > ONE_BLOCK:
+            for i in at:
+                h[i] = [int(hashlib.md5(texts[i] + r).hexdigest()[:7], 16) for r in numbers]
+            continue
+        left = np.frombuffer(b"".join(texts[i].ljust(64, b"\0") for i in at), "<u4").reshape(-1, 16)
+        right = np.frombuffer(b"".join((bytes(n) + r + b"\x80").ljust(56, b"\0") + (8 * (n + len(r))).item().to_bytes(8, "little") for r in numbers), "<u4").reshape(-1, 16)
+        step = max(1, DRAWS // replicates)
+        for k in range(0, len(at), step):
+            part = left[k : k + step]
+            # a word is the row's alone, the replicate's alone, or has bytes of both
+            words = [part[:, j, None] if not right[:, j].any() else right[None, :, j] if not part[:, j].any() else part[:, j, None] | right[None, :, j] for j in range(16)]
+            h[at[k : k + step]] = _digests(words, (len(part), replicates))
+    return sum((h >= np.uint32(math.ceil(t * 2**28))).astype(np.int64) for t in _POISSON)
+
+
+def _drawn(replicates: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of batches of (a, b, y, text): per score and distinct value the draws of positives and of negatives, as one array."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[tuple[str, float | None], np.ndarray] = {}
+
+        def taken() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.string()), pa.array([k[1] for k in out], pa.float64()), pa.array([v.ravel().tolist() for v in out.values()], pa.list_(pa.float64()))], ["which", "score", "v"])
+            out.clear()
+            return made
+
+        for whole in batches:
+            for at in range(0, len(whole), step := max(1, DRAWN_SUMS // replicates)):
+                batch = whole.slice(at, step)
+                k = poisson_weights([x.encode() for x in batch.column("text").to_pylist()], replicates)
+                y = batch.column("y").to_numpy(zero_copy_only=False)
+                for which in ("a", "b"):
+                    coded = batch.column(which).dictionary_encode()
+                    values = [*coded.dictionary.to_pylist(), None]
+                    codes = coded.indices.fill_null(len(values) - 1).to_numpy(zero_copy_only=False)
+                    for side in (1, 0):
+                        rows = np.flatnonzero(y == side)
+                        rows = rows[np.argsort(codes[rows], kind="stable")]
+                        found, first = np.unique(codes[rows], return_index=True)
+                        for code, v in zip(found, np.add.reduceat(k[rows], first) if len(rows) else (), strict=True):
+                            out.setdefault((which, values[code]), np.zeros((2, replicates), np.int64))[1 - side] += v
+                if len(out) * replicates > DRAWN_SUMS:
+                    yield taken()
+        yield taken()
+
+    return run
+
+
 def bootstrap_pairs(df: DataFrame, a: str, b: str, label: str, key: str, replicates: int = 250) -> DataFrame:
     """(rep, n, auc_a, auc_b, difference) of two scores over the same resampled rows.
 
-    Rows are added up to (replicate, score) before anything is ranked, so a replicate's ranking has a row for each
-    distinct score; scores should be rounded to what tells rows apart.
+    Rows are few bytes and much work, so they are dealt to all tasks, which draw the weights of all replicates as one
+    array and add them up per distinct score; only these sums are shuffled, and a replicate's ranking has a row for
+    each distinct score. Scores should be rounded to what tells rows apart. Rows with a null label take no part.
     """
-    drawn = df.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(label).cast("int").alias("y"), F.col(key).alias("key"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    drawn = drawn.withColumn("k", poisson_weight(F.col("key"), F.col("rep"))).filter("k > 0")
-    both = drawn.select("rep", "y", "k", F.inline(F.array(F.struct(F.lit("a").alias("which"), F.col("a").cast("double").alias("score")), F.struct(F.lit("b").alias("which"), F.col("b").cast("double").alias("score")))))
-    sums = both.groupBy("rep", "which", "score").agg(F.sum(F.col("k") * F.col("y")).alias("tp"), F.sum(F.col("k") * (1 - F.col("y"))).alias("fp"))
+    text = F.coalesce(F.concat(F.col(key).cast("string"), F.lit(":")), F.lit(""))
+    rows = df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"), F.col(label).cast("int").alias("y"), text.alias("text")).filter("y is not null")
+    dealt = rows.repartition(max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    partial = dealt.mapInArrow(_drawn(replicates), "which string, score double, v array<double>")
+    # the summarizer's sums are means times numbers: whole numbers but for rounding
+    sums = stage(partial.groupBy("which", "score").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v")), "draws")
+    pairs = F.arrays_zip(F.slice("v", 1, replicates).alias("tp"), F.slice("v", replicates + 1, replicates).alias("fp"))
+    each = sums.select("which", "score", F.posexplode(pairs).alias("rep", "x")).select("which", "score", "rep", F.round("x.tp").cast("long").alias("tp"), F.round("x.fp").cast("long").alias("fp")).filter("tp + fp > 0")
     below = F.coalesce(F.sum("fp").over(Window.partitionBy("rep", "which").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    per = sums.withColumn("below", below).groupBy("rep").pivot("which", ["a", "b"]).agg(F.sum(F.col("tp") * F.col("below") + F.col("tp") * F.col("fp") / 2).alias("won"), F.sum("tp").alias("p"), F.sum("fp").alias("q"))
-    auc = {c: F.try_divide(F.col(f"{c}_won").cast("double"), (F.col(f"{c}_p") * F.col(f"{c}_q")).cast("double")) for c in ("a", "b")}
+    per = each.withColumn("below", below).groupBy("rep").pivot("which", ["a", "b"]).agg(F.sum(F.col("tp") * F.col("below") + F.col("tp") * F.col("fp") / 2).alias("won"), F.sum("tp").alias("p"), F.sum("fp").alias("q"))
+    # as doubles: the product of both numbers leaves the range of a long beyond some billions of rows
+    auc = {c: F.try_divide(F.col(f"{c}_won").cast("double"), F.col(f"{c}_p").cast("double") * F.col(f"{c}_q").cast("double")) for c in ("a", "b")}
     return per.select("rep", (F.col("a_p") + F.col("a_q")).alias("n"), F.round(auc["a"], 6).alias("auc_a"), F.round(auc["b"], 6).alias("auc_b"), F.round(auc["a"] - auc["b"], 6).alias("difference"))
 
 
 #: A prime over all 28-bit row hashes; replicate r draws with its own line modulo the prime.
 PRIME = 2147483647
 METRICS = ("ap", "lift", "auc", "capture")
-_POISSON = (0.36787944, 0.73575888, 0.9196986, 0.98101184)
 #: Weights that a task holds at once, and sums before it passes them on.
 PAIRS = 2_000_000
 
@@ -192,7 +287,7 @@ def bootstrap_metrics(df: DataFrame, a: str, b: str, label: str, key: str, repli
     partial = rows.mapInArrow(_weighed(replicates), "which string, score double, v array<double>")
     sums = stage(partial.groupBy("which", "score").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v")), "replicates")
     pairs = F.arrays_zip(F.slice("v", 1, replicates).alias("tp"), F.slice("v", replicates + 1, replicates).alias("fp"))
-    each = sums.select("which", "score", F.posexplode(pairs).alias("rep", "x")).select("which", "score", "rep", "x.tp", "x.fp").filter("tp + fp > 0")
+    each = sums.select("which", "score", F.posexplode(pairs).alias("rep", "x")).select("which", "score", "rep", F.round("x.tp").alias("tp"), F.round("x.fp").alias("fp")).filter("tp + fp > 0")
     group = Window.partitionBy("rep", "which")
     order = group.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     each = each.withColumns({"ctp": F.sum("tp").over(order), "cfp": F.sum("fp").over(order)}).withColumn("all", F.sum(F.col("tp") + F.col("fp")).over(group))
