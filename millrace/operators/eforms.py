@@ -83,8 +83,8 @@ def enrich(lots: DataFrame, requirements: DataFrame, documents: DataFrame) -> di
     read anew. Lots that only the XML has are left out.
     """
     parsed, rejected = read_lots(documents)
-    parsed = stage(parsed, "xml-lots")
-    xml = parsed.join(lots.select("notice_id", "lot_id", "xml_url"), ["notice_id", "lot_id"])
+    # written where they meet: texts, selections and awards are read again each
+    xml = stage(parsed.join(lots.select("notice_id", "lot_id", "xml_url"), ["notice_id", "lot_id"]), "xml-lots")
     told = F.substring(F.array_join("texts", "\n"), 1, LOT_CHARS)
     texts = xml.select("notice_id", "lot_id", "xml_url", told.alias("told")).filter("told <> ''")
     grown = F.substring(F.concat(F.coalesce("description", F.lit("")), F.lit("\n"), F.col("told")), 1, LOT_CHARS)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.tables import bounded, field_diff, latest_per_key
+from millrace.sources.shared import stage
 
 #: Phrases that announce requirements, and texts that try to steer a reader (fixed patterns).
 FAMILIES = {
@@ -34,6 +35,8 @@ LANGUAGE_CODES = {"english": "eng", "finnish": "fin", "swedish": "swe", "french"
 #: Kinds of a free sentence (fixed patterns), the first that fits.
 SENTENCE_KINDS = {"consortium": r"(?i)consortium|group of economic operators|subcontract", "staff": r"(?i)staff|personnel|qualification", "geography": r"(?i)country|member state|geographic"}
 UNITS = {"turnover": "EUR", "references": "count"}
+#: The requirements of a lot before they are numbered.
+ITEMS = "array<struct<family:int,pos:int,category:string,text:string,mandatory:boolean,value_num:double,value_str:string>>"
 
 
 def extract_requirements(lots: DataFrame, most: int = 20, source: str = "ted") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -45,56 +48,65 @@ def extract_requirements(lots: DataFrame, most: int = 20, source: str = "ted") -
     finding and its genuine requirements stay. Every requirement and finding has a row of evidence. Requirements are
     numbered over the lots of a notice, in order of lot_id.
     """
-    text = F.coalesce("description", F.lit(""))
-    rows = None
-    for rank, (category, (pattern, group)) in enumerate(FAMILIES.items()):
-        whole, value = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-        part = lots.select("notice_id", "lot_id", text.alias("text_"), F.posexplode(F.arrays_zip(whole.alias("t"), value.alias("v"))).alias("pos", "x"))
-        part = part.select("notice_id", "lot_id", F.lit(rank).alias("family"), "pos", F.lit(category).alias("category"), F.trim("x.t").alias("text"), F.col("x.v").alias("raw"), "text_")
-        if category == "certification":
-            quoted = F.concat(F.lit(r"(?s)[^.!?]*?\Q"), F.col("raw"), F.lit(r"\E[^.!?]*[.!?]?"))
-            part = part.withColumn("text", F.trim(F.regexp_substr(F.col("text_"), quoted)))
-        part = part.withColumn("mandatory", F.col("text").rlike(STATED) if category == "certification" else F.lit(True)).drop("text_")
-        rows = part if rows is None else rows.unionByName(part)
-    number = F.regexp_replace("raw", "[^0-9]", "").try_cast("double")
-    value_num = F.when(F.col("category").isin("turnover", "references"), number)
-    value_str = F.when(F.col("category") == "certification", F.regexp_replace(F.upper("raw"), r"^ISO\s?", "ISO ")).when(F.col("category") == "language", F.col("raw"))
-    structured = rows.select("notice_id", "lot_id", "family", "pos", "category", "text", "mandatory", value_num.alias("value_num"), value_str.alias("value_str"))
-
-    known = structured.groupBy("notice_id", "lot_id").agg(F.collect_list("text").alias("known"))
-    pieces = F.transform(F.split(text, r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")))
+    none, no_item = F.lit(None), F.array().cast(ITEMS)
+    rows = lots.select("notice_id", "lot_id", F.coalesce("description", F.lit("")).alias("said"), F.col("notice_url") if "notice_url" in lots.columns else none.cast("string").alias("notice_url"))
+
+    def structured(rank: int, category: str, pattern: str, group: int) -> Column:
+        """The requirements of one family in a text."""
+
+        def item(whole: Column, i: Column) -> Column:
+            text, raw = F.trim(whole), F.regexp_extract(whole, pattern, group)
+            if category == "certification":
+                # its sentence: from after the last end of a sentence before it to the next end
+                at = F.instr(F.col("said"), raw)
+                left = F.regexp_replace(F.substring(F.col("said"), F.lit(1), at - 1), r"(?s)^.*[.!?]", "")
+                right = F.regexp_extract(F.substring(F.col("said"), at + F.length(raw), F.length("said")), r"^[^.!?]*[.!?]?", 0)
+                text = F.trim(F.concat(left, raw, right))
+            mandatory = text.rlike(STATED) if category == "certification" else F.lit(True)
+            number = F.regexp_replace(raw, "[^0-9]", "").try_cast("double") if category in UNITS else none.cast("double")
+            string = F.regexp_replace(F.upper(raw), r"^ISO\s?", "ISO ") if category == "certification" else raw if category == "language" else none.cast("string")
+            return F.struct(F.lit(rank).alias("family"), i.alias("pos"), F.lit(category).alias("category"), text.alias("text"), mandatory.alias("mandatory"), number.alias("value_num"), string.alias("value_str"))
+
+        return F.transform(F.regexp_extract_all("said", F.lit(pattern), F.lit(0)), item).cast(ITEMS)
+
+    rows = rows.withColumn("stated", F.concat(*[structured(rank, category, *family) for rank, (category, family) in enumerate(FAMILIES.items())]))
+    rows = rows.withColumn("known", F.filter(F.transform("stated", lambda x: x["text"]), lambda s: s.isNotNull()))
+    pieces = F.transform(F.split("said", r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")))
     obliging = F.filter(F.transform(pieces, lambda s, i: F.struct(i.alias("pos"), s.alias("s"))), lambda x: F.length(x["s"]).between(25, 700) & x["s"].rlike(OBLIGATION))
-    rows = lots.join(known, ["notice_id", "lot_id"], "left").select("notice_id", "lot_id", F.coalesce("known", F.array().cast("array<string>")).alias("known"), obliging.alias("pieces"))
     room = F.greatest(F.lit(most) - F.size("known"), F.lit(1))
 
     def taken(acc: Column, x: Column) -> Column:
         told = F.exists(F.concat(F.col("known"), F.transform(acc, lambda y: y["s"])), lambda k: x["s"].contains(k) | k.contains(x["s"]))
         return F.when((F.size(acc) >= room) | told, acc).otherwise(F.concat(acc, F.array(x)))
 
-    free = rows.select("notice_id", "lot_id", F.inline(F.aggregate("pieces", F.array().cast("array<struct<pos:int,s:string>>"), taken)))
-    kind = F.coalesce(*[F.when(F.col("s").rlike(p), k) for k, p in SENTENCE_KINDS.items()], F.lit("technical"))
-    none = F.lit(None)
-    free = free.select("notice_id", "lot_id", F.lit(len(FAMILIES)).alias("family"), "pos", kind.alias("category"), F.col("s").alias("text"), F.lit(True).alias("mandatory"), none.cast("double").alias("value_num"), none.cast("string").alias("value_str"))
+    def free(x: Column) -> Column:
+        kind = F.coalesce(*[F.when(x["s"].rlike(p), k) for k, p in SENTENCE_KINDS.items()], F.lit("technical"))
+        return F.struct(F.lit(len(FAMILIES)).alias("family"), x["pos"].alias("pos"), kind.alias("category"), x["s"].alias("text"), F.lit(True).alias("mandatory"), none.cast("double").alias("value_num"), none.cast("string").alias("value_str"))
 
-    in_notice = F.row_number().over(Window.partitionBy("notice_id").orderBy("lot_id", "family", "pos"))
-    stated = F.col("value_num").isNotNull() | F.col("value_str").isNotNull()
+    rows = rows.withColumn("pieces", obliging).withColumn("free", F.aggregate("pieces", F.array().cast("array<struct<pos:int,s:string>>"), taken))
+    items = F.concat("stated", F.coalesce(F.transform("free", free).cast(ITEMS), no_item)).alias("items")
+    excerpt = F.when(F.col("said").rlike(INJECTION), F.regexp_extract("said", INJECTION, 0)).alias("excerpt")
+    # a lot's requirements stay together, as one row, until they are numbered: texts are read once and shuffled once
+    before = Window.partitionBy("notice_id").orderBy("lot_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.select("notice_id", "lot_id", "notice_url", excerpt, items).withColumn("before", F.coalesce(F.sum(F.size("items")).over(before), F.lit(0)))
+    rows = stage(rows, "lot-requirements")
+
+    each = rows.select("notice_id", "lot_id", "notice_url", "before", F.posexplode("items").alias("place", "x")).select("notice_id", "lot_id", "notice_url", (F.col("before") + F.col("place") + 1).alias("n"), "x.*")
+    structured_value = F.col("value_num").isNotNull() | F.col("value_str").isNotNull()
     units = F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv])
-    url = lots.select("notice_id", "lot_id", F.col("notice_url") if "notice_url" in lots.columns else none.cast("string").alias("notice_url"))
-    requirements = structured.unionByName(free).withColumn("n", in_notice).select(
+    evidence_id = F.concat(F.lit(f"{source}:"), "notice_id", F.lit(":"), "lot_id", F.lit(":requirement-"), "n").alias("evidence_id")
+    requirements = each.select(
         F.concat_ws(":", "notice_id", F.lit("req"), "n").alias("requirement_id"), "notice_id", "lot_id", "category", "text", F.lit("eligibility").alias("requirement_type"), "mandatory",
         F.when(F.col("value_num").isNotNull(), ">=").when(F.col("value_str").isNotNull(), "contains").alias("operator"), "value_num", "value_str", F.when(F.col("value_num").isNotNull(), units[F.col("category")]).alias("unit"),
-        F.lit("UNKNOWN").alias("stage"), F.lit("description-lot").alias("source_field"), F.concat(F.lit(f"{source}:"), "notice_id", F.lit(":"), "lot_id", F.lit(":requirement-"), "n").alias("evidence_id"),
-        F.when(F.col("family") == len(FAMILIES), 0.7).otherwise(0.92).alias("confidence"), F.when(stated, "STRUCTURED").otherwise("UNSTRUCTURED").alias("extraction_status"),
+        F.lit("UNKNOWN").alias("stage"), F.lit("description-lot").alias("source_field"), evidence_id,
+        F.when(F.col("family") == len(FAMILIES), 0.7).otherwise(0.92).alias("confidence"), F.when(structured_value, "STRUCTURED").otherwise("UNSTRUCTURED").alias("extraction_status"),
     )
     by_lot = F.row_number().over(Window.partitionBy("notice_id").orderBy("lot_id"))
-    findings = lots.filter(text.rlike(INJECTION)).withColumn("n", by_lot).select(
-        F.concat_ws(":", "notice_id", F.lit("security"), "n").alias("finding_id"), "notice_id", "lot_id", F.lit("PROMPT_INJECTION").alias("type"), F.lit("HIGH").alias("severity"),
-        F.regexp_extract(text, INJECTION, 0).alias("excerpt"), F.concat(F.lit(f"{source}:"), "notice_id", F.lit(":"), "lot_id", F.lit(":security-"), "n").alias("evidence_id"),
-    )
-    told = requirements.select("evidence_id", "notice_id", "lot_id", F.lit("requirement").alias("field"), F.substring("text", 1, 1000).alias("excerpt"))
-    told = told.unionByName(findings.select("evidence_id", "notice_id", "lot_id", F.lit("security_finding").alias("field"), "excerpt"))
-    evidence = told.join(url, ["notice_id", "lot_id"]).select("evidence_id", "notice_id", "lot_id", "field", "excerpt", F.col("notice_url").alias("source_url"), F.lit(source.upper()).alias("source"))
-    return requirements, findings, evidence
+    found = rows.filter("excerpt is not null").select("notice_id", "lot_id", "notice_url", "excerpt").withColumn("n", by_lot).withColumn("evidence_id", F.concat(F.lit(f"{source}:"), "notice_id", F.lit(":"), "lot_id", F.lit(":security-"), "n"))
+    findings = found.select(F.concat_ws(":", "notice_id", F.lit("security"), "n").alias("finding_id"), "notice_id", "lot_id", F.lit("PROMPT_INJECTION").alias("type"), F.lit("HIGH").alias("severity"), "excerpt", "evidence_id")
+    evidence = each.select(evidence_id, "notice_id", "lot_id", F.lit("requirement").alias("field"), F.substring("text", 1, 1000).alias("excerpt"), F.col("notice_url").alias("source_url"))
+    evidence = evidence.unionByName(found.select("evidence_id", "notice_id", "lot_id", F.lit("security_finding").alias("field"), "excerpt", F.col("notice_url").alias("source_url")))
+    return requirements, findings, evidence.withColumn("source", F.lit(source.upper()))
 
 
 #: Kinds of procedure that a search may ask for (fixed values).
@@ -169,20 +181,26 @@ def assess(lots: DataFrame, requirements: DataFrame, profiles: DataFrame, as_of:
     """(checks, lots, notices) of every lot and supplier profile.
 
     A requirement without a lot holds for all lots of its notice: two equi-joins, not one on an OR. Profiles are a
-    table of some rows, crossed with lots.
+    table of some rows, crossed with lots. Outcomes are added up per lot, and per notice, before they meet the lots.
     """
     few, keys = bounded(profiles), lots.select("notice_id", "lot_id")
-    own = requirements.filter("lot_id is not null").join(keys, ["notice_id", "lot_id"])
-    shared = requirements.filter("lot_id is null").drop("lot_id").join(keys, "notice_id")
-    each = own.unionByName(shared, allowMissingColumns=True).crossJoin(few)
-    checks = each.select("profile_id", "notice_id", "lot_id", "requirement_id", "category", F.coalesce("mandatory", F.lit(False)).alias("mandatory"), check_outcome().alias("outcome"))
+    of_lot, of_notice = requirements.filter("lot_id is not null"), requirements.filter("lot_id is null").drop("lot_id")
+    each = of_lot.join(keys, ["notice_id", "lot_id"]).unionByName(of_notice.join(keys, "notice_id"), allowMissingColumns=True).crossJoin(few)
+    mandatory = F.coalesce("mandatory", F.lit(False)).alias("mandatory")
+    checks = each.select("profile_id", "notice_id", "lot_id", "requirement_id", "category", mandatory, check_outcome().alias("outcome"))
     must = F.col("mandatory")
-    sums = checks.groupBy("profile_id", "notice_id", "lot_id").agg(F.bool_or(must & (F.col("outcome") == "FAIL")).alias("blocked"), F.bool_or(must & (F.col("outcome") == "UNKNOWN")).alias("unsure"), F.bool_or(must & (F.col("outcome") != "NOT_APPLICABLE")).alias("tested"))
+
+    def sums(part: DataFrame, *by: str) -> DataFrame:
+        rows = part.crossJoin(few).select("profile_id", *by, mandatory, check_outcome().alias("outcome"))
+        return rows.groupBy("profile_id", *by).agg(*[F.bool_or(must & c).alias(f"{k}_{len(by)}") for k, c in {"blocked": F.col("outcome") == "FAIL", "unsure": F.col("outcome") == "UNKNOWN", "tested": F.col("outcome") != "NOT_APPLICABLE"}.items()])
+
     scored = lots.crossJoin(few).select("profile_id", "notice_id", "lot_id", fit_score(as_of).alias("fit"))
-    flag = lambda c: F.coalesce(c, F.lit(False))
-    status = F.when(flag("blocked"), "NO_BID").when(~flag("tested"), "INSUFFICIENT_EVIDENCE").when(flag("unsure"), "REVIEW").otherwise("BID")
+    scored = scored.join(sums(of_lot, "notice_id", "lot_id"), ["profile_id", "notice_id", "lot_id"], "left").join(bounded(sums(of_notice, "notice_id")), ["profile_id", "notice_id"], "left")
+    either = lambda k: F.coalesce(f"{k}_2", F.lit(False)) | F.coalesce(f"{k}_1", F.lit(False))
+    scored = scored.withColumns({k: either(k) for k in ("blocked", "unsure", "tested")})
+    status = F.when(F.col("blocked"), "NO_BID").when(~F.col("tested"), "INSUFFICIENT_EVIDENCE").when(F.col("unsure"), "REVIEW").otherwise("BID")
     level = lambda c: F.when(c >= 70, "HIGH").when(c >= 40, "MEDIUM").otherwise("LOW")
-    by_lot = scored.join(sums, ["profile_id", "notice_id", "lot_id"], "left").select("profile_id", "notice_id", "lot_id", status.alias("status"), "fit", level(F.col("fit")).alias("fit_label"))
+    by_lot = scored.select("profile_id", "notice_id", "lot_id", status.alias("status"), "fit", level(F.col("fit")).alias("fit_label"))
     listed = lambda s: F.array_sort(F.collect_list(F.when(F.col("status") == s, F.col("lot_id"))))
     rolled = by_lot.groupBy("profile_id", "notice_id").agg(listed("BID").alias("eligible_lots"), listed("REVIEW").alias("review_lots"), listed("INSUFFICIENT_EVIDENCE").alias("no_evidence_lots"), listed("NO_BID").alias("blocked_lots"), F.max("fit").alias("fit"))
     decision = F.when(F.size("eligible_lots") > 0, "BID").when(F.size("review_lots") > 0, "REVIEW").when(F.size("no_evidence_lots") > 0, "INSUFFICIENT_EVIDENCE").otherwise("NO_BID")
