@@ -43,6 +43,10 @@ class Preprocess:
         numbers = [(F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(med)) - mean) / (sd or 1.0) for c, (med, mean, sd) in self.numeric.items()]
         return [*numbers, *[(F.coalesce(c, F.lit(mode)) == v).cast("double") for c, (mode, values) in self.categories.items() for v in values]]
 
+    def only(self, numeric: list[str], categories: list[str]) -> Preprocess:
+        """What would have been fitted for some of the columns: each one's parameters are its own."""
+        return Preprocess({c: self.numeric[c] for c in numeric}, {c: self.categories[c] for c in categories})
+
     def apply(self, df: DataFrame, out: str = "features") -> DataFrame:
         return df.withColumn(out, array_to_vector(F.array(*self.values())))
 
@@ -51,40 +55,48 @@ def _number(c: str) -> Column:
     return F.nanvl(F.col(c).cast("double"), F.lit(None))
 
 
+#: Half the width, in shares of the rows, of what is looked through for a middle rank, and one part of it that a sketch may err by.
+BRACKET, SKETCH = 2e-4, 10_000
+
+
 def _numeric_statistics(train: DataFrame, columns: list[str]) -> dict[str, tuple[float, float, float]]:
     """(median, mean, deviation) of all columns after missing values were filled with the median.
 
-    All columns are one long frame of distinct values with their numbers, dealt by ranges of (column, value): one table
-    is written, its ranges' totals tell where the middle ranks lie, and one more pass reads these and the spread.
+    Rows are not shuffled: one reading gives numbers, means and, by a sketch, two values with the middle ranks between
+    them; another one how many values lie below and the spread. Of the values between, a few in ten thousand besides
+    repeated ones, the exact ranks are found. A sketch that has missed them is widened to all values.
     """
-    long = train.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), _number(c).alias("v")) for c in columns])).alias("x")).select("x.*")
-    parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    per = long.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
-    dealt = stage(per.repartitionByRange(parts, "c", F.asc_nulls_first("v")).withColumn("part", F.spark_partition_id()), "values")
-    seen = F.when(F.col("v").isNotNull(), F.col("n"))
-    totals = dealt.groupBy("c", "part").agg(F.sum(seen).alias("n"), F.sum(F.col("n") - F.coalesce(seen, F.lit(0))).alias("missing"), F.sum(F.col("v") * F.col("n")).alias("total")).orderBy("c", "part").collect()  # at most ranges and columns together
-    counts, places = {}, []
-    for c in columns:
-        own = [r for r in totals if r["c"] == c]
-        n, total = sum(r["n"] or 0 for r in own), sum(r["total"] or 0.0 for r in own)
-        counts[c] = (n, sum(r["missing"] for r in own), total / n if n else 0.0)
-        before = 0
-        for r in own:
-            here = [k for k in {(n - 1) // 2, n // 2} if n and before <= k < before + (r["n"] or 0)]
-            places.append((c, r["part"], before, here, counts[c][2]))
-            before += r["n"] or 0
-    offsets = train.sparkSession.createDataFrame(places, "c string, part int, before long, ranks array<long>, mean double")
-    upto = F.sum("n").over(Window.partitionBy("c", "part").orderBy("v")) + F.col("before")
-    rows = dealt.filter("v is not null").join(F.broadcast(offsets), ["c", "part"]).withColumn("upto", upto)
-    hit = F.exists("ranks", lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n")))
-    found = rows.groupBy("c").agg(F.collect_list(F.when(hit, F.col("v"))).alias("middle"), F.sum(F.col("n") * (F.col("v") - F.col("mean")) * (F.col("v") - F.col("mean"))).alias("spread")).collect()
+    at = dict(zip(columns, (f"c{k}" for k in range(len(columns))), strict=True))
+    rows = train.select(*[_number(c).alias(x) for c, x in at.items()])
+    sides = F.array(F.lit(0.5 - BRACKET), F.lit(0.5 + BRACKET))
+    first = rows.agg(F.count(F.lit(1)).alias("rows"), *[y for x in at.values() for y in (F.count(x).alias(f"{x}_n"), F.avg(x).alias(f"{x}_mean"), F.percentile_approx(x, sides, F.lit(SKETCH)).alias(f"{x}_q"))]).first()
+    known = {c: x for c, x in at.items() if first[f"{x}_n"]}
     out = {c: (0.0, 0.0, 1.0) for c in columns}
-    for r in found:
-        n, missing, mean = counts[r["c"]]
-        median = sum(r["middle"]) / len(r["middle"])
+    if not known:
+        return out
+    spread = lambda x: (F.col(x) - F.lit(first[f"{x}_mean"])) * (F.col(x) - F.lit(first[f"{x}_mean"]))
+    second = rows.agg(*[y for x in known.values() for y in (F.count_if(F.col(x) < F.lit(first[f"{x}_q"][0])).alias(f"{x}_below"), F.count_if(F.col(x) <= F.lit(first[f"{x}_q"][1])).alias(f"{x}_upto"), F.sum(spread(x)).alias(f"{x}_spread"))]).first()
+    between, ranks = [], {}
+    for x in known.values():
+        n, below, (low, high) = first[f"{x}_n"], second[f"{x}_below"], first[f"{x}_q"]
+        middle = {(n - 1) // 2, n // 2}
+        if not all(below <= r < second[f"{x}_upto"] for r in middle):
+            below, low, high = 0, float("-inf"), float("inf")
+        ranks[x] = sorted(r - below for r in middle)
+        between.append(F.when(F.col(x).between(F.lit(low), F.lit(high)), F.struct(F.lit(x).alias("c"), F.col(x).alias("v"))))
+    long = rows.select(F.explode(F.filter(F.array(*between), lambda s: s.isNotNull())).alias("x")).select("x.*")
+    per = long.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(Window.partitionBy("c").orderBy("v")))
+    wanted = F.create_map(*[y for x, rs in ranks.items() for y in (F.lit(x), F.array(*[F.lit(r).cast("long") for r in rs]))])
+    hit = F.exists(F.element_at(wanted, F.col("c")), lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n")))
+    middles: dict[str, list[float]] = {}
+    for r in per.filter(hit).select("c", "v").collect():  # two values of a column at most
+        middles.setdefault(r["c"], []).append(r["v"])
+    for c, x in known.items():
+        n, mean, median = first[f"{x}_n"], first[f"{x}_mean"], sum(middles[x]) / len(middles[x])
+        missing = first["rows"] - n
         filled = (n * mean + missing * median) / (n + missing)
-        deviation = ((r["spread"] + n * (mean - filled) ** 2 + missing * (median - filled) ** 2) / (n + missing)) ** 0.5
-        out[r["c"]] = (median, filled, deviation if deviation > SCALE_FLOOR else 1.0)
+        deviation = ((second[f"{x}_spread"] + n * (mean - filled) ** 2 + missing * (median - filled) ** 2) / (n + missing)) ** 0.5
+        out[c] = (median, filled, deviation if deviation > SCALE_FLOOR else 1.0)
     return out
 
 
@@ -136,9 +148,9 @@ def score(model, rows: DataFrame) -> DataFrame:
 
 def fold_metrics(scored: DataFrame, tie: str, fraction: float = 0.1) -> dict[str, float]:
     """Average precision, its lift, ROC-AUC, and the share of positives among the best tenth of scores."""
-    m = ranking.ranking_metrics(scored, "p", "label").first()
-    top = ranking.top_capture(scored, "p", "label", tie, [fraction]).first()
-    return {"average_precision": m["average_precision"], "lift": m["lift"], "roc_auc": m["roc_auc"], "top_recall": top["recall"] or 0.0}
+    curve = stage(ranking.score_curve(scored, "p", "label"), "curve")
+    m = ranking.curve_metrics(curve).first()
+    return {"average_precision": m["average_precision"], "lift": m["lift"], "roc_auc": m["roc_auc"], "top_recall": ranking.curve_recall(curve, scored, "p", "label", tie, fraction) or 0.0}
 
 
 def summary(folds: list[dict[str, float]]) -> dict[str, float]:
@@ -156,11 +168,10 @@ Fold = tuple[str, str, str]  # name, first day of validation, first day after it
 
 
 def _folds(rows: DataFrame, day: str, folds: list[Fold], numeric: list[str], categories: list[str]):
-    """Per fold: rows before it to train on, rows in it to validate, both with features fitted on the former."""
-    for name, start, stop in folds:
+    """Per fold: what is fitted on the rows before it, these rows to train on, and rows in it to validate."""
+    for _, start, stop in folds:
         train, check = rows.filter(F.col(day) < start), rows.filter((F.col(day) >= start) & (F.col(day) < stop))
-        fitted = fit_preprocess(train, numeric, categories)
-        yield name, stage(fitted.apply(train).select("features", "label"), "fold-train"), fitted.apply(check)
+        yield fit_preprocess(train, numeric, categories), train, check
 
 
 #: Weights of a family in a blend.
@@ -198,7 +209,8 @@ def search(rows: DataFrame, day: str, tie: str, folds: list[Fold], numeric: list
     and the features); validation rows are never trained on, and rows from the last fold's end on are not looked at."""
     metrics: dict[str, list[dict[str, float]]] = {c.name: [] for c in candidates}
     scored: dict[str, list[DataFrame]] = {c.name: [] for c in candidates}
-    for _, train, check in _folds(rows, day, folds, numeric, categories):
+    for fitted, train, check in _folds(rows, day, folds, numeric, categories):
+        train, check = stage(fitted.apply(train).select("features", "label"), "fold-train"), fitted.apply(check).select(tie, "features", "label")
         for c in candidates:
             scored[c.name].append(stage(score(fit(c, train), check).select(tie, "p", "label"), "scored"))
             metrics[c.name].append(fold_metrics(scored[c.name][-1], tie))
@@ -209,15 +221,24 @@ def search(rows: DataFrame, day: str, tie: str, folds: list[Fold], numeric: list
 
 
 def ablation(rows: DataFrame, day: str, tie: str, folds: list[Fold], groups: dict[str, tuple[list[str], list[str]]], candidate: Candidate) -> list[dict]:
-    """Metrics of one candidate as groups of (numeric, categorical) features are added in turn."""
+    """Metrics of one candidate as groups of (numeric, categorical) features are added in turn.
+
+    A column's preprocessing does not depend on the others, so that of all columns is fitted once a fold.
+    """
+    steps: dict[str, tuple[list[str], list[str]]] = {}
     numeric: list[str] = []
     categories: list[str] = []
-    out = []
     for group, (more, more_categories) in groups.items():
         numeric, categories = [*numeric, *more], [*categories, *more_categories]
-        found = [fold_metrics(stage(score(fit(candidate, train), check).select(tie, "p", "label"), "scored"), tie) for _, train, check in _folds(rows, day, folds, numeric, categories)]
-        out.append({"stage": group, "features": len(numeric) + len(categories)} | summary(found))
-    return out
+        steps[group] = numeric, categories
+    found: dict[str, list[dict[str, float]]] = {group: [] for group in groups}
+    for fitted, train, check in _folds(rows, day, folds, numeric, categories):
+        for group, own in steps.items():
+            some = fitted.only(*own)
+            model = fit(candidate, some.apply(train).select("features", "label"))
+            scored = stage(score(model, some.apply(check).select(tie, "features", "label")).select(tie, "p", "label"), "scored")
+            found[group].append(fold_metrics(scored, tie))
+    return [{"stage": group, "features": sum(map(len, own))} | summary(found[group]) for group, own in steps.items()]
 
 
 def losses(p: Column, y: Column) -> list[Column]:
@@ -271,14 +292,17 @@ def sensitivity(prep: Preprocess, coefficients: list[float], intercept: float, g
     terms = {slot: v * weight[slot] for slot, v in zip(prep.slots(), prep.values(), strict=True)}
     at = {c: F.lit((med - mean) / (sd or 1.0) * weight[c]) for c, (med, mean, sd) in prep.numeric.items()}
     at |= {f"{c}={v}": F.lit(weight[f"{c}={v}"] * (v == mode)) for c, (mode, values) in prep.categories.items() for v in values}
-    total = sum(terms.values(), F.lit(intercept))
     slots = {c: [c] if c in prep.numeric else [f"{c}={v}" for v in prep.categories[c][1]] for c in [*prep.numeric, *prep.categories]}
-    effects = []
-    for name, columns in groups.items():
-        moved = sum((terms[s] - at[s] for c in columns for s in slots[c]), F.lit(0.0))
-        change = F.round(100 * (C.sigmoid(total) - C.sigmoid(total - moved)), 4)
-        effects.append(F.struct((-F.abs(change)).alias("size"), F.lit(name).alias("factor"), change.alias("change")))
-    return F.transform(F.slice(F.array_sort(F.array(*effects)), 1, top), lambda x: F.struct(x["factor"].alias("factor"), x["change"].alias("change")))
+    moved = [sum((terms[s] - at[s] for c in columns for s in slots[c]), F.lit(0.0)) for columns in groups.values()]
+    # bound once a row: each group's effect uses the sum of all terms
+    sums = F.array(F.array(sum(terms.values(), F.lit(intercept)), *moved))
+
+    def best(x: Column) -> Column:
+        changes = [(name, F.round(100 * (C.sigmoid(x[0]) - C.sigmoid(x[0] - x[k])), 4)) for k, name in enumerate(groups, 1)]
+        effects = F.array(*[F.struct((-F.abs(change)).alias("size"), F.lit(name).alias("factor"), change.alias("change")) for name, change in changes])
+        return F.transform(F.slice(F.array_sort(effects), 1, top), lambda y: F.struct(y["factor"].alias("factor"), y["change"].alias("change")))
+
+    return F.transform(sums, best)[0]
 
 
 VERSION = 1

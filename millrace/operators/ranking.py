@@ -91,14 +91,35 @@ def score_curve(df: DataFrame, score: str, label: str) -> DataFrame:
 
 def ranking_metrics(df: DataFrame, score: str, label: str) -> DataFrame:
     """Average precision in its step form, lift over prevalence, and ROC-AUC in which ties count half."""
-    totals = F.broadcast(df.agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("n")))
-    c = score_curve(df, score, label).crossJoin(totals)
+    return curve_metrics(score_curve(df, score, label), df.agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("n")))
+
+
+def curve_metrics(curve: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+    """ranking_metrics of a score_curve; totals (p, n) are the curve's own unless they are given."""
+    totals = curve.agg(F.sum("tp").alias("p"), F.sum("fp").alias("n")) if totals is None else totals
+    c = curve.crossJoin(F.broadcast(totals))
     precision = F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp"))
     pairs = F.col("tp").cast("double") * (F.col("n") - F.col("cum_fp")) + F.col("tp").cast("double") * F.col("fp") / 2
     out = c.groupBy("p", "n").agg(F.sum(F.col("tp") / F.col("p") * precision).alias("ap"), (F.sum(pairs) / (F.col("p").cast("double") * F.col("n"))).alias("auc"))
     return out.select(F.col("p").alias("positives"), F.col("n").alias("negatives"), F.round("ap", 6).alias("average_precision"), F.round(F.col("ap") / (F.col("p") / (F.col("p") + F.col("n"))), 6).alias("lift"), F.round("auc", 6).alias("roc_auc"))
 
 
+def curve_recall(curve: DataFrame, df: DataFrame, score: str, label: str, tie: str, fraction: float) -> float | None:
+    """The recall of top_capture from a score_curve of df, whose labels are known: only rows of the score at which the
+    best ones end are put in order of `tie`."""
+    rows, positives = curve.agg(F.sum(F.col("tp") + F.col("fp")), F.sum("tp")).first()
+    if not positives:
+        return None
+    wanted = math.ceil(rows * fraction)
+    here = F.max_by(F.struct("score", "tp", "fp", "cum_tp", "cum_fp"), "score")
+    last = curve.filter(F.col("cum_tp") + F.col("cum_fp") >= wanted).agg(here.alias("x")).first()["x"]
+    found, left = last["cum_tp"], last["cum_tp"] + last["cum_fp"] - wanted
+    if left:
+        at = numbered(df.filter(F.col(score) == F.lit(last["score"])).select(tie, F.col(label).cast("long").alias("y")), tie)
+        found -= last["tp"] - (at.filter(F.col("position") < last["tp"] + last["fp"] - left).agg(F.sum("y")).first()[0] or 0)
+    return round(found / positives, 6)
+
+
 def poisson_weight(key: Column, rep: Column) -> Column:
     """How often a row is drawn in a replicate: Poisson with mean 1 (4 stands for all above 3), from a hash of both, so that any task can draw it again."""
     u = F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), rep.cast("string"))), 1, 7), 16, 10).cast("double") / 268435456.0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,7 +19,7 @@ _ORDER_LATE = """ol AS (SELECT o_orderkey, o_custkey, cast(o_orderdate AS DATE)
 def _orders(t: Tables) -> DataFrame:
     """Orders with their epoch day; status F stands for a late delivery."""
     day = F.to_date("o_orderdate")
-    return t.orders.select("o_orderkey", "o_custkey", day.alias("day"), F.unix_date(day).alias("d"), F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("priority"), (F.col("o_orderstatus") == "F").alias("late"))
+    return t.orders.select("o_orderkey", "o_custkey", "o_orderdate", day.alias("day"), F.unix_date(day).alias("d"), F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("priority"), (F.col("o_orderstatus") == "F").alias("late"))
 
 
 _HISTORY = "h AS (SELECT o_custkey, d AS day, count(*) AS n, count(*) FILTER (WHERE late) AS late FROM ol GROUP BY ALL)"
@@ -147,13 +148,21 @@ def weighted_rollup(t: Tables) -> DataFrame:
     round((p.late + 1.0) / (p.n + 20), 6) AS prior_rate, cast(ol.late AS INTEGER) AS label FROM ol LEFT JOIN it ON o_orderkey = l_orderkey JOIN p ON p.o_custkey = ol.o_custkey AND p.day = ol.d"""
 )
 def pit_feature_table(t: Tables) -> DataFrame:
+    return _pit_rows(t).select(*_PIT, F.col("late").cast("int").alias("label"))
+
+
+_PIT = ["o_orderkey", "year", "month", "weekday_number", "items", "sellers", "value", "multi_seller", "log_prior", "prior_rate"]
+
+
+def _pit_rows(t: Tables) -> DataFrame:
+    """The orders (as _orders has them) with the columns _PIT."""
     o = _orders(t)
     p = history.prior_history(history.daily_history(o, ["o_custkey"], F.col("day"), F.col("late")), ["o_custkey"], windows=()).withColumnRenamed("day", "d")
     rows = o.join(order_totals_of(t.lineitem).withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey", "left").join(p, ["o_custkey", "d"])
-    return rows.select(
-        "o_orderkey", F.year("day").alias("year"), F.month("day").alias("month"), (F.weekday("day") + 1).alias("weekday_number"), "items", "sellers", "value", F.coalesce(F.col("sellers") > 1, F.lit(False)).alias("multi_seller"),
-        F.round(F.log1p("prior_n"), 6).alias("log_prior"), F.round(C.smoothed_rate("prior_late", "prior_n"), 6).alias("prior_rate"), F.col("late").cast("int").alias("label"),
-    )
+    return rows.withColumns({
+        "year": F.year("day"), "month": F.month("day"), "weekday_number": F.weekday("day") + 1, "multi_seller": F.coalesce(F.col("sellers") > 1, F.lit(False)),
+        "log_prior": F.round(F.log1p("prior_n"), 6), "prior_rate": F.round(C.smoothed_rate("prior_late", "prior_n"), 6),
+    })
 
 
 _SCORED = "sc AS (SELECT o_orderkey, floor(o_totalprice / 1000) AS score, o_orderstatus = 'F' AS y FROM orders)"
@@ -195,14 +204,33 @@ def roc_auc(t: Tables) -> DataFrame:
 _SPLIT = "sp AS (SELECT o_orderkey, o_orderdate, o_orderstatus = 'F' AS y, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS pos, count(*) OVER () AS n FROM orders), spl AS (SELECT *, CASE WHEN pos < floor(n * 0.70) THEN 'train' WHEN pos < floor(n * 0.85) THEN 'validation' ELSE 'test' END AS split FROM sp)"
 
 
-def chronological(df: DataFrame, ts: str, tie: str, cuts: tuple[float, ...] = (0.70, 0.85), names: tuple[str, ...] = ("train", "validation", "test")) -> DataFrame:
-    """Splits at int(n * cut) rows in order of (ts, tie)."""
-    total = F.broadcast(df.agg(F.count(F.lit(1)).alias("__n")))
-    rows = ranking.numbered(df, ts, tie, name="__p").crossJoin(total)
-    split = F.lit(names[-1])
-    for cut, name in reversed(list(zip(cuts, names, strict=False))):
-        split = F.when(F.col("__p") < F.floor(F.col("__n") * cut), name).otherwise(split)
-    return rows.withColumn("split", split).drop("__p", "__n")
+def cut_rows(df: DataFrame, ts: str, tie: str, cuts: tuple[float, ...] = (0.70, 0.85)) -> DataFrame:
+    """One row: for each cut the (ts, tie) at place int(n * cut) of df in order of both, null where no row is there.
+
+    Days and their numbers tell on which day a cut falls; only that day's rows are put in order.
+    """
+    day = F.to_date(ts)
+    days = [(r["day"], r["n"]) for r in df.groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("n")).orderBy("day").collect()]  # a row for each day
+    total, out = sum(n for _, n in days), df.sparkSession.range(1).select()
+    for k, cut in enumerate(cuts):
+        at, before = math.floor(total * cut), 0
+        found = None
+        for d, n in days:
+            if before <= at < before + n:
+                own = ranking.numbered(df.filter(day.eqNullSafe(F.lit(d).cast("date"))).select(ts, tie), ts, tie)
+                found = own.filter(F.col("position") == at - before).select(F.struct(F.col(ts).alias("a"), F.col(tie).alias("b")).alias(f"__cut{k}"))
+            before += n
+        out = out.crossJoin(found) if found is not None else out.withColumn(f"__cut{k}", F.lit(None))
+    return stage(out, "cuts")
+
+
+def chronological(df: DataFrame, ts: str, tie: str, cuts: tuple[float, ...] = (0.70, 0.85), names: tuple[str, ...] = ("train", "validation", "test"), among: DataFrame | None = None) -> DataFrame:
+    """Splits at int(n * cut) rows in order of (ts, tie), of df itself or of the rows `among`, by comparison with the rows there."""
+    place, split = F.struct(F.col(ts).alias("a"), F.col(tie).alias("b")), F.lit(names[-1])
+    for k, name in reversed(list(enumerate(names[:-1]))):
+        split = F.when(F.col(f"__cut{k}").isNull() | (place < F.col(f"__cut{k}")), name).otherwise(split)
+    rows = df.crossJoin(F.broadcast(cut_rows(df if among is None else among, ts, tie, cuts)))  # one row
+    return rows.withColumn("split", split).drop(*[f"__cut{k}" for k in range(len(cuts))])
 
 
 @query(f"WITH {_SPLIT} SELECT o_orderkey, split FROM spl")
@@ -361,14 +389,18 @@ _NUMERIC = ["month", "weekday_number", "items", "sellers", "value", "log_prior",
 
 def _labelled(t: Tables) -> DataFrame:
     """Order features with a label that the order's priority and value decide in part, its day and priority."""
-    more = t.orders.select("o_orderkey", F.to_date("o_orderdate").alias("day"), F.col("o_orderpriority").alias("priority"), "o_totalprice")
-    rows = pit_feature_table(t).drop("label").join(more, "o_orderkey")
+    rows = _pit_rows(t).select(*_PIT, "o_orderdate", "day", "priority", F.col("price").alias("o_totalprice"))
     noise = F.pmod(F.xxhash64("o_orderkey"), F.lit(1000)) / 1000
     return rows.withColumn("label", (C.sigmoid(linear_logit(F.col("o_totalprice"), F.col("priority")) * 3) > noise).cast("double"))
 
 
+def _with_split(t: Tables) -> DataFrame:
+    """The labelled orders with their part of chrono_split."""
+    return chronological(stage(_labelled(t), "labelled"), "o_orderdate", "o_orderkey", among=t.orders.select("o_orderdate", "o_orderkey"))
+
+
 def _split(t: Tables) -> tuple[DataFrame, DataFrame]:
-    rows = stage(_labelled(t).join(chrono_split(t), "o_orderkey"), "labelled")
+    rows = _with_split(t)
     train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
     prep = models.fit_preprocess(train, [*_NUMERIC, "o_totalprice"], ["priority"])
     rate = train.agg(F.avg("label")).first()[0] or 0.0
@@ -431,7 +463,7 @@ def calibration_choice(t: Tables) -> DataFrame:
 @query()
 def factor_sensitivity(t: Tables) -> DataFrame:
     """The three groups of factors that move each test row's probability most from that of the reference row."""
-    rows = stage(_labelled(t).join(chrono_split(t), "o_orderkey"), "labelled")
+    rows = _with_split(t)
     train = rows.filter("split = 'train'")
     prep = models.fit_preprocess(train, [*_NUMERIC, "o_totalprice"], ["priority"])
     model = models.fit(_CANDIDATES[0], prep.apply(train))
