@@ -1,6 +1,6 @@
 """A report's measures under any filter and threshold, from counts per finest grain.
 
-Facts are read once, into cells: grain, cancelled, delay and accumulated delay with a number of rows. Cells add up over
+Facts are read once, into cells: grain, cancelled, and delay or accumulated delay with a number of rows. Cells add up over
 any coarser grain, so every measure comes from them without the facts: medians and percentiles are exact, since a
 cell's value has its number. Distinct keys are rows less repeats, and keys that occur more than once are kept apart.
 """
@@ -18,15 +18,27 @@ BASE_THRESHOLD = 5
 
 
 def cells(facts: DataFrame, grain: list[str], delay: str = "delay", departure: str | None = None, cancelled: str = "cancelled") -> DataFrame:
-    """(grain, off, delay, gained, n); gained is the delay less that at departure, where both are known."""
-    gained = F.col(delay) - F.col(departure) if departure else F.lit(None).cast("int")
-    return facts.groupBy(*grain, F.coalesce(F.col(cancelled), F.lit(False)).alias("off"), F.col(delay).alias("delay"), gained.alias("gained")).agg(F.count(F.lit(1)).alias("n"))
+    """(grain, off, delay, gained, n, n_gained); gained is the delay less that at departure, where both are known and
+    nothing was cancelled.
+
+    Delays (n rows) and gains (n_gained rows) are cells of their own, so there are as many as values of both together and
+    not as their pairs, of which there would be nearly one for each row.
+    """
+    gained = F.when(~F.col("off"), F.col("delay") - F.col("departure")) if departure else F.lit(None).cast("int")
+    rows = facts.select(*grain, F.coalesce(F.col(cancelled), F.lit(False)).alias("off"), F.col(delay).alias("delay"), *([F.col(departure).alias("departure")] if departure else []))
+    rows = rows.select(*grain, "off", "delay", gained.alias("gained"))
+    one = F.lit(1)
+    cell = F.struct("delay", F.when(F.lit(False), F.col("gained")).alias("gained"), one.alias("n"), F.lit(0).alias("n_gained"))
+    gain = F.struct(F.when(F.lit(False), F.col("delay")).alias("delay"), "gained", F.lit(0).alias("n"), one.alias("n_gained"))
+    each = F.when(F.col("gained").isNull(), F.array(cell)).otherwise(F.array(cell, gain)) if departure else F.array(cell)
+    return rows.select(*grain, "off", F.inline(each)).groupBy(*grain, "off", "delay", "gained").agg(F.sum("n").alias("n"), F.sum("n_gained").alias("n_gained"))
 
 
 def repeats(facts: DataFrame, grain: list[str], key: list[str]) -> DataFrame:
-    """(grain, key, n) of keys that occur more than once."""
-    per = facts.groupBy(*grain, F.struct(*key).alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    return per.withColumn("all", F.sum("n").over(Window.partitionBy("key"))).filter("all > 1").drop("all")
+    """(grain, key, n) of keys that occur more than once. Rows are counted per key where they lie by its columns; only
+    those of repeated keys are added up."""
+    rows = facts.select(*grain, *key, F.count(F.lit(1)).over(Window.partitionBy(*key)).alias("__all")).filter("__all > 1")
+    return rows.groupBy(*grain, F.struct(*key).alias("key")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _done() -> Column:
@@ -42,11 +54,11 @@ def journey_measures(table: DataFrame, repeated: DataFrame, by: list[str], thres
     use columns of the grain. Rates are null where nothing is counted."""
     rows, again = (df if where is None else df.filter(where) for df in (table, repeated))
     done, late = _done(), F.col("delay") <= threshold
-    exact = lambda value, condition, q: F.round(F.percentile(F.when(condition, F.col(value)), q, F.col("n")), 2)
+    exact = lambda value, condition, q, n="n": F.round(F.percentile(F.when(condition, F.col(value)), q, F.col(n)), 2)
     out = rows.groupBy(*by).agg(
         _number().alias("scheduled"), _number(done).alias("completed"), _number(F.col("off")).alias("cancelled"), _number(~F.col("off") & F.col("delay").isNull()).alias("missing"),
         _number(done & late).alias("on_time"), _number(done & (F.col("delay") <= BASE_THRESHOLD)).alias("on_time_5"), exact("delay", done, 0.5).alias("median_delay"), exact("delay", done, 0.9).alias("p90_delay"),
-        exact("gained", done & F.col("gained").isNotNull(), 0.5).alias("median_accumulation"), F.min(day).alias("coverage_start"), F.max(day).alias("coverage_end"),
+        exact("gained", F.col("gained").isNotNull(), 0.5, "n_gained").alias("median_accumulation"), F.min(day).alias("coverage_start"), F.max(day).alias("coverage_end"),
     )
     extra = again.groupBy(*by, "key").agg(F.sum("n").alias("n")).groupBy(*by).agg(F.sum(F.col("n") - 1).alias("duplicate_rows"))
     if by:

@@ -12,7 +12,7 @@ from millrace.plans.order_queries import _LINEAR, _WEIGHTS
 from millrace.plans.registry import Tables, facts, query
 from millrace.sources.shared import new_path, stage
 
-_GRAIN = ["day", "month", "region", "service"]
+_GRAIN = ["day", "region", "service"]
 _KEY = ["l_orderkey", "l_linenumber"]
 _F = "f AS (SELECT *, strftime(day, '%Y-%m') AS month, CASE WHEN l_linenumber > 1 THEN cast(l_quantity AS INTEGER) % 20 END AS departure FROM facts)"
 
@@ -29,8 +29,10 @@ def _sql(by: str, where: str, thresholds: str) -> str:
 
 def _state(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Cells and repeats, from one reading of the facts each."""
-    rows = facts(t).withColumns({"month": F.date_format("day", "yyyy-MM"), "departure": F.when(F.col("l_linenumber") > 1, F.col("l_quantity").cast("int") % 20)})
-    return stage(measures.cells(rows, _GRAIN, departure="departure"), "cells"), stage(measures.repeats(rows, _GRAIN, _KEY), "repeats")
+    rows = facts(t).withColumn("departure", F.when(F.col("l_linenumber") > 1, F.col("l_quantity").cast("int") % 20))
+    table, again = stage(measures.cells(rows, _GRAIN, departure="departure"), "cells"), stage(measures.repeats(rows, _GRAIN, _KEY), "repeats")
+    month = F.date_format("day", "yyyy-MM")  # of a cell's day, and no part of its key
+    return table.withColumn("month", month), again.withColumn("month", month)
 
 
 @query(_sql("month, region", "service IN ('1-URGENT', '2-HIGH')", "[5, 15, 30]"))
