@@ -12,7 +12,8 @@ from millrace.plans.registry import Tables, query
 
 def _dataset(t: Tables) -> DataFrame:
     """Orders as the order dataset has them: suppliers are sellers, nations are states, and an outcome is known after ten days."""
-    by_seller = t.lineitem.groupBy("l_orderkey", "l_suppkey").agg(C.exact_sum("l_extendedprice").alias("value"), C.exact_sum("l_quantity").alias("grams"))
+    lines = t.lineitem.select("l_orderkey", "l_suppkey", "l_extendedprice", "l_quantity").repartition("l_orderkey")  # for both sums and the orders
+    by_seller = lines.groupBy("l_orderkey", "l_suppkey").agg(C.exact_sum("l_extendedprice").alias("value"), C.exact_sum("l_quantity").alias("grams"))
     seller = F.struct("l_suppkey", "value")
     items = by_seller.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(seller)).alias("s"), F.min_by("l_suppkey", F.struct((-F.col("value")).alias("v"), "l_suppkey")).alias("first"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"), F.sum(F.col("grams").cast("decimal(18,2)")).cast("double").alias("grams"))
     text = lambda f: F.array_join(F.transform("s", lambda x: x[f].cast("string")), "|")

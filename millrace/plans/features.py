@@ -1,9 +1,10 @@
 """Features of orders from what was known when each was placed.
 
 Purchases count on the day of purchase, outcomes on the day on which they became known, and an order sees both strictly
-before its own day. The histories of all kinds of keys are one table: an order is an event of each of its keys, events
-are added up to (kind, key, day), and one sort of these rows gives every total and window. So orders are read once and
-shuffled once however many kinds there are, a hot key has no more rows than days, and orders meet histories by key and day.
+before its own day. The histories of all kinds of an order's keys are one table: an order is an event of each of its keys,
+events are added up to (kind, key, day), and one sort of these rows gives every total and window. So orders are read once
+and shuffled once however many kinds there are, a hot key has no more rows than days, and orders meet histories by key and
+day. Sellers, of which an order has several, have a table of their own whose daily totals are written.
 
 Rates are smoothed towards the global rate known before the day, with strength 20 for all that came before and 10 for
 trailing windows. Counts are logarithms of 1 + n. Keys that are null are one key.
@@ -46,9 +47,9 @@ def daily_totals(pairs: DataFrame) -> DataFrame:
     return events.groupBy("kind", "key", "day").agg(*[F.sum(c).cast("long").alias(c) for c in ("b", "n", "late")])
 
 
-def key_histories(daily: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+def key_histories(daily: DataFrame, asked: DataFrame | None = None, written: bool = True) -> DataFrame:
     """Per (kind, key) and day of `asked` (by default the days of purchase): totals and trailing windows, strictly before
-    the day, of purchases (o_*) and of known outcomes (k_*)."""
+    the day, of purchases (o_*) and of known outcomes (k_*). Unless they are used once, they are written."""
     if asked is None:
         rows, wanted = daily, F.col("b") > 0
     else:
@@ -61,7 +62,8 @@ def key_histories(daily: DataFrame, asked: DataFrame | None = None) -> DataFrame
     columns |= {f"k_{w}": before("n", w) for w in OUTCOME_WINDOWS} | {f"k_late_{w}": before("late", w) for w in OUTCOME_WINDOWS}
     first = F.min(F.when(F.col("b") > 0, F.col("day"))).over(order.rangeBetween(Window.unboundedPreceding, -1))
     columns["o_days"] = F.coalesce(F.col("day") - first, F.lit(0)).cast("int")
-    return stage(rows.withColumns(columns).filter(wanted).select("kind", "key", "day", *columns), "histories")
+    out = rows.withColumns(columns).filter(wanted).select("kind", "key", "day", *columns)
+    return stage(out, "histories") if written else out
 
 
 def history_features(prior: Column | str = "prior") -> dict[str, Column]:
@@ -109,15 +111,17 @@ def _with_groups(rows: DataFrame, histories: DataFrame) -> DataFrame:
 
 
 def _members(rows: DataFrame) -> DataFrame:
-    return seller_shares(rows).join(rows.select("order_id", "primary_seller_id", "bought_on", "known_on", "day", "late_1d"), "order_id")
+    return seller_shares(rows, "primary_seller_id", "bought_on", "known_on", "day", "late_1d")
 
 
-def _with_sellers(members: DataFrame, histories: DataFrame) -> DataFrame:
+def _with_sellers(members: DataFrame, histories: DataFrame, days: DataFrame) -> DataFrame:
+    """Members meet their sellers' counts by key and day, and go to their order with these; features, which are more and
+    wider, are made where they are added up."""
     found = history_features()
-    sellers = _kind(histories, SELLER, _days(histories)).select(F.col("key").alias("seller_id"), "day", "o_7", "o_30", *[c.alias(n) for n, c in found.items()])
-    each = members.join(bounded(sellers, HISTORY_ROWS), ["seller_id", "day"])
-    first = F.col("seller_id") == F.col("primary_seller_id")
-    w = F.col("weight")
+    counts = histories.filter(F.col("kind") == SELLER).select(F.col("key").alias("seller_id"), "day", *[c for c in histories.columns if c not in ("kind", "key", "day")])
+    each = members.select("order_id", "seller_id", "day", "weight", (F.col("seller_id") == F.col("primary_seller_id")).alias("first")).join(counts, ["seller_id", "day"])
+    each = each.drop("seller_id").repartition("order_id").join(days.select("day", "prior"), "day").select("order_id", "weight", "first", "o_7", "o_30", *[c.alias(n) for n, c in found.items()])
+    w, first = F.col("weight"), F.col("first")
     rates = ["prior_late_rate", "late_rate_30d", "late_rate_90d"]
     return each.groupBy("order_id").agg(
         *[F.max(F.when(first, F.col(n))).alias(f"primary_seller_{n}") for n in PRIMARY],
@@ -126,6 +130,11 @@ def _with_sellers(members: DataFrame, histories: DataFrame) -> DataFrame:
     )
 
 
+def _few(daily: DataFrame, histories: DataFrame) -> DataFrame:
+    """histories with a broadcast hint if the written daily totals that they are made of are few."""
+    return F.broadcast(histories) if daily.limit(HISTORY_ROWS + 1).count() <= HISTORY_ROWS else histories
+
+
 _COLUMNS = {kind: column for kind, (column, _) in GROUPS.items()}
 
 
@@ -160,8 +169,10 @@ def later_group_features(orders: DataFrame, totals: DataFrame) -> DataFrame:
 def seller_features(orders: DataFrame) -> DataFrame:
     """One row per order: the history of its primary seller, and sums, weighted means and extremes over its sellers."""
     rows = _staged(orders, "order_id", "seller_ids", "seller_item_values", "primary_seller_id", "bought_on", "known_on", "day", "late_1d")
-    members = stage(_members(rows), "members")
-    return _with_sellers(members, key_histories(daily_totals(key_pairs(rows, {}).unionByName(_seller_pairs(members)))))
+    members = _members(rows)
+    days = _days(key_histories(daily_totals(key_pairs(rows, {}))))
+    daily = stage(daily_totals(_seller_pairs(members)), "daily")
+    return _with_sellers(members, _few(daily, key_histories(daily, written=False)), days)
 
 
 def static_features(orders: DataFrame) -> DataFrame:
@@ -201,6 +212,8 @@ def static_features(orders: DataFrame) -> DataFrame:
 def feature_table(orders: DataFrame) -> DataFrame:
     """Orders as orders.order_dataset makes them, with every feature; the histories of all kinds are made together."""
     rows = _staged(orders)
-    members = stage(_members(rows), "members")
-    histories = key_histories(daily_totals(key_pairs(rows, _COLUMNS).unionByName(_seller_pairs(members))))
-    return static_features(_with_groups(rows, histories)).join(_with_sellers(members, histories), "order_id")
+    members = _members(rows)
+    histories = key_histories(daily_totals(key_pairs(rows, _COLUMNS)))
+    daily = stage(daily_totals(_seller_pairs(members)), "daily")
+    sellers = _with_sellers(members, _few(daily, key_histories(daily, written=False)), _days(histories))
+    return static_features(_with_groups(rows, histories)).join(sellers, "order_id")

@@ -80,13 +80,15 @@ def order_dataset(t: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def seller_shares(orders: DataFrame) -> DataFrame:
-    """(order_id, seller_id, weight) from the pipe-joined composition: value shares, or equal ones where no value is positive."""
+def seller_shares(orders: DataFrame, *keep: str) -> DataFrame:
+    """(order_id, seller_id, weight, kept columns) from the pipe-joined composition: value shares, or equal ones where no
+    value is positive. An order is one row, so its own arrays hold all that a share needs."""
     pairs = F.arrays_zip(F.split("seller_ids", r"\|").alias("seller_id"), F.split("seller_item_values", r"\|").alias("value"))
-    rows = orders.select("order_id", F.explode(pairs).alias("p")).select("order_id", "p.seller_id", F.col("p.value").try_cast("double").alias("value"))
-    w = Window.partitionBy("order_id")
-    total = F.sum("value").over(w)
-    return rows.select("order_id", "seller_id", F.when(total > 0, F.col("value") / total).otherwise(1 / F.count(F.lit(1)).over(w)).alias("weight"))
+    number = F.transform(pairs, lambda p: F.struct(p["seller_id"].alias("seller_id"), p["value"].try_cast("double").alias("value")))
+    rows = orders.select("order_id", *keep, number.alias("__p"))
+    rows = rows.withColumn("__total", F.aggregate("__p", F.lit(0.0), lambda x, p: x + F.coalesce(p["value"], F.lit(0.0))))
+    rows = rows.select("order_id", *keep, "__total", F.size("__p").alias("__n"), F.inline("__p"))
+    return rows.select("order_id", "seller_id", F.when(F.col("__total") > 0, F.col("value") / F.col("__total")).otherwise(1 / F.col("__n")).alias("weight"), *keep)
 
 
 #: Checks whose failures do not stop a build: such measurements are imputed.
