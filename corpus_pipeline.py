@@ -1,8 +1,8 @@
 """Training text from raw documents, in five stages.
 
-Each stage works on all rows that the one before kept; its result is written as Parquet and read again. Stages that
-run Python write theirs themselves, while batches of texts are small. All but
-the last return the columns of documents, extra ones included whatever their names. n_chars follows the text where a
+Each stage works on all rows that the one before kept; its result is written as Parquet and read again. Stages write
+theirs themselves, while batches and tasks are small. All but the last
+return the columns of documents, extra ones included whatever their names. n_chars follows the text where a
 stage changes it. Null ids are the largest, and ties in order of ids are equal texts, of which any one stays. Stages
 keep repeated rows until the line stage, where a row with the id and text of another is the same document; the
 near-duplicate stage keeps one of them. Empty tables pass through as such.
@@ -49,8 +49,9 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    clean = decontaminate.contamination(docs, benchmark).documents.filter("not contaminated")
-    return stage(clean.select(*docs.columns), "decontamination")
+    with text_batches(spark):
+        clean = decontaminate.contamination(docs, benchmark).documents.filter("not contaminated")
+        return stage(clean.select(*docs.columns), "decontamination")
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

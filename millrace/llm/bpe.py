@@ -15,7 +15,7 @@ import base64
 import codecs
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import pairwise
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -67,7 +67,9 @@ class Codec:
         import sentencepiece
 
         self.ranks = read_ranks(vocab)
-        self.table = sorted(self.ranks, key=self.ranks.get)
+        table = sorted(self.ranks, key=self.ranks.get)
+        self.bytes, self.sizes = np.frombuffer(b"".join(table), np.uint8), np.array([len(x) for x in table], np.int64)
+        self.at = np.cumsum(self.sizes) - self.sizes
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(self.ranks))
         if pattern == PATTERN:
             self.encode = BatchEncoder(self.encode_tokens)
@@ -83,19 +85,21 @@ class Codec:
 
     def encode_tokens(self, tokens: list[str]) -> list[list[int]]:
         """Ids of each pre-token, merged on its own."""
-        out, merge = [], []
-        for token in tokens:
-            raw = token.encode()
-            rank = self.ranks.get(raw)
-            if rank is None:
-                merge.append((len(out), as_piece(raw)))
-            out.append([rank])
-        for (k, _), ids in zip(merge, self.model.encode([x for _, x in merge], num_threads=1), strict=True):
+        raws = [x.encode() for x in tokens]
+        found = list(map(self.ranks.get, raws))
+        merge = [k for k, x in enumerate(found) if x is None]
+        pieces, ends = as_piece(b"".join([raws[k] for k in merge])), list(accumulate([len(raws[k]) for k in merge], initial=0))
+        out = [[x] for x in found]
+        for k, ids in zip(merge, self.model.encode([pieces[i:j] for i, j in pairwise(ends)], num_threads=1), strict=True):
             out[k] = ids
         return out
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.table.__getitem__, ids))
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of all ids in a row, and where those of ids[bounds[k] : bounds[k + 1]] start, with the total at the end."""
+        size = self.sizes[ids]
+        upto = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
+        source = np.repeat(self.at[ids] - upto[:-1], size) + np.arange(upto[-1])
+        return self.bytes[source].tobytes(), upto[bounds]
 
 
 @lru_cache(maxsize=2)
@@ -129,6 +133,10 @@ def _append(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
+def _binary(data: bytes, bounds: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data)])
+
+
 def decode(df: DataFrame, vocab: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds the bytes that the ids stand for."""
 
@@ -138,8 +146,9 @@ def decode(df: DataFrame, vocab: str, pattern: str, ids: str = "ids", out: str =
             source = batch.column(batch.schema.get_field_index(ids))
             sizes = pc.fill_null(pc.list_value_length(source), 0).to_pylist()
             for a, b in slices(sizes):
-                found = [to_bytes(x.values.to_pylist()) if x.is_valid else b"" for x in source.slice(a, b - a)]
-                yield _append(batch.slice(a, b - a), out, pa.array(found, pa.binary()))
+                part = source.slice(a, b - a)
+                upto = np.concatenate(([0], np.cumsum(sizes[a:b], dtype=np.int64)))
+                yield _append(batch.slice(a, b - a), out, _binary(*to_bytes(part.flatten().to_numpy(), upto)))
 
     return df.mapInArrow(run, _with(df.schema, out, T.BinaryType()))
 
@@ -153,9 +162,8 @@ def round_trip(df: DataFrame, vocab: str, pattern: str, text: str = "text", ids:
             source = batch.column(batch.schema.get_field_index(text))
             for a, b in slices(pc.fill_null(pc.binary_length(source), 0).to_pylist()):
                 found, bounds = c.encode(pc.fill_null(source.slice(a, b - a), "").to_pylist())
-                back = [c.decode(found[i:j].tolist()) for i, j in pairwise(bounds.tolist())]
                 part = _append(batch.slice(a, b - a), ids, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(found)))
-                yield _append(part, decoded, pa.array(back, pa.binary()))
+                yield _append(part, decoded, _binary(*c.decode(found, bounds)))
         pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, _with(_with(df.schema, ids, T.ArrayType(T.IntegerType())), decoded, T.BinaryType()))

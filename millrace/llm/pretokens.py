@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -135,12 +136,19 @@ def segments(text: str, size: int = BATCH_CHARS) -> list[str]:
 
 
 class BatchEncoder:
-    """Ids of whole texts; encode_new gets distinct pre-tokens and returns the ids of each."""
+    """Ids of whole texts; encode_new gets distinct pre-tokens and returns the ids of each.
+
+    What a worker remembers is a pre-token's number; the ids of all are one array, and bounds says where those of a number are.
+    """
 
     def __init__(self, encode_new, limit: int = KNOWN_LIMIT):
         self.encode_new, self.limit = encode_new, limit
-        self.known: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
         self.chars = 0
+        self.ids, self.bounds = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's ids start, with the total at the end."""
@@ -149,6 +157,24 @@ class BatchEncoder:
         rows = [np.concatenate([self._encode([x])[0] for x in segments(text)]) for text in texts]
         return np.concatenate(rows), np.cumsum([0, *map(len, rows)])
 
+    def _numbers(self, tokens: list[str]) -> np.ndarray:
+        """The numbers of distinct pre-tokens; those that are new are encoded."""
+        if len(self.known) > self.limit or self.chars > KNOWN_CHARS:
+            self._forget()
+        found = list(map(self.known.get, tokens))
+        places = [k for k, x in enumerate(found) if x is None]
+        if places:
+            new = [tokens[k] for k in places]
+            rows = self.encode_new(new)
+            first = len(self.bounds) - 1
+            self.bounds = np.concatenate((self.bounds, self.bounds[-1] + np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)))))
+            self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(rows), np.int32, int(self.bounds[-1]) - len(self.ids))))
+            self.known.update(zip(new, range(first, first + len(new)), strict=True))
+            self.chars += sum(map(len, new))
+            for k, x in enumerate(places, first):
+                found[x] = k
+        return np.array(found, np.int64)
+
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         cp, texts_at = code_points(texts)
         if not len(cp):
@@ -157,19 +183,10 @@ class BatchEncoder:
         sample, kind = _groups(cp, at)
         whole, ends = "".join(texts), np.append(at[1:], len(cp))
         tokens = [whole[a:b] for a, b in zip(at[sample].tolist(), ends[sample].tolist(), strict=True)]
-        if len(self.known) > self.limit or self.chars > KNOWN_CHARS:
-            self.known.clear()
-            self.chars = 0
-        new = [x for x in tokens if x not in self.known]
-        for x, ids in zip(new, self.encode_new(new), strict=True):
-            self.known[x] = np.array(ids, np.int32).tobytes()
-            self.chars += len(x)
-        parts = [self.known[x] for x in tokens]
-        flat, sizes = np.frombuffer(b"".join(parts), np.int32), np.array([len(x) // 4 for x in parts])
-        offsets = np.cumsum(sizes) - sizes
-        n = sizes[kind]
+        number = self._numbers(tokens)[kind]
+        n = (self.bounds[1:] - self.bounds[:-1])[number]
         upto = np.cumsum(n)
-        ids = flat[np.repeat(offsets[kind] - (upto - n), n) + np.arange(upto[-1])]
+        ids = self.ids[np.repeat(self.bounds[number] - (upto - n), n) + np.arange(upto[-1])]
         return ids, np.concatenate(([0], upto))[np.searchsorted(at, texts_at)]
 
 

@@ -46,7 +46,13 @@ def _byte_classes() -> np.ndarray:
     return table
 
 
-_CLASS = _byte_classes()
+_CLASS = _byte_classes().tobytes()
+
+
+def _classes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode().translate(_CLASS), np.uint8)
+
+
 _SLOT = ((np.arange(8**4, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % DIMENSIONS
 
 
@@ -67,13 +73,15 @@ def _words(words: list[str]) -> tuple[int, float, float]:
 
 def votes(text: str) -> list[int]:
     """One vote of each labeller, in the order of LABELLERS."""
-    kind = _CLASS[np.frombuffer(text.encode(), np.uint8)]
+    kind = _classes(text)
     count = np.bincount(kind, minlength=8)
     n, repeats, variety = _words(text.split())
     solid, letters = int(count[LOWER:].sum()), int(count[LOWER] + count[UPPER])
     blank = np.concatenate(([True], kind <= LINE, [True]))
     symbol = kind == SYMBOL
-    lone, ends = (int((symbol & before & blank[2:]).sum()) for before in (blank[:-2], ~blank[:-2]))
+    last = symbol & blank[2:]
+    lone = int(np.count_nonzero(last & blank[:-2]))
+    ends = int(np.count_nonzero(last)) - lone
 
     def vote(bad: bool, enough: bool) -> int:
         return NONE if not enough else BAD if bad else GOOD
@@ -95,10 +103,13 @@ _word_slot = xxhash.xxh32_intdigest
 
 def features(text: str) -> np.ndarray:
     """Hashed features of a text that is not empty."""
-    kind = _CLASS[np.frombuffer(text.encode(), np.uint8)].astype(np.int64)
-    kind = np.concatenate(([LINE, LINE], kind, [LINE]))
-    codes = ((kind[:-3] * 8 + kind[1:-2]) * 8 + kind[2:-1]) * 8 + kind[3:]
-    out = np.bincount(_SLOT, np.bincount(codes, minlength=8**4) / max(len(codes), 1), DIMENSIONS)
+    inner = _classes(text)
+    kind = np.full(len(inner) + 3, LINE, np.uint16)
+    kind[2:-1] = inner
+    pairs = kind[:-1] * np.uint16(8) + kind[1:]
+    codes = np.bincount(pairs[:-2] * np.uint16(64) + pairs[2:])
+    found = np.flatnonzero(codes)
+    out = np.bincount(_SLOT[found], codes[found] / len(inner), DIMENSIONS)
     words = text.split()
     n, repeats, variety = _words(words)
     out[_REPEAT_SLOTS[np.searchsorted(_REPEAT_BINS, repeats)]] += 1
