@@ -34,11 +34,26 @@ def cells(facts: DataFrame, grain: list[str], delay: str = "delay", departure: s
     return rows.select(*grain, "off", F.inline(each)).groupBy(*grain, "off", "delay", "gained").agg(F.sum("n").alias("n"), F.sum("n_gained").alias("n_gained"))
 
 
-def repeats(facts: DataFrame, grain: list[str], key: list[str]) -> DataFrame:
-    """(grain, key, n) of keys that occur more than once. Rows are counted per key where they lie by its columns; only
-    those of repeated keys are added up."""
+def _repeats(facts: DataFrame, grain: list[str], key: list[str]) -> DataFrame:
+    """(key columns, grain, n) of keys that occur more than once. Rows are counted and added up where they lie by the key's
+    columns: grouped by a struct of these, they would be shuffled again, into tasks that grow with the table."""
     rows = facts.select(*grain, *key, F.count(F.lit(1)).over(Window.partitionBy(*key)).alias("__all")).filter("__all > 1")
-    return rows.groupBy(*grain, F.struct(*key).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy(*key, *grain).agg(F.count(F.lit(1)).alias("n"))
+
+
+def repeats(facts: DataFrame, grain: list[str], key: list[str]) -> DataFrame:
+    """(grain, key, n) of keys that occur more than once."""
+    return _repeats(facts, grain, key).select(*grain, F.struct(*key).alias("key"), "n")
+
+
+def repeat_sets(facts: DataFrame, grain: list[str], key: list[str]) -> DataFrame:
+    """(key, keys, grain, n): repeated keys whose rows lie in the same cells with the same numbers are one set, under one key
+    and with their number. There are as many sets as ways to lie in cells, however many keys; stage them, as their keys are
+    numbers of this very run."""
+    cells = F.sort_array(F.collect_list(F.struct(*grain, "n"))).alias("cells")  # of one key, at most one for each cell
+    sets = _repeats(facts, grain, key).groupBy(*key).agg(cells).groupBy("cells").agg(F.count(F.lit(1)).alias("keys"))
+    sets = sets.withColumn("key", F.monotonically_increasing_id())  # of its own step: beside inline it would number cells
+    return sets.select("key", "keys", F.inline("cells"))
 
 
 def _done() -> Column:
@@ -51,7 +66,7 @@ def _number(condition: Column | None = None) -> Column:
 
 def journey_measures(table: DataFrame, repeated: DataFrame, by: list[str], threshold: int = BASE_THRESHOLD, where: Column | None = None, day: str = "day") -> DataFrame:
     """All measures of journeys per `by`, among the cells that meet `where`, at a chosen threshold; `by`, `where` and `day`
-    use columns of the grain. Rates are null where nothing is counted."""
+    use columns of the grain. Repeats are those of `repeats` or `repeat_sets`. Rates are null where nothing is counted."""
     rows, again = (df if where is None else df.filter(where) for df in (table, repeated))
     done, late = _done(), F.col("delay") <= threshold
     exact = lambda value, condition, q, n="n": F.round(F.percentile(F.when(condition, F.col(value)), q, F.col(n)), 2)
@@ -60,7 +75,8 @@ def journey_measures(table: DataFrame, repeated: DataFrame, by: list[str], thres
         _number(done & late).alias("on_time"), _number(done & (F.col("delay") <= BASE_THRESHOLD)).alias("on_time_5"), exact("delay", done, 0.5).alias("median_delay"), exact("delay", done, 0.9).alias("p90_delay"),
         exact("gained", F.col("gained").isNotNull(), 0.5, "n_gained").alias("median_accumulation"), F.min(day).alias("coverage_start"), F.max(day).alias("coverage_end"),
     )
-    extra = again.groupBy(*by, "key").agg(F.sum("n").alias("n")).groupBy(*by).agg(F.sum(F.col("n") - 1).alias("duplicate_rows"))
+    again = again if "keys" in again.columns else again.withColumn("keys", F.lit(1))
+    extra = again.groupBy(*by, "key", "keys").agg(F.sum("n").alias("n")).groupBy(*by).agg(F.sum((F.col("n") - 1) * F.col("keys")).alias("duplicate_rows"))
     if by:
         same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
         out = out.alias("a").join(extra.alias("b"), same, "left").select("a.*", "b.duplicate_rows")

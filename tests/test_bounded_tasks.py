@@ -44,3 +44,33 @@ def test_delays_and_gains_are_cells_of_their_own(spark):
     assert (got.scheduled, got.completed, got.on_time, got.duplicate_rows) == (903, len(done), sum(r[2] <= 10 for r in done), 3)
     assert got.median_delay == statistics.median(r[2] for r in done) and got.median_accumulation == statistics.median(r[2] - r[3] for r in done if r[3] is not None)
     assert {r.n for r in again.collect()} == {2} and again.agg(F.count("*")).first()[0] == 3
+
+
+def test_orders_are_dealt_by_rows_before_they_meet_customers(spark, sf, monkeypatch):
+    monkeypatch.setattr(registry, "TASK_ROWS", 100)  # 60 tasks of lines, 15 of orders
+    monkeypatch.setattr(registry, "FEW_KEYS", 100)
+    plan = registry.facts(registry.Tables(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("RepartitionByExpression [o_custkey" in x or "RepartitionByExpression [c_custkey" in x for x in plan.splitlines()) == 2
+
+
+def test_repeated_keys_are_counted_where_they_lie_and_kept_as_sets(spark):
+    rnd = random.Random(5)
+    keys = [k for k in range(400) for _ in range(rnd.choice([1, 2, 2, 3]))] + [7] * 50
+    rows = [(rnd.choice("ab"), rnd.choice(["x", None]), k, None if k == 9 else k % 3) for k in keys]
+    facts = spark.createDataFrame(rows, "region string, service string, id int, line int").repartition(5, "id")
+    plain, sets = measures.repeats(facts, ["region", "service"], ["id", "line"]), measures.repeat_sets(facts, ["region", "service"], ["id", "line"])
+    plan = plain._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # the dealing by id
+    got = sets.localCheckpoint()
+    assert got.select("key").distinct().count() < plain.select("key").distinct().count() / 4
+    assert got.agg(F.sum(F.col("n") * F.col("keys"))).first()[0] == plain.agg(F.sum("n")).first()[0]
+    table = facts.select("region", "service", F.lit(date(2020, 1, 1)).alias("day"), F.lit(False).alias("off"), F.lit(1).alias("delay"), F.lit(None).cast("int").alias("gained"), F.lit(1).alias("n"), F.lit(0).alias("n_gained"))
+    for by, where in ((["region"], None), (["service"], None), (["region", "service"], None), ([], None), (["region"], F.col("service") == "x"), ([], F.col("region") == "a")):
+        kept = [r for r in rows if where is None or (r[1] == "x" if by else r[0] == "a")]
+        at = [["region", "service"].index(c) for c in by]
+        expected = {tuple(r[i] for i in at): 0 for r in kept}
+        for group in expected:
+            inside = [r for r in kept if tuple(r[i] for i in at) == group]
+            expected[group] = len(inside) - len({r[2:] for r in inside})
+        found = measures.journey_measures(table, got, by, 5, where).collect()
+        assert {tuple(r[c] for c in by): r.duplicate_rows for r in found} == expected
