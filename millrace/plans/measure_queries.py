@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.operators import measures, models
 from millrace.plans.order_queries import _LINEAR, _WEIGHTS
 from millrace.plans.registry import Tables, facts, query
-from millrace.sources.shared import new_path, stage
+from millrace.sources.shared import new_path, small_reads, stage
 
 _GRAIN = ["day", "region", "service"]
 _KEY = ["l_orderkey", "l_linenumber"]
@@ -30,7 +30,8 @@ def _sql(by: str, where: str, thresholds: str) -> str:
 def _state(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Cells and repeats, from one reading of the facts each."""
     rows = facts(t).withColumn("departure", F.when(F.col("l_linenumber") > 1, F.col("l_quantity").cast("int") % 20))
-    table, again = stage(measures.cells(rows, _GRAIN, departure="departure"), "cells"), stage(measures.repeat_sets(rows, _GRAIN, _KEY), "repeats")
+    with small_reads(t.spark):
+        table, again = stage(measures.cells(rows, _GRAIN, departure="departure"), "cells"), stage(measures.repeat_sets(rows, _GRAIN, _KEY), "repeats")
     month = F.date_format("day", "yyyy-MM")  # of a cell's day, and no part of its key
     return table.withColumn("month", month), again.withColumn("month", month)
 

@@ -8,7 +8,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from millrace.operators import measures
-from millrace.plans import registered, registry
+from millrace.plans import measure_queries, registered, registry
 
 
 def text(x):
@@ -74,3 +74,11 @@ def test_repeated_keys_are_counted_where_they_lie_and_kept_as_sets(spark):
             expected[group] = len(inside) - len({r[2:] for r in inside})
         found = measures.journey_measures(table, got, by, 5, where).collect()
         assert {tuple(r[c] for c in by): r.duplicate_rows for r in found} == expected
+
+
+def test_tasks_that_deal_lines_read_little_at_once(spark, sf, monkeypatch):
+    split, seen = "spark.sql.files.maxPartitionBytes", []
+    before = spark.conf.get(split)
+    monkeypatch.setattr(measure_queries, "stage", lambda df, name: seen.append(int(spark.conf.get(split))) or df)
+    measure_queries._state(registry.Tables(spark, sf))
+    assert seen == [8 << 20] * 2 and spark.conf.get(split) == before
